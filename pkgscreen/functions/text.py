@@ -26,6 +26,11 @@ def any_of(words: list[str]) -> str:
     return "|".join(re.escape(w).replace(r"\ ", " ").replace(r"\-", "-") for w in words)
 
 
+def mentions(words: list[str], lowered: str) -> str:
+    """Whether a lower-case text holds any of the words, anywhere."""
+    return "(" + " OR ".join(f"contains({lowered}, '{w}')" for w in words) + ")"
+
+
 def strip(col: str = "text") -> str:
     return f"regexp_replace({col}, {sq('^' + v.WS + '+|' + v.WS + '+$')}, '')"
 

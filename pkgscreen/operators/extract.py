@@ -18,12 +18,14 @@ from pkgscreen import vocab as v
 from pkgscreen.config import spread
 from pkgscreen.functions import geometry as g
 from pkgscreen.functions.text import (
-    any_of, has, in_list, letters_share, no_trademark, pick, sq, strip, strip_of,
+    any_of, has, in_list, letters_share, mentions, no_trademark, pick, sq, strip, strip_of,
     title_or_upper,
 )
 
 _REJECTED = lambda col: "(" + " OR ".join(has(p, col) for p in v.REJECT.values()) + ")"
-_COMPANY = lambda col: f"({has(any_of(v.COMPANY_WORDS), col)} AND NOT {has(any_of(v.COMPANY_NUTRITION_WORDS), col)})"
+_COMPANY = lambda low: f"({mentions(v.COMPANY_WORDS, low)} AND NOT {mentions(v.COMPANY_NUTRITION_WORDS, low)})"
+_NAMED = lambda col: f"({has(any_of(v.COMPANY_WORDS), col)} AND NOT {has(any_of(v.COMPANY_NUTRITION_WORDS), col)})"
+_DIGIT = "(text RLIKE r'[0-9]')"  # lines without a digit skip the number patterns
 
 
 def _price_fits(value: str) -> str:
@@ -40,18 +42,20 @@ def _batch_fits(value: str) -> str:
 def _entity_flags(kind: str) -> dict[str, str]:
     keywords = v.ENTITY_KEYWORDS[kind]
     rest = [strip_of(f"regexp_replace(text, r'(?i){k}', '')", ":.,; ") for k in keywords]
-    name = [f"CASE WHEN length({r}) >= 5 AND {_COMPANY(r)} THEN {r} END" for r in rest]
+    name = [f"CASE WHEN length({r}) >= 5 AND {_NAMED(r)} THEN {r} END" for r in rest]
     first = " ".join(f"WHEN {has(k)} THEN {n}" for k, n in zip(keywords, name))
     any_name = ", ".join(f"CASE WHEN {has(k)} THEN {n} END" for k, n in zip(keywords, name))
+    labelled = has("|".join(keywords))
     return {
-        f"{kind}_kw": has("|".join(keywords)),
-        f"{kind}_first": f"CASE {first} END",
-        f"{kind}_any": f"coalesce({any_name})",
+        f"{kind}_kw": labelled,
+        f"{kind}_first": f"CASE WHEN {labelled} THEN CASE {first} END END",
+        f"{kind}_any": f"CASE WHEN {labelled} THEN coalesce({any_name}) END",
     }
 
 
-_T, _EMAIL, _PRICE, _ODD, _CLEAN = "stripped", "email", "price", "odd_price", "unmarked"
+_T, _EMAIL, _PRICE, _ODD, _CLEAN = "stripped", "email", "price", "odd_price", no_trademark("stripped")
 _BATCH_VALUES = [pick(p) for p in v.BATCH_VALUES]
+_BATCH_HINT = has(r"batch|lot|b\.?\s*no")  # no batch pattern matches without it
 _ORIGINS = [strip(pick(p)) for p in v.ORIGIN_VALUES]
 _LABELLED = f"regexp_extract(text, {sq('(?i)' + v.BRAND_LABEL)}, 1)"
 _HAS_BOX = "y_min IS NOT NULL"
@@ -59,12 +63,12 @@ _HAS_BOX = "y_min IS NOT NULL"
 # values that several flags read, taken once per line
 LINE_VALUES: dict[str, str] = {
     "stripped": strip(),
-    "unmarked": no_trademark("text"),
-    "price": pick(v.PRICE_VALUE),
-    "odd_price": pick(v.PRICE_ODD),
-    "qty": f"coalesce({pick(v.QTY_VALUE, 0)}, {pick(v.QTY_VALUE_SHORT, 0)})",
-    "phone": pick(v.CARE_PHONE_CS, 0, cs=True),
-    "email": pick(v.EMAIL_CS, 0, cs=True),
+    "lowered": "lower(text)",
+    "price": f"CASE WHEN {_DIGIT} THEN {pick(v.PRICE_VALUE)} END",
+    "odd_price": f"CASE WHEN {_DIGIT} AND {has(v.PRICE_ODD_START)} THEN {pick(v.PRICE_ODD)} END",
+    "qty": f"CASE WHEN {_DIGIT} THEN coalesce({pick(v.QTY_VALUE, 0)}, {pick(v.QTY_VALUE_SHORT, 0)}) END",
+    "phone": f"CASE WHEN {_DIGIT} THEN {pick(v.CARE_PHONE_CS, 0, cs=True)} END",
+    "email": f"CASE WHEN contains(text, '@') THEN {pick(v.EMAIL_CS, 0, cs=True)} END",
 }
 # one entry per flag a line can carry, over its text, box, confidence and values
 LINE_FLAGS: dict[str, str] = {
@@ -73,27 +77,27 @@ LINE_FLAGS: dict[str, str] = {
     "rs": has("rs"),
     "price_skip": has(v.PRICE_NEIGHBOUR_SKIP),
     "tax": has(v.PRICE_TAX),
-    "odd": f"CASE WHEN {has(v.PRICE_ODD_START)} AND {_price_fits(_ODD)} THEN {_ODD} END",
+    "odd": f"CASE WHEN {_price_fits(_ODD)} THEN {_ODD} END",
     "qty_label": has(v.QTY_LABEL),
     "qty_alone": (
         f"CASE WHEN qty IS NULL OR {has(v.QTY_NUTRITION_ROW)} THEN NULL"
         f" WHEN {has(v.QTY_WORD)} OR CAST({pick(v.QTY_VALUE)} AS DOUBLE) >= 20 THEN qty"
         f" WHEN CAST({pick(v.QTY_VALUE_SHORT)} AS DOUBLE) >= 20 THEN {pick(v.QTY_VALUE_SHORT, 0)} END"),
-    "company": _COMPANY("text"),
+    "company": _COMPANY("lowered"),
     "name_skip": f"({has(v.ENTITY_REJECT)} OR {has(v.ENTITY_NUTRITION)})",
     "continues": f"CASE WHEN {has(v.NAME_CONTINUATION, _T)} THEN {_T} END",
-    "date": "coalesce(" + ", ".join(pick(p) for p in v.DATE_VALUES) + ")",
-    "address_word": has(any_of(v.DATE_ADDRESS_WORDS)),
+    "date": f"CASE WHEN {_DIGIT} THEN coalesce(" + ", ".join(pick(p) for p in v.DATE_VALUES) + ") END",
+    "address_word": mentions(v.DATE_ADDRESS_WORDS, "lowered"),
     "dated_batch": f"({has(v.DATE_BATCH_LINE)} AND NOT {has(v.INSTRUCTION)})",
-    "date_inside": pick(v.DATE_EMBEDDED_CS, cs=True),
-    "batch": f"CASE WHEN NOT {has(v.INSTRUCTION)} THEN coalesce("
+    "date_inside": f"CASE WHEN {_DIGIT} THEN {pick(v.DATE_EMBEDDED_CS, cs=True)} END",
+    "batch": f"CASE WHEN {_BATCH_HINT} AND NOT {has(v.INSTRUCTION)} THEN coalesce("
              + ", ".join(f"CASE WHEN {_batch_fits(b)} THEN {b} END" for b in _BATCH_VALUES) + ") END",
-    "batch_label": f"(coalesce({', '.join(_BATCH_VALUES)}) IS NOT NULL AND NOT {has(v.INSTRUCTION)})",
+    "batch_label": f"({_BATCH_HINT} AND coalesce({', '.join(_BATCH_VALUES)}) IS NOT NULL AND NOT {has(v.INSTRUCTION)})",
     "code": (
         f"CASE WHEN {has(v.BATCH_SHAPE_CS, _T, True)} AND NOT {has('lic|fssai|pin', _T)} AND NOT {has(v.BATCH_QTY, _T)}"
         f" AND NOT {has(v.BATCH_DATE_CS, _T, True)} AND NOT {has(v.BATCH_NUTRITION, _T)}"
         f" AND NOT {_REJECTED(_T)} AND {_batch_fits(_T)} THEN {_T} END"),
-    "care": has(any_of(v.CARE_WORDS)),
+    "care": mentions(v.CARE_WORDS, "lowered"),
     "care_email": f"CASE WHEN {in_list(f'lower(substring_index({_EMAIL}, {chr(39)}@{chr(39)}, 1))', v.CARE_LOCAL_PARTS)}"
                   f" OR {has(any_of(v.CARE_DOMAIN_WORDS), f'substring_index({_EMAIL}, {chr(39)}@{chr(39)}, -1)')} THEN {_EMAIL} END",
     "origin": "coalesce(" + ", ".join(f"CASE WHEN {has(any_of(v.ORIGIN_COUNTRIES), o)} THEN {o} END" for o in _ORIGINS) + ")",
@@ -133,18 +137,24 @@ def _of_line(expr: str, line: str, names: list[str]) -> str:
     return "".join(p if n % 2 else column.sub(line + r".\1", p) for n, p in enumerate(parts))
 
 
-def by_surface(lines: DataFrame, flags: list[str], carry: list[str] | None = None) -> DataFrame:
+def by_surface(lines: DataFrame, flags: list[str], surfaces: DataFrame | None = None) -> DataFrame:
     """One row per photo: its lines in reading order, each with the named flags.
 
-    ``carry`` names surface-level columns to keep beside the lines. Only the raw
-    lines are moved; flags are taken where the photo already is one row.
+    ``surfaces`` adds the columns known per photo (and photos without any line):
+    both kinds of rows travel in one exchange by package and meet in one
+    grouping, so there is no join. Only raw lines are moved; flags are taken
+    where the photo already is one row.
     """
-    carry = carry or []
+    keys = ["package_id", "surface_idx", "surface_name"]
     raw = ["line_no", *_BASE]
+    extra = [c for c in surfaces.columns if c not in keys] if surfaces is not None else []
+    rows = lines.select(*keys, F.struct(*raw).alias("line"))
+    if surfaces is not None:
+        rows = rows.unionByName(surfaces.select(*keys, *extra), allowMissingColumns=True)
     photos = (
-        spread(lines, "package_id").groupBy("package_id", "surface_idx", "surface_name", *carry)
-        .agg(F.array_sort(F.collect_list(F.struct(*raw))).alias("lines")))
-    values = [n for n in LINE_VALUES]
+        spread(rows, "package_id").groupBy(*keys)
+        .agg(F.array_sort(F.collect_list("line")).alias("lines"), *[F.max(c).alias(c) for c in extra]))
+    values = list(LINE_VALUES)
     first = ", ".join(f"'{n}', x.{n}" for n in raw) + ", 'pos', i, " + ", ".join(
         f"'{n}', {_of_line(LINE_VALUES[n], 'x', _BASE)}" for n in values)
     known = ["pos", *raw, *values]
@@ -274,12 +284,13 @@ def _origin() -> list[str]:
 
 _STRIPPED = "l.stripped"
 _NAMES = _each("l.name_score IS NOT NULL", _found(["1", "0", "0", "-l.name_score", "l.pos"], _STRIPPED, "MEDIUM", .75, "l", reason="most prominent text"))
+_UNMARKED = no_trademark("l.text")
 _MARKED_BRANDS = [
     _each("l.brand_label AND length(l.brand_value) BETWEEN 2 AND 40",
           _found(["1", "l.pos"], "l.brand_value", "HIGH", .92, "l", reason="brand label")),
     # the value stands on the line after a bare label
-    _near("a.brand_label AND a.brand_value = ''", "slice(lines, a.pos + 2, 1)", "length(l.unmarked) BETWEEN 2 AND 40",
-          _found(["1", "a.pos"], "l.unmarked", "HIGH", .90, "l", seen=_BOTH, conf=_WEAKER,
+    _near("a.brand_label AND a.brand_value = ''", "slice(lines, a.pos + 2, 1)", f"length({_UNMARKED}) BETWEEN 2 AND 40",
+          _found(["1", "a.pos"], _UNMARKED, "HIGH", .90, "l", seen=_BOTH, conf=_WEAKER,
                  box="(CASE WHEN l.y_min IS NULL THEN a ELSE l END)", reason="line after the brand label")),
     _each("l.marked IS NOT NULL", _found(["2", "l.pos"], "l.marked", "HIGH", .88, "l", reason="trademark sign")),
 ]
@@ -287,7 +298,7 @@ _LARGE_BRANDS = _each("l.brand_score IS NOT NULL", _found(["3", "0", "0", "-l.br
 
 _DATE_FLAGS = lambda f: [f"{f}_label", f"{f}_other", "date", "address_word", *([] if f == "best_before" else ["dated_batch", "date_inside"])]
 _ENTITY_FLAGS = lambda k: [f"{k}_kw", f"{k}_first", f"{k}_any", "company", "name_skip", "continues"]
-_BRAND_FLAGS = ["name_score", "brand_label", "brand_value", "unmarked", "marked", "brand_score"]
+_BRAND_FLAGS = ["name_score", "brand_label", "brand_value", "marked", "brand_score"]
 # declaration -> flags it reads, candidate lists
 PLANS: dict[str, tuple[list[str], list[str]]] = {
     "mrp": (["mrp_kw", "price", "price_ok", "rs", "price_skip", "tax", "odd"], _mrp()),
@@ -308,28 +319,29 @@ def flags_for(fields: list[str]) -> list[str]:
     return list(dict.fromkeys(f for name in fields for f in PLANS[name][0]))
 
 
-def extract_from(surfaces: DataFrame, fields: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Declarations of photos already brought to rows by :func:`by_surface`."""
-    fields, keep = fields or v.FIELDS, keep or []
-    first = surfaces
+def field_structs(surfaces: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Photos with one more column, ``fields``: the array of their declarations."""
+    fields = fields or v.FIELDS
+    keep = surfaces.columns
+    best = {"product_name": "_name", "brand": "_brand"}
     if {"product_name", "brand"} & set(fields):
-        first = (
-            first.withColumn("_marked", F.expr(f"array_min(concat({', '.join(_MARKED_BRANDS)}))"))
+        surfaces = (
+            surfaces.withColumn("_marked", F.expr(f"array_min(concat({', '.join(_MARKED_BRANDS)}))"))
             .withColumn("_name", F.expr(f"array_min(filter({_NAMES}, c -> c.line_idx <> coalesce(_marked.line_idx, -1)))"))
             .withColumn("_brand", F.expr(f"coalesce(_marked, array_min(filter({_LARGE_BRANDS}, c -> c.line_idx <> coalesce(_name.line_idx, -1))))")))
-    best = {"product_name": "_name", "brand": "_brand"}
-    first = first.select(
-        "package_id", "surface_idx", "surface_name", *keep,
-        *[F.expr(best.get(f) or f"array_min(concat({', '.join(PLANS[f][1])}))").alias(f) for f in fields])
-    rows = []
-    for f in fields:
-        absent = {"value": "NULL", "ocr_text": "''", "ocr_conf": "0.0D", "ext_conf": "0.0D", "level": "'MISSING'",
-                  "reason": "'not found'", "line_idx": "-1"}
-        cells = [f"'field', '{f}'"]
-        for c in FIELD_COLUMNS[1:]:
-            cells.append(f"'{c}', " + (f"coalesce({f}.{c}, {absent[c]})" if absent.get(c, "NULL") != "NULL" else f"{f}.{c}"))
-        rows.append(f"named_struct({', '.join(cells)})")
-    return first.selectExpr("package_id", "surface_idx", "surface_name", *keep, f"inline(array({', '.join(rows)}))")
+    found = surfaces.select(*keep, *[
+        F.expr(best.get(f) or f"array_min(concat({', '.join(PLANS[f][1])}))").alias(f"_{f}_found") for f in fields])
+    absent = {"ocr_text": "''", "ocr_conf": "0.0D", "ext_conf": "0.0D", "level": "'MISSING'",
+              "reason": "'not found'", "line_idx": "-1"}
+    rows = [f"named_struct('field', '{f}', " + ", ".join(
+        f"'{c}', " + (f"coalesce(_{f}_found.{c}, {absent[c]})" if c in absent else f"_{f}_found.{c}")
+        for c in FIELD_COLUMNS[1:]) + ")" for f in fields]
+    return found.select(*keep, F.expr(f"array({', '.join(rows)})").alias("fields"))
+
+
+def extract_from(surfaces: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Long table of the declarations of photos already brought to rows."""
+    return field_structs(surfaces, fields).selectExpr("package_id", "surface_idx", "surface_name", "inline(fields)")
 
 
 def extract(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -388,7 +400,7 @@ def neighbour_lines(lines: DataFrame, before: int, after: int) -> DataFrame:
 
 
 def looks_like_company(col: str):
-    return F.expr(_COMPANY(col))
+    return F.expr(_NAMED(col))
 
 
 def complete_fields(fields: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 """SQL checks by query key."""
 
 from pkgscreen.oracle import fields  # noqa: F401
+from pkgscreen.oracle import evidence  # noqa: F401
+from pkgscreen.oracle import repository  # noqa: F401
 from pkgscreen.oracle.base import CHECKS  # noqa: F401
