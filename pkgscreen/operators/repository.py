@@ -71,10 +71,9 @@ def stats_totals(inspections: DataFrame) -> DataFrame:
 
 def stats_groups(inspections: DataFrame) -> DataFrame:
     """Counts by decision, category and review state, in one pass over the rows."""
-    labels = F.array(
-        F.struct(F.lit("decision").alias("grouping"), F.col("decision").alias("name")),
-        F.struct(F.lit("category"), F.coalesce("product_category", F.lit("unknown"))),
-        F.struct(F.lit("inspector_status"), F.coalesce("inspector_status", F.lit("PENDING"))))
+    groups = (("decision", F.col("decision")), ("category", F.coalesce("product_category", F.lit("unknown"))),
+              ("inspector_status", F.coalesce("inspector_status", F.lit("PENDING"))))
+    labels = F.array(*[F.struct(F.lit(g).alias("grouping"), n.alias("name")) for g, n in groups])
     return inspections.select(F.inline(labels)).groupBy("grouping", "name").agg(F.count("*").alias("inspections"))
 
 

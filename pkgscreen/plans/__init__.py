@@ -3,4 +3,5 @@
 from pkgscreen.plans import extraction  # noqa: F401
 from pkgscreen.plans import evidence  # noqa: F401
 from pkgscreen.plans import repository  # noqa: F401
+from pkgscreen.plans import retrieval  # noqa: F401
 from pkgscreen.plans.registry import QUERIES  # noqa: F401
