@@ -44,7 +44,7 @@ def bm25(queries: DataFrame, postings: DataFrame) -> DataFrame:
     weighted = frequency.withColumn("idf", F.when(weight < 0, floor).otherwise(weight)).join(asked, "term")
     part = (F.col("times") * F.col("idf") * F.col("tf") * (v.BM25_K1 + 1)
             / (F.col("tf") + v.BM25_K1 * (1 - v.BM25_B + v.BM25_B * F.col("length") / avg_length)))
-    return (postings.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")))
+    return (postings.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score")))
 
 
 def bm25_topk(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:

@@ -172,7 +172,7 @@ check("field_association", f"SELECT package_id, field, value, surface_name AS so
 check("unclaimed_evidence", f"""SELECT package_id, surface_idx, text, kind, value FROM [[cand]] c WHERE claimed IS NULL
   AND NOT EXISTS (SELECT 1 FROM [[{_last}]] d WHERE d.package_id = c.package_id AND d.surface_idx = c.surface_idx AND d.pos = c.pos)""")
 cte("fin0", f"""SELECT m.package_id, m.field, coalesce(m.value, a.value) AS value, coalesce(a.text, m.ocr_text) AS ocr_text, coalesce(a.confidence, m.ocr_conf) AS ocr_conf,
-  coalesce(least(a.confidence, 0.65), m.ext_conf) AS ext_conf, CASE WHEN a.field IS NOT NULL THEN 'LOW' ELSE m.level END AS level,
+  CASE WHEN a.field IS NOT NULL THEN least(a.confidence, 0.65::DOUBLE) ELSE m.ext_conf END AS ext_conf, CASE WHEN a.field IS NOT NULL THEN 'LOW' ELSE m.level END AS level,
   coalesce(a.x_min, m.x_min) AS x_min, coalesce(a.y_min, m.y_min) AS y_min, coalesce(a.x_max, m.x_max) AS x_max, coalesce(a.y_max, m.y_max) AS y_max,
   coalesce(a.surface_idx, m.source_idx) AS source_idx, coalesce(a.surface_name, m.source_name) AS source_name
 FROM [[merged]] m LEFT JOIN [[{_last}]] a USING (package_id, field)""")

@@ -53,7 +53,7 @@ cte("qt", f"SELECT query_id, unnest(regexp_extract_all(lower(query), '{v.WORD_TO
 cte("cstat", "SELECT count(*) AS n, avg(length) AS al FROM (SELECT DISTINCT chunk_id, length FROM [[post]])")
 cte("dfreq", "SELECT term, ln((SELECT n FROM [[cstat]]) - count(*) + 0.5) - ln(count(*) + 0.5) AS w FROM [[post]] GROUP BY term")
 cte("idf", "SELECT term, CASE WHEN w < 0 THEN 0.25 * (SELECT avg(w) FROM [[dfreq]]) ELSE w END AS idf FROM [[dfreq]]")
-cte("kw", """SELECT query_id, chunk_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (SELECT al FROM [[cstat]])))) AS score
+cte("kw", """SELECT query_id, chunk_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (SELECT al FROM [[cstat]])))), 9) AS score
 FROM [[qt]] JOIN [[post]] USING (term) JOIN [[idf]] USING (term) GROUP BY ALL""")
 
 
