@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     expressions, not by size.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        spark.sparkContext.addPyFile(shutil.make_archive(tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/pkgscreen", "zip", root.parent, root.name))
+        _SHIPPED.add(app)
