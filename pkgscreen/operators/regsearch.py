@@ -72,9 +72,10 @@ def name_files(files: DataFrame) -> DataFrame:
 
 
 def ngram_buckets(col: str) -> str:
+    """Hash buckets of the character triples; characters are split once, so long texts stay linear."""
     text = one_spaced(f"lower({col})")
-    gram = f"substring(n, i, {v.NGRAM})"
-    return (f"element_at(transform(array({text}), n -> IF(n = '', array(), transform(sequence(1, greatest(1, length(n) - {v.NGRAM} + 1)),"
+    gram = f"array_join(slice(c, i, {v.NGRAM}), '')"
+    return (f"element_at(transform(array(regexp_extract_all({text}, '(?s).', 0)), c -> IF(size(c) = 0, array(), transform(sequence(1, greatest(1, size(c) - {v.NGRAM} + 1)),"
             f" i -> CAST(conv(substring(md5({gram}), 1, 8), 16, 10) AS BIGINT) % {v.VECTOR_DIM}))), 1)")
 
 

@@ -100,7 +100,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, modality: str |
         left = stored.withColumn("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells)))
         left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        right = right.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("long"))
+        right = right.withColumn("cell", F.explode(F.expr(f"sequence(0L, {cells - 1}L)")))
 
         def cell(a, b):
             if a.empty or b.empty:
