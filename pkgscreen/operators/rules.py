@@ -232,7 +232,7 @@ def confidence(ctx: DataFrame, findings: DataFrame, t: Thresholds = DEFAULT) ->
     parts = ctx.select("package_id", F.expr(clamp("ocr")).alias("ocr"), F.expr(
         f"coalesce(try_divide(aggregate({found}, 0.0D, (a, f) -> a + {clamp('f.ext_conf')}), size({found})), 0.0D)").alias("extraction"), F.expr(clamp("score / 100")).alias("image_quality"))
     joined = parts.join(share, "package_id", "left").fillna(0.5, ["rule_applicability"])
-    return joined.withColumn("overall", F.expr(clamp("0.4D * ocr + 0.3D * extraction + 0.2D * image_quality + 0.1D * rule_applicability")))
+    return joined.withColumn("overall", F.expr("round(" + clamp("0.4D * ocr + 0.3D * extraction + 0.2D * image_quality + 0.1D * rule_applicability") + ", 9)"))
 
 
 def guard(decisions: DataFrame, confidences: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

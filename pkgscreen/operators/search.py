@@ -58,7 +58,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def _best(ids: np.ndarray, q_ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
     """The best k vectors of a block for every query, ties by smaller id."""
-    out = []
+    out, scores = [], np.round(scores, 9)  # equal vectors tie whatever the order of summation
     for q in range(scores.shape[0]):
         row = scores[q]
         take = np.arange(len(ids))

@@ -133,7 +133,7 @@ cte("conf0", confidence("[[sf]]", "c.ocr", "c.score / 100"))
 _all = "greatest(0, least(1, 0.4::DOUBLE * ocr + 0.3::DOUBLE * extraction + 0.2::DOUBLE * image_quality + 0.1::DOUBLE * rule_applicability))"
 cte("conf", f"SELECT *, {_all} AS overall FROM [[conf0]]")
 check("confidence_components", "SELECT package_id, round(ocr, 6) AS ocr, round(extraction, 6) AS extraction, round(image_quality, 6) AS image_quality, round(rule_applicability, 6) AS rule_applicability FROM [[conf]]")
-check("confidence_overall", "SELECT package_id, round(overall, 6) AS overall FROM [[conf]]")
+check("confidence_overall", "SELECT package_id, CAST(round(CAST(overall AS DECIMAL(18, 9)), 6) AS DOUBLE) AS overall FROM [[conf]]")
 check("confidence_fields", "SELECT package_id, field, CASE WHEN value IS NULL THEN 0.0::DOUBLE ELSE round(greatest(0, least(1, ocr_conf, ext_conf)), 6) END AS confidence FROM [[fv]]")
 cte("dec", fuse("[[sf]]"))
 _weak = "round(overall, 9) < 0.70 AND decision IN ('COMPLIANT', 'NON_COMPLIANT')"
@@ -194,7 +194,7 @@ check("review_actions", "SELECT * FROM [[acts]]")
 check("inspection_rows", """SELECT package_id, count(*) FILTER (status = 'PASS') AS num_rules_pass, count(*) FILTER (status = 'FAIL') AS num_rules_fail, count(*) FILTER (status = 'MANUAL_REVIEW') AS num_rules_review,
   coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'FAIL'), '') AS violation_rule_ids FROM [[sf]] GROUP BY 1""")
 check("inspect_packages", f"""SELECT r.package_id, r.route, r.surfaces_total, r.surfaces_usable, y.cylindrical_package, w.product_name, w.brand, w.manufacturer, coalesce(g.decision, 'MANUAL_REVIEW') AS decision,
-  g.downgraded_from, round(coalesce(g.overall, 0), 6) AS confidence, s.score, CASE WHEN s.package_id IS NOT NULL THEN {_grade.replace(' AS grade', '')} END AS grade, k.product_category, g.failed_rules AS violation_rule_ids, coalesce(a.n, 0) AS num_review_actions
+  g.downgraded_from, CAST(round(CAST(coalesce(g.overall, 0) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS confidence, s.score, CASE WHEN s.package_id IS NOT NULL THEN {_grade.replace(' AS grade', '')} END AS grade, k.product_category, g.failed_rules AS violation_rule_ids, coalesce(a.n, 0) AS num_review_actions
 FROM [[route]] r JOIN [[cyl]] y USING (package_id) LEFT JOIN [[w]] w USING (package_id) LEFT JOIN [[guarded]] g USING (package_id) LEFT JOIN [[score]] s USING (package_id)
 LEFT JOIN [[cat]] k USING (package_id) LEFT JOIN (SELECT package_id, count(*) AS n FROM [[acts]] GROUP BY 1) a USING (package_id)""")
 cte("w4", "SELECT * REPLACE (false AS blocks) FROM [[w3]]")
@@ -202,5 +202,5 @@ statutory("[[w4]]", "ef")
 cte("econf0", confidence("[[ef]]", "0.0", "0.0"))
 cte("edec", fuse("[[ef]]"))
 cte("esc", scored("[[ef]]"))
-check("evaluate_fields", f"""SELECT package_id, CASE WHEN {_weak} THEN 'MANUAL_REVIEW' ELSE decision END AS decision, CASE WHEN {_weak} THEN decision END AS downgraded_from, round(overall, 6) AS overall, score
+check("evaluate_fields", f"""SELECT package_id, CASE WHEN {_weak} THEN 'MANUAL_REVIEW' ELSE decision END AS decision, CASE WHEN {_weak} THEN decision END AS downgraded_from, CAST(round(CAST(overall AS DECIMAL(18, 9)), 6) AS DOUBLE) AS overall, score
 FROM [[edec]] JOIN (SELECT *, {_all} AS overall FROM [[econf0]]) USING (package_id) JOIN (SELECT package_id, {_ratio} AS score FROM [[esc]] GROUP BY 1) USING (package_id)""")

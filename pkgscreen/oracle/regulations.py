@@ -47,7 +47,7 @@ grams("rqv", "[[rq]]", "query_id", "query")
 grams("rd", "documents", "doc_id", "text")
 check("ngram_vectors", "SELECT id AS chunk_id, CAST(bucket AS INT) AS bucket, round(w, 6) AS weight FROM [[rc_v]]")
 check("ngram_cosine", """SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank
-FROM (SELECT q.id AS query_id, d.id AS chunk_id, sum(q.w * d.w) AS score FROM [[rqv_v]] q JOIN [[rd_v]] d USING (bucket) GROUP BY ALL) QUALIFY rank <= 5""")
+FROM (SELECT q.id AS query_id, d.id AS chunk_id, round(sum(q.w * d.w), 9) AS score FROM [[rqv_v]] q JOIN [[rd_v]] d USING (bucket) GROUP BY ALL) QUALIFY rank <= 5""")
 cte("rcos", "SELECT q.id AS query_id, d.id AS chunk_id, sum(q.w * d.w) AS cos FROM [[rqv_v]] q JOIN [[rc_v]] d USING (bucket) GROUP BY ALL")
 for _key, _where in (("reg_search", "true"), ("reg_search_filtered", "source_type = 'document' AND contains(lower(rule_reference), 'rule 1')")):
     _more = ", round(kw, 4) AS keyword_score, round(cos, 4) AS vector_score" if _key == "reg_search" else ""

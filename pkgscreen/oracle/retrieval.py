@@ -63,7 +63,7 @@ def topn(src: str, k: int, by: str = "score") -> str:
 
 cte("kwtop", topn("[[kw]]", 20))
 check("bm25_topk", "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM [[kwtop]]", True)
-cte("dots", """SELECT q.query_id, x.chunk_id, x.chunk_type, list_inner_product(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score
+cte("dots", """SELECT q.query_id, x.chunk_id, x.chunk_type, round(list_inner_product(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 9) AS score
 FROM [[query_vectors]] q CROSS JOIN [[vectors]] x""")
 for _key, _where in (("vector_topk", ""), ("vector_topk_modality", " WHERE chunk_type = 'image'")):
     check(_key, f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({topn(f'(SELECT * FROM [[dots]]{_where})', 10)})")
