@@ -32,14 +32,28 @@ DEFAULT = Thresholds()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for tables written between jobs: the one the cluster names, else a local one."""
+    """The shared folder for tables written between jobs, as ``spark.checkpoint.dir`` names it.
+
+    Only a local master may go without the setting: there driver and executors are
+    one process, so a fresh local folder is shared. Elsewhere its absence is an
+    error, since parts written to executors' own disks would be lost on reading.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a table written to the shared folder; whatever store the path names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than it must."""
     return df.limit(max_rows + 1).count() <= max_rows
