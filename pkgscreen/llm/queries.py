@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgscreen.llm import importance, line_dedup, quality_rules
+from pkgscreen.llm import importance, line_dedup, near_dedup, quality_rules
 from pkgscreen.llm.base import registry, table, written
 
 QUERIES, query = registry()
@@ -39,6 +39,11 @@ FROM j GROUP BY doc_id
 """
 
 
+@query("op6_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
