@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgscreen.llm import importance, line_dedup, near_dedup, quality_rules
+from pkgscreen.llm import importance, line_dedup, near_dedup, packing, quality_rules
 from pkgscreen.llm.base import registry, table, written
 
 QUERIES, query = registry()
@@ -17,6 +17,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.evaluate(table(spark, sf_dir, "documents"))
 
 
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.tokenize(table(spark, sf_dir, "documents")))
+
+
 @query("op4_line_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
