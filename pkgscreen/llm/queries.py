@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgscreen.llm import importance, line_dedup, near_dedup, packing, quality_rules
+from pkgscreen.llm import importance, line_dedup, near_dedup, packing, quality_rules, sitetree, warc
 from pkgscreen.llm.base import registry, table, written
 
 QUERIES, query = registry()
 CHECKS: dict[str, str] = {}
 
 
+@query("op1_warc_index_merge")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range", "place")
+
+
 @query("op2_quality_rules")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.evaluate(table(spark, sf_dir, "documents"))
@@ -49,6 +55,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op8_site_style_tree")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sitetree.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
