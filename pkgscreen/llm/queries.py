@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgscreen.llm import importance, line_dedup, near_dedup, packing, quality_rules, sitetree, warc
+from pkgscreen.llm import importance, line_dedup, near_dedup, neighbours, packing, pieces, quality_rules, sitetree, tokencount, warc
 from pkgscreen.llm.base import registry, table, written
 
 QUERIES, query = registry()
@@ -50,11 +50,23 @@ FROM j GROUP BY doc_id
 """
 
 
+@query("op5_learned_partitions")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 @query("op6_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op7_edit_aware_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_edited(tokencount.with_sample_edits(docs))
+
+
 @query("op8_site_style_tree")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sitetree.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -67,3 +79,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = importance.fit(docs, table(spark, sf_dir, "labels"))
     scored = importance.score(docs, model, "doc_id").withColumn("kept", importance.accepted(model))
     return importance.resample(written(scored, "weights"))
+
+
+@query("op10_suffix_array_pieces")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pieces.decode(pieces.encode(docs))
+    return done.select("doc_id", "n_pieces", "ids_crc32", F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"))
