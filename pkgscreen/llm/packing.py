@@ -41,7 +41,10 @@ from pkgscreen.llm.base import written
 SIZE = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_PARTS = 400_000, 800_000
+# the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SIGN = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
 
 
 class _Words(dict):
@@ -75,8 +78,9 @@ class _Words(dict):
     def part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = self.encode(part)
-            if len(self.parts) < CACHE_WORDS:
+            signs = part if part.isascii() else "".join(_SIGN[b] for b in part.encode())
+            ids = np.array([t.id for t in self.whole.model.tokenize(signs)], "<u4").tobytes()
+            if len(self.parts) < CACHE_PARTS:
                 self.parts[part] = ids
         return ids
 
@@ -209,7 +213,8 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
     spark = pieces.sparkSession
-    rows = written(ranked(pieces), "ranked")
+    # written first: range partitioning reads its input twice, once for the borders
+    rows = written(ranked(written(pieces, "pieces")), "ranked")
     ranges = rows.groupBy("length", "_range").count().toPandas().sort_values(["length", "_range"])  # each range holds few lengths: ranges + size rows
     ranges["first"] = ranges.groupby("length")["count"].cumsum() - ranges["count"]
     counts = {int(k): int(v) for k, v in ranges.groupby("length")["count"].sum().items()}
