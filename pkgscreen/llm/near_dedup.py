@@ -6,8 +6,8 @@ forest: ``TREES`` orders of the signatures, each by ``DEPTH`` of their values. I
 each order the classes that share a prefix of ``LEAST`` values form a region;
 regions of more than ``DENSE`` classes are split at a longer prefix, up to the
 whole label (adaptive depth). (3) Within a region a search over signatures
-finds which classes are near by estimate and emits the links of a spanning
-forest, never all pairs; their components are provisional groups, a superset of
+finds which classes are near by estimate and emits one link for each to the first
+of its component, never all pairs; their components are provisional groups, a superset of
 the true ones. (4) Groups are confirmed on full sets: every pair of a group
 whose ends are not yet linked is settled by exact intersections, in blocks of
 bounded size. Large groups are blocked: each block alone, then against the hubs
@@ -43,7 +43,7 @@ SIMILAR = 85
 TREES, DEPTH, LEAST = 16, 8, 4
 DENSE = 4096
 NEAR = 0.68  # least share of equal signature values for a provisional link: 0.85 less five deviations
-BLOCK_DOCS, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 2_000_000
 N = TREES * DEPTH
 _A = th.mix(np.arange(1, N + 1, dtype=np.uint64)) | np.uint64(1)
 _B = th.mix(np.arange(N + 1, 2 * N + 1, dtype=np.uint64))
@@ -126,15 +126,15 @@ def regions(classes: DataFrame) -> DataFrame:
 
 
 def _near_forest(sig: np.ndarray, need: int) -> tuple[list[int], list[int]]:
-    """Links of a spanning forest of the graph "at least ``need`` equal values", by search from class to class."""
+    """Components of the graph "at least ``need`` equal values" as links to their first class, by search from class to class."""
     left, a, b = np.arange(len(sig)), [], []
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        root, queue, left = int(left[0]), [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
             near = (sig[left] == sig[at]).sum(1) >= need
             got = left[near]
-            a += [int(at)] * len(got)
+            a += [root] * len(got)
             b += got.tolist()
             queue += got.tolist()
             left = left[~near]
@@ -185,7 +185,7 @@ def provisional_links(classes: DataFrame) -> DataFrame:
     found = written(regions(classes), "regions")
     short = classes.select("_nd_id", "sig").mapInArrow(_bytes_of, "of long, sig binary")
     rows = found.join(short, F.col("cls") == F.col("of")).select("region", "cls", "sig")
-    return rows.repartition("region").sortWithinPartitions("region", "cls").mapInArrow(_links, "a long, b long").distinct()
+    return rows.repartition("region").sortWithinPartitions("region", "cls").mapInArrow(_links, "a long, b long")
 
 
 def _setter(k: int):
