@@ -79,7 +79,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
 def joined(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped``, ``keep`` and ``kept_text``; a document without a bitmap stays as it is."""
     left = _identified(docs).withColumn("_ld_lines", whole_text())
-    both = left.join(bitmaps.withColumnsRenamed({"_ld_id": "_ld_b1", "_ld_text": "_ld_b2"}),
+    # merged at every size: a bitmap is as long as its document, so their number bounds no broadcast
+    both = left.join(bitmaps.withColumnsRenamed({"_ld_id": "_ld_b1", "_ld_text": "_ld_b2"}).hint("merge"),
                      (F.col("_ld_id") == F.col("_ld_b1")) & (F.col("_ld_text") == F.col("_ld_b2")), "left")
     kept = F.expr("array_join(filter(split(_ld_lines, '\\n', -1), (x, i) -> coalesce(get(keep, CAST(i DIV 64 AS INT)), -1L) & shiftleft(1L, i % 64) != 0), '\\n')")
     return both.select(*docs.columns, F.size(_lines(F.col("_ld_lines"))).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
