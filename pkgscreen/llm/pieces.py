@@ -30,8 +30,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-CACHE_SEGMENTS = 500_000
-BATCH_CHARS = 1_000_000
+CACHE_SEGMENTS = 250_000
+SLICE_CHARS = 4_000_000  # of whole texts cut into segments at once
+BATCH_CHARS = 400_000  # of distinct segments indexed at once
 LONG = 128
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NONE = np.int64(1) << 40
@@ -92,16 +93,28 @@ class Vocabulary:
         return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self.segments(t or "") for t in texts]
+        out: list[bytes] = []
+        group, size = [], 0
+        for t in texts:
+            group.append(t or "")
+            size += len(group[-1])
+            if size >= SLICE_CHARS:
+                out += self._encode_slice(group)
+                group, size = [], 0
+        return out + self._encode_slice(group)
+
+    def _encode_slice(self, texts: list[str]) -> list[bytes]:
+        parts = [self.segments(t) for t in texts]
         new = list(dict.fromkeys(s for p in parts for s in p if s not in self.cache))
         learnt = self.learn(new)
+        find, known = learnt.get, self.cache.get
+        out = [b"".join([known(s) or find(s) for s in p]) for p in parts]
         for s, ids in learnt.items():
             if len(self.cache) >= CACHE_SEGMENTS:
                 break
             if len(s) < LONG:
                 self.cache[s] = ids
-        find = learnt.get
-        return [b"".join([self.cache.get(s) or find(s) for s in p]) for p in parts]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Pieces joined, byte pieces as UTF-8, marks as spaces without the one that encoding puts first."""
