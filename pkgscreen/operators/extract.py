@@ -341,7 +341,8 @@ def field_structs(surfaces: DataFrame, fields: list[str] | None = None) -> DataF
 
 def extract_from(surfaces: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Long table of the declarations of photos already brought to rows."""
-    return field_structs(surfaces, fields).selectExpr("package_id", "surface_idx", "surface_name", "inline(fields)")
+    # the array is never empty; inline would have its size inferred as a filter and all candidates evaluated again in it
+    return field_structs(surfaces, fields).selectExpr("package_id", "surface_idx", "surface_name", "inline_outer(fields)")
 
 
 def extract(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:

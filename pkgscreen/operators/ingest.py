@@ -113,7 +113,8 @@ def build_postings(chunks: DataFrame, expr: str | None = None) -> DataFrame:
     before the exchange and only (chunk, term, count) rows move.
     """
     counted = chunks.where("chunk_id IS NOT NULL AND content <> ''").select("chunk_id", F.expr(expr or words("content")).alias("w"))
-    return (counted.select("chunk_id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    # explode_outer: explode would have the words cut a second time in an inferred filter
+    return (counted.select("chunk_id", F.size("w").alias("length"), F.explode_outer("w").alias("term")).where("term IS NOT NULL")
             .groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")))
 
 

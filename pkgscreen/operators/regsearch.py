@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pkgscreen import vocab as v
-from pkgscreen.config import fits
 from pkgscreen.functions.text import one_spaced, reg_tokens, sq, strip
 from pkgscreen.operators import ingest, search as sr
 
@@ -122,15 +121,26 @@ def bm25_reg(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def search_reg(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.0, vectorizer=None,
                category=None, source_type=None, rule_reference=None) -> DataFrame:
-    """Keyword and character score together, best ``k`` clauses of every query.
+    """Keyword and character score together, best ``k`` clauses of every query, for any number of queries.
+
+    Queries are dealt by their hash into blocks of about QUERY_BLOCK, each searched by ``_search_block``.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    found = [_search_block(q, chunks, k, min_score, vectorizer, category, source_type, rule_reference) for q in parts]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def _search_block(queries: DataFrame, chunks: DataFrame, k: int, min_score: float, vectorizer, category, source_type, rule_reference) -> DataFrame:
+    """``search_reg`` of one block of queries.
 
     Filters choose the candidates; keyword scores are relative to the best of
-    them. The queries (checked to fit one block) travel with the tasks: a batch
-    of clauses is one matrix product, keyword scores are added to it, and only
-    ``k`` rows per query and batch leave the task.
+    them. The queries travel with the tasks: a batch of clauses is one matrix
+    product, keyword scores are added to it, and only ``k`` rows per query and batch leave the task.
     """
-    if not fits(queries, QUERY_BLOCK):
-        raise ValueError(f"hand in at most {QUERY_BLOCK} queries at a time")
     kw = bm25_reg(queries, chunks)
     if category:
         chunks = chunks.where(F.col("category") == category)
@@ -141,7 +151,7 @@ def search_reg(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: flo
     kw = kw.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     best = kw.groupBy("query_id").agg(F.max("score").alias("best"))
     per_chunk = (kw.join(best, "query_id").groupBy("chunk_id").agg(F.collect_list(F.struct("query_id", (F.col("score") / F.col("best")).alias("kw"))).alias("hits")))
-    asked = ngram_vectors(queries.where("query <> ''").select("query_id", "query"), "query", vectorizer).select("query_id", "vector").limit(QUERY_BLOCK).toPandas()
+    asked = ngram_vectors(queries.where("query <> ''").select("query_id", "query"), "query", vectorizer).select("query_id", "vector").toPandas()
     q_ids = asked["query_id"].to_numpy()
     at = {q: i for i, q in enumerate(q_ids)}
     matrix = np.stack(asked["vector"]) if len(asked) else np.zeros((0, v.VECTOR_DIM))
