@@ -25,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 CACHE_SEGMENTS = 250_000
-SLICE_CHARS = 4_000_000  # of whole texts cut into segments at once
+SLICE_CHARS = 2_000_000  # of whole texts cut into segments at once
 BATCH_CHARS = 400_000  # of distinct segments indexed at once
 LONG = 128
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -93,17 +94,6 @@ class Vocabulary:
         return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        group, size = [], 0
-        for t in texts:
-            group.append(t or "")
-            size += len(group[-1])
-            if size >= SLICE_CHARS:
-                out += self._encode_slice(group)
-                group, size = [], 0
-        return out + self._encode_slice(group)
-
-    def _encode_slice(self, texts: list[str]) -> list[bytes]:
         parts = [self.segments(t) for t in texts]
         new = list(dict.fromkeys(s for p in parts for s in p if s not in self.cache))
         learnt = self.learn(new)
@@ -283,12 +273,24 @@ def vocabulary(name: str = VOCABULARY) -> Vocabulary:
     return _LOADED[name]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about SLICE_CHARS characters of text, whole texts each."""
+    length = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_CHARS, "right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _encoder(columns: tuple[str, ...], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(name)
         for batch in batches:
-            ids = vocab.encode_all(batch.column(batch.schema.get_field_index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(ids, pa.binary())], [*columns, "piece_ids"])
+            for part in _slices(batch):
+                ids = vocab.encode_all(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*map(part.column, columns), pa.array(ids, pa.binary())], [*columns, "piece_ids"])
 
     return run
 
@@ -299,22 +301,44 @@ def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     return docs.select(*columns).mapInArrow(_encoder(columns, name), StructType([*docs.select(*columns).schema.fields, StructField("piece_ids", BinaryType())]))
 
 
+DECODED = ("n_pieces", "ids_crc32", "decoded")
+
+
+def _decoded(vocab: Vocabulary, ids: list[bytes | None]) -> list[pa.Array]:
+    texts = [vocab.decode(np.frombuffer(x or b"", "<u4")) for x in ids]
+    return [pa.array([len(x or b"") // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x or b"") for x in ids], pa.int64()), pa.array(texts, pa.string())]
+
+
 def _decoder(columns: tuple[str, ...], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(name)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("piece_ids")).to_pylist()
-            texts = [vocab.decode(np.frombuffer(x or b"", "<u4")) for x in ids]
-            crc = [zlib.crc32(x or b"") for x in ids]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array([len(x or b"") // 4 for x in ids], pa.int64()),
-                                              pa.array(crc, pa.int64()), pa.array(texts, pa.string())], [*columns, "n_pieces", "ids_crc32", "decoded"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), *_decoded(vocab, batch.column("piece_ids").to_pylist())], [*columns, *DECODED])
 
     return run
 
 
 def decode(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """``encoded`` without ``piece_ids``, with n_pieces, ids_crc32 and the ``decoded`` text."""
-    columns = tuple(c for c in encoded.columns if c not in ("piece_ids", "n_pieces", "ids_crc32", "decoded"))
+    columns = tuple(c for c in encoded.columns if c not in ("piece_ids", *DECODED))
     kinds = {f.name: f for f in encoded.schema}
     fields = [f"`{c}` {kinds[c].dataType.simpleString()}" for c in columns]
     return encoded.select(*columns, "piece_ids").mapInArrow(_decoder(columns, name), ", ".join([*fields, "n_pieces long", "ids_crc32 long", "decoded string"]))
+
+
+def _round_tripper(columns: tuple[str, ...], name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(name)
+        for batch in batches:
+            for part in _slices(batch):
+                ids = vocab.encode_all(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*map(part.column, columns), *_decoded(vocab, ids)], [*columns, *DECODED])
+
+    return run
+
+
+def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
+    """``decode(encode(docs))`` in one pass: one Python worker a core holds the vocabulary, and ids stay in it."""
+    columns = tuple(c for c in docs.columns if c not in ("piece_ids", *DECODED))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema]
+    return docs.select(*columns).mapInArrow(_round_tripper(columns, name), ", ".join([*fields, "n_pieces long", "ids_crc32 long", "decoded string"]))

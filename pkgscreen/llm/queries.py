@@ -84,5 +84,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_array_pieces")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = pieces.decode(pieces.encode(docs))
+    done = pieces.round_trip(docs)
     return done.select("doc_id", "n_pieces", "ids_crc32", F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"))

@@ -177,6 +177,9 @@ def test_pieces_equal_the_library(spark, docs, texts):
     for r in pieces.encode(docs.select("doc_id", "text")).collect():
         assert np.frombuffer(r.piece_ids, "<u4").tolist() == model.encode(texts[r.doc_id] or "")
     assert all(r.decoded == (texts[r.doc_id] or "") for r in pieces.decode(pieces.encode(docs.select("doc_id", "text"))).collect())
+    plain = docs.select("doc_id", "text")
+    rows = lambda d: sorted(map(tuple, d.select("doc_id", "n_pieces", "ids_crc32", "decoded").collect()))
+    assert rows(pieces.round_trip(plain)) == rows(pieces.decode(pieces.encode(plain)))
     odd = ["a" * 500, "ab" * 900 + " " * 40, "▁▁x <s> \x00 가\U0001f600"]
     assert [np.frombuffer(x, "<u4").tolist() for x in pieces.vocabulary().encode_all(odd)] == [model.encode(x) for x in odd]
 
