@@ -148,10 +148,9 @@ def cut(column: str, n: int):
 
 
 def enrich_hits(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Hits with their text and document; hits without a chunk are left out."""
+    """Hits with their whole text and document, cut only where it is shown; hits without a chunk are left out."""
     d = docs.select("doc_id", "content_hash", F.col("source").alias("title"))
-    return (hits.join(chunks.select("chunk_id", "doc_id", "content"), "chunk_id").join(d, "doc_id")
-            .withColumn("content", cut("content", 800)))
+    return hits.join(chunks.select("chunk_id", "doc_id", "content"), "chunk_id").join(d, "doc_id")
 
 
 def dedup_hits(hits: DataFrame, per_doc: int = 2) -> DataFrame:
@@ -198,7 +197,7 @@ def evidence_candidates(internal: DataFrame, external: DataFrame, forced: bool =
     """Internal hits plus outside ones where these are wanted, first of each key kept."""
     wanted = internal.groupBy("query_id").agg((F.max("score") < threshold).alias("wanted")).where("wanted").select("query_id")
     outside = external if forced else external.join(wanted, "query_id", "left_semi")
-    key = F.expr("CASE WHEN chunk_id > 0 THEN 'db_' || chunk_id ELSE 'web_' || coalesce(url, substring(content, 1, 100)) END")
+    key = F.expr("CASE WHEN chunk_id > 0 THEN 'db_' || chunk_id ELSE 'web_' || coalesce(url, content) END")
     cols = ["query_id", "chunk_id", "url", "content", "score", "rank"]
     both = (internal.withColumn("url", F.lit(None).cast("string")).select(*cols, F.lit(0).alias("origin"))
             .unionByName(outside.withColumn("rank", -F.col("chunk_id").cast("int")).select(*cols, F.lit(1).alias("origin"))))

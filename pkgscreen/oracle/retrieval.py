@@ -86,10 +86,9 @@ check("hybrid_rrf", """SELECT query_id, chunk_id, round(score, 6) AS score, roun
   round(clip_score, 6) AS clip_score, ranks, rank FROM [[fused]]""", True)
 check("rrf_plain", f"""SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (40 + rank)), 6) AS score FROM (SELECT query_id, chunk_id, rank FROM [[kwtop]]
 UNION ALL SELECT query_id, chunk_id, rank FROM ({topn('[[dots]]', 20)})) GROUP BY ALL""", True)
-cte("rich", """SELECT f.query_id, f.chunk_id, f.score, f.rank, c.doc_id, d.content_hash, d.source AS title,
-  CASE WHEN length(c.content) > 800 THEN substr(c.content, 1, 800) || '...' ELSE c.content END AS content
+cte("rich", """SELECT f.query_id, f.chunk_id, f.score, f.rank, c.doc_id, d.content_hash, d.source AS title, c.content
 FROM [[fused]] f JOIN [[chunks]] c USING (chunk_id) JOIN [[dh]] d ON d.doc_id = c.doc_id""")
-check("hit_enrich", "SELECT query_id, chunk_id, doc_id, content, title, rank FROM [[rich]]", True)
+check("hit_enrich", "SELECT query_id, chunk_id, doc_id, CASE WHEN length(content) > 800 THEN substr(content, 1, 800) || '...' ELSE content END AS content, title, rank FROM [[rich]]", True)
 cte("quota", "SELECT * FROM [[rich]] QUALIFY row_number() OVER (PARTITION BY query_id, content_hash ORDER BY rank) <= 2")
 _norm = strip(f"regexp_replace(lower(content), '{v.WS}+', ' ', 'g')")
 cte("uniq", f"SELECT * FROM [[quota]] QUALIFY row_number() OVER (PARTITION BY query_id, {_norm} ORDER BY rank) = 1")
@@ -100,7 +99,7 @@ _final = ("0.8::DOUBLE / (1 + exp(-(CAST(abs(chunk_id) * 31 % 200 - 100 AS DOUBL
 check("rerank_fuse", f"SELECT query_id, chunk_id, round({_final}, 6) AS final_score FROM [[found]]", True)
 cte("expl", f"SELECT query_id, chunk_id, score, round({_final}, 9) AS fs, count(*) OVER (PARTITION BY query_id) AS total_candidates FROM [[found]]")
 check("explain_ranking", f"SELECT query_id, chunk_id, rank, round(score, 4) AS rrf_score, round(fs, 4) AS reranker_score, total_candidates FROM ({topn('[[expl]]', 5, 'fs')})", True)
-cte("epool", """SELECT *, CASE WHEN chunk_id > 0 THEN 'db_' || chunk_id ELSE 'web_' || coalesce(url, substr(content, 1, 100)) END AS key FROM (
+cte("epool", """SELECT *, CASE WHEN chunk_id > 0 THEN 'db_' || chunk_id ELSE 'web_' || coalesce(url, content) END AS key FROM (
   SELECT query_id, chunk_id, NULL AS url, content, score, rank, 0 AS origin FROM [[found]]
   UNION ALL SELECT query_id, chunk_id, url, content, score, CAST(-chunk_id AS INT), 1 FROM [[external_hits]]
   WHERE query_id IN (SELECT query_id FROM [[found]] GROUP BY 1 HAVING max(score) < 0.65)) QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY origin, rank) = 1""")

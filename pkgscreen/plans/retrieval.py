@@ -112,7 +112,7 @@ def _enriched(spark, sf):
     return s.enrich_hits(s.rrf_weighted(s.adaptive_cut(hits(spark, sf)), queries(spark, sf), 20), chunks(spark, sf), docs(spark, sf))
 
 
-_job("hit_enrich", lambda spark, sf: _enriched(spark, sf).select("query_id", "chunk_id", "doc_id", "content", "title", "rank"))
+_job("hit_enrich", lambda spark, sf: _enriched(spark, sf).select("query_id", "chunk_id", "doc_id", s.cut("content", 800).alias("content"), "title", "rank"))
 _job("search_dedup", lambda spark, sf: s.dedup_hits(_enriched(spark, sf)).select("query_id", "chunk_id", "rank"))
 _job("hybrid_search", lambda spark, sf: rounded(found(spark, sf).select("query_id", "chunk_id", "doc_id", "score", "place"), "score"))
 

@@ -41,6 +41,13 @@ def test_vector_topk_blocks_equal_single_block(spark):
     assert one == many and len(one) == 60
 
 
+def test_chunks_that_differ_behind_800_characters_both_stay(spark):
+    hits = spark.createDataFrame([(1, 1, 1, 0.5), (1, 2, 2, 0.4), (1, 3, 3, 0.3)], "query_id long, chunk_id long, rank int, score double")
+    chunks = spark.createDataFrame([(1, 1, "x " * 500 + "a"), (2, 2, "x " * 500 + "b"), (3, 3, "X " * 500 + " b")], "chunk_id long, doc_id long, content string")
+    docs = spark.createDataFrame([(n, f"h{n}", "web") for n in (1, 2, 3)], "doc_id long, content_hash string, source string")
+    assert sorted(r.chunk_id for r in s.dedup_hits(s.enrich_hits(hits, chunks, docs)).collect()) == [1, 2]
+
+
 def test_one_current_decision_and_linked_history(spark):
     rows = [(n, 7, "i", "ACCEPT", "COMPLIANT", f"2026-01-{1 + n // 3:02d} 0{n % 3}:00:00") for n in range(12)]
     d = spark.createDataFrame(rows, "decision_id long, inspection_id long, inspector_id string, action string, final_decision string, ts string").selectExpr(
