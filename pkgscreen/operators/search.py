@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pkgscreen import vocab as v
-from pkgscreen.config import fits
 from pkgscreen.functions.text import one_spaced, words
 
 QUERY_BLOCK = 4096  # queries held by a task at once; more are worked through in blocks
+DEFAULT_K, MOST_K = 5, 20  # results of a query that names no number; most that a query may ask for
 
 
 def admit_queries(queries: DataFrame, most: int = 500) -> DataFrame:
+    """Queries with the reason for refusing them; one without a number of results gets the usual one."""
     error = (f"CASE WHEN query IS NULL OR trim(query) = '' THEN 'query is empty' WHEN length(query) > {most} THEN 'query too long'"
-             " WHEN k < 1 OR k > 20 THEN 'k out of range' END")
-    return queries.withColumn("error", F.expr(error)).withColumn("query", F.trim("query"))
+             f" WHEN k < 1 OR k > {MOST_K} THEN 'k out of range' END")
+    return queries.withColumn("error", F.expr(error)).withColumns({"query": F.trim("query"), "k": F.coalesce("k", F.lit(DEFAULT_K))})
 
 
 def top(hits: DataFrame, k: int, by: str = "score", key: str = "query_id") -> DataFrame:
@@ -26,6 +27,11 @@ def top(hits: DataFrame, k: int, by: str = "score", key: str = "query_id") -> Da
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def within(hits: DataFrame, queries: DataFrame, times: int, place: str = "rank") -> DataFrame:
+    """Hits up to ``times`` as many as their query asked for."""
+    return hits.join(queries.select("query_id", "k"), "query_id").where(F.col(place) <= times * F.col("k"))
+
+
 def bm25(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """Okapi scores of every chunk sharing a word with a query.
 
@@ -57,59 +63,57 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, q_ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
-    """The best k vectors of a block for every query, ties by smaller id."""
-    out, scores = [], np.round(scores, 9)  # equal vectors tie whatever the order of summation
-    for q in range(scores.shape[0]):
-        row = scores[q]
+    """The best k vectors of a batch for every query, ties by smaller id."""
+    found, scores = [], np.round(scores, 9)  # equal vectors tie whatever the order of summation
+    for row in scores:
         take = np.arange(len(ids))
         if len(ids) > k:
             edge = np.partition(row, len(ids) - k)[len(ids) - k]
             take = np.flatnonzero(row >= edge)
             take = take[np.lexsort((ids[take], -row[take]))][:k]
-        out.append(pd.DataFrame({"query_id": q_ids[q], "chunk_id": ids[take], "score": row[take]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        found.append(take)
+    if not found:
+        return pd.DataFrame({"query_id": q_ids, "chunk_id": ids[:0], "score": np.zeros(0)})
+    at, q = np.concatenate(found), np.repeat(np.arange(len(found)), [len(t) for t in found])
+    return pd.DataFrame({"query_id": q_ids[q], "chunk_id": ids[at], "score": scores[q, at]})
+
+
+def _topk_block(queries: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """``vector_topk`` of one block of queries: each batch of vectors is one matrix product, and a partition gives k rows per query."""
+    rows = queries.select("query_id", "embedding").toPandas()
+    q_ids = rows["query_id"].to_numpy("int64")
+    matrix = _unit(np.stack(rows["embedding"]).astype("float64")) if len(rows) else None
+
+    def scan(frames):
+        held = None
+        for f in frames:
+            if matrix is None or not len(f):
+                continue
+            new = _best(f["chunk_id"].to_numpy(), q_ids, matrix @ np.stack(f["embedding"]).astype("float64").T, k)
+            if held is not None:
+                new = pd.concat([held, new]).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            held = new
+        if held is not None:
+            yield held
+
+    return top(stored.mapInPandas(scan, "query_id long, chunk_id long, score double"), k)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, modality: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact best inner products of unit-length queries with stored vectors.
+    """Exact best inner products of unit-length queries with stored vectors, for any number of queries.
 
-    Up to ``block`` queries travel with the tasks and each batch of vectors is one
-    matrix product that leaves at most ``k`` rows per query; only those are
-    exchanged. More queries than that are cut into blocks that vectors are
-    matched with cell by cell, still exactly.
+    Queries are dealt by their hash into blocks of about ``block``; a block travels
+    with the tasks that scan the vectors, so nothing but the best rows is exchanged.
     """
     if modality:
         vectors = vectors.where(F.col("chunk_type") == modality)
-    schema = "query_id long, chunk_id long, score double"
     stored = vectors.select("chunk_id", "embedding")
-    if fits(queries, block):
-        rows = queries.select("query_id", "embedding").limit(block).toPandas()
-        if rows.empty:
-            return queries.sparkSession.createDataFrame([], schema + ", rank int")
-        q_ids, matrix = rows["query_id"].to_numpy(), _unit(np.stack(rows["embedding"]).astype("float64"))
-
-        def scan(frames):
-            for f in frames:
-                if len(f):
-                    ids = f["chunk_id"].to_numpy()
-                    yield _best(ids, q_ids, matrix @ np.stack(f["embedding"]).astype("float64").T, k)
-
-        hits = stored.mapInPandas(scan, schema)
-    else:
-        blocks, cells = -(-queries.count() // block), 64
-        left = stored.withColumn("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells)))
-        left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        right = right.withColumn("cell", F.explode(F.expr(f"sequence(0L, {cells - 1}L)")))
-
-        def cell(a, b):
-            if a.empty or b.empty:
-                return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []}).astype({"query_id": "int64", "chunk_id": "int64"})
-            m = _unit(np.stack(b["embedding"]).astype("float64")) @ np.stack(a["embedding"]).astype("float64").T
-            return _best(a["chunk_id"].to_numpy(), b["query_id"].to_numpy(), m, k)
-
-        hits = left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell")).applyInPandas(cell, schema)
-    return top(hits, k)
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        found = _topk_block(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), stored, k)
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def adaptive_cut(hits: DataFrame) -> DataFrame:
@@ -165,20 +169,27 @@ def dedup_hits(hits: DataFrame, per_doc: int = 2) -> DataFrame:
             .withColumn("n", first).where("n = 1").drop("n", "text_hash"))
 
 
-def candidates(queries, query_vectors, postings, vectors, k: int) -> DataFrame:
-    """Hits of the three retrievers: 2k by meaning, k by word, 2k images."""
-    one = lambda d, name: d.select("query_id", "chunk_id", "score", F.lit(name).alias("retriever"))
-    return (one(vector_topk(query_vectors, vectors, 2 * k, "text"), "faiss")
-            .unionByName(one(bm25_topk(queries, postings, k), "bm25"))
-            .unionByName(one(vector_topk(query_vectors, vectors, 2 * k, "image"), "clip")))
+def candidates(queries, query_vectors, postings, vectors, times: int = 4) -> DataFrame:
+    """Hits of the three retrievers, in multiples of each query's own ``k``: twice ``times`` by meaning, ``times`` by word, twice images."""
+    def one(hits, name, n):
+        return within(hits, queries, n).select("query_id", "chunk_id", "score", F.lit(name).alias("retriever"))
+
+    return (one(vector_topk(query_vectors, vectors, 2 * times * MOST_K, "text"), "faiss", 2 * times)
+            .unionByName(one(bm25_topk(queries, postings, times * MOST_K), "bm25", times))
+            .unionByName(one(vector_topk(query_vectors, vectors, 2 * times * MOST_K, "image"), "clip", 2 * times)))
+
+
+def fused_hits(hits: DataFrame, queries: DataFrame, times: int = 4) -> DataFrame:
+    """The best fused hits, ``times`` as many as each query asked for, which stays beside them as ``k``."""
+    return within(rrf_weighted(hits, queries, times * MOST_K), queries, times)
 
 
-def search(queries, query_vectors, postings, vectors, chunks, docs, k: int = 5) -> DataFrame:
-    """Hybrid search: retrieve four times as much as asked for, cut, fuse, dedup."""
-    fused = rrf_weighted(adaptive_cut(candidates(queries, query_vectors, postings, vectors, 4 * k)), queries, 4 * k)
+def search(queries, query_vectors, postings, vectors, chunks, docs) -> DataFrame:
+    """Hybrid search: retrieve four times as much as each query asks for, cut, fuse, dedup."""
+    fused = fused_hits(adaptive_cut(candidates(queries, query_vectors, postings, vectors)), queries)
     kept = dedup_hits(enrich_hits(fused, chunks, docs))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return kept.withColumn("place", place).where(F.col("place") <= k)
+    return kept.withColumn("place", place).where(F.col("place") <= F.col("k"))
 
 
 def rerank_fuse(hits: DataFrame) -> DataFrame:
@@ -186,10 +197,10 @@ def rerank_fuse(hits: DataFrame) -> DataFrame:
     return hits.withColumn("final_score", 0.8 / (1 + F.exp(-F.col("logit"))) + 0.2 * clamp + F.when(F.col("chunk_id") < 0, 0.1).otherwise(0.0))
 
 
-def explain(hits: DataFrame, k: int) -> DataFrame:
+def explain(hits: DataFrame) -> DataFrame:
     """Final place, the factors behind it and the number of candidates."""
     total = F.count("*").over(Window.partitionBy("query_id"))
-    ranked = top(rerank_fuse(hits).withColumns({"total_candidates": total, "final_score": F.round("final_score", 9)}), k, "final_score")
+    ranked = top(rerank_fuse(hits).withColumns({"total_candidates": total, "final_score": F.round("final_score", 9)}), MOST_K, "final_score").where("rank <= k")
     return ranked.withColumns({"rrf_score": F.round("score", 4), "reranker_score": F.round("final_score", 4)})
 
 
@@ -208,24 +219,24 @@ def evidence_candidates(internal: DataFrame, external: DataFrame, forced: bool =
 def relevant(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits sharing at least one blank-separated word with the query."""
     split = lambda c: F.filter(F.split(F.lower(c), v.WS + "+"), lambda w: w != "")
-    return (hits.join(queries.select("query_id", "query"), "query_id")
+    return (hits.join(queries.select("query_id", "query", "k"), "query_id")
             .where(F.arrays_overlap(split("query"), split("content"))))
 
 
-def final_sources(hits: DataFrame, k: int) -> DataFrame:
-    """Rerank the first 2k, keep k, cut the text."""
+def final_sources(hits: DataFrame) -> DataFrame:
+    """Rerank the first 2k of each query, keep k, cut the text."""
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("origin", "rank"))
-    first = hits.withColumn("n", order).where(F.col("n") <= 2 * k).drop("n", "rank")
-    kept = top(rerank_fuse(first).withColumn("final_score", F.round("final_score", 9)), k, "final_score")
+    first = hits.withColumn("n", order).where(F.col("n") <= 2 * F.col("k")).drop("n", "rank")
+    kept = top(rerank_fuse(first).withColumn("final_score", F.round("final_score", 9)), MOST_K, "final_score").where("rank <= k")
     return kept.withColumns({"content": cut("content", 750), "chunk_type": F.expr("IF(chunk_id < 0, 'web', 'text')")})
 
 
-def evidence_confidence(sources: DataFrame, k: int) -> DataFrame:
+def evidence_confidence(sources: DataFrame) -> DataFrame:
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
     own = F.avg(F.when(F.col("chunk_id") > 0, F.col("final_score")))
     used_web = F.max(F.when(F.col("chunk_id") < 0, 1).otherwise(0))
     return sources.groupBy("query_id").agg(clamp(
-        0.5 * clamp(F.avg("final_score")) + 0.3 * clamp(own) + 0.2 * F.least(F.lit(1.0), F.count("*") / k) - 0.15 * used_web).alias("confidence"))
+        0.5 * clamp(F.avg("final_score")) + 0.3 * clamp(own) + 0.2 * F.least(F.lit(1.0), F.count("*") / F.max("k")) - 0.15 * used_web).alias("confidence"))
 
 
 def query_log(queries: DataFrame, hits: DataFrame) -> DataFrame:

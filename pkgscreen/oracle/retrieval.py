@@ -48,7 +48,7 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM [[chunks]] GROUP BY 1) c USING (doc
 
 cte("adm", """SELECT *, CASE WHEN trim(query) = '' THEN 'query is empty' WHEN length(query) > 500 THEN 'query too long' WHEN k < 1 OR k > 20 THEN 'k out of range' END AS error FROM [[search_queries]]""")
 check("query_admission", "SELECT query_id, trim(query) AS query, error FROM [[adm]]")
-cte("q", "SELECT query_id, trim(query) AS query FROM [[adm]] WHERE error IS NULL")
+cte("q", "SELECT query_id, trim(query) AS query, coalesce(k, 5) AS k FROM [[adm]] WHERE error IS NULL")
 cte("qt", f"SELECT query_id, unnest(regexp_extract_all(lower(query), '{v.WORD_TOKEN}')) AS term FROM [[q]]")
 cte("cstat", "SELECT count(*) AS n, avg(length) AS al FROM (SELECT DISTINCT chunk_id, length FROM [[post]])")
 cte("dfreq", "SELECT term, ln((SELECT n FROM [[cstat]]) - count(*) + 0.5) - ln(count(*) + 0.5) AS w FROM [[post]] GROUP BY term")
@@ -57,6 +57,12 @@ cte("kw", """SELECT query_id, chunk_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (
 FROM [[qt]] JOIN [[post]] USING (term) JOIN [[idf]] USING (term) GROUP BY ALL""")
 
 
+def asked(src: str, times: int, by: str = "score") -> str:
+    """The best of each query, ``times`` as many as its own row asks for."""
+    return f"""SELECT * EXCLUDE k FROM (SELECT t.*, q.k, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {by} DESC, chunk_id) AS INT) AS rank
+  FROM {src} t JOIN [[q]] q USING (query_id)) WHERE rank <= {times} * k"""
+
+
 def topn(src: str, k: int, by: str = "score") -> str:
     return f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {by} DESC, chunk_id) AS INT) AS rank FROM {src} QUALIFY rank <= {k}"
 
@@ -67,9 +73,9 @@ cte("dots", """SELECT q.query_id, x.chunk_id, x.chunk_type, round(list_inner_pro
 FROM [[query_vectors]] q CROSS JOIN [[vectors]] x""")
 for _key, _where in (("vector_topk", ""), ("vector_topk_modality", " WHERE chunk_type = 'image'")):
     check(_key, f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({topn(f'(SELECT * FROM [[dots]]{_where})', 10)})")
-cte("rh", f"""SELECT query_id, chunk_id, score, 'faiss' AS retriever FROM ({topn("(SELECT * FROM [[dots]] WHERE chunk_type = 'text' AND query_id IN (SELECT query_id FROM [[q]]))", 40)})
-UNION ALL SELECT query_id, chunk_id, score, 'bm25' FROM [[kwtop]]
-UNION ALL SELECT query_id, chunk_id, score, 'clip' FROM ({topn("(SELECT * FROM [[dots]] WHERE chunk_type = 'image' AND query_id IN (SELECT query_id FROM [[q]]))", 40)})""")
+cte("rh", f"""SELECT query_id, chunk_id, score, 'faiss' AS retriever FROM ({asked("(SELECT * FROM [[dots]] WHERE chunk_type = 'text')", 8)})
+UNION ALL SELECT query_id, chunk_id, score, 'bm25' FROM ({asked('[[kw]]', 4)})
+UNION ALL SELECT query_id, chunk_id, score, 'clip' FROM ({asked("(SELECT * FROM [[dots]] WHERE chunk_type = 'image')", 8)})""")
 cte("cutted", """SELECT query_id, chunk_id, score, retriever FROM (SELECT *, max(score) OVER (PARTITION BY query_id, retriever) AS best FROM [[rh]])
 WHERE CASE WHEN retriever = 'clip' THEN score > 0.25 ELSE score >= 0.75 * best END""")
 check("adaptive_cut", "SELECT query_id, chunk_id, round(score, 6) AS score, retriever FROM [[cutted]]", True)
@@ -81,7 +87,7 @@ cte("fuse0", """SELECT c.*, row_number() OVER (PARTITION BY query_id, retriever
 cte("fuse", """SELECT query_id, chunk_id, round(sum((CASE retriever WHEN 'faiss' THEN CASE WHEN informational THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END WHEN 'bm25' THEN CASE WHEN informational THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.3::DOUBLE END) / (60 + r)), 12) AS score,
   max(score) FILTER (retriever = 'faiss') AS faiss_score, max(score) FILTER (retriever = 'bm25') AS bm25_score, max(score) FILTER (retriever = 'clip') AS clip_score,
   string_agg(retriever || '=' || r, ',' ORDER BY retriever) AS ranks FROM [[fuse0]] GROUP BY query_id, chunk_id""")
-cte("fused", topn("[[fuse]]", 20))
+cte("fused", asked("[[fuse]]", 4))
 check("hybrid_rrf", """SELECT query_id, chunk_id, round(score, 6) AS score, round(faiss_score, 6) AS faiss_score, round(bm25_score, 6) AS bm25_score,
   round(clip_score, 6) AS clip_score, ranks, rank FROM [[fused]]""", True)
 check("rrf_plain", f"""SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (40 + rank)), 6) AS score FROM (SELECT query_id, chunk_id, rank FROM [[kwtop]]
@@ -93,12 +99,12 @@ cte("quota", "SELECT * FROM [[rich]] QUALIFY row_number() OVER (PARTITION BY que
 _norm = strip(f"regexp_replace(lower(content), '{v.WS}+', ' ', 'g')")
 cte("uniq", f"SELECT * FROM [[quota]] QUALIFY row_number() OVER (PARTITION BY query_id, {_norm} ORDER BY rank) = 1")
 check("search_dedup", "SELECT query_id, chunk_id, rank FROM [[uniq]]", True)
-cte("found", "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS place FROM [[uniq]] QUALIFY place <= 5")
+cte("found", """SELECT * EXCLUDE k FROM (SELECT u.*, q.k, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS place FROM [[uniq]] u JOIN [[q]] q USING (query_id)) WHERE place <= k""")
 check("hybrid_search", "SELECT query_id, chunk_id, doc_id, round(score, 6) AS score, place FROM [[found]]", True)
 _final = ("0.8::DOUBLE / (1 + exp(-(CAST(abs(chunk_id) * 31 % 200 - 100 AS DOUBLE) / 25))) + 0.2::DOUBLE * greatest(0, least(1, score)) + CASE WHEN chunk_id < 0 THEN 0.1::DOUBLE ELSE 0 END")
 check("rerank_fuse", f"SELECT query_id, chunk_id, round({_final}, 6) AS final_score FROM [[found]]", True)
 cte("expl", f"SELECT query_id, chunk_id, score, round({_final}, 9) AS fs, count(*) OVER (PARTITION BY query_id) AS total_candidates FROM [[found]]")
-check("explain_ranking", f"SELECT query_id, chunk_id, rank, round(score, 4) AS rrf_score, round(fs, 4) AS reranker_score, total_candidates FROM ({topn('[[expl]]', 5, 'fs')})", True)
+check("explain_ranking", f"SELECT query_id, chunk_id, rank, round(score, 4) AS rrf_score, round(fs, 4) AS reranker_score, total_candidates FROM ({asked('[[expl]]', 1, 'fs')})", True)
 cte("epool", """SELECT *, CASE WHEN chunk_id > 0 THEN 'db_' || chunk_id ELSE 'web_' || coalesce(url, content) END AS key FROM (
   SELECT query_id, chunk_id, NULL AS url, content, score, rank, 0 AS origin FROM [[found]]
   UNION ALL SELECT query_id, chunk_id, url, content, score, CAST(-chunk_id AS INT), 1 FROM [[external_hits]]
@@ -107,12 +113,12 @@ check("evidence_candidates", "SELECT query_id, chunk_id, key, origin FROM [[epoo
 _split = lambda c: f"list_filter(string_split_regex(lower({c}), '{v.WS}+'), lambda w: w <> '')"
 cte("rele", f"SELECT e.* FROM [[epool]] e JOIN [[q]] q USING (query_id) WHERE list_has_any({_split('q.query')}, {_split('e.content')})")
 check("evidence_relevance", "SELECT query_id, chunk_id, key FROM [[rele]]", True)
-cte("src0", "SELECT * EXCLUDE rank FROM [[rele]] QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY origin, rank) <= 10")
+cte("src0", """SELECT * EXCLUDE (rank, k, n) FROM (SELECT e.*, q.k, row_number() OVER (PARTITION BY query_id ORDER BY origin, rank) AS n FROM [[rele]] e JOIN [[q]] q USING (query_id)) WHERE n <= 2 * k""")
 cte("src1", f"SELECT *, round({_final}, 9) AS fs FROM [[src0]]")
-cte("src", topn("[[src1]]", 5, "fs"))
+cte("src", asked("[[src1]]", 1, "fs"))
 check("final_sources", """SELECT query_id, chunk_id, rank, CASE WHEN chunk_id < 0 THEN 'web' ELSE 'text' END AS chunk_type,
   CASE WHEN length(content) > 750 THEN substr(content, 1, 750) || '...' ELSE content END AS content, round(fs, 6) AS final_score FROM [[src]]""", True)
-check("evidence_confidence", """SELECT query_id, round(greatest(0, least(1, 0.5::DOUBLE * least(1, avg(fs)) + 0.3::DOUBLE * least(1, coalesce(avg(fs) FILTER (chunk_id > 0), 0)) + 0.2::DOUBLE * least(1, count(*) / 5.0)
-  - 0.15::DOUBLE * max(CASE WHEN chunk_id < 0 THEN 1 ELSE 0 END))), 6) AS confidence FROM [[src]] GROUP BY 1""", True)
+check("evidence_confidence", """SELECT query_id, round(greatest(0, least(1, 0.5::DOUBLE * least(1, avg(fs)) + 0.3::DOUBLE * least(1, coalesce(avg(fs) FILTER (chunk_id > 0), 0)) + 0.2::DOUBLE * least(1, count(*) / CAST(any_value(k) AS DOUBLE))
+  - 0.15::DOUBLE * max(CASE WHEN chunk_id < 0 THEN 1 ELSE 0 END))), 6) AS confidence FROM [[src]] JOIN [[q]] USING (query_id) GROUP BY 1""", True)
 check("query_log", "SELECT q.query_id, q.query, (SELECT count(*) FROM [[found]] f WHERE f.query_id = q.query_id) AS retrieved FROM [[q]] q", True)
 check("index_overview", "SELECT chunk_type, count(*) AS vectors, 'ok' AS status FROM [[vectors]] GROUP BY 1")

@@ -86,14 +86,14 @@ def queries(spark, sf):
 def hits(spark, sf):
     return staged(spark, "retriever_hits", sf, lambda: s.candidates(
         queries(spark, sf), table(spark, sf, "query_vectors").join(queries(spark, sf).select("query_id"), "query_id", "left_semi"),
-        postings(spark, sf), table(spark, sf, "vectors"), 20))
+        postings(spark, sf), table(spark, sf, "vectors")))
 
 
 def found(spark, sf):
     q = queries(spark, sf)
     return staged(spark, "search_results", sf, lambda: s.search(
         q, table(spark, sf, "query_vectors").join(q.select("query_id"), "query_id", "left_semi"),
-        postings(spark, sf), table(spark, sf, "vectors"), chunks(spark, sf), docs(spark, sf), 5))
+        postings(spark, sf), table(spark, sf, "vectors"), chunks(spark, sf), docs(spark, sf)))
 
 
 _job("query_admission", lambda spark, sf: s.admit_queries(table(spark, sf, "search_queries")).select("query_id", "query", "error"))
@@ -102,14 +102,14 @@ _job("vector_topk", lambda spark, sf: rounded(s.vector_topk(table(spark, sf, "qu
 _job("vector_topk_modality", lambda spark, sf: rounded(s.vector_topk(table(spark, sf, "query_vectors"), table(spark, sf, "vectors"), 10, "image").select("query_id", "chunk_id", "score", "rank"), "score"))
 _job("adaptive_cut", lambda spark, sf: rounded(s.adaptive_cut(hits(spark, sf)), "score"))
 _job("query_intent", lambda spark, sf: s.query_intent(table(spark, sf, "search_queries")).select("query_id", "informational", "semantic_weight", "keyword_weight", "image_weight"))
-_job("hybrid_rrf", lambda spark, sf: rounded(s.rrf_weighted(s.adaptive_cut(hits(spark, sf)), queries(spark, sf), 20).withColumn(
+_job("hybrid_rrf", lambda spark, sf: rounded(s.fused_hits(s.adaptive_cut(hits(spark, sf)), queries(spark, sf)).drop("k").withColumn(
     "ranks", F.expr("array_join(transform(map_entries(ranks), e -> e.key || '=' || e.value), ',')")), "score", "faiss_score", "bm25_score", "clip_score"))
 _job("rrf_plain", lambda spark, sf: rounded(s.rrf(s.bm25_topk(queries(spark, sf), postings(spark, sf), 20).select("query_id", "chunk_id", "rank").unionByName(
     s.vector_topk(table(spark, sf, "query_vectors"), table(spark, sf, "vectors"), 20).select("query_id", "chunk_id", "rank"))), "score"))
 
 
 def _enriched(spark, sf):
-    return s.enrich_hits(s.rrf_weighted(s.adaptive_cut(hits(spark, sf)), queries(spark, sf), 20), chunks(spark, sf), docs(spark, sf))
+    return s.enrich_hits(s.fused_hits(s.adaptive_cut(hits(spark, sf)), queries(spark, sf)), chunks(spark, sf), docs(spark, sf))
 
 
 _job("hit_enrich", lambda spark, sf: _enriched(spark, sf).select("query_id", "chunk_id", "doc_id", s.cut("content", 800).alias("content"), "title", "rank"))
@@ -122,7 +122,7 @@ def _logits(d):
 
 
 _job("rerank_fuse", lambda spark, sf: rounded(s.rerank_fuse(_logits(found(spark, sf))).select("query_id", "chunk_id", "final_score"), "final_score"))
-_job("explain_ranking", lambda spark, sf: s.explain(_logits(found(spark, sf).drop("rank")), 5).select("query_id", "chunk_id", "rank", "rrf_score", "reranker_score", "total_candidates"))
+_job("explain_ranking", lambda spark, sf: s.explain(_logits(found(spark, sf).drop("rank"))).select("query_id", "chunk_id", "rank", "rrf_score", "reranker_score", "total_candidates"))
 
 
 def _pool(spark, sf):
@@ -130,12 +130,12 @@ def _pool(spark, sf):
 
 
 def _sources(spark, sf):
-    return s.final_sources(_logits(s.relevant(_pool(spark, sf), queries(spark, sf))), 5)
+    return s.final_sources(_logits(s.relevant(_pool(spark, sf), queries(spark, sf))))
 
 
 _job("evidence_candidates", lambda spark, sf: _pool(spark, sf).select("query_id", "chunk_id", "key", "origin"))
 _job("evidence_relevance", lambda spark, sf: s.relevant(_pool(spark, sf), queries(spark, sf)).select("query_id", "chunk_id", "key"))
 _job("final_sources", lambda spark, sf: rounded(_sources(spark, sf).select("query_id", "chunk_id", "rank", "chunk_type", "content", "final_score"), "final_score"))
-_job("evidence_confidence", lambda spark, sf: rounded(s.evidence_confidence(_sources(spark, sf), 5), "confidence"))
+_job("evidence_confidence", lambda spark, sf: rounded(s.evidence_confidence(_sources(spark, sf)), "confidence"))
 _job("query_log", lambda spark, sf: s.query_log(queries(spark, sf), found(spark, sf)))
 _job("index_overview", lambda spark, sf: s.index_overview(table(spark, sf, "vectors")))

@@ -48,6 +48,16 @@ def test_chunks_that_differ_behind_800_characters_both_stay(spark):
     assert sorted(r.chunk_id for r in s.dedup_hits(s.enrich_hits(hits, chunks, docs)).collect()) == [1, 2]
 
 
+def test_every_query_gets_as_many_sources_as_it_asks_for(spark):
+    queries = s.admit_queries(spark.createDataFrame([(1, "a", 3), (2, "a", 12), (3, "a", None), (4, "a", 21)], "query_id long, query string, k int"))
+    assert [r.error for r in queries.orderBy("query_id").collect()] == [None, None, None, "k out of range"]
+    hits = spark.createDataFrame([(q, c, c, 0, "a b", 0.5, c / 10) for q in (1, 2, 3) for c in range(1, 31)],
+                                 "query_id long, chunk_id long, rank int, origin int, content string, score double, logit double")
+    got = s.final_sources(s.relevant(hits, queries.where("error IS NULL"))).collect()
+    for query, k in ((1, 3), (2, 12), (3, 5)):  # the best of the first 2k by rank
+        assert sorted(r.chunk_id for r in got if r.query_id == query) == list(range(k + 1, 2 * k + 1))
+
+
 def test_one_current_decision_and_linked_history(spark):
     rows = [(n, 7, "i", "ACCEPT", "COMPLIANT", f"2026-01-{1 + n // 3:02d} 0{n % 3}:00:00") for n in range(12)]
     d = spark.createDataFrame(rows, "decision_id long, inspection_id long, inspector_id string, action string, final_decision string, ts string").selectExpr(
