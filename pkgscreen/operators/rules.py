@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pkgscreen import rulesets, vocab as v
-from pkgscreen.config import DEFAULT, Thresholds
+from pkgscreen.config import DEFAULT, Thresholds, fits
 from pkgscreen.functions.text import has
 
 POOR, ELSEWHERE, ABSENT = "not found; photos too poor to trust absence", "not found; printed elsewhere on the package", "not found on any photo"
 LEVEL, ADDRESSED = "level", "address_detected"
 LOW = "found with low confidence"
+AGGREGATE = "REQUIRED_DECLARATIONS_PRESENT"  # kind of the rule that looks at the other findings of its package
 
 
 def generic_rules(spark) -> DataFrame:
@@ -24,6 +25,22 @@ def statutory_rules(spark) -> DataFrame:
         "verified", F.lit(False))
 
 
+RULES_BROADCAST = 10_000  # rules that travel to the packages; more of them meet the packages in salted parts
+
+
+def meet(rows: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """Rows of packages with the rules of the same key; packages are never the side that is sent round.
+
+    A rule table of checked size is broadcast. A larger one is dealt to every part
+    of the packages and merged there, so that a few key values do not limit the tasks.
+    """
+    if fits(rules, RULES_BROADCAST):
+        return rows.join(F.broadcast(rules), key)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rules.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("package_id"), F.lit(parts)).cast("int")).join(dealt.hint("merge"), [key, "part"]).drop("part")
+
+
 def contexts(packages: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Packages that can be judged, with their declarations by name and their quality."""
     return packages.select(
@@ -62,7 +79,7 @@ def evaluate_rules(ctx: DataFrame, rules: DataFrame, enforce: bool = False) -> D
     wants = rules.select("rule_id", F.expr(
         "inline(concat(transform(IF(size(fields) = 0, array(''), fields), (x, i) -> named_struct('ord', i, 'field', x)), array(named_struct('ord', -1, 'field', coalesce(depends_on, '')))))"))
     target = F.col("ord") >= 0
-    found = slots.join(wants, "field").groupBy("package_id", "rule_id").agg(
+    found = meet(slots, wants, "field").groupBy("package_id", "rule_id").agg(
         F.bool_or("blocks").alias("blocks"), F.max_by("value", F.when(F.col("ord") == 0, 1)).alias("value"), F.max_by("level", F.when(F.col("ord") == 0, 1)).alias("level"),
         F.count_if(target & F.col("value").isNotNull() & (F.col("level") != "LOW")).alias("strong"), F.count_if(target & F.col("value").isNotNull()).alias("present"),
         F.min(F.when(target & (F.col("pointer") > 0), F.struct("ord", "pointer"))).getField("pointer").alias("pointer"),
@@ -77,7 +94,7 @@ def evaluate_rules(ctx: DataFrame, rules: DataFrame, enforce: bool = False) -> D
       WHEN rule_type = 'MANDATORY_ANY' OR value IS NULL THEN named_struct('status', IF({absent} = '{ABSENT}', 'FAIL', 'MANUAL_REVIEW'), 'reason', {absent})
       WHEN level = 'LOW' THEN named_struct('status', 'MANUAL_REVIEW', 'reason', '{LOW}') WHEN {validators('value', 'validation')} THEN named_struct('status', 'PASS', 'reason', 'declared')
       ELSE named_struct('status', 'MANUAL_REVIEW', 'reason', 'value could not be validated') END"""
-    return (found.join(rules, "rule_id").withColumn("applies", F.expr(applies)).withColumn("v", F.expr(verdict))
+    return (meet(found, rules, "rule_id").withColumn("applies", F.expr(applies)).withColumn("v", F.expr(verdict))
             .select("package_id", "rule_id", "severity", "applies", "rule_type", "validation", F.col("v.status").alias("status"), F.col("v.reason").alias("reason"), "pointer", "value"))
 
 
@@ -153,8 +170,9 @@ def evaluate_statutory(ctx: DataFrame, rules: DataFrame, enforce: bool = False,
     """Every statutory rule on every package.
 
     Checks are worked out once per package, one row per kind; a rule then takes
-    the row of its category by an equality join. The aggregate rule is last and
-    looks at the other findings of its package.
+    the row of its category by an equality join. The aggregate rule takes a row like
+    any other and its verdict from the other findings of its package, over which a
+    window counts: nothing is evaluated twice.
     """
     kinds = ", ".join(f"named_struct('handler', '{k}', 'h', {e})" for k, e in handlers(t).items())
     checks = ctx.select("package_id", F.expr(exemption_mode()).alias("exemption"),
@@ -169,16 +187,14 @@ def evaluate_statutory(ctx: DataFrame, rules: DataFrame, enforce: bool = False,
       WHEN rule_id IN ({quoted(v.SCOPE_NA_RULES)}) THEN {_say('NOT_APPLICABLE', 'rule outside photo screening')} WHEN vtype IN ({quoted(v.SCOPE_NA_TYPES)}) THEN {_say('NOT_APPLICABLE', 'check outside photo screening')}
       WHEN category IN ({quoted(v.DECLARATION_CATEGORIES)}) AND (exemption = 'EXEMPT' OR (exemption = 'PARTIAL' AND category NOT IN ({quoted(v.PARTIAL_CATEGORIES)}))) THEN {_say('NOT_APPLICABLE', 'exempt by quantity')}
       WHEN category = 'quantity_language' AND h.status = 'PASS' AND quantity_text RLIKE banned THEN {_say('FAIL', 'misleading wording')} ELSE h END"""
-    plain = (checks.join(keyed.where("vtype <> 'REQUIRED_DECLARATIONS_PRESENT'"), "handler").withColumn("v", F.expr(verdict))
-             .select("package_id", "rule_id", "category", "severity", "title", "fields", F.col("v.status").alias("status"), F.col("v.reason").alias("reason")))
-    total = plain.groupBy("package_id").agg(
-        F.count_if(F.col("status") == "FAIL").alias("f"),
-        F.count_if(F.col("status").isin("MANUAL_REVIEW", "UNVERIFIED")).alias("m"), F.count_if(F.col("status") == "PASS").alias("p"))
+    whole, package = f"vtype = '{AGGREGATE}'", Window.partitionBy("package_id")
+    count = lambda *statuses: F.count_if(~F.expr(whole) & F.col("v.status").isin(*statuses)).over(package)
     gate = f"""CASE WHEN {unverified} THEN {_say('UNVERIFIED', 'rule awaits verification')} WHEN f > 0 THEN {_say('FAIL', 'declarations missing or invalid')}
       WHEN m > 0 THEN {_say('MANUAL_REVIEW', 'declarations uncertain')} WHEN p > 0 THEN {_say('PASS', 'all declarations found')} ELSE {_say('NOT_APPLICABLE', 'declarations exempt')} END"""
-    whole = (total.withColumn("vtype", F.lit("REQUIRED_DECLARATIONS_PRESENT")).join(rules, "vtype").withColumn("v", F.expr(gate))
-             .select("package_id", "rule_id", "category", "severity", "title", "fields", F.col("v.status").alias("status"), F.col("v.reason").alias("reason")))
-    return plain.unionByName(whole)
+    return (meet(checks, keyed, "handler").withColumn("v", F.expr(verdict))
+            .withColumns({"f": count("FAIL"), "m": count("MANUAL_REVIEW", "UNVERIFIED"), "p": count("PASS")})
+            .withColumn("v", F.expr(f"IF({whole}, {gate}, v)"))
+            .select("package_id", "rule_id", "category", "severity", "title", "fields", F.col("v.status").alias("status"), F.col("v.reason").alias("reason")))
 
 
 def fuse(findings: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ check("finding_evidence", """SELECT r.package_id, r.rule_id, r.field, f.value, r
 FROM (SELECT package_id, rule_id, unnest(names) AS field FROM [[rf]]) r JOIN [[fv]] f USING (package_id, field) WHERE f.value IS NOT NULL""")
 check("annotation_plan", """SELECT f.package_id, f.source_name AS surface_name, f.field, f.value, f.x_min, f.y_min, f.x_max, f.y_max, coalesce(s.status, 'UNKNOWN') AS status, round(f.ext_conf, 6) AS ext_conf
 FROM [[fv]] f LEFT JOIN [[fs]] s USING (package_id, field) WHERE f.value IS NOT NULL AND f.x_min IS NOT NULL""")
-check("detection_rates", "SELECT field, count(value) AS found, count(*) AS total, round(100.0::DOUBLE * count(value) / count(*), 1) AS rate FROM [[fv]] GROUP BY 1")
+check("detection_rates", "SELECT field, count(value) AS found, count(*) AS total, round(100.0::DOUBLE * count(value) / count(*), 1) AS rate FROM [[final]] GROUP BY 1")
 _first = "CASE category " + " ".join(f"WHEN '{k}' THEN '{f[0]}'" for k, f in v.REVIEW_FIELDS.items() if f) + " ELSE rule_id END"
 cte("act", f"""SELECT a.*, f.value, CASE WHEN reason = '{ELSEWHERE}' THEN 'the place the label points to' WHEN contains(reason, 'address') THEN 'address of the making unit' WHEN contains(reason, 'telephone') THEN 'consumer care panel'
   WHEN contains(reason, 'legibility') OR category = 'declaration_legibility' THEN 'price and quantity lines' WHEN f.value IS NOT NULL THEN 'read again: ' || f.value
@@ -191,8 +191,8 @@ FROM (SELECT *, {_first} AS field FROM [[sf]] WHERE status = 'MANUAL_REVIEW' AND
 cte("acts", """SELECT package_id, field, rule_id, severity, reason, check_location, confidence, value AS current_value FROM [[act]]
 QUALIFY row_number() OVER (PARTITION BY package_id, field, check_location ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, rule_id) = 1""")
 check("review_actions", "SELECT * FROM [[acts]]")
-check("inspection_rows", """SELECT package_id, count(*) FILTER (status = 'PASS') AS num_rules_pass, count(*) FILTER (status = 'FAIL') AS num_rules_fail, count(*) FILTER (status = 'MANUAL_REVIEW') AS num_rules_review,
-  coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'FAIL'), '') AS violation_rule_ids FROM [[sf]] GROUP BY 1""")
+check("inspection_rows", """SELECT r.package_id, count(*) FILTER (status = 'PASS') AS num_rules_pass, count(*) FILTER (status = 'FAIL') AS num_rules_fail, count(*) FILTER (status = 'MANUAL_REVIEW') AS num_rules_review,
+  coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'FAIL'), '') AS violation_rule_ids FROM [[route]] r LEFT JOIN [[sf]] s USING (package_id) GROUP BY 1""")
 check("inspect_packages", f"""SELECT r.package_id, r.route, r.surfaces_total, r.surfaces_usable, y.cylindrical_package, w.product_name, w.brand, w.manufacturer, coalesce(g.decision, 'MANUAL_REVIEW') AS decision,
   g.downgraded_from, CAST(round(CAST(coalesce(g.overall, 0) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS confidence, s.score, CASE WHEN s.package_id IS NOT NULL THEN {_grade.replace(' AS grade', '')} END AS grade, k.product_category, g.failed_rules AS violation_rule_ids, coalesce(a.n, 0) AS num_review_actions
 FROM [[route]] r JOIN [[cyl]] y USING (package_id) LEFT JOIN [[w]] w USING (package_id) LEFT JOIN [[guarded]] g USING (package_id) LEFT JOIN [[score]] s USING (package_id)

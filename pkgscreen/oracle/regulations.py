@@ -59,9 +59,9 @@ check("reg_stats", "SELECT count(*) AS chunks, count(DISTINCT document) AS docum
 check("reg_citation", "SELECT f.package_id, f.rule_id, 'rules' AS document, o.text AS quote FROM [[sf]] f JOIN [[own]] o ON o.chunk_id = f.rule_id")
 
 check("lines_explode", "SELECT package_id, surface_idx, CAST(pos AS INT) AS line_no, text, confidence, x_min, y_min, x_max, y_max FROM [[ln]]")
-check("surface_grouping", r"""SELECT package, CAST(row_number() OVER (PARTITION BY package ORDER BY path) - 1 AS INT) AS surface_idx, path FROM (
+check("surface_grouping", r"""SELECT *, CASE WHEN surface_idx >= 6 THEN 'too many photos' END AS reason FROM (SELECT package, CAST(row_number() OVER (PARTITION BY package ORDER BY path) - 1 AS INT) AS surface_idx, path FROM (
   SELECT path, CASE WHEN contains(substr(path, 4), '/') THEN 'package:' || split_part(path, '/', 2) ELSE substr(path, 4) END AS package
-  FROM [[files]] WHERE regexp_matches(path, '\.(jpg|jpeg|png|bmp)$', 'i')) QUALIFY surface_idx < 6""")
+  FROM [[files]] WHERE regexp_matches(path, '\.(jpg|jpeg|png|bmp)$', 'i')))""")
 cte("adm0", "SELECT *, CASE WHEN contains(string_split(path, '/')[-1], '.') THEN '.' || lower(string_split(path, '.')[-1]) ELSE '' END AS ext, lower(coalesce(content_type, '')) AS kind FROM [[files]]")
 cte("adm1", f"""SELECT path, CASE WHEN ext <> '' AND ext NOT IN {lst(v.IMAGE_EXTENSIONS)} THEN 'unsupported file type' WHEN kind <> '' AND kind NOT IN {lst(v.IMAGE_TYPES)} THEN 'unsupported content type'
   WHEN size_bytes = 0 THEN 'empty file' WHEN size_bytes > 20971520 THEN 'file too large' END AS reason FROM [[adm0]]""")

@@ -91,7 +91,7 @@ _job("review_actions", lambda spark, sf: rounded(r.review_actions(ctx(spark, sf)
 _job("rule_fields", lambda spark, sf: r.rule_fields(statutory(spark, sf)).select("package_id", "rule_id", F.array_join("names", ",").alias("names")))
 _job("field_status", lambda spark, sf: r.field_status(statutory(spark, sf)))
 _job("annotation_plan", lambda spark, sf: rounded(r.annotation_plan(ctx(spark, sf), statutory(spark, sf)), "ext_conf"))
-_job("detection_rates", lambda spark, sf: repo.detection_rates(ctx(spark, sf).selectExpr("package_id", "inline(fields)")))
+_job("detection_rates", lambda spark, sf: repo.detection_rates(pe._run(spark, sf).selectExpr("package_id", "inline(fields)")))
 
 
 def evaluate_fields(fields_ctx, rules):
@@ -133,8 +133,10 @@ def inspect_packages(spark, sf):
 
 @query("inspection_rows")
 def inspection_rows(spark, sf):
-    """Status counts and violations of a stored inspection."""
+    """Status counts and violations of every stored inspection; zeros where nothing could be judged."""
     hit = lambda s: F.count_if(F.col("status") == s)
-    return statutory(spark, sf).groupBy("package_id").agg(
+    counts = statutory(spark, sf).groupBy("package_id").agg(
         hit("PASS").alias("num_rules_pass"), hit("FAIL").alias("num_rules_fail"), hit("MANUAL_REVIEW").alias("num_rules_review"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == "FAIL", F.col("rule_id")))), ",").alias("violation_rule_ids"))
+    return (pe._run(spark, sf).select("package_id").join(counts, "package_id", "left")
+            .na.fill(0, ["num_rules_pass", "num_rules_fail", "num_rules_review"]).na.fill("", ["violation_rule_ids"]))

@@ -24,13 +24,13 @@ def lines_of(photos: DataFrame) -> DataFrame:
 
 
 def group_surfaces(files: DataFrame, root: str, most: int = v.MAX_SURFACES) -> DataFrame:
-    """Photos of one folder are one package, a loose photo is its own; the first ones are kept."""
+    """Photos of one folder are one package, a loose photo is its own; those past the first ``most`` carry the reason why they are not screened."""
     kinds = "|".join(v.BATCH_EXTENSIONS)
     rest = F.regexp_replace("path", f"^{root}/", "")
     pics = (files.where(F.col("path").rlike(f"(?i)\\.({kinds})$")).withColumn("rest", rest)
             .withColumn("package", F.expr("IF(contains(rest, '/'), 'package:' || substring_index(rest, '/', 1), rest)")))
     order = F.row_number().over(Window.partitionBy("package").orderBy("path"))
-    return pics.withColumn("surface_idx", order - 1).where(F.col("surface_idx") < most).select("package", "surface_idx", "path")
+    return pics.withColumn("surface_idx", order - 1).select("package", "surface_idx", "path", F.when(F.col("surface_idx") >= most, "too many photos").alias("reason"))
 
 
 def validate_surface_count(surfaces: DataFrame, most: int = v.MAX_SURFACES) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pkgscreen.operators import extract as ex
 from pkgscreen.operators import rules as r
 from pkgscreen.plans import inspection, screening
+from pkgscreen.sources import tables
 
 FRONT = ["ALMOND BITES", "MRP: Rs. 149.00", "Net Qty: 250 g"]
 BACK = ["Manufactured By: Hillside Foods Pvt Ltd", "Plot 14, Industrial Estate, 560001", "Mfg Date: 05/03/2026", "Best Before 05/09/2026",
@@ -55,6 +56,29 @@ def test_recogniser_fault_is_not_judged(screened):
     assert screened[0][5].route == "ENGINE_FAULT" and screened[0][5].score is None
 
 
+def test_rules_of_any_number_meet_packages_without_sending_packages_round(spark, monkeypatch):
+    lines = [x for p in range(1, 5) for x in rows(p, 0, FRONT[:p]) + rows(p, 1, BACK)]
+    metrics = [(p, s, f"s{s}", 200.0, 120.0, 50.0, 0.05, 0.1, None) for p in range(1, 5) for s in (0, 1)]
+    context = r.contexts(screening.evidence_run(spark.createDataFrame(lines, LINES), spark.createDataFrame(metrics, METRICS))).cache()
+    jobs = [lambda: r.evaluate_statutory(context, r.statutory_rules(spark)), lambda: r.evaluate_rules(context, r.generic_rules(spark))]
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    answers = lambda d: sorted((x.package_id, x.rule_id, x.status, x.reason) for x in d.collect())
+    few = [answers(job()) for job in jobs]
+    for job in jobs:
+        assert "CartesianProduct" not in plan(job()) and "BuildLeft" not in plan(job())
+    monkeypatch.setattr(r, "RULES_BROADCAST", 2)
+    for job, want in zip(jobs, few):
+        text = plan(job())
+        assert not {"CartesianProduct", "BuildLeft", "BroadcastHashJoin"} & set(text.replace("(", " ").split()) and "SortMergeJoin" in text
+        assert answers(job()) == want
+
+
+def test_photos_past_the_sixth_are_named(spark):
+    files = spark.createDataFrame([(f"in/p/{n}.jpg",) for n in range(8)] + [("in/x.png",)], "path string")
+    got = tables.group_surfaces(files, "in").collect()
+    assert len(got) == 9 and sorted(x.surface_idx for x in got if x.reason) == [6, 7]
+
+
 def test_price_traps(spark):
     lines = rows(1, 0, ["Protein 12.5 g", "Lic. No 10012345678901"]) + rows(2, 0, ["M.R.P", "Rs. 45.50"])
     got = {x.package_id: x for x in ex.extract_mrp(spark.createDataFrame(lines, LINES)).collect()}
