@@ -16,7 +16,7 @@ cte("clauses", r"""SELECT stem || '-' || lpad(CAST(n AS VARCHAR), CAST(greatest(
 check("clause_text", "SELECT chunk_id, document, rule_reference, page, text FROM [[clauses]]")
 check("clause_json", f"""SELECT CASE WHEN doc_id % 5 = 0 THEN 'C' || doc_id ELSE 'doc_' || doc_id || '-000' END AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN 'doc_' || doc_id WHEN doc_id % 2 = 0 THEN 'own' ELSE source END AS document,
   CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id AS INT) END AS page, text, CASE WHEN doc_id % 5 <> 0 THEN '2026-01-01' END AS effective_date FROM documents WHERE trim(text) <> ''""")
-cte("own", values([(a, e, b) for a, b, c, d, e, f, g in rulesets.STATUTORY if f], "chunk_id, text, category"))
+cte("own", values([(a, e, b) for a, b, c, d, e, f, g in rulesets.STATUTORY], "chunk_id, text, category"))
 cte("reg", """SELECT chunk_id, document, rule_reference, page, text, NULL AS category, 'document' AS source_type FROM [[clauses]]
 UNION ALL SELECT chunk_id, 'rules', chunk_id, NULL, text, category, 'ruleset' FROM [[own]]""")
 check("corpus_union", "SELECT chunk_id, document, source_type, category, page FROM [[reg]]")

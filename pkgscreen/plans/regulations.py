@@ -41,7 +41,7 @@ def raw_json(spark, sf):
 
 def corpus(spark, sf):
     def build():
-        named = r.statutory_rules(spark).where("size(fields) > 0").selectExpr(
+        named = r.statutory_rules(spark).selectExpr(
             "rule_id AS chunk_id", "'rules' AS document", "rule_id AS rule_reference", "title AS text", "category", "'ruleset' AS source_type")
         return rs.corpus_union(rs.clause_text(raw_texts(spark, sf)), named)
     return staged(spark, "corpus", sf, build)
