@@ -2,21 +2,23 @@
 
 Steps: (1) each text becomes its set of distinct word shingles, its MinHash
 signature and a hash of the set; rows with equal sets are one class. (2) The
-forest: ``TREES`` orders of the signatures, each by ``DEPTH`` of their values. In
-each order the classes that share a prefix of ``LEAST`` values form a region;
-regions of more than ``DENSE`` classes are split at a longer prefix, up to the
-whole label (adaptive depth). (3) Within a region a search over signatures
-finds which classes are near by estimate and emits one link for each to the first
-of its component, never all pairs; their components are provisional groups, a superset of
-the true ones. (4) Groups are confirmed on full sets: every pair of a group
+forest: trees of a few signature values each, as many and as deep as the similarity
+asks for (``forest``). In each tree the classes with equal values form a region;
+every region stays whole, however dense it is. (3) Within a region a search over
+signatures finds which classes are near by estimate and emits one link for each to the
+first of its component, never all pairs. A region of more than ``DENSE`` classes is not
+searched: all its classes are linked to its first, and (4) settles them exactly. The
+components are provisional groups, a superset of the true ones. (4) Groups are confirmed on full sets: every pair of a group
 whose ends are not yet linked is settled by exact intersections, in blocks of
 bounded size. Large groups are blocked: each block alone, then against the hubs
 of the other blocks, then the classes outside the main component against every
 block, which leaves no pair of different components unexamined. (5) Components
 of the confirmed links, by rounds of pointer jumping over written tables.
 
-A pair of similarity 0.85 misses all regions with probability
-(1 - 0.85^4)^16 = 7e-6 (5e-4 in dense regions); everything after that is exact. Nothing is capped.
+A pair of the asked similarity misses all regions with probability at most ``MISS`` = 1e-5
+(0.85: 16 trees of 4 values, 8e-6; 0.80: 22 trees, 9e-6), in dense regions as well, and is
+overlooked by the search of a region with 3e-7 at most (an estimate five deviations low);
+everything after that is exact. Nothing is capped.
 
 Defined results: a text without words or null has an empty set, size 0, and is
 linked with nothing; fewer words than ``k`` give the whole sequence as one
@@ -27,6 +29,7 @@ kept. Extra columns pass through ``apply``; scratch columns are prefixed ``_nd_`
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +43,10 @@ from pkgscreen.llm.components import components
 
 SHINGLE = 3
 SIMILAR = 85
-TREES, DEPTH, LEAST = 16, 8, 4
+DEPTH, MISS = 4, 1e-5
 DENSE = 4096
-NEAR = 0.68  # least share of equal signature values for a provisional link: 0.85 less five deviations
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 2_000_000
-N = TREES * DEPTH
+N = 128  # signature values
 _A = th.mix(np.arange(1, N + 1, dtype=np.uint64)) | np.uint64(1)
 _B = th.mix(np.arange(N + 1, 2 * N + 1, dtype=np.uint64))
 
@@ -91,38 +93,43 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         _signer(k), "_nd_id long, n_shingles long, set1 long, set2 long, sig binary")
 
 
-def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per tree and class: the region keys at the depths LEAST, LEAST+2, ..., DEPTH."""
-    for batch in batches:
-        n = batch.num_rows
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, TREES, DEPTH).astype(np.uint64)
-        keys, h = [], np.zeros((n, TREES), np.uint64) + np.arange(TREES, dtype=np.uint64)
-        for d in range(DEPTH):
-            h = th.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, d] + np.uint64(1))
-            if d + 1 >= LEAST and (d + 1 - LEAST) % 2 == 0:
-                keys.append(pa.array(h.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), *keys], ["cls", *(f"key{i}" for i in range(len(keys)))])
-
-
-LEVELS = (DEPTH - LEAST) // 2 + 1
-
-
-def regions(classes: DataFrame) -> DataFrame:
-    """(region, cls) of every region with two classes or more, at the depth that its density asks for."""
-    rows = written(classes.select("_nd_id", "sig").mapInArrow(_labels, "cls long, " + ", ".join(f"key{i} long" for i in range(LEVELS))), "labels")
-    found = []
-    for level in range(LEVELS):
-        key, last = f"key{level}", level == LEVELS - 1
-        sizes = written(rows.groupBy(key).count().where("count > 1").withColumnRenamed(key, "region"), "sizes")
-        sized = rows.join(sizes, F.col(key) == F.col("region"))
-        found.append(sized.where(F.lit(True) if last else F.col("count") <= DENSE).select("region", "cls", F.lit(level).alias("level")))
-        if last or not sizes.where(F.col("count") > DENSE).limit(1).count():
-            break
-        rows = written(sized.where(F.col("count") > DENSE).select("cls", *(f"key{i}" for i in range(level + 1, LEVELS))), "dense")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out
+def forest(similar: int) -> tuple[int, int]:
+    """Trees and values of each that overlook a pair of the similarity with probability MISS at most; for very low ones all values, one a tree."""
+    p = min(max(similar, 1), 100) / 100
+    for depth in range(DEPTH, 0, -1):
+        trees = 1 if p == 1 else math.ceil(math.log(MISS) / math.log1p(-(p**depth)))
+        if trees * depth <= N:
+            return trees, depth
+    return N, 1
+
+
+def least_equal(similar: int) -> int:
+    """Least number of equal signature values for a provisional link: the expected number less five deviations."""
+    p = similar / 100
+    return max(1, int(N * p - 5 * math.sqrt(N * p * (1 - p))))
+
+
+def _labeller(similar: int):
+    trees, depth = forest(similar)
+
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per tree and class: the key of its region."""
+        for batch in batches:
+            n = batch.num_rows
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, N)[:, :trees * depth].reshape(n, trees, depth).astype(np.uint64)
+            h = np.zeros((n, trees), np.uint64) + np.arange(trees, dtype=np.uint64)
+            for d in range(depth):
+                h = th.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, d] + np.uint64(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), trees)), pa.array(h.reshape(-1).view(np.int64))], ["cls", "region"])
+
+    return labels
+
+
+def regions(classes: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(region, cls, n, first) of every region with two classes or more."""
+    rows = written(classes.select("_nd_id", "sig").mapInArrow(_labeller(similar), "cls long, region long"), "labels")
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).where("n > 1").withColumnRenamed("region", "of")
+    return rows.join(written(sizes, "sizes"), F.col("region") == F.col("of")).select("region", "cls", "n", "first")
 
 
 def _near_forest(sig: np.ndarray, need: int) -> tuple[list[int], list[int]]:
@@ -141,36 +148,37 @@ def _near_forest(sig: np.ndarray, need: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Provisional links of each region; rows come sorted by region. A region above DENSE (equal
-    labels throughout) is worked through in runs of DENSE classes that share their first class."""
-    def emit(cls, sig):
-        a, b = _near_forest(sig, need)
-        return np.asarray(cls)[a], np.asarray(cls)[b]
+def _linker(similar: int):
+    """Provisional links of each region; rows come sorted by region."""
+    need = least_equal(similar)
 
-    need, region, cls, sig, out = int(NEAR * N), None, [], [], []
-    def flush():
-        if len(cls) > 1:
-            out.append(emit(cls, np.frombuffer(b"".join(sig), np.uint8).reshape(len(cls), N)))
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, cls, sig, out = None, [], [], []
 
-    for batch in batches:
-        for r, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if r != region:
-                flush()
-                region, cls, sig = r, [], []
-            elif len(cls) >= DENSE:
-                flush()
-                cls, sig = cls[:1], sig[:1]
-            cls.append(c)
-            sig.append(s)
-        if out:
+        def flush():
+            if len(cls) > 1:
+                a, b = _near_forest(np.frombuffer(b"".join(sig), np.uint8).reshape(len(cls), N), need)
+                out.append((np.asarray(cls)[a], np.asarray(cls)[b]))
+
+        def found():
             a, b = (np.concatenate(x).astype(np.int64) for x in zip(*out))
-            out = []
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-    flush()
-    if out:
-        a, b = (np.concatenate(x).astype(np.int64) for x in zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            for r, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if r != region:
+                    flush()
+                    region, cls, sig = r, [], []
+                cls.append(c)
+                sig.append(s)
+            if out:
+                yield found()
+        flush()
+        if out:
+            yield found()
+
+    return links
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +189,12 @@ def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in low], pa.binary())], ["of", "sig"])
 
 
-def provisional_links(classes: DataFrame) -> DataFrame:
-    found = written(regions(classes), "regions")
+def provisional_links(classes: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    found = written(regions(classes, similar), "regions")
     short = classes.select("_nd_id", "sig").mapInArrow(_bytes_of, "of long, sig binary")
-    rows = found.join(short, F.col("cls") == F.col("of")).select("region", "cls", "sig")
-    return rows.repartition("region").sortWithinPartitions("region", "cls").mapInArrow(_links, "a long, b long")
+    rows = found.where(F.col("n") <= DENSE).join(short, F.col("cls") == F.col("of")).select("region", "cls", "sig")
+    near = rows.repartition("region").sortWithinPartitions("region", "cls").mapInArrow(_linker(similar), "a long, b long")
+    return near.unionAll(found.where((F.col("n") > DENSE) & (F.col("first") < F.col("cls"))).select(F.col("first").alias("a"), F.col("cls").alias("b")))
 
 
 def _setter(k: int):
@@ -314,7 +323,7 @@ def dedup(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -> DataFram
              .agg(F.min("_nd_id").alias("head"), F.min_by("sig", "_nd_id").alias("sig")))
     alike = written(alike, "classes")
     classes = alike.select(F.col("head").alias("_nd_id"), "n_shingles", "sig")
-    provisional = written(provisional_links(classes), "provisional")
+    provisional = written(provisional_links(classes, similar), "provisional")
     found = components(confirmed_links(classes, docs, provisional, k, similar))
     named = alike.select("set1", "set2", F.col("n_shingles").alias("size"), "head").join(found, F.col("head") == F.col("node"), "left")
     named = written(named.select(F.col("set1").alias("c1"), F.col("set2").alias("c2"), "size", F.coalesce("component", "head").alias("component_id")), "named")

@@ -91,6 +91,26 @@ def test_near_copies(docs, texts, monkeypatch, block):
         assert near_dedup.apply(docs).columns == docs.columns and near_dedup.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_near_copies_in_dense_regions(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "DENSE", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", block)
+    texts = {}
+    for i in range(150):  # pairs of similarity 90 / 112, just above 0.80
+        both = [f"p{i}w{j}" for j in range(90)]
+        texts[2 * i] = " ".join(both + [f"a{i}x{j}" for j in range(11)])
+        texts[2 * i + 1] = " ".join(both + [f"b{i}x{j}" for j in range(11)])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 1, 80).collect()}
+    assert got == brute_components(texts, 1, 80)
+
+
+def test_forest_is_sized_for_the_similarity():
+    for similar in (50, 70, 80, 85, 95, 100):
+        trees, depth = near_dedup.forest(similar)
+        assert trees * depth <= near_dedup.N and (1 - (similar / 100) ** depth) ** trees <= near_dedup.MISS
+    assert near_dedup.forest(85) == (16, 4) and near_dedup.forest(80) == (22, 4)
+
+
 def test_packing(docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
