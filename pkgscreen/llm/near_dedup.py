@@ -11,8 +11,10 @@ searched: all its classes are linked to its first, and (4) settles them exactly.
 components are provisional groups, a superset of the true ones. (4) Groups are confirmed on full sets: every pair of a group
 whose ends are not yet linked is settled by exact intersections, in blocks of
 bounded size. Large groups are blocked: each block alone, then against the hubs
-of the other blocks, then the classes outside the main component against every
-block, which leaves no pair of different components unexamined. (5) Components
+of at most ``HUBS`` blocks, then the classes outside the main component against the
+other blocks, two blocks a task. Of two blocks only the classes come together that share
+a shingle of their prefixes (the rarest shingles of a set, of which similar sets have
+one in common), which leaves no pair of different components unexamined. (5) Components
 of the confirmed links, by rounds of pointer jumping over written tables.
 
 A pair of the asked similarity misses all regions with probability at most ``MISS`` = 1e-5
@@ -46,6 +48,8 @@ SIMILAR = 85
 DEPTH, MISS = 4, 1e-5
 DENSE = 4096
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 2_000_000
+HUBS = 64  # blocks of a group whose hubs visit the others; only saves work, the last step examines what is left
+CELLS = 1 << 18  # of the count of shingles that orders them by rarity
 N = 128  # signature values
 _A = th.mix(np.arange(1, N + 1, dtype=np.uint64)) | np.uint64(1)
 _B = th.mix(np.arange(N + 1, 2 * N + 1, dtype=np.uint64))
@@ -279,6 +283,55 @@ def _confirm(rows: DataFrame, similar: int, name: str) -> DataFrame:
                    .mapInArrow(_confirmer(similar), "a long, b long"), name)
 
 
+def _cells_of(shingles: np.ndarray) -> np.ndarray:
+    return (th.mix(shingles) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for s in batch.column(0).to_pylist():
+            np.add.at(count, _cells_of(np.frombuffer(s, np.uint64)), 1)
+    cell = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count[cell])], ["cell", "n"])
+
+
+def prefix(shingles: np.ndarray, count: np.ndarray, similar: int) -> np.ndarray:
+    """The rarest shingles of a set, by (count of the cell, value), so many that any set of the similarity has one of them among its own."""
+    n = len(shingles) - (similar * len(shingles) + 99) // 100 + 1
+    return shingles[np.lexsort((shingles, count[_cells_of(shingles)]))[:n]]
+
+
+def _prefixer(similar: int, counts):
+    """Rows (component, part, cls, outside, shingles): a row (component, part, cls, outside, shingle) for each shingle of the prefix."""
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counts.value
+        for batch in batches:
+            found = [prefix(np.frombuffer(s, np.uint64), count, similar) for s in batch.column(4).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            shingle = np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(4)), pa.array(shingle)], ["component", "part", "cls", "outside", "shingle"])
+
+    return prefixes
+
+
+def _meetings(named: DataFrame, similar: int) -> DataFrame:
+    """(cls, lower, upper): the pairs of blocks in which a class can meet a similar one, with one of the two outside."""
+    spark = named.sparkSession
+    cells = named.select("shingles").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    count = np.zeros(CELLS, np.int64)  # a fixed size, whatever the input
+    count[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+    rows = named.select("component", "part", "cls", "outside", "shingles").mapInArrow(
+        _prefixer(similar, spark.sparkContext.broadcast(count)), "component long, part int, cls long, outside boolean, shingle long")
+    rows = written(rows, "prefixes")
+    places = rows.groupBy("component", "shingle", "part").agg(F.max("outside").alias("any"))
+    places = places.groupBy("component", "shingle").agg(F.collect_list("part").alias("parts"), F.expr("collect_list(part) FILTER (WHERE any)").alias("outer"))
+    places = written(places.where("size(parts) > 1 AND size(outer) > 0"), "places").withColumnsRenamed({"component": "of", "shingle": "at"})
+    met = rows.join(places, (F.col("component") == F.col("of")) & (F.col("shingle") == F.col("at")))
+    met = met.select("cls", "part", F.explode(F.expr("IF(outside, parts, outer)")).alias("to")).where("to <> part").distinct()
+    return met.select("cls", F.least("part", "to").alias("lower"), F.greatest("part", "to").alias("upper"))
+
+
 def confirmed_links(classes: DataFrame, docs: DataFrame, links: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """All links of the provisional groups that matter for components, each confirmed on full sets."""
     groups = components(links)  # node, component
@@ -294,26 +347,28 @@ def confirmed_links(classes: DataFrame, docs: DataFrame, links: DataFrame, k: in
         return links
     sets = written(sets.where("n_blocks > 1"), "large")
 
-    def with_guests(guests: DataFrame, known: DataFrame, name: str) -> DataFrame:
-        """Exact links between ``guests`` (component, cls) and every block of their group."""
-        named = sets.join(known.withColumnsRenamed({"node": "cls", "component": "group"}), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
-        own = named.select(block, "cls", "group", F.lit(False).alias("guest"), "shingles")
-        sent = (named.join(guests.select("cls"), "cls", "left_semi").withColumn("to", F.explode(F.expr("sequence(0, n_blocks - 1)"))).where("to <> part")
-                .select(F.xxhash64("component", "to").alias("block"), "cls", "group", F.lit(True).alias("guest"), "shingles"))
-        return _confirm(own.unionAll(sent), similar, name)
+    def named(known: DataFrame) -> DataFrame:
+        return sets.join(known.withColumnsRenamed({"node": "cls", "component": "group"}), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
 
     # the hubs of a block: the ends of its components with the most members
     known = written(components(links), "known")
     sizes = known.groupBy(F.col("component").alias("group")).agg(F.count(F.lit(1)).alias("n"))
-    first = sets.select("component", "part", "cls").join(known.withColumnsRenamed({"node": "cls", "component": "group"}), "cls").join(sizes, "group")
+    first = sets.where(F.col("part") < HUBS).select("component", "part", "cls").join(known.withColumnsRenamed({"node": "cls", "component": "group"}), "cls").join(sizes, "group")
     hubs = first.groupBy("component", "part").agg(F.max_by("cls", F.struct("n", "cls")).alias("cls"))
-    links = written(links.unionAll(with_guests(hubs.select("component", "cls"), known, "hubs")), "linked")
-    known = written(components(links), "known2")
-    named = sets.select("component", "cls").join(known.withColumnsRenamed({"node": "cls", "component": "group"}), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
-    sizes = written(named.groupBy("component", "group").agg(F.count(F.lit(1)).alias("n")), "sizes2")
-    main = sizes.groupBy("component").agg(F.max_by("group", F.struct("n", "group")).alias("main"))
-    outside = named.join(main, "component").where("group <> main")
-    return written(links.unionAll(with_guests(outside.select("component", "cls"), known, "rest")), "all-links")
+    own = named(known)
+    sent = (own.join(hubs.select("cls"), "cls", "left_semi").withColumn("to", F.explode(F.expr("sequence(0, n_blocks - 1)"))).where("to <> part")
+            .select(F.xxhash64("component", "to").alias("block"), "cls", "group", F.lit(True).alias("guest"), "shingles"))
+    found = _confirm(own.select(block, "cls", "group", F.lit(False).alias("guest"), "shingles").unionAll(sent), similar, "hubs")
+    links = written(links.unionAll(found), "linked")
+    # the classes outside the main component, in pairs of blocks
+    own = named(written(components(links), "known2"))
+    sizes = own.groupBy("component", "group").agg(F.count(F.lit(1)).alias("n"))
+    main = written(sizes.groupBy("component").agg(F.max_by("group", F.struct("n", "group")).alias("main")), "main").withColumnRenamed("component", "of")
+    own = written(own.join(main, F.col("component") == F.col("of")).select("component", "part", "cls", "group", (F.col("group") != F.col("main")).alias("outside"), "shingles"), "outside")
+    met = _meetings(own, similar).withColumnRenamed("cls", "who")
+    rows = own.join(met, F.col("cls") == F.col("who")).select(
+        F.xxhash64("component", "lower", "upper").alias("block"), "cls", "group", (F.col("part") == F.col("upper")).alias("guest"), "shingles")
+    return written(links.unionAll(_confirm(rows, similar, "rest")), "all-links")
 
 
 def dedup(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:

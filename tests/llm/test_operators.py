@@ -104,6 +104,27 @@ def test_near_copies_in_dense_regions(spark, monkeypatch, block):
     assert got == brute_components(texts, 1, 80)
 
 
+def test_a_task_holds_two_blocks_at_most(spark, monkeypatch):
+    """A family on one template, each unlike the others by a fourth, with a few similar pairs in it."""
+    held, confirm = [], near_dedup._confirm
+
+    def counting(rows, similar, name):
+        rows = near_dedup.written(rows, "rows")
+        held.append((name, max([r["count"] for r in rows.groupBy("block").count().collect()], default=0)))
+        return confirm(rows, similar, name)
+
+    monkeypatch.setattr(near_dedup, "DENSE", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(near_dedup, "_confirm", counting)
+    common = [f"c{j}" for j in range(60)]
+    texts = {i: " ".join(common + [f"d{i}w{j}" for j in range(20)]) for i in range(120)}
+    texts |= {i + 120: texts[i] + f" more{i}" for i in range(0, 120, 6)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 1, 85).collect()}
+    assert got == brute_components(texts, 1, 85)
+    inside, rest = (dict(held)[name] for name in ("inside", "rest"))
+    assert rest <= 2 * inside
+
+
 def test_forest_is_sized_for_the_similarity():
     for similar in (50, 70, 80, 85, 95, 100):
         trees, depth = near_dedup.forest(similar)
