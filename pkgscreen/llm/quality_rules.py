@@ -3,10 +3,12 @@
 Each rule's values are summarised per (lang, source) in a mergeable quantile
 sketch: counts of logarithmic cells with relative width ``GAMMA`` (merging is
 adding counts, so Spark's partial aggregation is the merge and a hot source is
-reduced before it is shuffled). A rule's cut is the group's median plus
-``SPREAD`` times the distance from the median to the upper quartile, held between the
-rule's floor and ``CEILING`` times the floor (so that a small group that is mostly junk
-cannot excuse itself); a document above a cut is rejected. Joined filtering then applies the cuts.
+reduced before it is shuffled). A language's sketch is merged with the corpus's at the weight
+of ``PRIOR`` documents, a group's sketch with its language's likewise, so that a small group
+that is mostly junk cannot excuse itself while a large one is judged by its own values. A
+rule's cut is the median plus ``SPREAD`` times the distance from the median to the upper
+quartile (two cells at least, since a sketch shows no less), with no upper limit, and at
+least the rule's floor: what is below it is never rejected. A document above a cut is rejected. Joined filtering then applies the cuts.
 
 Words are runs without ``[\\x20\\x09-\\x0D]`` of the whole text. Defined results:
 null text has no words and fails the base rule; null lang or source is a group
@@ -30,7 +32,7 @@ from pkgscreen.llm.base import broadcast_if, written
 
 GAMMA = 1.02
 SPREAD = 6.0
-CEILING = 4.0
+PRIOR = 100.0
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # rule: (value from the counts, floor of its cut)
@@ -131,17 +133,45 @@ def sketches(counted: DataFrame) -> DataFrame:
             .groupBy("_qr_lang", "_qr_source", "rule", F.expr(cell).alias("cell")).count())
 
 
+def _shrinker(prior: float):
+    """Rows (lang, source, rule, cells, counts, p_cells, p_counts): the sketch merged with its prior, its median's and upper quartile's cells."""
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cells, counts, p_cells, p_counts in zip(*(batch.column(i).to_pylist() for i in range(3, 7))):
+                more = np.array(p_counts) * (prior / sum(p_counts))
+                cell, at = np.unique(np.array(cells + p_cells, np.int64), return_inverse=True)
+                weight = np.bincount(at, np.concatenate([counts, more]))
+                upto = np.cumsum(weight)
+                m, u = (int(cell[np.searchsorted(upto, q * upto[-1] * (1 - 1e-12))]) for q in (0.5, 0.75))
+                out.append((cell.tolist(), weight.tolist(), m, u))
+            cell, weight, m, u = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(cell, pa.list_(pa.int64())), pa.array(weight, pa.list_(pa.float64())),
+                                              pa.array(m, pa.int64()), pa.array(u, pa.int64())], ["_qr_lang", "_qr_source", "rule", "cells", "counts", "m", "u"])
+
+    return shrink
+
+
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per group with the cut of each rule, read off the sketches."""
-    cells = (sketch.groupBy("_qr_lang", "_qr_source", "rule")
-             .agg(F.sort_array(F.collect_list(F.struct("cell", "count"))).alias("cells"), F.sum("count").alias("n")))
-    quantile = ("CAST(element_at(filter(transform(cells, (c, i) -> struct(c.cell AS cell, aggregate(slice(cells, 1, i + 1), 0L, (s, x) -> s + x.count) AS upto)), "
-                "x -> x.upto >= {q} * n), 1).cell AS DOUBLE)")
+    def merged(*keys: str) -> DataFrame:
+        rows = sketch.groupBy(*keys, "rule", "cell").agg(F.sum("count").alias("count"))
+        rows = rows.groupBy(*keys, "rule").agg(F.sort_array(F.collect_list(F.struct("cell", "count"))).alias("s"))
+        return rows.select(*keys, "rule", F.expr("CAST(s.cell AS ARRAY<BIGINT>)").alias("cells"), F.expr("CAST(s.count AS ARRAY<DOUBLE>)").alias("counts"))
+
+    def shrunk(rows: DataFrame) -> DataFrame:
+        schema = StructType([*rows.select("_qr_lang", "_qr_source", "rule", "cells", "counts").schema.fields, StructField("m", LongType()), StructField("u", LongType())])
+        return rows.select("_qr_lang", "_qr_source", "rule", "cells", "counts", "p_cells", "p_counts").mapInArrow(_shrinker(PRIOR), schema)
+
+    text = sketch.schema["_qr_source"].dataType
+    corpus = merged().withColumnsRenamed({"rule": "p_rule", "cells": "p_cells", "counts": "p_counts"})  # a row per rule
+    langs = merged("_qr_lang").join(F.broadcast(corpus), F.col("rule") == F.col("p_rule")).withColumn("_qr_source", F.lit(None).cast(text))
+    langs = written(shrunk(langs), "languages").select(F.col("_qr_lang").alias("p_lang"), F.col("rule").alias("p_rule"), F.col("cells").alias("p_cells"), F.col("counts").alias("p_counts"))
+    cells = merged("_qr_lang", "_qr_source").join(broadcast_if(langs, 1000), F.col("_qr_lang").eqNullSafe(F.col("p_lang")) & (F.col("rule") == F.col("p_rule")))
     value = "IF({c} <= -1000000, 0.0D, 2 * pow({g}, {c}) / (1 + {g}))"
-    cells = cells.withColumn("m", F.expr(quantile.format(q=0.5))).withColumn("u", F.expr(quantile.format(q=0.75)))
-    cells = cells.withColumn("m", F.expr(value.format(c="m", g=GAMMA))).withColumn("u", F.expr(value.format(c="u", g=GAMMA)))
+    cells = shrunk(cells).select("_qr_lang", "_qr_source", "rule", F.expr(value.format(c="m", g=GAMMA)).alias("m"), F.expr(value.format(c="u", g=GAMMA)).alias("u"))
     floor = F.expr("CASE rule " + " ".join(f"WHEN '{name}' THEN {low}D" for name, (_, low) in RULES.items()) + " END")
-    cut = F.round(F.least(F.greatest(floor, F.expr(f"m + {SPREAD} * (u - m)")), floor * CEILING), 9)
+    cut = F.round(F.greatest(floor, F.expr(f"m + {SPREAD} * greatest(u - m, m * {GAMMA**2 - 1})")), 9)
     return (cells.withColumn("cut", cut).groupBy("_qr_lang", "_qr_source")
             .agg(*(F.max(F.when(F.col("rule") == name, F.col("cut"))).alias(f"cut_{name}") for name in RULES)))
 

@@ -51,6 +51,48 @@ def test_quality_counts_and_clashing_columns(spark, docs, texts):
     assert quality_rules.evaluate(docs.limit(0)).count() == 0
 
 
+def test_quality_cuts_against_brute_force(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(400):  # words of 4 to 8, of 70 to 100 (a script without spaces), markup, and a small source of long junk
+        kind = ("en", "web") if i < 200 else ("zh", "web") if i < 300 else ("en", "markup") if i < 390 else (None, "junk")
+        low, high = {("zh", "web"): (70, 100), (None, "junk"): (300, 900)}.get(kind, (4, 8))
+        word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(low, high))) + ("<$|#" * rnd.randint(0, 2) if kind[1] == "markup" else "")
+        rows.append((i, " ".join(word() for _ in range(60)), *kind))
+    got = {r.doc_id: r for r in quality_rules.evaluate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    sketch = defaultdict(Counter)
+    value = {}
+    for i, _, lang, source in rows:
+        n = got[i].n_words
+        value[i] = dict(symbols=got[i].n_symbols / n, long_words=got[i].word_chars / n, dup_lines=got[i].n_dup_lines / n, repeats=got[i].n_repeat_words / n)
+        for rule, v in value[i].items():
+            cell = int(np.ceil(np.log(v) / np.log(1.02))) if v > 0 else None
+            for key in ((), (lang,), (lang, source)):
+                sketch[key, rule][cell] += 1
+
+    def shrink(own, prior):
+        total = sum(prior.values())
+        return {c: own[c] + 100 * prior.get(c, 0) / total for c in {*own, *prior}}
+
+    def quantile(cells, q):
+        order, upto = sorted(cells, key=lambda c: -1e9 if c is None else c), 0
+        for c in order:
+            upto += cells[c]
+            if upto >= q * sum(cells.values()) - 1e-6:
+                return 0.0 if c is None else 2 * 1.02**c / 2.02
+
+    for i, _, lang, source in rows:
+        kept = True
+        for rule, (_, floor) in quality_rules.RULES.items():
+            own = shrink(sketch[(lang, source), rule], shrink(sketch[(lang,), rule], sketch[(), rule]))
+            m, u = quantile(own, 0.5), quantile(own, 0.75)
+            cut = max(floor, m + 6 * max(u - m, m * (1.02**2 - 1)))
+            assert abs(got[i][f"cut_{rule}"] - cut) < 1e-6, (rule, lang, source)
+            kept = kept and value[i][rule] <= cut
+        assert got[i].kept == kept
+        assert kept == (source != "junk"), i  # clean documents stay whatever their script; a small source of junk does not excuse itself
+
+
 def test_lines(docs, texts):
     key = lambda x: x.strip(" \t\n\x0b\f\r").translate(LOWER)
     holders = defaultdict(set)
