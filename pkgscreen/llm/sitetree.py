@@ -5,8 +5,10 @@ elements (tag and class), each with the presentations (sequences of children) an
 contents seen under it on distinct pages. A node's importance is the larger of
 the normalised entropies of its presentations and of its contents: what looks and
 reads the same on every page has importance near 0 and is cut as a branch,
-together with branches that their element or class names as menu, header, footer,
-sidebar, notice, advert, form, script or reader comments. The rest of the article
+together with branches that their element, a whole class or a whole id names as menu, header,
+footer, sidebar, notice, advert, form, script or reader comments. An id does not name a
+heading or section, and no name but that of reader comments cuts an element that holds all
+articles (or main parts) of the page, or paragraphs with most of its text. The rest of the article
 (or main part, or body, where a page has none) is the text; paragraphs and
 headings of an article are never cut by importance.
 
@@ -41,7 +43,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
-RAW = set("script style textarea title noscript iframe noframes xmp template svg math select object".split())
+RAW = set("script style textarea title noscript iframe noframes xmp template svg select object annotation annotation-xml".split())
+OPEN = set("noscript template svg select object annotation annotation-xml".split())  # left open they hide nothing
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
             "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -52,16 +55,19 @@ NOISE_WORD = set("ad ads advert adverts advertisement advertising sponsor sponso
                  "masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended "
                  "recommendations comment comments disqus reply replies respond widget toolbar pagination pager login search skip".split())
 NOISE_ROLE = set("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+COMMENT_WORD = set("comment comments disqus reply replies respond".split())
 CONTENT_WORD = set("article content post entry story main".split())
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "texts", "path", "order")
+    __slots__ = ("tag", "names", "whole", "holds", "role", "hidden", "parent", "children", "texts", "path", "order")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.children, self.texts = tag, parent, [], []
         own = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         self.names = set(_WORDS.findall(own.get("class", "") + " " + own.get("id", "")))
+        self.whole = set(own.get("class", "").split()) | (set() if tag in HEADING or tag == "section" else {own.get("id", "")})
+        self.holds = False
         self.role = own.get("role", "")
         self.hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
         label = f"{tag}.{own.get('class', '')}"
@@ -70,10 +76,12 @@ class Node:
             parent.children.append(self)
 
     def noise(self) -> bool:
-        return self.tag in NOISE_TAG or self.hidden or self.role in NOISE_ROLE or bool(self.names & NOISE_WORD)
+        if self.hidden or self.whole & COMMENT_WORD:
+            return True
+        return not self.holds and (self.tag in NOISE_TAG or self.role in NOISE_ROLE or bool(self.whole & NOISE_WORD))
 
     def header(self) -> bool:
-        return self.tag == "header" or "header" in self.names
+        return not self.holds and (self.tag == "header" or "header" in self.whole)
 
 
 def parse(page: str) -> Node:
@@ -103,7 +111,7 @@ def parse(page: str) -> Node:
         if tag in RAW:
             if not m[3].endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
+                at = close.end() if close else at if tag in OPEN else end
             continue
         if tag in BLOCK:
             shut = CLOSES.get(tag, ())
@@ -161,6 +169,32 @@ def _walk(root: Node) -> Iterator[Node]:
         stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
 
+def _mark(tree: Node) -> None:
+    """Set ``holds`` where an element holds all articles (without any: main parts) of the page, or paragraphs with most of its text outside links."""
+    order = list(_walk(tree))
+    kinds = [lambda n: n.tag == "article" or n.role == "article", lambda n: n.tag == "main" or n.role == "main"]
+    said = next((kind for kind in kinds if any(map(kind, order))), lambda n: False)
+    sums = {id(n): [0, 0, 0] for n in order}
+    inside: dict[int, bool] = {}
+    linked: dict[int, bool] = {}
+    for n in order:
+        inside[id(n)] = n.tag == "p" or (n.parent is not None and inside[id(n.parent)])
+        linked[id(n)] = n.tag == "a" or (n.parent is not None and linked[id(n.parent)])
+    for n in reversed(order):
+        own = sums[id(n)]
+        own[0] += said(n)
+        text = 0 if linked[id(n)] else sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        own[1] += text if inside[id(n)] else 0
+        own[2] += text
+        if n.parent is not None:
+            for i in range(3):
+                sums[id(n.parent)][i] += own[i]
+    articles, _, text = sums[id(tree)]
+    for n in order:
+        a, t, _ = sums[id(n)]
+        n.holds = n.tag != "p" and ((articles > 0 and a == articles) or 2 * t > text)
+
+
 def _roots(tree: Node) -> tuple[list[Node], bool]:
     """The parts that hold the article, outermost first found; whether they are said to."""
     def outermost(test):
@@ -188,6 +222,7 @@ def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     tree = parse(page)
+    _mark(tree)
     roots, named = _roots(tree)
     keep = {"p", "pre", "blockquote", "ul", "ol", "li", "table", "tr", "td", "tbody", "figure", *HEADING}
 

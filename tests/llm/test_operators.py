@@ -277,6 +277,22 @@ def test_main_text(spark):
     assert got[3] == "T3 A&B cd e x é" and got[12] == "Text 2 w w" and got[30] == "" and got[31] == "a<"
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body><div class='layout has-sidebar'><article><p>Text here</p></article></div>", "Text here"),
+    ("<body><article class='post has-related'><p>Text here</p><div class=related>no</div></article>", "Text here"),
+    ("<body><form id=f><article><p>Text here</p></article></form>", "Text here"),
+    ("<body><article><form><p>Text here</p></form></article>", "Text here"),
+    ("<body><div class=sidebar><p>Text here</p></div>", "Text here"),
+    ("<body><article><h2 id='related-work'>Related work</h2><section id='social-impact'><p>Text</p></section><h2 id=search>Search</h2></article>", "Related work Text Search"),
+    ("<body><article><p>Before</p><svg><p>After</p></article>", "Before After"),
+    ("<body><article><p>Let <math><mi>x</mi><annotation>no</annotation></math> be</p></article>", "Let x be"),
+    ("<body><article><p>Short</p><div class=comments><p>Much longer words of readers</p></div></article><nav>menu</nav>", "Short"),
+    ("<body><div>A page whose text stands in no paragraph</div><footer><p>Copyright</p></footer>", "A page whose text stands in no paragraph"),
+])
+def test_names_never_cut_the_article(page, want):
+    assert sitetree.main_text(page) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
