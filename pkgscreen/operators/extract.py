@@ -142,26 +142,25 @@ def by_surface(lines: DataFrame, flags: list[str], surfaces: DataFrame | None =
 
     ``surfaces`` adds the columns known per photo (and photos without any line):
     both kinds of rows travel in one exchange by package and meet in one
-    grouping, so there is no join. Only raw lines are moved; flags are taken
-    where the photo already is one row.
+    grouping, so there is no join. Only raw lines are moved; flags are taken behind
+    the exchange on flat rows, as compiled expressions, before lines are grouped.
     """
     keys = ["package_id", "surface_idx", "surface_name"]
     raw = ["line_no", *_BASE]
     extra = [c for c in surfaces.columns if c not in keys] if surfaces is not None else []
-    rows = lines.select(*keys, F.struct(*raw).alias("line"))
+    rows = lines.select(*keys, *raw, F.lit(True).alias("_line"))
     if surfaces is not None:
         rows = rows.unionByName(surfaces.select(*keys, *extra), allowMissingColumns=True)
-    photos = (
-        spread(rows, "package_id").groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("line")).alias("lines"), *[F.max(c).alias(c) for c in extra]))
+    rows = spread(rows, "package_id")
     values = list(LINE_VALUES)
-    first = ", ".join(f"'{n}', x.{n}" for n in raw) + ", 'pos', i, " + ", ".join(
-        f"'{n}', {_of_line(LINE_VALUES[n], 'x', _BASE)}" for n in values)
-    known = ["pos", *raw, *values]
-    second = ", ".join(f"'{n}', x.{n}" for n in known) + "".join(
-        f", '{n}', {_of_line(LINE_FLAGS[n], 'x', _BASE + values)}" for n in flags if n not in values)
-    return photos.withColumn("lines", F.expr(
-        f"transform(transform(lines, (x, i) -> named_struct({first})), x -> named_struct({second}))"))
+    rows = rows.withColumns({n: F.expr(LINE_VALUES[n]) for n in values})
+    known = [*raw, *values]
+    named = [n for n in flags if n not in values]
+    cells = ", ".join([f"'{n}', {n}" for n in known] + [f"'{n}', {LINE_FLAGS[n]}" for n in named])
+    line = F.when(F.col("_line"), F.expr(f"named_struct({cells})"))
+    photos = rows.select(*keys, *extra, line.alias("line")).groupBy(*keys).agg(F.array_sort(F.collect_list("line")).alias("lines"), *[F.max(c).alias(c) for c in extra])
+    placed = ", ".join(["'pos', i", *(f"'{n}', x.{n}" for n in [*known, *named])])
+    return photos.withColumn("lines", F.expr(f"transform(lines, (x, i) -> named_struct({placed}))"))
 
 
 def _within(anchor: str, before: int, after: int) -> str:

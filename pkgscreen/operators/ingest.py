@@ -43,23 +43,24 @@ def chunk_documents(docs: DataFrame, size: int = 300, overlap: int = 40, least:
 
     A new chunk starts with the last sentences of the one before, at least
     ``overlap`` words of them, and its length counts just those words. Chunks of
-    ``least`` words or fewer are dropped before numbering. One fold over the
-    sentences of a document, inside its row: no exchange.
+    ``least`` words or fewer are dropped before numbering. Inside the row, without
+    an exchange: one fold over the sentences' word counts finds the chunks' first
+    and last sentences, looking back over at most ``overlap`` of them where a chunk
+    ends; then each chunk's sentences are joined once. So the work is linear in the text.
     """
-    sentence = "struct<s:string,n:int>"
-    state = f"struct<cur:array<{sentence}>,len:int,done:array<string>>"
-    sentences = (f"transform(split({one_spaced('text')}, {sq('(?<=[.!?]) ')}), s -> named_struct('s', s, 'n', size(split(s, ' '))))")
-    back = (f"aggregate(reverse(a.cur), CAST(named_struct('cur', array(), 'len', 0, 'done', array()) AS {state}),"
-            f" (t, z) -> IF(t.len >= {overlap}, t, CAST(named_struct('cur', array_prepend(t.cur, z), 'len', t.len + z.n, 'done', t.done) AS {state})))")
-    joined = "array_join(transform({}, z -> z.s), ' ')"
-    flushed = (f"element_at(transform(array({back}), t -> CAST(named_struct('cur', array_append(t.cur, z), 'len', t.len + z.n,"
-               f" 'done', array_append(a.done, {joined.format('a.cur')})) AS {state})), 1)")
-    step = (f"IF(a.len + z.n > {size} AND size(a.cur) > 0, {flushed},"
-            f" CAST(named_struct('cur', array_append(a.cur, z), 'len', a.len + z.n, 'done', a.done) AS {state}))")
-    fold = (f"aggregate({sentences}, CAST(named_struct('cur', array(), 'len', 0, 'done', array()) AS {state}), (a, z) -> {step},"
-            f" a -> filter(array_append(a.done, {joined.format('a.cur')}), c -> size(split(c, ' ')) > {least}))")
+    # a lambda over a one-element array names a value, so that it is evaluated once
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    from_ = f"greatest(a.lo, i - {overlap})"
+    back = (f"aggregate(reverse(slice(ns, {from_}, i - {from_})), named_struct('t', 0, 'c', 0),"
+            f" (b, n) -> IF(b.t >= {overlap}, b, named_struct('t', b.t + n, 'c', b.c + 1)))")
+    flushed = let("b", back, "named_struct('lo', i - b.c, 'len', b.t + element_at(ns, i), 'done', array_append(a.done, named_struct('lo', a.lo, 'hi', i - 1)))")
+    step = f"IF(a.len + element_at(ns, i) > {size} AND i > a.lo, {flushed}, named_struct('lo', a.lo, 'len', a.len + element_at(ns, i), 'done', a.done))"
+    bounds = (f"aggregate(sequence(1, size(ns)), named_struct('lo', 1, 'len', 0, 'done', CAST(array() AS ARRAY<STRUCT<lo: INT, hi: INT>>)), (a, i) -> {step},"
+              " a -> array_append(a.done, named_struct('lo', a.lo, 'hi', size(ns))))")
+    pieces = f"filter(transform({bounds}, p -> array_join(slice(ss, p.lo, p.hi - p.lo + 1), ' ')), c -> size(split(c, ' ')) > {least})"
+    chunks = let("ss", f"split({one_spaced('text')}, {sq('(?<=[.!?]) ')})", let("ns", "transform(ss, s -> size(split(s, ' ')))", pieces))
     return (docs.where(f"text RLIKE {sq('[^' + v.WS[1:])}")
-            .select("doc_id", F.expr(f"posexplode({fold})").alias("chunk_index", "content"))
+            .select("doc_id", F.expr(f"posexplode({chunks})").alias("chunk_index", "content"))
             .select((F.col("doc_id") * CHUNKS_PER_DOCUMENT + F.col("chunk_index")).alias("chunk_id"),
                     "doc_id", "chunk_index", "content", F.lit("text").alias("chunk_type")))
 

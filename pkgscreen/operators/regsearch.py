@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pkgscreen import vocab as v
 from pkgscreen.functions.text import one_spaced, reg_tokens, sq, strip
+from pkgscreen.config import fits, path_exists, scratch_dir, written
 from pkgscreen.operators import ingest, search as sr
-
-QUERY_BLOCK = 2048
+from pkgscreen.operators import keywords as kw
+from pkgscreen.operators import vectors as vec
 
 
 def rules_to_chunks(rules: DataFrame) -> DataFrame:
@@ -59,10 +61,31 @@ def corpus_union(*parts: DataFrame) -> DataFrame:
     return whole
 
 
-def read_texts(spark, path: str) -> DataFrame:
-    """Whole files with stem and type from the path; undecodable bytes are replaced by the reader."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file_name"))
-    return name_files(files)
+def read_texts(spark, path: str, pattern: str | None = None) -> DataFrame:
+    """Whole files with stem and type from the path; undecodable bytes are replaced by the reader. An absent folder has none."""
+    if not path_exists(spark, path):
+        return name_files(spark.createDataFrame([], "text string, file_name string"))
+    reader = spark.read.option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).text(path, wholetext=True)
+    return name_files(files.select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file_name")))
+
+
+def read_corpus(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Clauses of all text and JSON files under a folder, and a row (file_name, error) for what could not be loaded.
+
+    JSON is parsed to a variant once; a file that is no JSON, or neither an envelope
+    with clauses nor a list of them, is an error row and stops nothing else. Every
+    file is one row: a folder of any size is read by many tasks.
+    """
+    texts = read_texts(spark, folder, "*.txt")
+    parsed = read_texts(spark, folder, "*.json").withColumn("parsed", F.try_parse_json("text"))
+    kind = F.schema_of_variant("parsed")
+    shaped = F.col("parsed").isNotNull() & (kind.startswith("ARRAY") | F.try_variant_get("parsed", "$.clauses", "array<variant>").isNotNull())
+    marked = parsed.withColumn("error", F.when(F.col("parsed").isNull(), "not JSON").when(~shaped, "no clauses"))
+    good = marked.where("error IS NULL").select("stem", F.to_json("parsed").alias("json"))
+    empty = texts.where(F.expr(strip("text")) == "").select("file_name", F.lit("empty file").alias("error"))
+    errors = marked.where("error IS NOT NULL").select("file_name", "error").unionByName(empty)
+    return corpus_union(clause_text(texts.select("stem", "text")), clause_json(good)), errors
 
 
 def name_files(files: DataFrame) -> DataFrame:
@@ -70,12 +93,12 @@ def name_files(files: DataFrame) -> DataFrame:
                               "stem": F.expr("IF(contains(file_name, '.'), left(file_name, length(file_name) - length(substring_index(file_name, '.', -1)) - 1), file_name)")})
 
 
-def ngram_buckets(col: str) -> str:
+def ngram_buckets(col: str, digest: str = "md5") -> str:
     """Hash buckets of the character triples; characters are split once, so long texts stay linear."""
     text = one_spaced(f"lower({col})")
     gram = f"array_join(slice(c, i, {v.NGRAM}), '')"
     return (f"element_at(transform(array(regexp_extract_all({text}, '(?s).', 0)), c -> IF(size(c) = 0, array(), transform(sequence(1, greatest(1, size(c) - {v.NGRAM} + 1)),"
-            f" i -> CAST(conv(substring(md5({gram}), 1, 8), 16, 10) AS BIGINT) % {v.VECTOR_DIM}))), 1)")
+            f" i -> CAST(conv(substring({digest}({gram}), 1, 8), 16, 10) AS BIGINT) % {v.VECTOR_DIM}))), 1)")
 
 
 def _unit_histogram(buckets) -> np.ndarray:
@@ -84,8 +107,8 @@ def _unit_histogram(buckets) -> np.ndarray:
     return counts / norm if norm else counts
 
 
-def ngram_vectors(df: DataFrame, col: str = "text", vectorizer=None) -> DataFrame:
-    """Unit vectors of hashed character triples; another vectoriser may be given.
+def ngram_vectors(df: DataFrame, col: str = "text", vectorizer=None, digest: str = "md5") -> DataFrame:
+    """Unit vectors of character triples hashed by ``digest``; another vectoriser (column to column) may be given.
 
     Triples are cut and hashed by the JVM; a batch of bucket lists then becomes
     unit vectors in one pass.
@@ -98,7 +121,7 @@ def ngram_vectors(df: DataFrame, col: str = "text", vectorizer=None) -> DataFram
             yield f.assign(vector=[_unit_histogram(b) for b in f["buckets"]]).drop(columns="buckets")
 
     schema = StructType([*df.schema.fields, StructField("vector", ArrayType(DoubleType()))])
-    return df.withColumn("buckets", F.expr(ngram_buckets(col))).mapInPandas(scan, schema)
+    return df.withColumn("buckets", F.expr(ngram_buckets(col, digest))).mapInPandas(scan, schema)
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -106,92 +129,88 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25_reg(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Keyword scores; weights always come from the whole corpus."""
+def keyword_index(chunks: DataFrame) -> kw.KeywordIndex:
+    """Index of the whole corpus; chunks without a word count among the corpus."""
     tokens = chunks.where("text <> ''").select("chunk_id", F.expr(reg_tokens("text")).alias("w"))
-    totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("len"))
-    n, length = totals.select("n").scalar(), totals.select("len").scalar()
     postings = tokens.select("chunk_id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-    asked = queries.select("query_id", F.explode(F.expr(reg_tokens("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(asked, "term")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (v.BM25_K1 + 1) / (F.col("tf") + v.BM25_K1 * (1 - v.BM25_B + v.BM25_B * F.col("length") / length))
-    return postings.join(df, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-
+    path = f"{scratch_dir(chunks.sparkSession)}/reg-index-{uuid.uuid4().hex}"
+    kw.write_index(postings, path, chunks=tokens.select("chunk_id", F.size("w").alias("length")), weight=kw.plus_one_weight)
+    return kw.read_index(chunks.sparkSession, path)
 
-def search_reg(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.0, vectorizer=None,
-               category=None, source_type=None, rule_reference=None) -> DataFrame:
-    """Keyword and character score together, best ``k`` clauses of every query, for any number of queries.
 
-    Queries are dealt by their hash into blocks of about QUERY_BLOCK, each searched by ``_search_block``.
-    """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    found = [_search_block(q, chunks, k, min_score, vectorizer, category, source_type, rule_reference) for q in parts]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out
+def bm25_reg(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+    """Keyword scores; weights always come from the whole corpus. The best ``k`` of each query, or every chunk that shares a word."""
+    index = keyword_index(chunks)
+    if k:
+        return kw.search(queries, index, k, reg_tokens("query"))
+    return kw.all_scores(queries, index, reg_tokens("query"), None)
 
 
-def _search_block(queries: DataFrame, chunks: DataFrame, k: int, min_score: float, vectorizer, category, source_type, rule_reference) -> DataFrame:
-    """``search_reg`` of one block of queries.
+def search_reg(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.0, vectorizer=None, digest: str = "md5",
+               category=None, source_type=None, rule_reference=None) -> DataFrame:
+    """Keyword and character score together, best ``k`` clauses of every query, for any number of queries.
 
-    Filters choose the candidates; keyword scores are relative to the best of
-    them. The queries travel with the tasks: a batch of clauses is one matrix
-    product, keyword scores are added to it, and only ``k`` rows per query and batch leave the task.
+    Filters choose the candidates; keyword scores are relative to the best of them.
+    A result has either a keyword score near the k-th best, nearer than any
+    character score could make up for, or is among the best by characters (ties in
+    the rounded sum included). Only these two sets are scored in full; both come
+    from searches that skip what cannot reach them.
     """
-    kw = bm25_reg(queries, chunks)
+    asked = queries.where("query <> ''")
+    index = keyword_index(chunks)
     if category:
         chunks = chunks.where(F.col("category") == category)
     if source_type:
         chunks = chunks.where(F.col("source_type") == source_type)
     if rule_reference:
         chunks = chunks.where(F.contains(F.lower("rule_reference"), F.lit(rule_reference.lower())))
-    kw = kw.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    best = kw.groupBy("query_id").agg(F.max("score").alias("best"))
-    per_chunk = (kw.join(best, "query_id").groupBy("chunk_id").agg(F.collect_list(F.struct("query_id", (F.col("score") / F.col("best")).alias("kw"))).alias("hits")))
-    asked = ngram_vectors(queries.where("query <> ''").select("query_id", "query"), "query", vectorizer).select("query_id", "vector").toPandas()
-    q_ids = asked["query_id"].to_numpy()
-    at = {q: i for i, q in enumerate(q_ids)}
-    matrix = np.stack(asked["vector"]) if len(asked) else np.zeros((0, v.VECTOR_DIM))
-    rows = ngram_vectors(chunks.select("chunk_id", "text"), "text", vectorizer).drop("text").join(per_chunk, "chunk_id", "left")
-
-    def scan(frames):
+    if category or source_type or rule_reference:  # the blocks' maxima stay bounds
+        index = kw.KeywordIndex(index.terms, index.maxima, index.postings.join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
+    least = -1.0 if vectorizer else 0.0  # counts of triples have no negative products
+    spare = v.VECTOR_SHARE * (1 - least) / v.KEYWORD_SHARE + ROUNDING
+    words = written(kw.candidates(asked, index, k, spare, reg_tokens("query")), "reg-words")
+    best = words.groupBy("query_id").agg(F.max("score").alias("best"))
+    words = words.join(kw.floors(words, k, spare), "query_id", "left").where("floor IS NULL OR score >= floor").join(best, "query_id")
+    words = words.select("query_id", "chunk_id", (F.col("score") / F.col("best")).alias("kw"))
+    q_vectors = written(ngram_vectors(asked.select("query_id", "query"), "query", vectorizer, digest).select("query_id", F.col("vector").alias("embedding")), "reg-queries")
+    c_vectors = written(ngram_vectors(chunks.select("chunk_id", "text"), "text", vectorizer, digest).select("chunk_id", F.col("vector").alias("embedding")), "reg-clauses")
+    near = vec.nearest(q_vectors, c_vectors, k, ROUNDING / v.VECTOR_SHARE).select("query_id", "chunk_id", F.lit(0.0).alias("kw"))
+    pairs = words.unionByName(near).groupBy("query_id", "chunk_id").agg(F.max("kw").alias("kw"))
+    held = pairs.join(q_vectors.withColumnRenamed("embedding", "q"), "query_id").join(c_vectors.withColumnRenamed("embedding", "c"), "chunk_id")
+
+    def multiply(frames):
         for f in frames:
-            if not len(f) or not len(q_ids):
-                continue
-            cos = matrix @ np.stack(f["vector"]).T
-            word = np.zeros_like(cos)
-            for c, hits in enumerate(f["hits"]):
-                if hits is not None:
-                    for h in hits:
-                        if h["query_id"] in at:
-                            word[at[h["query_id"]], c] = h["kw"]
-            total = v.KEYWORD_SHARE * word + v.VECTOR_SHARE * cos
-            ids = f["chunk_id"].to_numpy()
-            for q in range(len(q_ids)):
-                score = np.floor(total[q] * 1e4 + 0.5) / 1e4
-                take = np.flatnonzero(total[q] > min_score)
-                take = take[np.lexsort((ids[take], -score[take]))][:k]
-                yield pd.DataFrame({"query_id": q_ids[q], "chunk_id": ids[take], "score": score[take], "keyword_score": word[q][take], "vector_score": cos[q][take]})
+            if len(f):
+                yield f.assign(vector_score=np.einsum("ij,ij->i", np.stack(f["q"]), np.stack(f["c"]))).drop(columns=["q", "c"])
 
     kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
-    found = rows.mapInPandas(scan, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double, keyword_score double, vector_score double")
+    scored = held.select("query_id", "chunk_id", F.col("kw").alias("keyword_score"), "q", "c").mapInPandas(
+        multiply, f"query_id {kinds[0]}, chunk_id {kinds[1]}, keyword_score double, vector_score double")
+    total = v.KEYWORD_SHARE * F.col("keyword_score") + v.VECTOR_SHARE * F.col("vector_score")
+    found = scored.withColumn("total", total).where(F.col("total") > min_score).withColumn("score", F.floor(F.col("total") * 1e4 + 0.5) / 1e4).drop("total")
     return sr.top(found, k).withColumns({"keyword_score": F.round("keyword_score", 4), "vector_score": F.round("vector_score", 4)})
 
 
+ROUNDING = 2e-4  # scores are compared in steps of 1e-4
+
+
+CITED_BROADCAST = 10_000  # cited rules or texts that travel to the findings
+
+
 def cite_findings(findings: DataFrame, chunks: DataFrame, k: int = 1) -> DataFrame:
     """Clauses behind each finding in doubt: by rule id, else by search, else none.
 
-    Findings repeat few distinct texts, so each text is searched once.
+    Findings repeat few distinct rules and texts: each is looked up once, and the
+    answers travel to the findings if they are few (checked), so that these keep
+    their partitioning.
     """
     doubt = findings.where("status IN ('FAIL', 'MANUAL_REVIEW')").select("package_id", "rule_id", "status", F.concat_ws(" ", "title", "reason").alias("query"))
-    known = chunks.select(F.col("chunk_id").alias("rule_id"), F.col("chunk_id").alias("exact"))
-    marked = doubt.join(known, "rule_id", "left")
-    texts = marked.where("exact IS NULL").select("query").distinct().withColumn("query_id", F.md5("query"))
-    hits = search_reg(texts, chunks, k).select("query_id", F.col("chunk_id").alias("found"))
-    searched = marked.withColumn("query_id", F.md5("query")).join(hits, "query_id", "left")
+    small = lambda df: F.broadcast(df) if fits(df, CITED_BROADCAST) else df
+    known = written(doubt.select("rule_id").distinct().join(chunks.select(F.col("chunk_id").alias("rule_id"), F.col("chunk_id").alias("exact")), "rule_id"), "cited-rules")
+    marked = doubt.join(small(known), "rule_id", "left")
+    texts = written(marked.where("exact IS NULL").select("query").distinct().withColumn("query_id", F.md5("query")), "cited-texts")
+    hits = written(search_reg(texts, chunks, k).join(texts, "query_id").select("query", F.col("chunk_id").alias("found")), "cited-hits")
+    searched = marked.join(small(hits), "query", "left")
     return searched.selectExpr("package_id", "rule_id", "status", "coalesce(exact, found) AS chunk_id",
                                "CASE WHEN exact IS NOT NULL THEN 'exact_rule_id' WHEN found IS NOT NULL THEN 'hybrid_search' ELSE 'no_match' END AS retrieval")
 

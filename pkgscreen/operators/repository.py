@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pkgscreen.config import path_exists, written
+
 SORT_KEYS = ["timestamp", "confidence", "compliance_score", "product_name", "manufacturer", "decision"]
 VERDICTS = ["COMPLIANT", "NON_COMPLIANT", "MANUAL_REVIEW"]
 MIN_OVERRIDE_REASON = 10
@@ -107,20 +112,54 @@ def current_decisions(decisions: DataFrame) -> DataFrame:
 def supersede(decisions: DataFrame) -> DataFrame:
     """Each decision with the one it replaces and whether it was replaced itself.
 
-    A single inspection may hold a large part of all decisions, so its history is
-    cut by day: neighbours are found inside the day, and the ends of the days are
-    linked in a second, small window.
+    A segmented scan: decisions are range-partitioned by inspection, time and id, so
+    one inspection's busy day spreads over tasks as well. Each range links its own
+    neighbours as it streams by; then ranges exchange their border rows, one first
+    and one last row each.
     """
-    keyed = decisions.withColumn("day", F.to_date("ts"))
-    in_day = Window.partitionBy("inspection_id", "day").orderBy("ts", "decision_id")
-    near = keyed.withColumns({"before": F.lag("decision_id").over(in_day), "after": F.lead("decision_id").over(in_day)})
-    order = F.struct("ts", "decision_id")
-    ends = keyed.groupBy("inspection_id", "day").agg(F.min_by("decision_id", order).alias("first_id"), F.max_by("decision_id", order).alias("last_id"))
-    days = Window.partitionBy("inspection_id").orderBy("day")
-    links = ends.select("inspection_id", "day", F.lag("last_id").over(days).alias("day_before"), F.lead("first_id").over(days).alias("day_after"))
-    return (near.join(links, ["inspection_id", "day"])
-            .withColumns({"supersedes": F.coalesce("before", "day_before"), "superseded": F.coalesce("after", "day_after").isNotNull()})
-            .drop("before", "after", "day_before", "day_after", "day"))
+    keys = ["inspection_id", "ts", "decision_id"]
+    schema = decisions.schema
+    n = int(decisions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = decisions.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+    kind = schema["decision_id"].dataType.simpleString()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    linked = written(dealt.mapInArrow(_neighbours, f"{fields}, part int, row long, before {kind}, after {kind}"), "linked")
+    ends = linked.groupBy("part").agg(F.min_by(F.struct("inspection_id", "decision_id"), "row").alias("head"), F.max_by(F.struct("inspection_id", "decision_id"), "row").alias("tail"), F.max("row").alias("last"))
+    order = Window.orderBy("part")  # a row a range
+    borders = ends.select("part", "last", F.lag("tail").over(order).alias("earlier"), F.lead("head").over(order).alias("later"))
+    joined = linked.join(F.broadcast(borders), "part")
+    over = lambda side, edge: F.when(edge & F.col(f"{side}.inspection_id").eqNullSafe(F.col("inspection_id")), F.col(f"{side}.decision_id"))
+    return joined.select(*decisions.columns, F.coalesce("before", over("earlier", F.col("row") == 0)).alias("supersedes"),
+                         F.coalesce("after", over("later", F.col("row") == F.col("last"))).isNotNull().alias("superseded"))
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a sorted range with their number and the ids before and after them in the same inspection."""
+    held, row = None, 0
+
+    def linked(rows: pa.Table, first: int, before: pa.Scalar | None, drop_last: bool) -> pa.RecordBatch:
+        ids, own = rows["decision_id"].combine_chunks(), rows["inspection_id"].to_pylist()
+        same = [a == b for a, b in zip(own, own[1:])]
+        none = pa.scalar(None, ids.type)
+        earlier = pa.array([before.as_py() if before is not None else None] + [i if s else None for i, s in zip(ids[:-1].to_pylist(), same)], ids.type)
+        later = pa.array([i if s else None for i, s in zip(ids[1:].to_pylist(), same)] + [none.as_py()], ids.type)
+        out = rows.append_column("row", pa.array(range(first, first + len(own)), pa.int64())).append_column("before", earlier).append_column("after", later)
+        return (out.slice(0, len(own) - 1) if drop_last else out).combine_chunks()
+
+    before = None  # the id before the held row, if of its inspection
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        if len(rows) > 1:
+            yield from linked(rows, row, before, True).to_batches()
+            a, b = rows.slice(len(rows) - 2, 2)["inspection_id"].to_pylist()
+            before = rows["decision_id"][len(rows) - 2] if a == b else None
+            row += len(rows) - 1
+        held = rows.slice(len(rows) - 1, 1)
+    if held is not None:
+        yield from linked(held, row, before, False).to_batches()
 
 
 def inspector_activity(decisions: DataFrame) -> DataFrame:
@@ -200,6 +239,26 @@ def detection_rates(fields: DataFrame) -> DataFrame:
         hit.alias("found"), F.count("*").alias("total"), F.round(100.0 * hit / F.count("*"), 1).alias("rate"))
 
 
+def decision_counts(inspections: DataFrame) -> DataFrame:
+    """How many packages got each verdict, with their share of all."""
+    counts = inspections.groupBy(F.coalesce("decision", F.lit("NONE")).alias("decision")).agg(F.count("*").alias("packages"))
+    return counts.withColumn("share", F.round(100.0 * F.col("packages") / F.sum("packages").over(Window.partitionBy()), 1))
+
+
+def trail_of(trail: DataFrame, inspection_id) -> DataFrame:
+    """The history of one inspection, oldest first."""
+    return trail.where(F.col("inspection_id") == inspection_id).orderBy("at", "entry", "entry_id")
+
+
+def nested_trail(trail: DataFrame, most: int = 1000) -> DataFrame:
+    """One row per inspection: its verdict, current decision and the latest ``most`` entries, nested; ``entries`` counts all."""
+    newest = F.row_number().over(Window.partitionBy("inspection_id").orderBy(F.desc("at"), F.desc("entry"), F.desc("entry_id")))
+    own = F.struct("at", "entry", "entry_id", "detail", "current")
+    kept = trail.withColumn("n", newest).where(F.col("n") <= most).groupBy("inspection_id").agg(F.array_sort(F.collect_list(own)).alias("history"))
+    whole = trail.groupBy("inspection_id").agg(F.count("*").alias("entries"), F.max(F.when(F.col("entry") == "automated", F.col("detail"))).alias("verdict"), F.max(F.when(F.col("current"), F.col("detail"))).alias("current_decision"))
+    return whole.join(kept, "inspection_id")
+
+
 def align_schema(df: DataFrame, target: DataFrame) -> DataFrame:
     """Columns a stored table does not have yet are null."""
     return target.limit(0).unionByName(df, allowMissingColumns=True)
@@ -213,5 +272,51 @@ def from_payload(stored: DataFrame, schema) -> DataFrame:
     return stored.select(F.from_json("payload", schema).alias("p")).select("p.*")
 
 
+PAYLOAD_BUCKETS = 64
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def _touched(rows: DataFrame) -> list[int]:
+    """Bucket numbers of the rows, as values that prune folders; no more than there are buckets."""
+    return [r.bucket for r in rows.select("bucket").distinct().collect()]
+
+
+def store_payloads(payloads: DataFrame, path: str, key: str = "inspection_id", buckets: int = PAYLOAD_BUCKETS) -> None:
+    """Payloads by id in buckets of its hash, sorted inside and with Bloom filters, so that a lookup opens few files.
+
+    Ids that come again replace what is stored: a bucket that gets rows is written
+    anew, the others are left as they are.
+    """
+    spark = payloads.sparkSession
+    latest = payloads.select(_bucket(key, buckets).alias("bucket"), key, "payload")
+    if path_exists(spark, path):
+        stored = read_payloads(spark, path, payloads.schema[key].dataType.simpleString(), key)
+        kept = stored.where(F.col("bucket").isin(_touched(latest))).join(latest.select("bucket", key), ["bucket", key], "left_anti")
+        latest = written(latest.unionByName(kept.select(*latest.columns)), "payloads")
+    writer = latest.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("bucket").parquet(path)
+
+
+def read_payloads(spark: SparkSession, path: str, kind: str = "long", key: str = "inspection_id") -> DataFrame:
+    return spark.read.schema(f"{key} {kind}, payload string, bucket int").parquet(path)
+
+
+def get_payload(spark: SparkSession, path: str, wanted: int, key: str = "inspection_id", buckets: int = PAYLOAD_BUCKETS) -> DataFrame:
+    """The stored payload of one id, read from its bucket only."""
+    at = spark.range(1).select(F.lit(wanted).alias(key)).select(_bucket(key, buckets)).first()[0]
+    return read_payloads(spark, path, key=key).where((F.col("bucket") == at) & (F.col(key) == wanted)).select(key, "payload")
+
+
+def find_payloads(ids: DataFrame, path: str, key: str = "inspection_id", buckets: int = PAYLOAD_BUCKETS) -> DataFrame:
+    """Each id with its payload and whether it is stored; only buckets of these ids are read."""
+    spark, kind = ids.sparkSession, ids.schema[key].dataType.simpleString()
+    asked = ids.select(key).distinct().withColumn("bucket", _bucket(key, buckets))
+    stored = read_payloads(spark, path, kind, key).where(F.col("bucket").isin(_touched(asked))).select("bucket", key, "payload")
+    return asked.join(stored, ["bucket", key], "left").select(key, "payload", F.col("payload").isNotNull().alias("found"))
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)

@@ -1,13 +1,19 @@
-"""Rule evaluation: rules are rows, packages meet them on the field or category they concern."""
+"""Rule evaluation: rules are rows, packages meet them on the field or category they concern.
+
+Generic rules: rule_id, requirement, rule_type, fields (array), validation, severity,
+condition, depends_on, verified. Statutory rules: rule_id, category, vtype, severity,
+title, fields and phrases (arrays), verified. ``sources.tables.read_ruleset`` reads
+rule files; no rule is part of the library.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pkgscreen import rulesets, vocab as v
+from pkgscreen import vocab as v
 from pkgscreen.config import DEFAULT, Thresholds, fits
-from pkgscreen.functions.text import has
+from pkgscreen.functions.text import has, sq, strip
 
 POOR, ELSEWHERE, ABSENT = "not found; photos too poor to trust absence", "not found; printed elsewhere on the package", "not found on any photo"
 LEVEL, ADDRESSED = "level", "address_detected"
@@ -15,16 +21,6 @@ LOW = "found with low confidence"
 AGGREGATE = "REQUIRED_DECLARATIONS_PRESENT"  # kind of the rule that looks at the other findings of its package
 
 
-def generic_rules(spark) -> DataFrame:
-    return spark.createDataFrame(rulesets.GENERIC, "rule_id string, requirement string, rule_type string, fields array<string>, validation string,"
-                                 " severity string, condition string, depends_on string, verified boolean")
-
-
-def statutory_rules(spark) -> DataFrame:
-    return spark.createDataFrame(rulesets.STATUTORY, "rule_id string, category string, vtype string, severity string, title string, fields array<string>, phrases array<string>").withColumn(
-        "verified", F.lit(False))
-
-
 RULES_BROADCAST = 10_000  # rules that travel to the packages; more of them meet the packages in salted parts
 
 
@@ -45,7 +41,7 @@ def contexts(packages: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Packages that can be judged, with their declarations by name and their quality."""
     return packages.select(
         "package_id", "pointers", "fields", F.expr("map_from_entries(transform(fields, f -> struct(f.field, f)))").alias("by"),
-        F.expr("forall(surfaces, s -> s.usable)").alias("usable"),
+        F.expr("forall(surfaces, s -> s.usable)").alias("usable"), F.expr("transform(filter(surfaces, s -> NOT s.usable), s -> s.surface_name)").alias("unusable_names"),
         F.expr("aggregate(surfaces, 0.0D, (a, s) -> a + s.score) / size(surfaces)").alias("score"),
         F.expr("CAST(size(surfaces) AS BIGINT)").alias("surfaces_total"), F.expr("CAST(size(filter(surfaces, s -> s.usable)) AS BIGINT)").alias("surfaces_usable"),
         F.expr("aggregate(filter(surfaces, s -> s.usable), 0L, (a, s) -> a + s.n_lines)").alias("usable_lines"),
@@ -262,17 +258,20 @@ def field_confidence(ctx: DataFrame) -> DataFrame:
     return ctx.selectExpr("package_id", "inline(fields)").selectExpr("package_id", "field", "IF(value IS NULL, 0.0D, greatest(0.0D, least(1.0D, ocr_conf, ext_conf))) AS confidence")
 
 
-def classify(ctx: DataFrame) -> DataFrame:
-    """The commodity class with the most keyword evidence; the earlier class on ties."""
+def classify(ctx: DataFrame, most: int = 6) -> DataFrame:
+    """The commodity class with the most keyword evidence, and what was found for it; the earlier class on ties."""
     classes = []
     for n, (name, strong, weak) in enumerate(v.COMMODITY):
-        points = " + ".join([f"IF({has(p, 'corpus')}, {v.STRONG_WEIGHT}, 0)" for p in strong] + [f"IF({has(p, 'corpus')}, {v.WEAK_WEIGHT}, 0)" for p in weak])
-        classes.append(f"named_struct('points', {points}, 'late', {-n}, 'name', '{name}')")
-    ranked = ctx.select("package_id", F.expr(f"reverse(array_sort(filter(array({', '.join(classes)}), c -> c.points > 0)))").alias("r"))
+        hits = lambda patterns: "array_compact(array(" + ", ".join(f"regexp_substr(corpus, {sq('(?i)' + p)})" for p in patterns) + "))"
+        classes.append(f"named_struct('strong', {hits(strong)}, 'weak', {hits(weak)}, 'late', {-n}, 'name', '{name}')")
+    points = f"{v.STRONG_WEIGHT} * size(c.strong) + {v.WEAK_WEIGHT} * size(c.weak)"
+    scored = f"transform(array({', '.join(classes)}), c -> named_struct('points', {points}, 'late', c.late, 'name', c.name, 'hits', slice(concat(c.strong, c.weak), 1, {most})))"
+    ranked = ctx.select("package_id", F.expr(f"reverse(array_sort(filter({scored}, c -> c.points > 0)))").alias("r"))
     best, second = "get(r, 0).points", "coalesce(get(r, 1).points, 0)"
     return ranked.selectExpr("package_id", "coalesce(get(r, 0).name, 'unknown') AS product_category",
                              f"CASE WHEN size(r) = 0 THEN 0.0D ELSE round(least(0.85D, 0.35D + 0.5D * ({best} - {second}) / {best}), 4) END AS category_confidence",
-                             f"coalesce({best} >= 3 AND {second} < {best}, false) AS confident")
+                             f"coalesce({best} >= 3 AND {second} < {best}, false) AS confident",
+                             f"transform(coalesce(get(r, 0).hits, CAST(array() AS ARRAY<STRING>)), h -> {strip('h')}) AS evidence")
 
 
 def scope_rules(findings: DataFrame, categories: DataFrame) -> DataFrame:
@@ -304,18 +303,48 @@ def annotation_plan(ctx: DataFrame, findings: DataFrame) -> DataFrame:
                     F.coalesce("status", F.lit("UNKNOWN")).alias("status"), "ext_conf"))
 
 
+def matched_pointer(names: str) -> str:
+    """The first pointer that says where one of the named declarations is printed, with the declaration."""
+    places, carried = ", ".join(f"'{p}'" for p in v.BASE_PLACES), ", ".join(f"'{b}'" for b in v.BASE_FIELDS_STATUTORY)
+    says = f"array_contains(p.fields, n) OR (p.location IN ({places}) AND n IN ({carried}))"
+    return f"get(flatten(transform({names}, n -> transform(filter(pointers, p -> {says}), p -> named_struct('field', n, 'text', p.text, 'location', p.location, 'surface_name', p.surface_name)))), 0)"
+
+
+def _review_names() -> str:
+    return f"try_element_at({literal_map({k: f for k, f in v.REVIEW_FIELDS.items() if f})}, category)"
+
+
+def evidence_of(ctx: DataFrame, findings: DataFrame) -> DataFrame:
+    """What stands behind each finding: readings of its declarations; for an absence said to be printed elsewhere, the pointer that says so."""
+    rows = rule_fields(findings).select("package_id", "rule_id", F.explode("names").alias("field"))
+    fields = ctx.selectExpr("package_id", "inline(fields)").where("value IS NOT NULL")
+    read = rows.join(fields, ["package_id", "field"]).select("package_id", "rule_id", "field", "value", "ocr_conf", "ext_conf", "level", "source_name")
+    absent = findings.where(F.col("reason") == ELSEWHERE).withColumn("names", F.expr(_review_names())).join(ctx.select("package_id", "pointers"), "package_id")
+    pointed = absent.withColumn("p", F.expr(matched_pointer("names"))).where("p IS NOT NULL").select(
+        "package_id", "rule_id", F.col("p.field").alias("field"), F.col("p.surface_name").alias("source_name"), F.col("p.text").alias("pointer_text"), F.col("p.location").alias("pointer_place"))
+    return read.unionByName(pointed, allowMissingColumns=True)
+
+
 def review_actions(ctx: DataFrame, findings: DataFrame, confidences: DataFrame) -> DataFrame:
-    """One targeted action per finding in review; repeated ones are given once."""
-    first = f"get(try_element_at({literal_map({k: f for k, f in v.REVIEW_FIELDS.items() if f})}, category), 0)"
+    """One targeted action per finding in review: what, where to look, on which photo; repeated ones are given once."""
+    names = _review_names()
     cats = ", ".join(f"'{c}'" for c in v.REVIEW_FIELDS)
     rank = f"CAST(coalesce(try_element_at({literal_map({k: float(n) for k, n in v.SEVERITY_ORDER.items()})}, severity), 9.0D) AS INT)"
     rows = (findings.where(f"status = 'MANUAL_REVIEW' AND category IN ({cats})")
-            .join(ctx.select("package_id", "by", "pointers"), "package_id").join(confidences.select("package_id", "overall"), "package_id")
-            .withColumn("field", F.expr(f"coalesce({first}, rule_id)")).withColumn("f", F.expr("try_element_at(by, field)")))
-    check = f"""CASE WHEN reason = '{ELSEWHERE}' THEN 'the place the label points to' WHEN contains(reason, 'address') THEN 'address of the making unit' WHEN contains(reason, 'telephone') THEN 'consumer care panel'
-      WHEN contains(reason, 'legibility') OR category = 'declaration_legibility' THEN 'price and quantity lines' WHEN f.value IS NOT NULL THEN 'read again: ' || f.value
-      WHEN contains(reason, 'too poor') THEN 'take the photo again' ELSE 'sides not photographed yet' END"""
-    rows = rows.withColumns({"check_location": F.expr(check), "rank": F.expr(rank), "confidence": F.expr("round(IF(f.value IS NOT NULL, f.ext_conf, overall), 3)")})
-    from pyspark.sql import Window
+            .join(ctx.select("package_id", "by", "pointers", "unusable_names"), "package_id").join(confidences.select("package_id", "overall"), "package_id")
+            .withColumn("field", F.expr(f"coalesce(get({names}, 0), rule_id)")).withColumn("f", F.expr("try_element_at(by, field)"))
+            .withColumn("p", F.expr(f"IF(reason = '{ELSEWHERE}', {matched_pointer(names)}, NULL)")))
+    again = "'take again: ' || array_join(unusable_names, ', ')"
+    # the case of an action, and for each case where to look and on which photo
+    case = """CASE WHEN p IS NOT NULL THEN 'pointer' WHEN contains(reason, 'address') THEN 'address' WHEN contains(reason, 'telephone') THEN 'care'
+      WHEN contains(reason, 'legibility') OR category = 'declaration_legibility' THEN 'lines' WHEN f.value IS NOT NULL THEN 'read'
+      WHEN contains(reason, 'too poor') THEN IF(size(unusable_names) > 0, 'photos', 'photo') ELSE 'sides' END"""
+    check = f"""CASE kind WHEN 'pointer' THEN 'the ' || p.location || ' of the package, where the label points' WHEN 'address' THEN 'address of the making unit' WHEN 'care' THEN 'consumer care panel'
+      WHEN 'lines' THEN 'price and quantity lines' WHEN 'read' THEN 'read again: ' || f.value WHEN 'photos' THEN {again} WHEN 'photo' THEN 'take the photo again' ELSE 'sides not photographed yet' END"""
+    image = "CASE WHEN kind = 'pointer' THEN p.surface_name WHEN kind IN ('address', 'care', 'read') THEN f.source_name WHEN kind = 'photos' THEN unusable_names[0] END"
+    rows = rows.withColumn("kind", F.expr(case)).withColumns({
+        "check_location": F.expr(check), "source_image": F.expr(image), "rank": F.expr(rank), "confidence": F.expr("round(IF(f.value IS NOT NULL, f.ext_conf, overall), 3)"),
+        "field_label": F.expr("initcap(replace(field, '_', ' '))")})
     order = F.row_number().over(Window.partitionBy("package_id", "field", "check_location").orderBy("rank", "rule_id"))
-    return rows.withColumn("n", order).where("n = 1").select("package_id", "field", "rule_id", "severity", "reason", "check_location", "confidence", F.col("f.value").alias("current_value"))
+    return rows.withColumn("n", order).where("n = 1").select("package_id", "field", "field_label", "rule_id", F.col("title").alias("rule_reference"), "severity", "reason", "check_location", "source_image",
+                                                             "confidence", F.col("f.value").alias("current_value"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pkgscreen import vocab as v
-from pkgscreen.functions.text import one_spaced, words
+from pkgscreen.functions.text import one_spaced
+from pkgscreen.operators import keywords as kw
+from pkgscreen.operators import vectors as vec
 
-QUERY_BLOCK = 4096  # queries held by a task at once; more are worked through in blocks
 DEFAULT_K, MOST_K = 5, 20  # results of a query that names no number; most that a query may ask for
 
 
@@ -32,88 +31,14 @@ def within(hits: DataFrame, queries: DataFrame, times: int, place: str = "rank")
     return hits.join(queries.select("query_id", "k"), "query_id").where(F.col(place) <= times * F.col("k"))
 
 
-def bm25(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """Okapi scores of every chunk sharing a word with a query.
+def bm25_topk(queries: DataFrame, index: kw.KeywordIndex, k: int) -> DataFrame:
+    """Okapi scores of the best ``k`` chunks that share a word with each query."""
+    return kw.search(queries, index, k)
 
-    Negative weights of common words become a quarter of the mean weight over the
-    whole vocabulary. Weights are joined to the few query words first; the
-    postings then meet that small side, and repeated query words count again.
-    """
-    lengths = postings.select("chunk_id", "length").distinct()
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    n = corpus.select("n").scalar()
-    avg_length = corpus.select("avg_length").scalar()
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    floor = 0.25 * frequency.agg(F.avg(weight).alias("a")).scalar()
-    asked = queries.select("query_id", F.explode(F.expr(words("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = frequency.withColumn("idf", F.when(weight < 0, floor).otherwise(weight)).join(asked, "term")
-    part = (F.col("times") * F.col("idf") * F.col("tf") * (v.BM25_K1 + 1)
-            / (F.col("tf") + v.BM25_K1 * (1 - v.BM25_B + v.BM25_B * F.col("length") / avg_length)))
-    return (postings.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score")))
-
-
-def bm25_topk(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    return top(bm25(queries, postings), k)
-
-
-def _unit(rows: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norm == 0, 1, norm)
-
-
-def _best(ids: np.ndarray, q_ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
-    """The best k vectors of a batch for every query, ties by smaller id."""
-    found, scores = [], np.round(scores, 9)  # equal vectors tie whatever the order of summation
-    for row in scores:
-        take = np.arange(len(ids))
-        if len(ids) > k:
-            edge = np.partition(row, len(ids) - k)[len(ids) - k]
-            take = np.flatnonzero(row >= edge)
-            take = take[np.lexsort((ids[take], -row[take]))][:k]
-        found.append(take)
-    if not found:
-        return pd.DataFrame({"query_id": q_ids, "chunk_id": ids[:0], "score": np.zeros(0)})
-    at, q = np.concatenate(found), np.repeat(np.arange(len(found)), [len(t) for t in found])
-    return pd.DataFrame({"query_id": q_ids[q], "chunk_id": ids[at], "score": scores[q, at]})
-
-
-def _topk_block(queries: DataFrame, stored: DataFrame, k: int) -> DataFrame:
-    """``vector_topk`` of one block of queries: each batch of vectors is one matrix product, and a partition gives k rows per query."""
-    rows = queries.select("query_id", "embedding").toPandas()
-    q_ids = rows["query_id"].to_numpy("int64")
-    matrix = _unit(np.stack(rows["embedding"]).astype("float64")) if len(rows) else None
-
-    def scan(frames):
-        held = None
-        for f in frames:
-            if matrix is None or not len(f):
-                continue
-            new = _best(f["chunk_id"].to_numpy(), q_ids, matrix @ np.stack(f["embedding"]).astype("float64").T, k)
-            if held is not None:
-                new = pd.concat([held, new]).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            held = new
-        if held is not None:
-            yield held
-
-    return top(stored.mapInPandas(scan, "query_id long, chunk_id long, score double"), k)
-
-
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, modality: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact best inner products of unit-length queries with stored vectors, for any number of queries.
-
-    Queries are dealt by their hash into blocks of about ``block``; a block travels
-    with the tasks that scan the vectors, so nothing but the best rows is exchanged.
-    """
-    if modality:
-        vectors = vectors.where(F.col("chunk_type") == modality)
-    stored = vectors.select("chunk_id", "embedding")
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        found = _topk_block(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), stored, k)
-        out = found if out is None else out.unionAll(found)
-    return out
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, modality: str | None = None) -> DataFrame:
+    """Exact best inner products of unit-length queries with stored vectors, for any number of queries."""
+    return vec.nearest(queries, vectors.where(F.col("chunk_type") == modality) if modality else vectors, k)
 
 
 def adaptive_cut(hits: DataFrame) -> DataFrame:
@@ -169,13 +94,13 @@ def dedup_hits(hits: DataFrame, per_doc: int = 2) -> DataFrame:
             .withColumn("n", first).where("n = 1").drop("n", "text_hash"))
 
 
-def candidates(queries, query_vectors, postings, vectors, times: int = 4) -> DataFrame:
+def candidates(queries, query_vectors, index, vectors, times: int = 4) -> DataFrame:
     """Hits of the three retrievers, in multiples of each query's own ``k``: twice ``times`` by meaning, ``times`` by word, twice images."""
     def one(hits, name, n):
         return within(hits, queries, n).select("query_id", "chunk_id", "score", F.lit(name).alias("retriever"))
 
     return (one(vector_topk(query_vectors, vectors, 2 * times * MOST_K, "text"), "faiss", 2 * times)
-            .unionByName(one(bm25_topk(queries, postings, times * MOST_K), "bm25", times))
+            .unionByName(one(bm25_topk(queries, index, times * MOST_K), "bm25", times))
             .unionByName(one(vector_topk(query_vectors, vectors, 2 * times * MOST_K, "image"), "clip", 2 * times)))
 
 
@@ -184,9 +109,9 @@ def fused_hits(hits: DataFrame, queries: DataFrame, times: int = 4) -> DataFrame
     return within(rrf_weighted(hits, queries, times * MOST_K), queries, times)
 
 
-def search(queries, query_vectors, postings, vectors, chunks, docs) -> DataFrame:
+def search(queries, query_vectors, index, vectors, chunks, docs) -> DataFrame:
     """Hybrid search: retrieve four times as much as each query asks for, cut, fuse, dedup."""
-    fused = fused_hits(adaptive_cut(candidates(queries, query_vectors, postings, vectors)), queries)
+    fused = fused_hits(adaptive_cut(candidates(queries, query_vectors, index, vectors)), queries)
     kept = dedup_hits(enrich_hits(fused, chunks, docs))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return kept.withColumn("place", place).where(F.col("place") <= F.col("k"))

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pkgscreen import rulesets, vocab as v
+from pkgscreen import vocab as v
 from pkgscreen.operators.rules import ABSENT, ELSEWHERE, LOW, POOR
-from pkgscreen.oracle.base import check, cte, lst, m, values, x
+from pkgscreen.oracle.base import check, cte, lst, m, x
 
-cte("grules", values([(a, b, c, ",".join(d), e, f, g, h, i) for a, b, c, d, e, f, g, h, i in rulesets.GENERIC],
-                     "rule_id, requirement, rule_type, fields, validation, severity, condition, depends_on, verified"))
-cte("srules", values([(a, b, c, d, e, ",".join(f), ",".join(g)) for a, b, c, d, e, f, g in rulesets.STATUTORY],
-                     "rule_id, category, vtype, severity, title, fields, phrases"))
 cte("asse", "SELECT package_id FROM [[route]] WHERE route = 'ASSESS'")
 cte("cx", """SELECT package_id, q.usable, q.score, NOT q.usable OR q.score < 60 AS blocks, o.avg_confidence AS ocr FROM [[asse]] JOIN [[pq]] q USING (package_id) JOIN [[po]] o USING (package_id)""")
 cte("fv", "SELECT f.* FROM [[final]] f JOIN [[asse]] USING (package_id)")
@@ -22,7 +18,7 @@ _valid = {"PRESENT": "true", "PRESENT_AND_VALID_PRICE": f"coalesce({_price} BETW
           "PRESENT_AND_VALID_UNIT": m(v.UNIT_VALUE, "value"), "VALID_DATE": "regexp_matches(value, '[0-9]')"}
 check("rule_validators", "SELECT package_id, field, " + ", ".join(f"{e} AS {k.lower()}" for k, e in _valid.items()) + " FROM [[fv]] WHERE value IS NOT NULL")
 cte("gr0", """SELECT c.package_id, c.blocks, r.*, string_split(r.fields, ',') AS fl,
-  (SELECT value FROM [[fv]] f WHERE f.package_id = c.package_id AND f.field = r.depends_on) AS other FROM [[cx]] c CROSS JOIN [[grules]] r""")
+  (SELECT value FROM [[fv]] f WHERE f.package_id = c.package_id AND f.field = r.depends_on) AS other FROM [[cx]] c CROSS JOIN [[generic_rules]] r""")
 cte("gr1", """SELECT g.package_id, g.rule_id, count(f.value) AS present, count(f.value) FILTER (f.level <> 'LOW') AS strong, bool_or(p.field IS NOT NULL) AS pointed,
   any_value(f.value) FILTER (f.field = g.fl[1]) AS value, any_value(f.level) FILTER (f.field = g.fl[1]) AS level
 FROM [[gr0]] g JOIN [[fv]] f ON f.package_id = g.package_id AND list_contains(g.fl, f.field) LEFT JOIN [[pm]] p ON p.package_id = g.package_id AND p.field = f.field GROUP BY ALL""")
@@ -80,7 +76,7 @@ _made = "coalesce(manufacturing_date, packing_date)"
 _month = f"(({' OR '.join(m(p, _made) for p in v.MONTH_YEAR)}) AND ({m(v.MONTH_WORD, _made)} OR {m(v.DAY_MONTH_YEAR, _made)}))"
 _mp = f"TRY_CAST({x(v.PRICE_NUMBER, 1, 'mrp', True)} AS DOUBLE) BETWEEN 1 AND 50000"
 _wrong = " OR ".join(f"(unit = '{u}' AND amt {o} {n})" for u, o, n in v.UNIT_LIMITS)
-_bad = "|".join("|".join([rf"\b{p}\b", *v.WORDING_ABBREVIATIONS.get(p, [])]) for p in rulesets._WORDS)
+_bad = "|".join("|".join([rf"\b{p}\b", *v.WORDING_ABBREVIATIONS.get(p, [])]) for p in v.WORDING_ABBREVIATIONS)
 _H = {
     "manufacturer_details": f"CASE WHEN coalesce(manufacturer, packer, importer) IS NULL THEN {absent(*v.ENTITY_FIELDS)} WHEN CASE WHEN manufacturer IS NOT NULL THEN manufacturer_level WHEN packer IS NOT NULL THEN packer_level ELSE importer_level END = 'LOW' THEN '{LOW}' WHEN addressed THEN 'name and address found' ELSE 'name found, address not located' END",
     "commodity_identity": simple("product_name", "true", "name stated", ""), "net_quantity": _qty, "quantity_unit": _qty,
@@ -99,7 +95,7 @@ def statutory(src: str, name: str) -> None:
     cte(f"{name}0", f"""SELECT w.package_id, r.*, CASE WHEN vtype = 'EXEMPTION_LOOKUP' THEN 'exemption gate: ' || exemption WHEN rule_id IN {lst(v.SCOPE_NA_RULES)} THEN 'rule outside photo screening'
   WHEN vtype IN {lst(v.SCOPE_NA_TYPES)} THEN 'check outside photo screening'
   WHEN category IN {lst(v.DECLARATION_CATEGORIES)} AND (exemption = 'EXEMPT' OR (exemption = 'PARTIAL' AND category NOT IN {lst(v.PARTIAL_CATEGORIES)})) THEN 'exempt by quantity'
-  ELSE CASE category {_case} ELSE 'no check for this category' END END AS reason FROM {src} w CROSS JOIN [[srules]] r WHERE vtype <> 'REQUIRED_DECLARATIONS_PRESENT'""")
+  ELSE CASE category {_case} ELSE 'no check for this category' END END AS reason FROM {src} w CROSS JOIN [[statutory_rules]] r WHERE vtype <> 'REQUIRED_DECLARATIONS_PRESENT'""")
     cte(f"{name}1", f"""SELECT *, CASE WHEN reason IN ('name and address found', 'name stated', 'standard unit', 'month and year stated', 'plausible price', 'telephone stated', 'no misleading wording', 'unit fits', 'enough declarations', 'legible') THEN 'PASS'
   WHEN reason IN ('{ABSENT}', 'misleading wording') THEN 'FAIL' WHEN reason LIKE 'exemption gate%' OR reason LIKE '%outside photo screening' OR reason IN ('exempt by quantity', 'no quantity to judge', 'no unit to judge') THEN 'NOT_APPLICABLE'
   ELSE 'MANUAL_REVIEW' END AS status FROM [[{name}0]]""")
@@ -107,7 +103,7 @@ def statutory(src: str, name: str) -> None:
 FROM [[{name}1]] GROUP BY 1""")
     cte(name, f"""SELECT package_id, rule_id, category, vtype, severity, title, fields, reason, status FROM [[{name}1]] UNION ALL
 SELECT package_id, rule_id, category, vtype, severity, title, fields, CASE status WHEN 'FAIL' THEN 'declarations missing or invalid' WHEN 'MANUAL_REVIEW' THEN 'declarations uncertain' WHEN 'PASS' THEN 'all declarations found' ELSE 'declarations exempt' END, status
-FROM [[{name}2]] CROSS JOIN [[srules]] WHERE vtype = 'REQUIRED_DECLARATIONS_PRESENT'""")
+FROM [[{name}2]] CROSS JOIN [[statutory_rules]] WHERE vtype = 'REQUIRED_DECLARATIONS_PRESENT'""")
 
 
 statutory("[[w3]]", "sf")
@@ -163,11 +159,17 @@ FROM (SELECT package_id, unnest({v.BUCKETS}) AS bucket FROM [[cx]]) k""")
 cte("corp", """SELECT package_id, lower(string_agg(t, chr(10) ORDER BY o1, o2, o3)) AS corpus FROM (
   SELECT package_id, 0 AS o1, field AS o2, 0 AS o3, value AS t FROM [[fv]] UNION ALL SELECT package_id, 0, field, 1, ocr_text FROM [[fv]]
   UNION ALL SELECT package_id, 1 + surface_idx, '', pos, text FROM [[pool0]] WHERE surface_usable AND package_id IN (SELECT package_id FROM [[asse]])) WHERE t IS NOT NULL GROUP BY 1""")
+def _hits(patterns: list[str]) -> str:
+    return "list_filter([" + ", ".join(f"regexp_extract(corpus, '{p}', 0, 'i')" for p in patterns) + "], lambda h: h <> '')"
+
+
 _pts = ", ".join("{'p': " + " + ".join([f"3 * {m(p, 'corpus')}::INT" for p in s] + [f"{m(p, 'corpus')}::INT" for p in k]) + f", 'o': {-n}, 'n': '{c}'" + "}" for n, (c, s, k) in enumerate(v.COMMODITY))
-cte("cls", f"SELECT package_id, list_reverse_sort(list_filter([{_pts}], lambda c: c.p > 0)) AS r FROM [[corp]]")
-cte("cat", """SELECT package_id, coalesce(r[1].n, 'unknown') AS product_category, CASE WHEN len(r) = 0 THEN 0.0::DOUBLE ELSE
+_why = "CASE product_category " + " ".join(f"WHEN '{c}' THEN list_concat({_hits(s)}, {_hits(k)})" for c, s, k in v.COMMODITY) + " ELSE [] END"
+cte("cls", f"SELECT package_id, corpus, list_reverse_sort(list_filter([{_pts}], lambda c: c.p > 0)) AS r FROM [[corp]]")
+cte("cat0", """SELECT package_id, corpus, coalesce(r[1].n, 'unknown') AS product_category, CASE WHEN len(r) = 0 THEN 0.0::DOUBLE ELSE
   round(least(0.85::DOUBLE, 0.35::DOUBLE + 0.5::DOUBLE * (r[1].p - coalesce(r[2].p, 0)) / r[1].p), 4) END AS category_confidence,
   coalesce(r[1].p >= 3 AND coalesce(r[2].p, 0) < r[1].p, false) AS confident FROM [[cls]]""")
+cte("cat", f"SELECT * EXCLUDE corpus, array_to_string(list_transform(({_why})[1:6], lambda h: trim(h)), '|') AS evidence FROM [[cat0]]")
 check("classify_product", "SELECT * FROM [[cat]]")
 _scope = "CASE category " + " ".join(f"WHEN '{c}' THEN product_category IN {lst(a)}" for c, a in v.CATEGORY_RULE_SCOPE.items()) + " ELSE true END"
 check("rule_scope", f"SELECT package_id, rule_id, product_category = 'unknown' OR {_scope} AS in_scope FROM [[sf]] JOIN [[cat]] USING (package_id)")
@@ -178,25 +180,52 @@ check("rule_fields", "SELECT package_id, rule_id, array_to_string(names, ',') AS
 cte("fs", """SELECT package_id, field, CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'MANUAL_REVIEW' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'MANUAL_REVIEW' ELSE 'PASS' END AS status
 FROM (SELECT package_id, status, unnest(names) AS field FROM [[rf]]) WHERE status IN ('PASS', 'MANUAL_REVIEW', 'FAIL') GROUP BY ALL""")
 check("field_status", "SELECT * FROM [[fs]]")
-check("finding_evidence", """SELECT r.package_id, r.rule_id, r.field, f.value, round(f.ocr_conf, 6) AS ocr_conf, round(f.ext_conf, 6) AS ext_conf, f.level, f.source_name
-FROM (SELECT package_id, rule_id, unnest(names) AS field FROM [[rf]]) r JOIN [[fv]] f USING (package_id, field) WHERE f.value IS NOT NULL""")
+cte("pfirst", f"""SELECT p.package_id, f.field, p.location, p.surface_name, p.ptext FROM [[ptr]] p CROSS JOIN (SELECT unnest({v.FIELDS}) AS field) f
+WHERE list_contains(p.hints, f.field) OR (p.location IN {lst(v.BASE_PLACES)} AND f.field IN {lst(v.BASE_FIELDS_STATUTORY)})
+QUALIFY row_number() OVER (PARTITION BY p.package_id, f.field ORDER BY p.surface_idx, p.pos) = 1""")
+_review = "CASE category " + " ".join(f"WHEN '{k}' THEN {list(f)}" for k, f in v.REVIEW_FIELDS.items() if f) + " ELSE [] END"
+cte("pointed", f"""SELECT s.package_id, s.rule_id, p.field, p.location, p.surface_name, p.ptext FROM (SELECT *, {_review} AS names FROM [[sf]] WHERE reason = '{ELSEWHERE}') s
+JOIN [[pfirst]] p ON p.package_id = s.package_id AND list_contains(s.names, p.field) QUALIFY row_number() OVER (PARTITION BY s.package_id, s.rule_id ORDER BY list_position(s.names, p.field)) = 1""")
+check("finding_evidence", """SELECT r.package_id, r.rule_id, r.field, f.value, round(f.ocr_conf, 6) AS ocr_conf, round(f.ext_conf, 6) AS ext_conf, f.level, f.source_name, NULL::VARCHAR AS pointer_text, NULL::VARCHAR AS pointer_place
+FROM (SELECT package_id, rule_id, unnest(names) AS field FROM [[rf]]) r JOIN [[fv]] f USING (package_id, field) WHERE f.value IS NOT NULL
+UNION ALL SELECT package_id, rule_id, field, NULL, NULL, NULL, NULL, surface_name, ptext, location FROM [[pointed]]""")
 check("annotation_plan", """SELECT f.package_id, f.source_name AS surface_name, f.field, f.value, f.x_min, f.y_min, f.x_max, f.y_max, coalesce(s.status, 'UNKNOWN') AS status, round(f.ext_conf, 6) AS ext_conf
 FROM [[fv]] f LEFT JOIN [[fs]] s USING (package_id, field) WHERE f.value IS NOT NULL AND f.x_min IS NOT NULL""")
 check("detection_rates", "SELECT field, count(value) AS found, count(*) AS total, round(100.0::DOUBLE * count(value) / count(*), 1) AS rate FROM [[final]] GROUP BY 1")
 _first = "CASE category " + " ".join(f"WHEN '{k}' THEN '{f[0]}'" for k, f in v.REVIEW_FIELDS.items() if f) + " ELSE rule_id END"
-cte("act", f"""SELECT a.*, f.value, CASE WHEN reason = '{ELSEWHERE}' THEN 'the place the label points to' WHEN contains(reason, 'address') THEN 'address of the making unit' WHEN contains(reason, 'telephone') THEN 'consumer care panel'
-  WHEN contains(reason, 'legibility') OR category = 'declaration_legibility' THEN 'price and quantity lines' WHEN f.value IS NOT NULL THEN 'read again: ' || f.value
-  WHEN contains(reason, 'too poor') THEN 'take the photo again' ELSE 'sides not photographed yet' END AS check_location, round(CASE WHEN f.value IS NOT NULL THEN f.ext_conf ELSE c.overall END, 3) AS confidence
-FROM (SELECT *, {_first} AS field FROM [[sf]] WHERE status = 'MANUAL_REVIEW' AND category IN {lst(v.REVIEW_FIELDS)}) a LEFT JOIN [[fv]] f USING (package_id, field) JOIN [[conf]] c ON c.package_id = a.package_id""")
-cte("acts", """SELECT package_id, field, rule_id, severity, reason, check_location, confidence, value AS current_value FROM [[act]]
+cte("unus", "SELECT package_id, string_agg(surface_name, ', ' ORDER BY surface_idx) AS names, arg_min(surface_name, surface_idx) AS first FROM [[use]] WHERE NOT usable GROUP BY 1")
+cte("act0", f"""SELECT a.*, f.value, f.source_name, p.location, p.surface_name AS pointer_photo, u.names, u.first,
+  CASE WHEN p.package_id IS NOT NULL THEN 'pointer' WHEN contains(reason, 'address') THEN 'address' WHEN contains(reason, 'telephone') THEN 'care'
+  WHEN contains(reason, 'legibility') OR category = 'declaration_legibility' THEN 'lines' WHEN f.value IS NOT NULL THEN 'read'
+  WHEN contains(reason, 'too poor') THEN CASE WHEN u.names IS NOT NULL THEN 'photos' ELSE 'photo' END ELSE 'sides' END AS kind,
+  CASE WHEN f.value IS NOT NULL THEN round(f.ext_conf, 3) ELSE CAST(round(CAST(c.overall AS DECIMAL(18, 9)), 3) AS DOUBLE) END AS confidence
+FROM (SELECT *, {_first} AS field FROM [[sf]] WHERE status = 'MANUAL_REVIEW' AND category IN {lst(v.REVIEW_FIELDS)}) a LEFT JOIN [[fv]] f USING (package_id, field) JOIN [[conf]] c ON c.package_id = a.package_id
+LEFT JOIN [[pointed]] p ON p.package_id = a.package_id AND p.rule_id = a.rule_id LEFT JOIN [[unus]] u ON u.package_id = a.package_id""")
+cte("act", """SELECT *, CASE kind WHEN 'pointer' THEN 'the ' || location || ' of the package, where the label points' WHEN 'address' THEN 'address of the making unit' WHEN 'care' THEN 'consumer care panel'
+  WHEN 'lines' THEN 'price and quantity lines' WHEN 'read' THEN 'read again: ' || value WHEN 'photos' THEN 'take again: ' || names WHEN 'photo' THEN 'take the photo again' ELSE 'sides not photographed yet' END AS check_location,
+  CASE kind WHEN 'pointer' THEN pointer_photo WHEN 'address' THEN source_name WHEN 'care' THEN source_name WHEN 'read' THEN source_name WHEN 'photos' THEN first END AS source_image FROM [[act0]]""")
+cte("acts", """SELECT package_id, field, array_to_string(list_transform(string_split(field, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS field_label, rule_id, title AS rule_reference, severity, reason, check_location,
+  source_image, confidence, value AS current_value FROM [[act]]
 QUALIFY row_number() OVER (PARTITION BY package_id, field, check_location ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, rule_id) = 1""")
 check("review_actions", "SELECT * FROM [[acts]]")
-check("inspection_rows", """SELECT r.package_id, count(*) FILTER (status = 'PASS') AS num_rules_pass, count(*) FILTER (status = 'FAIL') AS num_rules_fail, count(*) FILTER (status = 'MANUAL_REVIEW') AS num_rules_review,
-  coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'FAIL'), '') AS violation_rule_ids FROM [[route]] r LEFT JOIN [[sf]] s USING (package_id) GROUP BY 1""")
-check("inspect_packages", f"""SELECT r.package_id, r.route, r.surfaces_total, r.surfaces_usable, y.cylindrical_package, w.product_name, w.brand, w.manufacturer, coalesce(g.decision, 'MANUAL_REVIEW') AS decision,
+cte("insp", f"""SELECT r.package_id, r.route, r.surfaces_total, r.surfaces_usable, y.cylindrical_package, w.product_name, w.brand, w.manufacturer, coalesce(g.decision, 'MANUAL_REVIEW') AS decision,
   g.downgraded_from, CAST(round(CAST(coalesce(g.overall, 0) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS confidence, s.score, CASE WHEN s.package_id IS NOT NULL THEN {_grade.replace(' AS grade', '')} END AS grade, k.product_category, g.failed_rules AS violation_rule_ids, coalesce(a.n, 0) AS num_review_actions
 FROM [[route]] r JOIN [[cyl]] y USING (package_id) LEFT JOIN [[w]] w USING (package_id) LEFT JOIN [[guarded]] g USING (package_id) LEFT JOIN [[score]] s USING (package_id)
 LEFT JOIN [[cat]] k USING (package_id) LEFT JOIN (SELECT package_id, count(*) AS n FROM [[acts]] GROUP BY 1) a USING (package_id)""")
+check("inspect_packages", "SELECT * FROM [[insp]]")
+check("decision_counts", "SELECT decision, count(*) AS packages, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 1) AS share FROM [[insp]] GROUP BY 1")
+check("inspection_rows", f"""SELECT i.package_id AS inspection_id, 'pkgscreen-inspection/1' AS response_schema, '2026-01-01T00:00:00Z' AS timestamp, i.product_name, i.decision,
+  CASE i.decision WHEN 'COMPLIANT' THEN chr(128994) WHEN 'NON_COMPLIANT' THEN chr(128308) ELSE chr(128993) END AS decision_emoji, i.confidence, i.surfaces_total, i.surfaces_usable, i.cylindrical_package,
+  'derived' AS ruleset_id, '1' AS ruleset_version, false AS ruleset_verified, coalesce(s.p, 0) AS num_rules_pass, coalesce(s.f, 0) AS num_rules_fail, coalesce(s.m, 0) AS num_rules_review, i.num_review_actions,
+  i.brand, i.manufacturer, i.product_category, i.score AS compliance_score, coalesce(i.violation_rule_ids, '') AS violation_rule_ids, 'PENDING' AS inspector_status, NULL::VARCHAR AS final_decision, coalesce(s.n, 0) AS json_findings
+FROM [[insp]] i LEFT JOIN (SELECT package_id, count(*) AS n, count(*) FILTER (status = 'PASS') AS p, count(*) FILTER (status = 'FAIL') AS f, count(*) FILTER (status = 'MANUAL_REVIEW') AS m FROM [[sf]] GROUP BY 1) s USING (package_id)""")
+_list = lambda src, expr: f"(SELECT package_id, string_agg({expr}, ';' ORDER BY {expr}) AS l FROM {src} GROUP BY 1)"
+cte("sgrp", """SELECT package_id, bucket, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed FROM [[sc]] GROUP BY ALL
+UNION ALL SELECT package_id, b, 0, 0 FROM (SELECT DISTINCT package_id FROM [[sc]]) CROSS JOIN (SELECT unnest(BUCKETS) AS b) WHERE (package_id, b) NOT IN (SELECT (package_id, bucket) FROM [[sc]])""".replace("BUCKETS", str(v.BUCKETS)))
+check("inspection_nested", f"""SELECT i.package_id, i.decision, f.l AS findings, a.l AS review_actions, c.l AS citations, g.l AS score_groups,
+  (SELECT count(value) FROM [[final]] n WHERE n.package_id = i.package_id) AS n_declared, (SELECT count(*) FROM [[ptr]] p WHERE p.package_id = i.package_id) AS n_pointers
+FROM [[insp]] i LEFT JOIN {_list("[[sf]]", "rule_id || '=' || status")} f USING (package_id) LEFT JOIN {_list("[[acts]]", "field || '>' || check_location")} a USING (package_id)
+LEFT JOIN {_list("(SELECT * FROM [[sf]] WHERE status IN ('FAIL', 'MANUAL_REVIEW'))", "rule_id || '@' || rule_id")} c USING (package_id) LEFT JOIN {_list("[[sgrp]]", "bucket || ':' || passed || '/' || failed")} g USING (package_id)""")
 cte("w4", "SELECT * REPLACE (false AS blocks) FROM [[w3]]")
 statutory("[[w4]]", "ef")
 cte("econf0", confidence("[[ef]]", "0.0", "0.0"))

@@ -52,7 +52,14 @@ FROM [[inspections]] i LEFT JOIN [[curr]] c USING (inspection_id)""")
 check("audit_trail", """SELECT inspection_id, 'automated' AS entry, inspection_id AS entry_id, decision AS detail, NULL::BOOLEAN AS current, substr(timestamp, 1, 10) AS day FROM [[inspections]]
 UNION ALL SELECT inspection_id, 'decision', decision_id, action || ' ' || final_decision, NOT superseded, strftime(ts, '%Y-%m-%d') FROM [[hist]]
 UNION ALL SELECT entity_id, 'audit', id, action, NULL, strftime(ts, '%Y-%m-%d') FROM [[audit_log]]""")
+cte("trail", """SELECT inspection_id, 'automated' AS entry, inspection_id AS entry_id, decision AS detail, false AS current, CAST(timestamp AS TIMESTAMP) AS at FROM [[inspections]]
+UNION ALL SELECT inspection_id, 'decision', decision_id, action || ' ' || final_decision, NOT superseded, CAST(ts AS TIMESTAMP) FROM [[hist]]
+UNION ALL SELECT entity_id, 'audit', id, action, false, CAST(ts AS TIMESTAMP) FROM [[audit_log]]""")
+check("audit_nested", """SELECT inspection_id, count(*) AS entries, max(detail) FILTER (entry = 'automated') AS verdict, max(detail) FILTER (current) AS current_decision, least(count(*), 1000) AS shown,
+  last(entry ORDER BY at, entry, entry_id) AS last_entry FROM [[trail]] GROUP BY 1""")
 check("inspections_upsert", """SELECT inspection_id, decision, CASE WHEN decision <> 'NON_COMPLIANT' THEN 0.25::DOUBLE ELSE confidence END AS confidence,
   CASE WHEN decision = 'COMPLIANT' THEN 'PENDING' ELSE inspector_status END AS inspector_status, CASE WHEN decision = 'COMPLIANT' THEN NULL ELSE final_decision END AS final_decision FROM [[inspections]]""")
 check("payload_roundtrip", "SELECT * FROM [[inspections]]")
+check("payload_lookup", """SELECT d.inspection_id, i.inspection_id IS NOT NULL AS found, i.decision
+FROM (SELECT DISTINCT CAST(inspection_id AS BIGINT) AS inspection_id FROM [[decisions]]) d LEFT JOIN [[inspections]] i USING (inspection_id)""")
 check("schema_align", "SELECT inspection_id, NULL::VARCHAR AS brand, NULL::DOUBLE AS compliance_score, decision FROM [[inspections]]")

@@ -34,6 +34,9 @@ FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{v.WORD_TOKEN}')) A
 cte("ctok", f"SELECT chunk_id, len(w) AS length, unnest(w) AS term FROM (SELECT chunk_id, regexp_extract_all(lower(content), '{v.WORD_TOKEN}') AS w FROM [[chunks]])")
 cte("post", "SELECT chunk_id, CAST(length AS INT) AS length, term, count(*) AS tf FROM [[ctok]] GROUP BY ALL")
 check("postings", "SELECT * FROM [[post]]", True)
+cte("vowels", "SELECT chunk_id, [length(content) - length(replace(lower(content), l, '')) for l in ['a', 'e', 'i', 'o', 'u']] AS n FROM [[chunks]]")
+check("attach_embeddings", """SELECT chunk_id, 'text' AS chunk_type, CAST(p AS INT) AS place, round(CAST(CAST(n[p + 1] / list_sum(n) AS FLOAT) AS DOUBLE), 6) AS share
+FROM [[vowels]] CROSS JOIN (SELECT unnest(range(5)) AS p) WHERE list_sum(n) > 0""", True)
 check("vector_integrity", """SELECT chunk_type, count(*) AS vectors, count(*) FILTER (chunk_id IS NULL) AS null_ids, count(chunk_id) - count(DISTINCT chunk_id) AS repeated_ids,
   CAST(min(len(embedding)) AS INT) AS least_dim, CAST(max(len(embedding)) AS INT) AS most_dim FROM [[vectors]] GROUP BY 1""")
 check("doc_with_chunks", """SELECT d.doc_id, count(c.chunk_id) AS n_chunks, string_agg(md5(c.content), ',' ORDER BY c.chunk_index) AS digests
@@ -53,6 +56,8 @@ cte("qt", f"SELECT query_id, unnest(regexp_extract_all(lower(query), '{v.WORD_TO
 cte("cstat", "SELECT count(*) AS n, avg(length) AS al FROM (SELECT DISTINCT chunk_id, length FROM [[post]])")
 cte("dfreq", "SELECT term, ln((SELECT n FROM [[cstat]]) - count(*) + 0.5) - ln(count(*) + 0.5) AS w FROM [[post]] GROUP BY term")
 cte("idf", "SELECT term, CASE WHEN w < 0 THEN 0.25 * (SELECT avg(w) FROM [[dfreq]]) ELSE w END AS idf FROM [[dfreq]]")
+check("keyword_index", """SELECT term, df, round(idf, 6) AS weight, round(most, 6) AS most FROM [[idf]] JOIN (
+  SELECT term, count(*) AS df, max(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (SELECT al FROM [[cstat]])))) AS most FROM [[post]] GROUP BY term) USING (term)""", True)
 cte("kw", """SELECT query_id, chunk_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (SELECT al FROM [[cstat]])))), 9) AS score
 FROM [[qt]] JOIN [[post]] USING (term) JOIN [[idf]] USING (term) GROUP BY ALL""")
 

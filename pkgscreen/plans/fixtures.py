@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pkgscreen import vocab as v
+
 GIVEN = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -88,6 +90,43 @@ FROM ({body}) t WHERE text IS NOT NULL"""
 
 _K = "CAST(o_orderkey AS BIGINT)"
 
+
+def _case(key: str, values: list) -> str:
+    """The ``key``-th of ``values``."""
+    return f"CASE {key} " + " ".join(f"WHEN {n} THEN '{value}'" for n, value in enumerate(values)) + " END"
+
+
+_GENERIC = 2 * len(v.FIELDS)  # every declaration under two kinds of rule
+_GENERIC_SQL = f"""SELECT 'F' || CAST(j AS STRING) AS rule_id, 'declare the ' || replace(f, '_', ' ') AS requirement,
+  CASE j % 3 WHEN 0 THEN 'MANDATORY' WHEN 1 THEN 'MANDATORY_ANY' ELSE 'CONDITIONAL' END AS rule_type,
+  CASE WHEN j % 3 = 1 THEN f || ',' || g ELSE f END AS fields,
+  CASE f WHEN 'mrp' THEN 'PRESENT_AND_VALID_PRICE' WHEN 'net_quantity' THEN 'PRESENT_AND_VALID_UNIT' ELSE CASE WHEN f LIKE '%date' OR f = 'best_before' THEN 'VALID_DATE' ELSE 'PRESENT' END END AS validation,
+  {_case("j % 4", list(v.SEVERITY_WEIGHTS))} AS severity,
+  CASE WHEN j % 3 < 2 THEN 'ALWAYS' WHEN j % 2 = 0 THEN 'FIELD_PRESENT' ELSE 'ORIGIN_NOT_INDIA' END AS condition,
+  CASE WHEN j % 3 < 2 THEN NULL WHEN j % 2 = 0 THEN f ELSE 'country_of_origin' END AS depends_on, j % 2 = 0 AS verified
+FROM (SELECT DISTINCT p_partkey % {_GENERIC} AS j, {_case(f"p_partkey % {_GENERIC} % {len(v.FIELDS)}", v.FIELDS)} AS f,
+  {_case(f"(p_partkey % {_GENERIC} + 5) % {len(v.FIELDS)}", v.FIELDS)} AS g FROM {{part}}) r"""
+
+
+def _statutory_sql() -> str:
+    """A rule per kind of check: every category with a handler, every kind outside photo screening, some without either."""
+    plain = [c for c in v.CATEGORY_BUCKETS if c not in v.HANDLER_CATEGORIES and c not in ("package_declarations", "exemptions")]
+    kinds = [(c, "FIELD_PRESENT") for c in v.HANDLER_CATEGORIES] + [("exemptions", "EXEMPTION_LOOKUP"), ("package_declarations", "REQUIRED_DECLARATIONS_PRESENT")]
+    kinds += [(plain[n % len(plain)], kind) for n, kind in enumerate(v.SCOPE_NA_TYPES) if kind != "EXEMPTION_LOOKUP"]
+    kinds += [(c, "OTHER_CHECK") for c in plain[::3]] + [(plain[0], "FIELD_PRESENT")] * len(v.SCOPE_NA_RULES)
+    own = [[d for d, f in v.DECLARED_FIELDS.items() if {*f} & {*v.CATEGORY_FIELDS.get(c, [])}] for c, _ in kinds]
+    n, named = len(kinds), len(kinds) - len(v.SCOPE_NA_RULES)
+    ids = [f"C{j}" for j in range(named)] + v.SCOPE_NA_RULES
+    words = ",".join(v.WORDING_ABBREVIATIONS)
+    return f"""SELECT rule_id, category, vtype, severity, 'check ' || CAST(j AS STRING) || ' of ' || replace(category, '_', ' ') AS title, fields,
+  CASE category WHEN 'quantity_language' THEN '{words}' ELSE '' END AS phrases,
+  CASE WHEN j % 4 = 0 THEN '' ELSE 'as ' || lower(replace(vtype, '_', ' ')) || ' says' END AS requirement,
+  CASE WHEN j % 3 = 0 THEN NULL ELSE 'packages of kind ' || CAST(j % 5 AS STRING) END AS applicability,
+  CASE WHEN j % 5 = 0 THEN '' ELSE 'quoted from part ' || CAST(j AS STRING) END AS evidence_text
+FROM (SELECT j, {_case("j", ids)} AS rule_id, {_case("j", [c for c, _ in kinds])} AS category, {_case("j", [k for _, k in kinds])} AS vtype,
+  {_case("j % 4", list(v.SEVERITY_WEIGHTS))} AS severity, {_case("j", [d[j % len(d)] if d else "" for j, d in enumerate(own)])} AS fields
+  FROM (SELECT DISTINCT p_partkey % {n} AS j FROM {{part}}) k) r"""
+
 # names of other fixtures in braces are resolved before the given tables
 SQL: dict[str, str] = {
     "lines": _lines_sql(False),
@@ -144,6 +183,9 @@ FROM {benchmark} b JOIN {pages} p ON p.page_id % 40 = b.item_id % 40""",
   CASE page_id % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'IMAGE/PNG' WHEN 2 THEN 'text/html' WHEN 3 THEN '' ELSE NULL END AS content_type,
   CASE WHEN page_id % 11 = 0 THEN 0 WHEN page_id % 13 = 0 THEN 20971521 WHEN page_id % 17 = 0 THEN 20971520 ELSE CAST(length(html) AS BIGINT) END AS size_bytes
 FROM {pages}""",
+    # the rules of the screening jobs: kinds, declarations and conditions by key arithmetic
+    "generic_rules": _GENERIC_SQL,
+    "statutory_rules": _statutory_sql(),
     # rule tables that grow with the data: one rule per part, ten sizes of ruleset
     "part_rules": """SELECT p_partkey % 97 AS ruleset_id, 'P' || CAST(p_partkey AS STRING) AS rule_id, upper(p_name) AS title,
   CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS requirement, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS applicability,

@@ -9,6 +9,7 @@ from pkgscreen.operators import quality as q
 from pkgscreen.operators import repository as repo
 from pkgscreen.operators import rules as r
 from pkgscreen.plans import evidence as pe
+from pkgscreen.plans import screening as sc
 from pkgscreen.plans.extraction import rounded
 from pkgscreen.plans.fixtures import table
 from pkgscreen.plans.registry import QUERIES, query
@@ -19,12 +20,19 @@ def ctx(spark, sf):
     return r.contexts(pe._run(spark, sf))
 
 
+def rules(spark, sf, name):
+    """A derived rule table, with its lists as arrays."""
+    listed = lambda c: F.expr(f"IF({c} = '', CAST(array() AS ARRAY<STRING>), split({c}, ','))")
+    found = table(spark, sf, name).withColumn("fields", listed("fields"))
+    return found.withColumn("phrases", listed("phrases")).withColumn("verified", F.lit(False)) if "phrases" in found.columns else found
+
+
 def generic(spark, sf):
-    return staged(spark, "generic_findings", sf, lambda: r.evaluate_rules(ctx(spark, sf), r.generic_rules(spark)))
+    return staged(spark, "generic_findings", sf, lambda: r.evaluate_rules(ctx(spark, sf), rules(spark, sf, "generic_rules")))
 
 
 def statutory(spark, sf):
-    return staged(spark, "findings", sf, lambda: r.evaluate_statutory(ctx(spark, sf), r.statutory_rules(spark)))
+    return staged(spark, "findings", sf, lambda: r.evaluate_statutory(ctx(spark, sf), rules(spark, sf, "statutory_rules")))
 
 
 def _job(key, job):
@@ -33,7 +41,7 @@ def _job(key, job):
 
 _G = ["package_id", "rule_id", "status", "reason"]
 _job("rule_findings", lambda spark, sf: generic(spark, sf).select(*_G, "severity"))
-_job("rule_unverified", lambda spark, sf: r.evaluate_rules(ctx(spark, sf), r.generic_rules(spark), enforce=True).select(*_G))
+_job("rule_unverified", lambda spark, sf: r.evaluate_rules(ctx(spark, sf), rules(spark, sf, "generic_rules"), enforce=True).select(*_G))
 _job("rule_applicability", lambda spark, sf: generic(spark, sf).select("package_id", "rule_id", "applies"))
 _job("rule_mandatory", lambda spark, sf: generic(spark, sf).where("rule_type IN ('MANDATORY', 'CONDITIONAL')").select(*_G))
 _job("rule_any_of", lambda spark, sf: generic(spark, sf).where("rule_type = 'MANDATORY_ANY'").select(*_G))
@@ -49,11 +57,7 @@ def rule_validators(spark, sf):
             .select("package_id", "field", *[F.expr(r.validators("value", f"'{k}'")).alias(k.lower()) for k in kinds]))
 
 
-@query("finding_evidence")
-def finding_evidence(spark, sf):
-    rows = r.rule_fields(statutory(spark, sf)).select("package_id", "rule_id", F.explode("names").alias("field"))
-    fields = ctx(spark, sf).selectExpr("package_id", "inline(fields)").where("value IS NOT NULL")
-    return rounded(rows.join(fields, ["package_id", "field"]).select("package_id", "rule_id", "field", "value", "ocr_conf", "ext_conf", "level", "source_name"), "ocr_conf", "ext_conf")
+_job("finding_evidence", lambda spark, sf: rounded(r.evidence_of(ctx(spark, sf), statutory(spark, sf)), "ocr_conf", "ext_conf"))
 
 
 _S = ["package_id", "rule_id", "status", "reason"]
@@ -85,7 +89,7 @@ _job("decision_guard", lambda spark, sf: r.guard(r.fuse(statutory(spark, sf)), c
 _job("compliance_score", lambda spark, sf: r.compliance_score(statutory(spark, sf)).select("package_id", "score", "scored_rules", "not_assessable"))
 _job("score_grade", lambda spark, sf: r.compliance_score(statutory(spark, sf)).select("package_id", "grade"))
 _job("score_breakdown", lambda spark, sf: r.score_breakdown(statutory(spark, sf)))
-_job("classify_product", lambda spark, sf: classes(spark, sf))
+_job("classify_product", lambda spark, sf: classes(spark, sf).withColumn("evidence", F.array_join("evidence", "|")))
 _job("rule_scope", lambda spark, sf: r.scope_rules(statutory(spark, sf), classes(spark, sf)).select("package_id", "rule_id", "in_scope"))
 _job("review_actions", lambda spark, sf: rounded(r.review_actions(ctx(spark, sf), statutory(spark, sf), conf(spark, sf)), "confidence"))
 _job("rule_fields", lambda spark, sf: r.rule_fields(statutory(spark, sf)).select("package_id", "rule_id", F.array_join("names", ",").alias("names")))
@@ -94,28 +98,33 @@ _job("annotation_plan", lambda spark, sf: rounded(r.annotation_plan(ctx(spark, s
 _job("detection_rates", lambda spark, sf: repo.detection_rates(pe._run(spark, sf).selectExpr("package_id", "inline(fields)")))
 
 
-def evaluate_fields(fields_ctx, rules):
+def evaluate_fields(fields_ctx, ruleset):
     """Findings, verdict, confidence and score of declarations handed in without photos."""
     bare = fields_ctx.withColumns({"blocks": F.lit(False), "score": F.lit(0.0), "ocr": F.lit(0.0)})
-    findings = r.evaluate_statutory(bare, rules)
+    findings = r.evaluate_statutory(bare, ruleset)
     judged = r.guard(r.fuse(findings), r.confidence(bare, findings))
     return judged.join(r.compliance_score(findings), "package_id")
 
 
 @query("evaluate_fields")
 def _evaluate_fields(spark, sf):
-    return rounded(evaluate_fields(ctx(spark, sf), r.statutory_rules(spark)).select("package_id", "decision", "downgraded_from", "overall", "score"), "overall")
+    return rounded(evaluate_fields(ctx(spark, sf), rules(spark, sf, "statutory_rules")).select("package_id", "decision", "downgraded_from", "overall", "score"), "overall")
+
 
+def inspect(packages, findings, refused=None):
+    """One row per package, those that cannot be judged included; ``refused`` packages (surfaces, error) are rows with the reason.
 
-def inspect(packages, findings, t=None):
-    """One row per package, those that cannot be judged included."""
+    Packages and findings are exchanged once each by package; everything else stays
+    on that partitioning, and a shared part of the plan is run once.
+    """
+    packages, findings = packages.repartition("package_id"), findings.repartition("package_id")
     context = r.contexts(packages)
     surfaces = packages.selectExpr("package_id", "cylindrical_package", "inline(surfaces)")
     routed = q.route_unassessable(surfaces).drop("decision")
     confidences = r.confidence(context, findings)
     judged = r.guard(r.fuse(findings), confidences)
     actions = r.review_actions(context, findings, confidences).groupBy("package_id").agg(F.count("*").alias("num_review_actions"))
-    return (routed.join(judged, "package_id", "left").join(r.compliance_score(findings), "package_id", "left")
+    rows = (routed.join(judged, "package_id", "left").join(r.compliance_score(findings), "package_id", "left")
             .join(r.classify(context), "package_id", "left").join(actions, "package_id", "left")
             .join(context.selectExpr("package_id", "try_element_at(by, 'brand').value AS brand", "try_element_at(by, 'manufacturer').value AS manufacturer",
                                      "try_element_at(by, 'product_name').value AS product_name"), "package_id", "left")
@@ -124,19 +133,81 @@ def inspect(packages, findings, t=None):
                     F.coalesce("decision", F.lit("MANUAL_REVIEW")).alias("decision"), "downgraded_from", F.round(F.coalesce("overall", F.lit(0.0)), 6).alias("confidence"),
                     "score", "grade", "product_category", F.array_join("failed_rules", ",").alias("violation_rule_ids"),
                     F.coalesce("num_review_actions", F.lit(0)).alias("num_review_actions")))
+    if refused is None:
+        return rows
+    return rows.unionByName(refused.select("package_id", F.lit("REFUSED").alias("route"), F.col("surfaces").alias("surfaces_total"), F.lit(0).cast("long").alias("surfaces_usable")), allowMissingColumns=True)
+
+
+def nested(packages, findings, citations, refused=None):
+    """One nested row per package: the result with its declarations, pointers, findings, score by group, actions and citations.
+
+    A package's lists are bounded: by its photos (refused beyond the most allowed)
+    and by the rules. No exchange is added to those of ``inspect`` but that of the citations.
+    """
+    base, judged = packages.repartition("package_id"), findings.repartition("package_id")
+    context = r.contexts(base)
+    confidences = r.confidence(context, judged)
+
+    def listed(df, name):
+        rest = sorted(c for c in df.columns if c != "package_id")
+        return df.groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+
+    out = inspect(packages, findings, refused)
+    for df, name in ((judged.select("package_id", "rule_id", "category", "severity", "title", "status", "reason"), "findings"), (r.score_breakdown(judged), "score_groups"),
+                     (r.review_actions(context, judged, confidences), "review_actions"), (citations, "citations")):
+        out = out.join(listed(df, name), "package_id", "left")
+    declared = base.select("package_id", F.col("fields").alias("declarations"), "pointers")
+    return out.join(declared, "package_id", "left")
+
+
+STORED = {"response_schema": "pkgscreen-inspection/1"}
+EMOJI = {"COMPLIANT": "\U0001F7E2", "NON_COMPLIANT": "\U0001F534", "MANUAL_REVIEW": "\U0001F7E1"}  # fixed values: signs of the verdicts
+
+
+def stored_rows(results, timestamp: str, ruleset: dict):
+    """Nested results as rows of the inspection store: the columns that are searched, and the whole result as JSON."""
+    hit = lambda status: F.when(F.col("findings").isNotNull(), F.size(F.filter("findings", lambda f: f["status"] == status))).otherwise(0).cast("long")
+    emoji = F.create_map(*(F.lit(x) for pair in EMOJI.items() for x in pair))
+    return results.select(
+        F.col("package_id").alias("inspection_id"), F.lit(STORED["response_schema"]).alias("response_schema"), F.lit(timestamp).alias("timestamp"), "product_name", "decision",
+        F.try_element_at(emoji, "decision").alias("decision_emoji"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "surfaces_total", "surfaces_usable",
+        F.coalesce("cylindrical_package", F.lit(False)).alias("cylindrical_package"), F.lit(ruleset["id"]).alias("ruleset_id"), F.lit(ruleset["version"]).alias("ruleset_version"),
+        F.lit(ruleset["verified"]).alias("ruleset_verified"), hit("PASS").alias("num_rules_pass"), hit("FAIL").alias("num_rules_fail"), hit("MANUAL_REVIEW").alias("num_rules_review"),
+        F.coalesce("num_review_actions", F.lit(0)).alias("num_review_actions"), F.to_json(F.struct(*results.columns)).alias("result_json"), "brand", "manufacturer", "product_category",
+        F.col("score").alias("compliance_score"), F.coalesce("violation_rule_ids", F.lit("")).alias("violation_rule_ids"), F.lit("PENDING").alias("inspector_status"), F.lit(None).cast("string").alias("final_decision"))
+
+
+def refused_packages(spark, sf):
+    return sc.rejected(table(spark, sf, "surface_metrics"))
 
 
 @query("inspect_packages")
 def inspect_packages(spark, sf):
-    return inspect(pe._run(spark, sf), statutory(spark, sf))
+    return inspect(pe._run(spark, sf), statutory(spark, sf), refused_packages(spark, sf))
+
+
+def results(spark, sf):
+    from pkgscreen.plans.regulations import citations
+
+    return staged(spark, "results", sf, lambda: nested(pe._run(spark, sf), statutory(spark, sf), citations(spark, sf), refused_packages(spark, sf)))
+
+
+@query("inspection_nested")
+def inspection_nested(spark, sf):
+    """The nested results, each list as one text."""
+    said = lambda name, expr: F.expr(f"array_join(array_sort(transform({name}, x -> {expr})), ';')").alias(name)
+    return results(spark, sf).select(
+        "package_id", "decision", said("findings", "x.rule_id || '=' || x.status"), said("review_actions", "x.field || '>' || x.check_location"),
+        said("citations", "x.rule_id || '@' || x.chunk_id"), said("score_groups", "x.bucket || ':' || x.passed || '/' || x.failed"),
+        F.expr("CAST(size(filter(declarations, d -> d.value IS NOT NULL)) AS BIGINT)").alias("n_declared"), F.expr("CAST(size(pointers) AS BIGINT)").alias("n_pointers"))
 
 
 @query("inspection_rows")
 def inspection_rows(spark, sf):
-    """Status counts and violations of every stored inspection; zeros where nothing could be judged."""
-    hit = lambda s: F.count_if(F.col("status") == s)
-    counts = statutory(spark, sf).groupBy("package_id").agg(
-        hit("PASS").alias("num_rules_pass"), hit("FAIL").alias("num_rules_fail"), hit("MANUAL_REVIEW").alias("num_rules_review"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == "FAIL", F.col("rule_id")))), ",").alias("violation_rule_ids"))
-    return (pe._run(spark, sf).select("package_id").join(counts, "package_id", "left")
-            .na.fill(0, ["num_rules_pass", "num_rules_fail", "num_rules_review"]).na.fill("", ["violation_rule_ids"]))
+    """Every stored inspection; of the JSON result, the number of findings that can be read back from it."""
+    stored = stored_rows(results(spark, sf), "2026-01-01T00:00:00Z", {"id": "derived", "version": "1", "verified": False})
+    findings = F.coalesce(F.get_json_object("result_json", "$.findings"), F.lit("[]"))
+    return stored.withColumn("json_findings", F.json_array_length(findings).cast("long")).drop("result_json")
+
+
+_job("decision_counts", lambda spark, sf: repo.decision_counts(results(spark, sf)))

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
-from pkgscreen import vocab as v
 from pkgscreen.functions.text import reg_tokens
 from pkgscreen.operators import regsearch as rs
-from pkgscreen.operators import rules as r
 from pkgscreen.operators import search as sr
 from pkgscreen.plans.extraction import rounded
 from pkgscreen.plans.fixtures import read, table
-from pkgscreen.plans.inspection import statutory
+from pkgscreen.plans.inspection import generic, rules, statutory
 from pkgscreen.plans.registry import QUERIES, query
 from pkgscreen.plans.screening import staged
 from pkgscreen.sources import tables as src
@@ -41,8 +34,8 @@ def raw_json(spark, sf):
 
 def corpus(spark, sf):
     def build():
-        named = r.statutory_rules(spark).selectExpr(
-            "rule_id AS chunk_id", "'rules' AS document", "rule_id AS rule_reference", "title AS text", "category", "'ruleset' AS source_type")
+        named = rs.rules_to_chunks(rules(spark, sf, "statutory_rules")).selectExpr(
+            "rule_id AS chunk_id", "'rules' AS document", "rule_id AS rule_reference", "text", "category", "'ruleset' AS source_type")
         return rs.corpus_union(rs.clause_text(raw_texts(spark, sf)), named)
     return staged(spark, "corpus", sf, build)
 
@@ -75,21 +68,8 @@ def ngram_cosine(spark, sf):
     return rounded(sr.vector_topk(rs.ngram_vectors(asked(spark, sf), "query").selectExpr("query_id", "vector AS embedding"), docs, 5).select(*_HIT), "score")
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def digest_vector(texts: pd.Series) -> pd.Series:
-    """Another vectoriser: triples hashed with blake2b instead of md5."""
-    def one(t):
-        t = " ".join((t or "").lower().split())
-        h = np.zeros(v.VECTOR_DIM)
-        for i in range(max(1, len(t) - 2) if t else 0):
-            h[int.from_bytes(hashlib.blake2b(t[i:i + 3].encode(), digest_size=4).digest(), "big") % v.VECTOR_DIM] += 1
-        n = np.linalg.norm(h)
-        return h / n if n else h
-
-    return texts.map(one)
-
-
-_job("reg_custom_vec", lambda spark, sf: rs.search_reg(asked(spark, sf), corpus(spark, sf), 5, vectorizer=digest_vector).select(*_HIT))
+# other vectors: triples hashed with sha1 instead of md5
+_job("reg_custom_vec", lambda spark, sf: rs.search_reg(asked(spark, sf), corpus(spark, sf), 5, digest="sha1").select(*_HIT))
 
 
 @query("reg_citation")
@@ -98,9 +78,18 @@ def reg_citation(spark, sf):
         corpus(spark, sf).select(F.col("chunk_id").alias("rule_id"), "document", F.col("text").alias("quote")), "rule_id")
 
 
+def citations(spark, sf):
+    """Citations of the statutory findings."""
+    return rs.cite_findings(statutory(spark, sf), corpus(spark, sf))
+
+
 @query("cite_findings")
 def cite_findings(spark, sf):
-    return rs.cite_findings(statutory(spark, sf), corpus(spark, sf))
+    """Statutory findings are cited by their rule, generic ones (whose rules are not in the corpus) by search."""
+    named = rules(spark, sf, "generic_rules").select("rule_id", F.col("requirement").alias("title"))
+    both = [statutory(spark, sf), generic(spark, sf).join(F.broadcast(named), "rule_id")]
+    columns = "package_id", "rule_id", "status", "title", "reason"
+    return rs.cite_findings(both[0].select(*columns).unionByName(both[1].select(*columns)), corpus(spark, sf))
 
 
 # sources

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pkgscreen.operators import repository as r
 from pkgscreen.plans.fixtures import table
 from pkgscreen.plans.registry import QUERIES, query
+from pkgscreen.plans.screening import staged_path
 
 _SHOWN = ["inspection_id", "timestamp", "product_name", "manufacturer", "decision", "confidence", "compliance_score"]
 
@@ -53,6 +54,12 @@ def audit_trail(spark, sf):
         "inspection_id", "entry", "entry_id", "detail", "current", F.date_format("at", "yyyy-MM-dd").alias("day"))
 
 
+@query("audit_nested")
+def audit_nested(spark, sf):
+    trail = r.nested_trail(r.audit_trail(*[table(spark, sf, n) for n in ("inspections", "decisions", "audit_log")]))
+    return trail.select("inspection_id", "entries", "verdict", "current_decision", F.size("history").cast("long").alias("shown"), F.element_at("history", -1)["entry"].alias("last_entry"))
+
+
 @query("inspections_upsert")
 def inspections_upsert(spark, sf):
     rows = table(spark, sf, "inspections")
@@ -68,6 +75,15 @@ def payload_roundtrip(spark, sf):
     return r.from_payload(r.to_payload(rows, "inspection_id"), rows.schema)
 
 
+@query("payload_lookup")
+def payload_lookup(spark, sf):
+    """Payloads of the inspections that the decisions name, from the bucketed store."""
+    rows = table(spark, sf, "inspections")
+    path = staged_path(spark, "payloads", sf, lambda p: r.store_payloads(r.to_payload(rows, "inspection_id"), p))
+    found = r.find_payloads(table(spark, sf, "decisions").selectExpr("CAST(inspection_id AS BIGINT) AS inspection_id"), path)
+    return found.select("inspection_id", "found", F.get_json_object("payload", "$.decision").alias("decision"))
+
+
 @query("schema_align")
 def schema_align(spark, sf):
     rows = table(spark, sf, "inspections")

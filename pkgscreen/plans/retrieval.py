@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pkgscreen.operators import ingest as g
+from pkgscreen.operators import keywords as kw
 from pkgscreen.operators import search as s
 from pkgscreen.plans.extraction import rounded
 from pkgscreen.plans.fixtures import read, table
 from pkgscreen.plans.registry import QUERIES, query
-from pkgscreen.plans.screening import staged
+from pkgscreen.plans.screening import staged, staged_path
 
 
 def docs(spark, sf):
@@ -31,6 +32,10 @@ def postings(spark, sf):
     return staged(spark, "postings", sf, lambda: g.build_postings(chunks(spark, sf)))
 
 
+def index(spark, sf):
+    return kw.read_index(spark, staged_path(spark, "keyword-index", sf, lambda path: kw.write_index(postings(spark, sf), path)))
+
+
 def _job(key, job):
     QUERIES[key] = job
 
@@ -42,6 +47,7 @@ _job("chunk_documents", lambda spark, sf: g.chunk_documents(kept_docs(spark, sf)
 _job("word_tokens", lambda spark, sf: g.tokens(read(spark, sf, "documents").selectExpr("doc_id AS chunk_id", "text AS content")).groupBy("chunk_id").agg(
     F.count("*").alias("n_tokens"), F.count_distinct("term").alias("n_terms"), F.max("term").alias("last_term")))
 _job("postings", lambda spark, sf: g.build_postings(chunks(spark, sf)))
+_job("keyword_index", lambda spark, sf: rounded(index(spark, sf).terms.join(index(spark, sf).maxima.groupBy("term").agg(F.max("most").alias("most")), "term"), "weight", "most"))
 _job("vector_integrity", lambda spark, sf: g.check_vectors(table(spark, sf, "vectors")))
 _job("doc_with_chunks", lambda spark, sf: g.with_chunks(kept_docs(spark, sf), chunks(spark, sf)).select(
     "doc_id", F.expr("coalesce(CAST(size(chunks) AS BIGINT), 0)").alias("n_chunks"), F.expr("array_join(transform(chunks, c -> md5(c.content)), ',')").alias("digests")))
@@ -76,7 +82,8 @@ def length_embedder(texts):
     return out
 
 
-_job("attach_embeddings", lambda spark, sf: g.attach_embeddings(chunks(spark, sf), length_embedder))
+_job("attach_embeddings", lambda spark, sf: rounded(g.attach_embeddings(chunks(spark, sf), length_embedder).select(
+    "chunk_id", "chunk_type", F.posexplode("embedding").alias("place", "share")).withColumn("share", F.col("share").cast("double")), "share"))
 
 
 def queries(spark, sf):
@@ -86,25 +93,25 @@ def queries(spark, sf):
 def hits(spark, sf):
     return staged(spark, "retriever_hits", sf, lambda: s.candidates(
         queries(spark, sf), table(spark, sf, "query_vectors").join(queries(spark, sf).select("query_id"), "query_id", "left_semi"),
-        postings(spark, sf), table(spark, sf, "vectors")))
+        index(spark, sf), table(spark, sf, "vectors")))
 
 
 def found(spark, sf):
     q = queries(spark, sf)
     return staged(spark, "search_results", sf, lambda: s.search(
         q, table(spark, sf, "query_vectors").join(q.select("query_id"), "query_id", "left_semi"),
-        postings(spark, sf), table(spark, sf, "vectors"), chunks(spark, sf), docs(spark, sf)))
+        index(spark, sf), table(spark, sf, "vectors"), chunks(spark, sf), docs(spark, sf)))
 
 
 _job("query_admission", lambda spark, sf: s.admit_queries(table(spark, sf, "search_queries")).select("query_id", "query", "error"))
-_job("bm25_topk", lambda spark, sf: rounded(s.bm25_topk(queries(spark, sf), postings(spark, sf), 20).select("query_id", "chunk_id", "score", "rank"), "score"))
+_job("bm25_topk", lambda spark, sf: rounded(s.bm25_topk(queries(spark, sf), index(spark, sf), 20).select("query_id", "chunk_id", "score", "rank"), "score"))
 _job("vector_topk", lambda spark, sf: rounded(s.vector_topk(table(spark, sf, "query_vectors"), table(spark, sf, "vectors"), 10).select("query_id", "chunk_id", "score", "rank"), "score"))
 _job("vector_topk_modality", lambda spark, sf: rounded(s.vector_topk(table(spark, sf, "query_vectors"), table(spark, sf, "vectors"), 10, "image").select("query_id", "chunk_id", "score", "rank"), "score"))
 _job("adaptive_cut", lambda spark, sf: rounded(s.adaptive_cut(hits(spark, sf)), "score"))
 _job("query_intent", lambda spark, sf: s.query_intent(table(spark, sf, "search_queries")).select("query_id", "informational", "semantic_weight", "keyword_weight", "image_weight"))
 _job("hybrid_rrf", lambda spark, sf: rounded(s.fused_hits(s.adaptive_cut(hits(spark, sf)), queries(spark, sf)).drop("k").withColumn(
     "ranks", F.expr("array_join(transform(map_entries(ranks), e -> e.key || '=' || e.value), ',')")), "score", "faiss_score", "bm25_score", "clip_score"))
-_job("rrf_plain", lambda spark, sf: rounded(s.rrf(s.bm25_topk(queries(spark, sf), postings(spark, sf), 20).select("query_id", "chunk_id", "rank").unionByName(
+_job("rrf_plain", lambda spark, sf: rounded(s.rrf(s.bm25_topk(queries(spark, sf), index(spark, sf), 20).select("query_id", "chunk_id", "rank").unionByName(
     s.vector_topk(table(spark, sf, "query_vectors"), table(spark, sf, "vectors"), 20).select("query_id", "chunk_id", "rank"))), "score"))
 
 

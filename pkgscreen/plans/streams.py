@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from pkgscreen.operators import ingest as g
@@ -23,16 +21,14 @@ def stream_ingest(spark, sf):
     docs = g.with_hash(feeds.follow(spark, sf, "documents").withColumn("file_name", F.expr("source || '-' || doc_id || '.txt'")))
     path = feeds.target(spark, "ingest")
     feeds.ingest(docs.select("doc_id", "content_hash", "text"), path)
-    return spark.read.parquet(f"{path}/*").select("doc_id", "content_hash")
+    return spark.read.parquet(path).select("doc_id", "content_hash")
 
 
 @query("stream_daily_trend")
 def stream_daily_trend(spark, sf):
-    name = "trend" + os.urandom(4).hex()
-    trend = feeds.daily_trend(_derived(spark, sf, "decisions"))
-    (trend.writeStream.outputMode("complete").format("memory").queryName(name)
-     .option("checkpointLocation", feeds.target(spark, "trend")).trigger(availableNow=True).start().awaitTermination())
-    return spark.table(name)
+    path = feeds.target(spark, "trend")
+    feeds.keep_trend(_derived(spark, sf, "decisions"), path)
+    return feeds.read_trend(spark, path)
 
 
 @query("stream_audit")
@@ -46,5 +42,4 @@ def stream_audit(spark, sf):
 def stream_current_decision(spark, sf):
     path = feeds.target(spark, "current")
     feeds.keep_current(_derived(spark, sf, "decisions"), path)
-    last = max(int(p.rsplit("/v", 1)[1]) for p in [r.path for r in spark.read.parquet(f"{path}/*").select(F.regexp_extract("_metadata.file_path", r"(.*/v\d+)/", 1).alias("path")).distinct().collect()])
-    return spark.read.parquet(f"{path}/v{last}").select("inspection_id", "decision_id", "inspector_id", "action", "final_decision")
+    return feeds.read_current(spark, path).select("inspection_id", "decision_id", "inspector_id", "action", "final_decision")

@@ -62,9 +62,9 @@ def ruleset_verified(rules: DataFrame) -> DataFrame:
 
 
 def log_tail(lines: DataFrame, n: int = 50) -> DataFrame:
-    """The last lines; what is not JSON is kept as it stands."""
+    """The last lines: the whole record of a JSON line, and its member ``k``; what is not JSON is kept as it stands."""
     last = lines.orderBy(F.desc("line_no")).limit(max(n, 1))
-    return last.select("line_no", F.get_json_object("line", "$.k").alias("k"), F.when(F.get_json_object("line", "$").isNull(), F.trim("line")).alias("raw"))
+    return last.select("line_no", F.get_json_object("line", "$.k").alias("k"), F.get_json_object("line", "$").alias("record"), F.when(F.get_json_object("line", "$").isNull(), F.trim("line")).alias("raw"))
 
 
 def write_results_json(df: DataFrame, path: str) -> None:

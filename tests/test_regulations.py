@@ -1,14 +1,58 @@
+import json
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from pkgscreen.operators import regsearch
+from pkgscreen.operators import regsearch, vectors
 
 
-def test_search_takes_more_queries_than_a_block(spark, monkeypatch):
+def clauses(spark, n=3):
     names = ["document", "source_type", "category", "rule_reference", "title", "chunk_id", "text"]
-    clauses = [(f"d{i}", "rule", "c", f"R{i}", f"t{i}", f"c{i}", text) for i, text in enumerate(["net quantity on the label", "price of the package", "name of the maker"])]
-    chunks = spark.createDataFrame(clauses, names)
+    texts = ["net quantity on the label", "price of the package", "name of the maker"]
+    rows = [(f"d{i}", "rule", "c", f"R{i}", f"t{i}", f"c{i:04d}", texts[i % 3] + (f" in part {i * 7919 % 97} of {i}" if i > 2 else "")) for i in range(n)]
+    return spark.createDataFrame(rows, names)
+
+
+def test_search_takes_any_number_of_queries_in_any_parts(spark, monkeypatch):
+    chunks = clauses(spark)
     queries = spark.createDataFrame([(i, ["quantity label", "package price", "maker name"][i % 3]) for i in range(30)], "query_id long, query string")
     rows = lambda: sorted((r.query_id, r.chunk_id, r.score) for r in regsearch.search_reg(queries, chunks, 1).select(F.col("query_id"), "chunk_id", "score").collect())
     whole = rows()
-    monkeypatch.setattr(regsearch, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "QUERY_PART", 7)
     assert rows() == whole and len(whole) == 30
+
+
+def test_pruned_search_equals_scoring_everything(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "VECTORS_PER_CELL", 10)
+    monkeypatch.setattr(regsearch.kw, "BLOCK_CHUNKS", 8)
+    chunks = clauses(spark, 240)
+    asked = ["quantity in part 5", "price", "maker of part 12 and 13", "xyzzy", "the label of the package"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    words = {(r.query_id, r.chunk_id): r.score for r in regsearch.bm25_reg(queries, chunks).collect()}
+    vector = lambda df, col, key: {r[key]: np.array(r.vector) for r in regsearch.ngram_vectors(df, col).collect()}
+    q, c = vector(queries, "query", "query_id"), vector(chunks, "text", "chunk_id")
+    want = {}
+    for i in q:
+        best = max((s for (a, _), s in words.items() if a == i), default=1)
+        total = {j: 0.65 * words.get((i, j), 0) / best + 0.35 * float(q[i] @ c[j]) for j in c}
+        want[i] = sorted(((-np.floor(t * 1e4 + 0.5) / 1e4, j) for j, t in total.items() if t > 0))[:5]
+    got = {}
+    for r in sorted(regsearch.search_reg(queries, chunks, 5).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((-r.score, r.chunk_id))
+    assert got == {i: w for i, w in want.items() if w}
+
+
+def test_a_folder_of_good_broken_and_odd_files(spark, tmp_path):
+    folder = tmp_path / "corpus"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "a_rules.txt").write_text("[p. 4] Rule 6(1) first\n\nsecond block")
+    (folder / "empty.txt").write_text(" \n")
+    (folder / "good.json").write_text(json.dumps({"document": "D", "url": "u", "clauses": [{"id": "X1", "text": "one", "page": 2}, {"text": " "}]}))
+    (folder / "deep" / "list.json").write_text(json.dumps([{"requirement": "two"}]))
+    (folder / "broken.json").write_text('{"clauses": [')
+    (folder / "other.json").write_text('{"a": 1}')
+    found, errors = regsearch.read_corpus(spark, str(folder))
+    assert {(r.chunk_id, r.text, r.page) for r in found.collect()} == {("a_rules-000", "Rule 6(1) first", 4), ("a_rules-001", "second block", 4), ("X1", "one", 2), ("list-000", "two", None)}
+    assert {(r.file_name, r.error) for r in errors.collect()} == {("empty.txt", "empty file"), ("broken.json", "not JSON"), ("other.json", "no clauses")}
+    found, errors = regsearch.read_corpus(spark, str(tmp_path / "absent"))
+    assert found.count() == 0 and errors.count() == 0

@@ -1,10 +1,12 @@
 """Operators against brute force on small inputs."""
 
 import numpy as np
+import pytest
 
 from pkgscreen.operators import ingest as g
 from pkgscreen.operators import repository as repo
 from pkgscreen.operators import search as s
+from pkgscreen.operators import vectors as vec
 from pkgscreen.sources import tables
 
 
@@ -31,14 +33,29 @@ def test_chunks_match_brute_force(spark):
         assert [r.content for r in sorted(got, key=lambda r: r.chunk_id) if r.doc_id == n] == brute_chunks(t)
 
 
-def test_vector_topk_blocks_equal_single_block(spark):
+@pytest.mark.parametrize("clustered", [False, True])
+def test_nearest_by_cells_equals_brute_force_and_skips_cells(spark, monkeypatch, clustered):
     rng = np.random.default_rng(2)
-    vec = lambda n: [(i, [float(x) for x in rng.normal(size=8)], "text") for i in range(n)]
-    stored = spark.createDataFrame(vec(300), "chunk_id long, embedding array<float>, chunk_type string")
-    asked = spark.createDataFrame(vec(12), "query_id long, embedding array<float>, chunk_type string")
-    one = {(r.query_id, r.rank): r.chunk_id for r in s.vector_topk(asked, stored, 5).collect()}
-    many = {(r.query_id, r.rank): r.chunk_id for r in s.vector_topk(asked, stored, 5, block=4).collect()}
-    assert one == many and len(one) == 60
+    centers = rng.normal(size=(12, 8)) * 3
+    make = lambda n: np.round([centers[i % 12] + rng.normal(size=8) * 0.2 if clustered else rng.normal(size=8) for i in range(n)], 3)
+    x, q = make(1200), make(60)
+    x[77] = x[5]  # a tie
+    rows = lambda a: [(i, [float(y) for y in r], "text") for i, r in enumerate(a)]
+    stored = spark.createDataFrame(rows(x), "chunk_id long, embedding array<double>, chunk_type string")
+    asked = spark.createDataFrame(rows(q), "query_id long, embedding array<double>, chunk_type string")
+    monkeypatch.setattr(vec, "VECTORS_PER_CELL", 20)
+    monkeypatch.setattr(vec, "QUERY_PART", 7)
+    monkeypatch.setattr(vec, "VECTOR_PART", 11)
+    scores = np.round(q / np.linalg.norm(q, axis=1, keepdims=True) @ x.T, 9)
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in s.vector_topk(asked, stored, 5).collect()}
+    assert got == {(i, n + 1): j for i in range(60) for n, j in enumerate(np.lexsort((np.arange(1200), -scores[i]))[:5])}
+    near = {(r.query_id, r.chunk_id) for r in vec.nearest(asked, stored, 5, slack=0.05).collect()}
+    assert near == {(i, j) for i in range(60) for j in np.flatnonzero(scores[i] >= np.sort(scores[i])[-5] - 0.05)}
+    if clustered:
+        _, sizes = vec.into_cells(stored)
+        bounds = vec.cell_bounds(asked, sizes).toPandas()
+        fifth = np.sort(scores, axis=1)[:, -5]
+        assert (bounds["bound"] >= fifth[bounds["query_id"]]).mean() < 0.6
 
 
 def test_chunks_that_differ_behind_800_characters_both_stay(spark):
@@ -58,6 +75,40 @@ def test_every_query_gets_as_many_sources_as_it_asks_for(spark):
         assert sorted(r.chunk_id for r in got if r.query_id == query) == list(range(k + 1, 2 * k + 1))
 
 
+def test_long_documents_are_chunked_in_linear_time(spark):
+    import time
+    text = " ".join(f"w{i} is a word here." for i in range(60_000))  # over a megabyte
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    got = [r.content for r in g.chunk_documents(one).orderBy("chunk_id").collect()]
+    assert time.time() - start < 30 and got == brute_chunks(text)
+
+
+def test_payloads_are_found_in_their_bucket_and_replaced(spark, tmp_path):
+    path = str(tmp_path / "payloads")
+    rows = spark.range(300).selectExpr("id AS inspection_id", "'v' || id AS name")
+    repo.store_payloads(repo.to_payload(rows, "inspection_id"), path, buckets=16)
+    repo.store_payloads(repo.to_payload(rows.where("inspection_id < 3").selectExpr("inspection_id", "'new' AS name"), "inspection_id"), path, buckets=16)
+    one = repo.get_payload(spark, path, 2, buckets=16)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert [r.payload for r in one.collect()] == ['{"inspection_id":2,"name":"new"}'] and "PartitionFilters: [isnotnull(bucket" in plan
+    assert repo.get_payload(spark, path, 1000, buckets=16).count() == 0
+    asked = spark.createDataFrame([(5,), (1,), (999,), (5,)], "inspection_id long")
+    found = {r.inspection_id: (r.found, r.payload) for r in repo.find_payloads(asked, path, buckets=16).collect()}
+    assert found == {5: (True, '{"inspection_id":5,"name":"v5"}'), 1: (True, '{"inspection_id":1,"name":"new"}'), 999: (False, None)}
+    assert "PartitionFilters: [bucket" in repo.find_payloads(asked, path, buckets=16)._jdf.queryExecution().executedPlan().toString()
+    assert repo.read_payloads(spark, path).count() == 300
+
+
+def test_a_busy_inspection_on_one_day_is_linked_over_ranges(spark):
+    rows = [(n * 7 % 5003, 7, f"2026-01-01 00:{n // 100 % 60:02d}:00") for n in range(5003)] + [(9000, 8, "2026-01-01 00:00:00"), (9001, None, "2026-01-01 00:00:00"), (9002, None, "2026-01-02 00:00:00")]
+    d = spark.createDataFrame(rows, "decision_id long, inspection_id long, ts string").selectExpr("* EXCEPT (ts)", "CAST(ts AS TIMESTAMP) AS ts")
+    got = {r.decision_id: (r.supersedes, r.superseded) for r in repo.supersede(d).collect()}
+    order = sorted((r[2], r[0]) for r in rows if r[1] == 7)
+    want = {i: (order[n - 1][1] if n else None, n < len(order) - 1) for n, (_, i) in enumerate(order)}
+    assert got == want | {9000: (None, False), 9001: (None, True), 9002: (9001, False)}
+
+
 def test_one_current_decision_and_linked_history(spark):
     rows = [(n, 7, "i", "ACCEPT", "COMPLIANT", f"2026-01-{1 + n // 3:02d} 0{n % 3}:00:00") for n in range(12)]
     d = spark.createDataFrame(rows, "decision_id long, inspection_id long, inspector_id string, action string, final_decision string, ts string").selectExpr(

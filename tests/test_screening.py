@@ -1,7 +1,10 @@
 """Acceptance cases on small packages written for this purpose."""
 
+import re
+
 import pytest
 
+from pkgscreen.config import written
 from pkgscreen.operators import extract as ex
 from pkgscreen.operators import rules as r
 from pkgscreen.plans import inspection, screening
@@ -16,6 +19,23 @@ def rows(package, surface, texts, conf=0.97):
     return [(package, surface, f"s{surface}", n, t, conf, 20, n * 60, 420, n * 60 + 44) for n, t in enumerate(texts)]
 
 
+STATUTORY = [("entity", "manufacturer_details", "FIELD_PRESENT", "CRITICAL"), ("price", "mrp", "FIELD_PRESENT", "CRITICAL"), ("amount", "net_quantity", "FIELD_PRESENT", "HIGH"),
+             ("wording", "quantity_language", "DISALLOWED_PHRASES", "HIGH"), ("dates", "date_declaration", "FIELD_PRESENT", "HIGH"), ("care", "consumer_contact", "FIELD_PRESENT", "HIGH"),
+             ("all", "package_declarations", r.AGGREGATE, "HIGH"), ("gate", "exemptions", "EXEMPTION_LOOKUP", "LOW"), ("unknown", "no_such_category", "OTHER", "LOW")]
+GENERIC = [("p", "price", "MANDATORY", ["mrp"], "PRESENT_AND_VALID_PRICE", "HIGH", "ALWAYS", None, True),
+           ("m", "maker", "MANDATORY_ANY", ["importer", "manufacturer"], "PRESENT", "HIGH", "ALWAYS", None, True),
+           ("o", "importer", "CONDITIONAL", ["importer"], "PRESENT", "LOW", "ORIGIN_NOT_INDIA", "country_of_origin", False)]
+
+
+def statutory_rules(spark):
+    rows = [(*rule, rule[0], [], ["approximately", "about"] if rule[0] == "wording" else [], False) for rule in STATUTORY]
+    return spark.createDataFrame(rows, "rule_id string, category string, vtype string, severity string, title string, fields array<string>, phrases array<string>, verified boolean")
+
+
+def generic_rules(spark):
+    return spark.createDataFrame(GENERIC, "rule_id string, requirement string, rule_type string, fields array<string>, validation string, severity string, condition string, depends_on string, verified boolean")
+
+
 LINES = "package_id long, surface_idx int, surface_name string, line_no int, text string, confidence double, x_min int, y_min int, x_max int, y_max int"
 METRICS = "package_id long, surface_idx int, surface_name string, blur double, brightness double, contrast double, glare double, skew double, ocr_error string"
 
@@ -28,7 +48,7 @@ def screened(spark):
     good, bad = (200.0, 120.0, 50.0, 0.05, 0.1, None), (10.0, 120.0, 50.0, 0.05, 0.1, "recogniser could not start")
     metrics = [(p, s, f"s{s}", *good) for p in (1, 2, 3, 4) for s in (0, 1)] + [(5, 0, "s0", *bad)]
     packages = screening.evidence_run(spark.createDataFrame(lines, LINES), spark.createDataFrame(metrics, METRICS)).cache()
-    findings = r.evaluate_statutory(r.contexts(packages), r.statutory_rules(spark)).cache()
+    findings = r.evaluate_statutory(r.contexts(packages), statutory_rules(spark)).cache()
     results = {x.package_id: x for x in inspection.inspect(packages, findings).collect()}
     statuses = {(x.package_id, x.rule_id): x.status for x in findings.collect()}
     return results, statuses
@@ -36,12 +56,12 @@ def screened(spark):
 
 def test_complete_package_has_no_violation(screened):
     results, statuses = screened
-    assert results[1].violation_rule_ids == "" and statuses[1, "S06"] == "PASS" and results[1].confidence > 0.8
+    assert results[1].violation_rule_ids == "" and statuses[1, "price"] == "PASS" and results[1].confidence > 0.8
 
 
 def test_missing_price_fails(screened):
     results, statuses = screened
-    assert statuses[2, "S06"] == "FAIL" and results[2].decision == "NON_COMPLIANT"
+    assert statuses[2, "price"] == "FAIL" and results[2].decision == "NON_COMPLIANT"
 
 
 def test_weak_reading_goes_to_a_person(screened):
@@ -49,7 +69,7 @@ def test_weak_reading_goes_to_a_person(screened):
 
 
 def test_misleading_wording_fails(screened):
-    assert screened[1][4, "S09"] == "FAIL"
+    assert screened[1][4, "wording"] == "FAIL"
 
 
 def test_recogniser_fault_is_not_judged(screened):
@@ -59,8 +79,9 @@ def test_recogniser_fault_is_not_judged(screened):
 def test_rules_of_any_number_meet_packages_without_sending_packages_round(spark, monkeypatch):
     lines = [x for p in range(1, 5) for x in rows(p, 0, FRONT[:p]) + rows(p, 1, BACK)]
     metrics = [(p, s, f"s{s}", 200.0, 120.0, 50.0, 0.05, 0.1, None) for p in range(1, 5) for s in (0, 1)]
-    context = r.contexts(screening.evidence_run(spark.createDataFrame(lines, LINES), spark.createDataFrame(metrics, METRICS))).cache()
-    jobs = [lambda: r.evaluate_statutory(context, r.statutory_rules(spark)), lambda: r.evaluate_rules(context, r.generic_rules(spark))]
+    context = r.contexts(screening.evidence_run(spark.createDataFrame(lines, LINES), spark.createDataFrame(metrics, METRICS)))
+    context = written(context, "context")
+    jobs = [lambda: r.evaluate_statutory(context, statutory_rules(spark)), lambda: r.evaluate_rules(context, generic_rules(spark))]
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
     answers = lambda d: sorted((x.package_id, x.rule_id, x.status, x.reason) for x in d.collect())
     few = [answers(job()) for job in jobs]
@@ -73,6 +94,26 @@ def test_rules_of_any_number_meet_packages_without_sending_packages_round(spark,
         assert answers(job()) == want
 
 
+def test_a_package_of_too_many_photos_is_refused_before_it_is_collected(spark):
+    lines = rows(1, 0, FRONT) + rows(1, 1, BACK) + [x for n in range(9) for x in rows(2, n, FRONT)]
+    metrics = [(p, s, f"s{s}", 200.0, 120.0, 50.0, 0.05, 0.1, None) for p, n in ((1, 2), (2, 9)) for s in range(n)]
+    lines, metrics = spark.createDataFrame(lines, LINES), spark.createDataFrame(metrics, METRICS)
+    packages = written(screening.evidence_run(lines, metrics), "packages")
+    assert [x.package_id for x in packages.collect()] == [1]
+    findings = written(r.evaluate_statutory(r.contexts(packages), statutory_rules(spark)), "findings")
+    cited = findings.where("status = 'MANUAL_REVIEW'").selectExpr("package_id", "rule_id", "'c' AS chunk_id")
+    whole = inspection.nested(packages, findings, cited, screening.rejected(metrics))
+    got = {x.package_id: x for x in whole.collect()}
+    assert (got[2].route, got[2].surfaces_total, got[2].decision, got[2].findings) == ("REFUSED", 9, None, None)
+    assert len(got[1].findings) == len(STATUTORY) and {f.rule_id for f in got[1].findings if f.status == "MANUAL_REVIEW"} == {c.rule_id for c in got[1].citations or []}
+    assert {d.field: d.value for d in got[1].declarations}["mrp"] == "Rs.149.00"
+    flat = inspection.inspect(packages, findings)._jdf.queryExecution().executedPlan().toString()
+    ids = set(re.findall(r"REPARTITION_BY_COL, \[plan_id=(\d+)", flat))
+    assert "ENSURE_REQUIREMENTS" not in "".join(re.findall(r"Exchange hashpartitioning\(package_id.*", flat)) and ids
+    stored = inspection.stored_rows(whole, "2026-01-01T00:00:00Z", {"id": "x", "version": "1", "verified": True})
+    assert len(stored.columns) == 25 and {x.inspection_id: x.num_rules_pass for x in stored.collect()}[1] == sum(f.status == "PASS" for f in got[1].findings)
+
+
 def test_photos_past_the_sixth_are_named(spark):
     files = spark.createDataFrame([(f"in/p/{n}.jpg",) for n in range(8)] + [("in/x.png",)], "path string")
     got = tables.group_surfaces(files, "in").collect()
