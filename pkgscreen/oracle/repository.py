@@ -56,7 +56,7 @@ cte("trail", """SELECT inspection_id, 'automated' AS entry, inspection_id AS ent
 UNION ALL SELECT inspection_id, 'decision', decision_id, action || ' ' || final_decision, NOT superseded, CAST(ts AS TIMESTAMP) FROM [[hist]]
 UNION ALL SELECT entity_id, 'audit', id, action, false, CAST(ts AS TIMESTAMP) FROM [[audit_log]]""")
 check("audit_nested", """SELECT inspection_id, count(*) AS entries, max(detail) FILTER (entry = 'automated') AS verdict, max(detail) FILTER (current) AS current_decision, least(count(*), 1000) AS shown,
-  last(entry ORDER BY at, entry, entry_id) AS last_entry FROM [[trail]] GROUP BY 1""")
+  last(entry ORDER BY "at", entry, entry_id) AS last_entry FROM [[trail]] GROUP BY 1""")
 check("inspections_upsert", """SELECT inspection_id, decision, CASE WHEN decision <> 'NON_COMPLIANT' THEN 0.25::DOUBLE ELSE confidence END AS confidence,
   CASE WHEN decision = 'COMPLIANT' THEN 'PENDING' ELSE inspector_status END AS inspector_status, CASE WHEN decision = 'COMPLIANT' THEN NULL ELSE final_decision END AS final_decision FROM [[inspections]]""")
 check("payload_roundtrip", "SELECT * FROM [[inspections]]")
