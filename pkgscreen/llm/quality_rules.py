@@ -1,14 +1,19 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Each rule's values are summarised per (lang, source) in a mergeable quantile
-sketch: counts of logarithmic cells with relative width ``GAMMA`` (merging is
-adding counts, so Spark's partial aggregation is the merge and a hot source is
-reduced before it is shuffled). A language's sketch is merged with the corpus's at the weight
-of ``PRIOR`` documents, a group's sketch with its language's likewise, so that a small group
-that is mostly junk cannot excuse itself while a large one is judged by its own values. A
-rule's cut is the median plus ``SPREAD`` times the distance from the median to the upper
-quartile (two cells at least, since a sketch shows no less), with no upper limit, and at
-least the rule's floor: what is below it is never rejected. A document above a cut is rejected. Joined filtering then applies the cuts.
+A rule's value is a rate per word, of a count with one added where clean text has
+none (so that a text without symbols says how little its length can tell). Values
+are summarised per (lang, source) in a mergeable quantile sketch: counts of
+logarithmic cells with relative width ``GAMMA`` (merging is adding counts, so
+Spark's partial aggregation is the merge and a hot source is reduced before it is
+shuffled). A language's sketch is merged with the corpus's at the weight of
+``PRIOR`` documents, a group's sketch with its language's likewise, so that a small
+group that is mostly junk cannot excuse itself while a large one is judged by its
+own values. A rule's cut lies ``SPREAD`` times as far above the median as the upper
+quartile does, by ratio for the counted rules, whose values span orders of
+magnitude, and by difference for the mean length of words: no constant is a cut, or
+a limit to it. Only the distance of the quartile has a least number of cells
+(``RULES``), no more than ordinary groups show, for groups whose values are all alike. A document above a cut is rejected.
+Joined filtering then applies the cuts.
 
 Words are runs without ``[\\x20\\x09-\\x0D]`` of the whole text. Defined results:
 null text has no words and fails the base rule; null lang or source is a group
@@ -35,12 +40,12 @@ SPREAD = 6.0
 PRIOR = 100.0
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# rule: (value from the counts, floor of its cut)
+# rule: (value from the counts, least cells from the median to the upper quartile, whether distances are ratios)
 RULES = {
-    "symbols": ("n_symbols / n_words", 0.3),
-    "long_words": ("word_chars / n_words", 15.0),
-    "dup_lines": ("n_dup_lines / n_words", 0.1),
-    "repeats": ("n_repeat_words / n_words", 0.35),
+    "symbols": ("(n_symbols + 1) / n_words", 18, True),
+    "long_words": ("word_chars / n_words", 2, False),
+    "dup_lines": ("(n_dup_lines + 1) / n_words", 18, True),
+    "repeats": ("(n_repeat_words + 1) / n_words", 18, True),
 }
 MAX_BROADCAST_GROUPS = 100_000
 
@@ -126,8 +131,8 @@ BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 def sketches(counted: DataFrame) -> DataFrame:
     """Cells and their counts per group and rule: the merged sketches, at most a few hundred cells each."""
-    cell = "IF(v <= 0, -1000000, CAST(ceil(ln(v) / ln({g})) AS INT))".format(g=GAMMA)
-    values = ", ".join(f"'{name}', CAST({value} AS DOUBLE)" for name, (value, _) in RULES.items())
+    cell = f"CAST(ceil(ln(v) / ln({GAMMA})) AS INT)"  # no value is zero: these documents have words
+    values = ", ".join(f"'{name}', CAST({value} AS DOUBLE)" for name, (value, _, _) in RULES.items())
     return (counted.where(f"NOT ({BASE_FAILED})")
             .selectExpr("lang AS _qr_lang", "source AS _qr_source", f"stack({len(RULES)}, {values}) AS (rule, v)")
             .groupBy("_qr_lang", "_qr_source", "rule", F.expr(cell).alias("cell")).count())
@@ -168,17 +173,19 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     langs = merged("_qr_lang").join(F.broadcast(corpus), F.col("rule") == F.col("p_rule")).withColumn("_qr_source", F.lit(None).cast(text))
     langs = written(shrunk(langs), "languages").select(F.col("_qr_lang").alias("p_lang"), F.col("rule").alias("p_rule"), F.col("cells").alias("p_cells"), F.col("counts").alias("p_counts"))
     cells = merged("_qr_lang", "_qr_source").join(broadcast_if(langs, 1000), F.col("_qr_lang").eqNullSafe(F.col("p_lang")) & (F.col("rule") == F.col("p_rule")))
-    value = "IF({c} <= -1000000, 0.0D, 2 * pow({g}, {c}) / (1 + {g}))"
-    cells = shrunk(cells).select("_qr_lang", "_qr_source", "rule", F.expr(value.format(c="m", g=GAMMA)).alias("m"), F.expr(value.format(c="u", g=GAMMA)).alias("u"))
-    floor = F.expr("CASE rule " + " ".join(f"WHEN '{name}' THEN {low}D" for name, (_, low) in RULES.items()) + " END")
-    cut = F.round(F.greatest(floor, F.expr(f"m + {SPREAD} * greatest(u - m, m * {GAMMA**2 - 1})")), 9)
+    cells = shrunk(cells).select("_qr_lang", "_qr_source", "rule", "m", "u")
+    of_rule = lambda at: F.expr("CASE rule " + " ".join(f"WHEN '{name}' THEN {rule[at]}" for name, rule in RULES.items()) + " END")
+    away = F.greatest(F.col("u") - F.col("m"), of_rule(1))
+    median = F.pow(F.lit(GAMMA), F.col("m"))
+    by_ratio, by_difference = median * F.pow(F.lit(GAMMA), SPREAD * away), median * (1 + SPREAD * (F.pow(F.lit(GAMMA), away) - 1))
+    cut = F.round(F.when(of_rule(2), by_ratio).otherwise(by_difference), 9)
     return (cells.withColumn("cut", cut).groupBy("_qr_lang", "_qr_source")
             .agg(*(F.max(F.when(F.col("rule") == name, F.col("cut"))).alias(f"cut_{name}") for name in RULES)))
 
 
 def judge(counted: DataFrame, cuts: DataFrame) -> DataFrame:
     """``counted`` with the cuts of its group, ``base_failed`` and ``kept``."""
-    above = " OR ".join(f"coalesce(CAST({value} AS DOUBLE) > cut_{name}, false)" for name, (value, _) in RULES.items())
+    above = " OR ".join(f"coalesce(CAST({value} AS DOUBLE) > cut_{name}, false)" for name, (value, _, _) in RULES.items())
     joined = counted.join(broadcast_if(cuts, MAX_BROADCAST_GROUPS), counted.lang.eqNullSafe(cuts._qr_lang) & counted.source.eqNullSafe(cuts._qr_source), "left")
     return (joined.withColumn("base_failed", F.expr(BASE_FAILED))
             .withColumn("kept", F.expr(f"NOT base_failed AND NOT (n_words > 0 AND ({above}))")).drop("_qr_lang", "_qr_source"))

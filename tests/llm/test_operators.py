@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pkgscreen.llm import importance, line_dedup, near_dedup, neighbours, packing, pieces, quality_rules, sitetree, tokencount, warc
 
@@ -64,9 +65,9 @@ def test_quality_cuts_against_brute_force(spark):
     value = {}
     for i, _, lang, source in rows:
         n = got[i].n_words
-        value[i] = dict(symbols=got[i].n_symbols / n, long_words=got[i].word_chars / n, dup_lines=got[i].n_dup_lines / n, repeats=got[i].n_repeat_words / n)
+        value[i] = dict(symbols=(got[i].n_symbols + 1) / n, long_words=got[i].word_chars / n, dup_lines=(got[i].n_dup_lines + 1) / n, repeats=(got[i].n_repeat_words + 1) / n)
         for rule, v in value[i].items():
-            cell = int(np.ceil(np.log(v) / np.log(1.02))) if v > 0 else None
+            cell = int(np.ceil(np.log(v) / np.log(1.02)))
             for key in ((), (lang,), (lang, source)):
                 sketch[key, rule][cell] += 1
 
@@ -75,24 +76,39 @@ def test_quality_cuts_against_brute_force(spark):
         return {c: own[c] + 100 * prior.get(c, 0) / total for c in {*own, *prior}}
 
     def quantile(cells, q):
-        order, upto = sorted(cells, key=lambda c: -1e9 if c is None else c), 0
-        for c in order:
+        upto = 0
+        for c in sorted(cells):
             upto += cells[c]
             if upto >= q * sum(cells.values()) - 1e-6:
-                return 0.0 if c is None else 2 * 1.02**c / 2.02
+                return c
 
     for i, _, lang, source in rows:
         kept = True
-        for rule, (_, floor) in quality_rules.RULES.items():
+        for rule, least in (("symbols", 18), ("long_words", 2), ("dup_lines", 18), ("repeats", 18)):
             own = shrink(sketch[(lang, source), rule], shrink(sketch[(lang,), rule], sketch[(), rule]))
             m, u = quantile(own, 0.5), quantile(own, 0.75)
-            cut = max(floor, m + 6 * max(u - m, m * (1.02**2 - 1)))
+            away = max(u - m, least)
+            cut = 1.02**m * (1 + 6 * (1.02**away - 1)) if rule == "long_words" else 1.02 ** (m + 6 * away)
             assert abs(got[i][f"cut_{rule}"] - cut) < 1e-6, (rule, lang, source)
             kept = kept and value[i][rule] <= cut
         assert got[i].kept == kept
         assert kept == (source != "junk"), i  # clean documents stay whatever their script; a small source of junk does not excuse itself
 
 
+def test_quality_cuts_come_from_the_sketches(spark):
+    """On ordinary documents no group's cut is a constant, and a source that differs gets another cut."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cuts = [f"cut_{rule}" for rule in quality_rules.RULES]
+    groups = quality_rules.evaluate(docs).select("lang", "source", *cuts).distinct().collect()
+    for cut in cuts:
+        # sources of one language have words of the same mean length, to within a cell
+        assert len({round(g[cut], 6) for g in groups}) > (2 if cut == "cut_long_words" else len(groups) / 4), cut
+    moved = docs.withColumn("text", F.when(F.col("lang") == "en", F.concat("text", F.expr("repeat(' # $ %', 30)"))).otherwise(F.col("text")))
+    again = {(g.lang, g.source): g for g in quality_rules.evaluate(moved).select("lang", "source", *cuts).distinct().collect()}
+    english = [g for g in groups if g.lang == "en"]
+    assert sum(again[g.lang, g.source].cut_symbols > 2 * g.cut_symbols for g in english) > 0.9 * len(english)
+
+
 def test_lines(docs, texts):
     key = lambda x: x.strip(" \t\n\x0b\f\r").translate(LOWER)
     holders = defaultdict(set)
