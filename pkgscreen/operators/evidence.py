@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pkgscreen import vocab as v
 from pkgscreen.config import DEFAULT, Thresholds
 from pkgscreen.functions import geometry as g
-from pkgscreen.functions.text import has, pick, strip, strip_of
+from pkgscreen.functions.text import has, pick, strip_of
 
 _T = "l.stripped"
 _BOX = ["x_min", "y_min", "x_max", "y_max"]

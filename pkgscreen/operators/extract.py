@@ -1,7 +1,7 @@
 """Declarations from recognised lines.
 
 The lines are brought together once, by package. Each line gets its flags and
-values in one codegen projection; a photo then is one row with its lines in
+values as a flat row, in a compiled projection; a photo then is one row with its lines in
 reading order, and every declaration is the smallest of its ranked candidates
 over that row. Nothing is joined and nothing is shuffled a second time: the
 result stays partitioned by ``package_id`` for the merge over photos.
@@ -9,8 +9,6 @@ result stays partitioned by ``package_id`` for the merge over photos.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,13 +128,6 @@ def tag_rejects(lines: DataFrame) -> DataFrame:
     return lines.withColumns({f"is_{k}": F.expr(has(p)) for k, p in v.REJECT.items()})
 
 
-def _of_line(expr: str, line: str, names: list[str]) -> str:
-    """The same expression over the members of a line inside a lambda."""
-    column = re.compile(r"(?<![\w.])(" + "|".join(names) + r")(?![\w(])")
-    parts = re.split(r"(r?'[^']*')", expr)  # literals stand at the odd places
-    return "".join(p if n % 2 else column.sub(line + r".\1", p) for n, p in enumerate(parts))
-
-
 def by_surface(lines: DataFrame, flags: list[str], surfaces: DataFrame | None = None) -> DataFrame:
     """One row per photo: its lines in reading order, each with the named flags.
 
@@ -350,34 +341,6 @@ def extract(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return extract_from(by_surface(lines, flags_for(fields)), fields)
 
 
-def extract_mrp(lines: DataFrame) -> DataFrame:
-    return extract(lines, ["mrp"])
-
-
-def extract_net_quantity(lines: DataFrame) -> DataFrame:
-    return extract(lines, ["net_quantity"])
-
-
-def extract_entity(lines: DataFrame, kind: str) -> DataFrame:
-    return extract(lines, [kind])
-
-
-def extract_date(lines: DataFrame, field: str) -> DataFrame:
-    return extract(lines, [field])
-
-
-def extract_batch(lines: DataFrame) -> DataFrame:
-    return extract(lines, ["batch_number"])
-
-
-def extract_consumer_care(lines: DataFrame) -> DataFrame:
-    return extract(lines, ["consumer_care"])
-
-
-def extract_origin(lines: DataFrame) -> DataFrame:
-    return extract(lines, ["country_of_origin"])
-
-
 def extract_all(lines: DataFrame) -> DataFrame:
     return extract(lines)
 

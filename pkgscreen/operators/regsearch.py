@@ -124,32 +124,44 @@ def ngram_vectors(df: DataFrame, col: str = "text", vectorizer=None, digest: str
     return df.withColumn("buckets", F.expr(ngram_buckets(col, digest))).mapInPandas(scan, schema)
 
 
+def clause_vectors(chunks: DataFrame, vectorizer=None, digest: str = "md5") -> DataFrame:
+    """(chunk_id, embedding) of clauses by their text."""
+    return ngram_vectors(chunks.select("chunk_id", "text"), "text", vectorizer, digest).select("chunk_id", F.col("vector").alias("embedding"))
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     postings = ingest.build_postings(chunks.select("chunk_id", F.col("text").alias("content")), reg_tokens("content"))
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def keyword_index(chunks: DataFrame) -> kw.KeywordIndex:
-    """Index of the whole corpus; chunks without a word count among the corpus."""
-    tokens = chunks.where("text <> ''").select("chunk_id", F.expr(reg_tokens("text")).alias("w"))
+def write_keyword_index(chunks: DataFrame, path: str) -> None:
+    """Index of the whole corpus under ``path``; chunks without a word count among the corpus. Texts are cut once."""
+    tokens = written(chunks.where("text <> ''").select("chunk_id", F.expr(reg_tokens("text")).alias("w")), "reg-tokens")
     postings = tokens.select("chunk_id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-    path = f"{scratch_dir(chunks.sparkSession)}/reg-index-{uuid.uuid4().hex}"
     kw.write_index(postings, path, chunks=tokens.select("chunk_id", F.size("w").alias("length")), weight=kw.plus_one_weight)
-    return kw.read_index(chunks.sparkSession, path)
 
 
-def bm25_reg(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+def keyword_index(chunks: DataFrame) -> kw.KeywordIndex:
+    spark = chunks.sparkSession
+    path = f"{scratch_dir(spark)}/reg-index-{uuid.uuid4().hex}"
+    write_keyword_index(chunks, path)
+    return kw.read_index(spark, path)
+
+
+def bm25_reg(queries: DataFrame, chunks: DataFrame, k: int | None = None, index: kw.KeywordIndex | None = None) -> DataFrame:
     """Keyword scores; weights always come from the whole corpus. The best ``k`` of each query, or every chunk that shares a word."""
-    index = keyword_index(chunks)
+    index = index or keyword_index(chunks)
     if k:
         return kw.search(queries, index, k, reg_tokens("query"))
     return kw.all_scores(queries, index, reg_tokens("query"), None)
 
 
 def search_reg(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.0, vectorizer=None, digest: str = "md5",
-               category=None, source_type=None, rule_reference=None) -> DataFrame:
+               category=None, source_type=None, rule_reference=None, index: kw.KeywordIndex | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Keyword and character score together, best ``k`` clauses of every query, for any number of queries.
 
+    ``index`` and ``vectors`` (chunk_id, embedding) of the corpus may be given, so that many searches share them.
+
     Filters choose the candidates; keyword scores are relative to the best of them.
     A result has either a keyword score near the k-th best, nearer than any
     character score could make up for, or is among the best by characters (ties in
@@ -157,7 +169,7 @@ def search_reg(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: flo
     from searches that skip what cannot reach them.
     """
     asked = queries.where("query <> ''")
-    index = keyword_index(chunks)
+    index = index or keyword_index(chunks)
     if category:
         chunks = chunks.where(F.col("category") == category)
     if source_type:
@@ -173,7 +185,10 @@ def search_reg(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: flo
     words = words.join(kw.floors(words, k, spare), "query_id", "left").where("floor IS NULL OR score >= floor").join(best, "query_id")
     words = words.select("query_id", "chunk_id", (F.col("score") / F.col("best")).alias("kw"))
     q_vectors = written(ngram_vectors(asked.select("query_id", "query"), "query", vectorizer, digest).select("query_id", F.col("vector").alias("embedding")), "reg-queries")
-    c_vectors = written(ngram_vectors(chunks.select("chunk_id", "text"), "text", vectorizer, digest).select("chunk_id", F.col("vector").alias("embedding")), "reg-clauses")
+    if vectors is None:
+        c_vectors = written(clause_vectors(chunks, vectorizer, digest), "reg-clauses")
+    else:
+        c_vectors = vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi") if category or source_type or rule_reference else vectors
     near = vec.nearest(q_vectors, c_vectors, k, ROUNDING / v.VECTOR_SHARE).select("query_id", "chunk_id", F.lit(0.0).alias("kw"))
     pairs = words.unionByName(near).groupBy("query_id", "chunk_id").agg(F.max("kw").alias("kw"))
     held = pairs.join(q_vectors.withColumnRenamed("embedding", "q"), "query_id").join(c_vectors.withColumnRenamed("embedding", "c"), "chunk_id")
@@ -197,19 +212,19 @@ ROUNDING = 2e-4  # scores are compared in steps of 1e-4
 CITED_BROADCAST = 10_000  # cited rules or texts that travel to the findings
 
 
-def cite_findings(findings: DataFrame, chunks: DataFrame, k: int = 1) -> DataFrame:
+def cite_findings(findings: DataFrame, chunks: DataFrame, k: int = 1, **shared) -> DataFrame:
     """Clauses behind each finding in doubt: by rule id, else by search, else none.
 
     Findings repeat few distinct rules and texts: each is looked up once, and the
     answers travel to the findings if they are few (checked), so that these keep
-    their partitioning.
+    their partitioning. ``shared`` may give the corpus's ``index`` and ``vectors``.
     """
     doubt = findings.where("status IN ('FAIL', 'MANUAL_REVIEW')").select("package_id", "rule_id", "status", F.concat_ws(" ", "title", "reason").alias("query"))
     small = lambda df: F.broadcast(df) if fits(df, CITED_BROADCAST) else df
     known = written(doubt.select("rule_id").distinct().join(chunks.select(F.col("chunk_id").alias("rule_id"), F.col("chunk_id").alias("exact")), "rule_id"), "cited-rules")
     marked = doubt.join(small(known), "rule_id", "left")
     texts = written(marked.where("exact IS NULL").select("query").distinct().withColumn("query_id", F.md5("query")), "cited-texts")
-    hits = written(search_reg(texts, chunks, k).join(texts, "query_id").select("query", F.col("chunk_id").alias("found")), "cited-hits")
+    hits = written(search_reg(texts, chunks, k, **shared).join(texts, "query_id").select("query", F.col("chunk_id").alias("found")), "cited-hits")
     searched = marked.join(small(hits), "query", "left")
     return searched.selectExpr("package_id", "rule_id", "status", "coalesce(exact, found) AS chunk_id",
                                "CASE WHEN exact IS NOT NULL THEN 'exact_rule_id' WHEN found IS NOT NULL THEN 'hybrid_search' ELSE 'no_match' END AS retrieval")

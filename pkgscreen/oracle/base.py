@@ -29,7 +29,7 @@ def check(key: str, sql: str, recursive: bool = False) -> None:
     need(sql)
     plain = lambda text: re.sub(r"\[\[(\w+)\]\]", r"\1", text)
     head = ",\n".join(f"{n} AS ({plain(CTES[n])})" for n in order)
-    word = "WITH RECURSIVE" if recursive or "chunk_steps" in order else "WITH"
+    word = "WITH RECURSIVE" if recursive or {"chunk_steps", "chain_steps"} & {*order} else "WITH"
     CHECKS[key] = (f"{word} {head}\n" if head else "") + plain(sql)
 
 

@@ -92,26 +92,19 @@ for key, kinds in {"cand_currency_qty": ["currency", "quantity"], "cand_date": [
     check(key, f"SELECT {_key}, kind, value, nutrition, base AS in_base_region FROM [[cand0]] WHERE kind IN {lst(kinds)}")
 check("candidate_values", f"SELECT {_key}, kind, value, norm FROM [[cand0]]")
 
-# chains: pieces of one column, split where the gap is too large (the given photos have one column at most)
-cte("piece", f"""SELECT *, y_min - lag(y_max) OVER (PARTITION BY package_id, surface_idx ORDER BY y_min) AS g FROM [[pool0]]
-WHERE claimed0 IS NULL AND surface_usable AND regexp_matches(t, '^[0-9]{{1,8}}$')""")
-cte("piece2", "SELECT *, sum(CASE WHEN g > 0 AND g < 90 THEN 0 ELSE 1 END) OVER (PARTITION BY package_id, surface_idx ORDER BY y_min) AS run FROM [[piece]]")
-cte("chain", """SELECT package_id, surface_idx, any_value(surface_name) AS surface_name, run, count(*) AS members, string_agg(t, '' ORDER BY x_min, y_min) AS xvalue,
-  string_agg(t, '' ORDER BY y_min) AS value, min_by(pos, y_min) AS head FROM [[piece2]] GROUP BY package_id, surface_idx, run HAVING count(*) >= 2""")
-# reading starts at the left-most piece, and only pieces below it may follow
-cte("heads", f"""SELECT a.package_id, a.surface_idx, a.surface_name, a.pos AS head, a.x_min AS hx, a.y_min AS hy FROM [[piece]] a
-QUALIFY row_number() OVER (PARTITION BY a.package_id, a.surface_idx ORDER BY a.x_min, a.y_min) = 1""")
-cte("pp", "SELECT *, row_number() OVER (PARTITION BY package_id, surface_idx ORDER BY x_min, y_min, pos) AS o FROM [[piece]]")
-# at most three pieces stand on a photo here, so three explicit steps are the whole greedy walk
-_acc = "abs({e}.x_min - {h}.x_min) <= 40 AND {e}.y_min - {l}.y_max > 0 AND {e}.y_min - {l}.y_max < 90"
-cte("trio", f"""SELECT p1.package_id, p1.surface_idx, p1.surface_name, p1.pos AS a, p2.pos AS b, p3.pos AS c, p1.t AS ta, p2.t AS tb, p3.t AS tc,
-  coalesce({_acc.format(e='p2', h='p1', l='p1')}, false) AS ab, coalesce({_acc.format(e='p3', h='p1', l='p1')}, false) AS ac,
-  coalesce({_acc.format(e='p3', h='p1', l='p2')}, false) AS abc, coalesce({_acc.format(e='p3', h='p2', l='p2')}, false) AS bc
-FROM (SELECT * FROM [[pp]] WHERE o = 1) p1 LEFT JOIN (SELECT * FROM [[pp]] WHERE o = 2) p2 USING (package_id, surface_idx)
-LEFT JOIN (SELECT * FROM [[pp]] WHERE o = 3) p3 USING (package_id, surface_idx)""")
-cte("chains", """SELECT package_id, surface_idx, surface_name, a AS head, CASE WHEN ab AND abc THEN ta || tb || tc WHEN ab THEN ta || tb ELSE ta || tc END AS value,
-  CASE WHEN ab AND abc THEN [b, c] WHEN ab THEN [b] ELSE [c] END AS rest FROM [[trio]] WHERE ab OR ac
-UNION ALL SELECT package_id, surface_idx, surface_name, b, tb || tc, [c] FROM [[trio]] WHERE NOT ab AND NOT ac AND bc""")
+# chains: a greedy walk over the pieces of a photo, one step a piece, for any number of columns and pieces
+cte("piece", """SELECT * FROM [[pool0]] WHERE claimed0 IS NULL AND surface_usable AND regexp_matches(t, '^[0-9]{1,8}$')""")
+cte("pieces_of", """SELECT package_id, surface_idx, any_value(surface_name) AS surface_name,
+  list({'x': x_min, 'y': y_min, 'pos': pos, 'bottom': y_max, 'text': t} ORDER BY x_min, y_min, pos) AS ps FROM [[piece]] GROUP BY ALL""")
+cte("chain_steps", """SELECT package_id, surface_idx, 0 AS i, list_filter([{'x': 0::BIGINT, 'last': 0::BIGINT, 'members': [0::BIGINT], 'value': ''}], lambda c: false) AS cs FROM [[pieces_of]]
+UNION ALL SELECT package_id, surface_idx, i + 1, CASE WHEN at_c IS NULL THEN list_append(cs, {'x': e.x::BIGINT, 'last': e.bottom::BIGINT, 'members': [e.pos::BIGINT], 'value': e.text})
+  ELSE list_transform(cs, lambda c, k: CASE WHEN k = at_c THEN {'x': c.x, 'last': e.bottom::BIGINT, 'members': list_append(c.members, e.pos::BIGINT), 'value': c.value || e.text} ELSE c END) END
+FROM (SELECT package_id, surface_idx, i, cs, p.ps[i + 1] AS e,
+    nullif(list_position(list_transform(cs, lambda c: abs(p.ps[i + 1].x - c.x) <= 40 AND p.ps[i + 1].y - c.last > 0 AND p.ps[i + 1].y - c.last < 90), true), 0) AS at_c
+  FROM chain_steps s JOIN [[pieces_of]] p USING (package_id, surface_idx) WHERE i < len(p.ps)) w""")
+cte("chains", """SELECT package_id, surface_idx, surface_name, c.members[1] AS head, c.value AS value, c.members[2:] AS rest
+FROM (SELECT s.package_id, s.surface_idx, p.surface_name, unnest(s.cs) AS c FROM [[chain_steps]] s JOIN [[pieces_of]] p ON p.package_id = s.package_id AND p.surface_idx = s.surface_idx AND s.i = len(p.ps))
+WHERE len(c.members) >= 2""")
 check("vertical_chains", "SELECT package_id, surface_idx, CAST(len(rest) + 1 AS INT) AS members, value FROM [[chains]]")
 cte("pool2", """SELECT p.*, coalesce(p.claimed0, CASE WHEN c.pos IS NOT NULL THEN 'vertical_chain' END) AS claimed
 FROM [[pool1]] p LEFT JOIN (SELECT package_id, surface_idx, unnest(rest) AS pos FROM [[chains]]) c USING (package_id, surface_idx, pos)""")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pkgscreen import vocab as v
 from pkgscreen.operators import quality as q
 from pkgscreen.operators import repository as repo
 from pkgscreen.operators import rules as r

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pkgscreen.config import written
 from pkgscreen.functions.text import reg_tokens
+from pkgscreen.operators import keywords as kw
 from pkgscreen.operators import regsearch as rs
 from pkgscreen.operators import search as sr
 from pkgscreen.plans.extraction import rounded
 from pkgscreen.plans.fixtures import read, table
 from pkgscreen.plans.inspection import generic, rules, statutory
 from pkgscreen.plans.registry import QUERIES, query
-from pkgscreen.plans.screening import staged
+from pkgscreen.plans.screening import staged, staged_path
 from pkgscreen.sources import tables as src
 
 
@@ -40,6 +42,12 @@ def corpus(spark, sf):
     return staged(spark, "corpus", sf, build)
 
 
+def shared(spark, sf):
+    """The corpus's keyword index and clause vectors, built once for all searches of a session."""
+    path = staged_path(spark, "reg-index", sf, lambda p: rs.write_keyword_index(corpus(spark, sf), p))
+    return {"index": kw.read_index(spark, path), "vectors": staged(spark, "reg-vectors", sf, lambda: rs.clause_vectors(corpus(spark, sf)))}
+
+
 def asked(spark, sf):
     return read(spark, sf, "benchmark").selectExpr("item_id AS query_id", "text AS query")
 
@@ -54,22 +62,22 @@ _job("reg_tokens", lambda spark, sf: corpus(spark, sf).select("chunk_id", F.expr
     "chunk_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_terms")))
 _job("reg_df", lambda spark, sf: rs.corpus_stats(corpus(spark, sf)))
 _job("ngram_vectors", lambda spark, sf: rounded(rs.ngram_vectors(corpus(spark, sf)).select("chunk_id", F.posexplode("vector").alias("bucket", "weight")).where("weight > 0"), "weight"))
-_job("reg_bm25", lambda spark, sf: rounded(rs.bm25_reg(asked(spark, sf), corpus(spark, sf)).select("query_id", "chunk_id", "score"), "score"))
+_job("reg_bm25", lambda spark, sf: rounded(rs.bm25_reg(asked(spark, sf), corpus(spark, sf), index=shared(spark, sf)["index"]).select("query_id", "chunk_id", "score"), "score"))
 _HIT = ["query_id", "chunk_id", "score", "rank"]
-_job("reg_search", lambda spark, sf: rs.search_reg(asked(spark, sf), corpus(spark, sf), 5).select(*_HIT, "keyword_score", "vector_score"))
-_job("reg_search_filtered", lambda spark, sf: rs.search_reg(asked(spark, sf), corpus(spark, sf), 5, source_type="document", rule_reference="rule 1").select(*_HIT))
+_job("reg_search", lambda spark, sf: rs.search_reg(asked(spark, sf), corpus(spark, sf), 5, **shared(spark, sf)).select(*_HIT, "keyword_score", "vector_score"))
+_job("reg_search_filtered", lambda spark, sf: rs.search_reg(asked(spark, sf), corpus(spark, sf), 5, source_type="document", rule_reference="rule 1", **shared(spark, sf)).select(*_HIT))
 _job("reg_stats", lambda spark, sf: rs.corpus_overview(corpus(spark, sf)))
 
 
 @query("ngram_cosine")
 def ngram_cosine(spark, sf):
     """The closest documents of each query by character triples alone."""
-    docs = rs.ngram_vectors(read(spark, sf, "documents").selectExpr("doc_id AS chunk_id", "text")).selectExpr("chunk_id", "vector AS embedding")
+    docs = written(rs.clause_vectors(read(spark, sf, "documents").selectExpr("doc_id AS chunk_id", "text")), "doc-vectors")
     return rounded(sr.vector_topk(rs.ngram_vectors(asked(spark, sf), "query").selectExpr("query_id", "vector AS embedding"), docs, 5).select(*_HIT), "score")
 
 
 # other vectors: triples hashed with sha1 instead of md5
-_job("reg_custom_vec", lambda spark, sf: rs.search_reg(asked(spark, sf), corpus(spark, sf), 5, digest="sha1").select(*_HIT))
+_job("reg_custom_vec", lambda spark, sf: rs.search_reg(asked(spark, sf), corpus(spark, sf), 5, digest="sha1", index=shared(spark, sf)["index"]).select(*_HIT))
 
 
 @query("reg_citation")
@@ -80,7 +88,7 @@ def reg_citation(spark, sf):
 
 def citations(spark, sf):
     """Citations of the statutory findings."""
-    return rs.cite_findings(statutory(spark, sf), corpus(spark, sf))
+    return rs.cite_findings(statutory(spark, sf), corpus(spark, sf), **shared(spark, sf))
 
 
 @query("cite_findings")
@@ -89,7 +97,7 @@ def cite_findings(spark, sf):
     named = rules(spark, sf, "generic_rules").select("rule_id", F.col("requirement").alias("title"))
     both = [statutory(spark, sf), generic(spark, sf).join(F.broadcast(named), "rule_id")]
     columns = "package_id", "rule_id", "status", "title", "reason"
-    return rs.cite_findings(both[0].select(*columns).unionByName(both[1].select(*columns)), corpus(spark, sf))
+    return rs.cite_findings(both[0].select(*columns).unionByName(both[1].select(*columns)), corpus(spark, sf), **shared(spark, sf))
 
 
 # sources

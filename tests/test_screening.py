@@ -1,10 +1,12 @@
 """Acceptance cases on small packages written for this purpose."""
 
+import random
 import re
 
 import pytest
 
 from pkgscreen.config import written
+from pkgscreen.operators import evidence as ev
 from pkgscreen.operators import extract as ex
 from pkgscreen.operators import rules as r
 from pkgscreen.plans import inspection, screening
@@ -114,6 +116,30 @@ def test_a_package_of_too_many_photos_is_refused_before_it_is_collected(spark):
     assert len(stored.columns) == 25 and {x.inspection_id: x.num_rules_pass for x in stored.collect()}[1] == sum(f.status == "PASS" for f in got[1].findings)
 
 
+def test_chains_of_several_columns_against_a_greedy_walk(spark):
+    rnd = random.Random(11)
+    lines = []
+    for package in range(40):  # up to twelve digit pieces in three columns that may touch
+        for n in range(rnd.randint(2, 12)):
+            x, y = rnd.choice([20, 45, 200, 230, 400]) + rnd.randint(0, 9), 30 * rnd.randint(0, 14)
+            lines.append((package, 0, "s0", n, str(rnd.randint(1, 99)), 0.97, x, y, x + 30, y + 25))
+        lines += [(package, 0, "s0", 20 + n, text, 0.97, 20, 700 + 60 * n, 400, 740 + 60 * n) for n, text in enumerate(FRONT)]
+    metrics = [(p, 0, "s0", 200.0, 120.0, 50.0, 0.05, 0.1, None) for p in range(40)]
+    photos = written(ev.with_pool(screening.photos_with_fields(spark.createDataFrame(lines, LINES), spark.createDataFrame(metrics, METRICS))), "photos")
+    want = []
+    for photo in photos.collect():
+        chains = []
+        for e in sorted((e for e in photo.pool if e.claimed is None and re.fullmatch("[0-9]{1,8}", e.stripped)), key=lambda e: (e.x_min, e.y_min, e.pos)):
+            home = next((c for c in chains if abs(e.x_min - c["x"]) <= 40 and 0 < e.y_min - c["last"] < 90), None)
+            if home is None:
+                chains.append({"x": e.x_min, "last": e.y_max, "value": e.stripped, "n": 1})
+            else:
+                home.update(last=e.y_max, value=home["value"] + e.stripped, n=home["n"] + 1)
+        want += [(photo.package_id, c["value"], c["n"]) for c in chains if c["n"] > 1]
+    got = [(c.package_id, c.value, len(c.members)) for c in ev.vertical_chains(ev.with_chains(photos)).collect()]
+    assert sorted(got) == sorted(want) and max(n for *_, n in want) >= 5 and len({p for p, *_ in want}) < len(want)
+
+
 def test_photos_past_the_sixth_are_named(spark):
     files = spark.createDataFrame([(f"in/p/{n}.jpg",) for n in range(8)] + [("in/x.png",)], "path string")
     got = tables.group_surfaces(files, "in").collect()
@@ -122,6 +148,6 @@ def test_photos_past_the_sixth_are_named(spark):
 
 def test_price_traps(spark):
     lines = rows(1, 0, ["Protein 12.5 g", "Lic. No 10012345678901"]) + rows(2, 0, ["M.R.P", "Rs. 45.50"])
-    got = {x.package_id: x for x in ex.extract_mrp(spark.createDataFrame(lines, LINES)).collect()}
+    got = {x.package_id: x for x in ex.extract(spark.createDataFrame(lines, LINES), ["mrp"]).collect()}
     assert got[1].value is None and got[1].level == "MISSING"
     assert got[2].value == "Rs.45.50" and got[2].level == "MEDIUM"
