@@ -41,7 +41,7 @@ from pkgscreen.llm.base import written
 SIZE = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS, CACHE_PARTS = 250_000, 500_000
+CACHE_WORDS, CACHE_PARTS = 150_000, 250_000
 # the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SIGN = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
