@@ -119,11 +119,11 @@ def test_a_package_of_too_many_photos_is_refused_before_it_is_collected(spark):
 def test_chains_of_several_columns_against_a_greedy_walk(spark):
     rnd = random.Random(11)
     lines = []
-    for package in range(40):  # up to twelve digit pieces in three columns that may touch
-        for n in range(rnd.randint(2, 12)):
-            x, y = rnd.choice([20, 45, 200, 230, 400]) + rnd.randint(0, 9), 30 * rnd.randint(0, 14)
+    for package in range(40):  # up to 25 digit pieces in columns that may touch
+        for n in range(rnd.randint(2, 25)):
+            x, y = rnd.choice([20, 45, 200, 230, 400]) + rnd.randint(0, 9) * (package % 2), 30 * rnd.randint(0, 14)
             lines.append((package, 0, "s0", n, str(rnd.randint(1, 99)), 0.97, x, y, x + 30, y + 25))
-        lines += [(package, 0, "s0", 20 + n, text, 0.97, 20, 700 + 60 * n, 400, 740 + 60 * n) for n, text in enumerate(FRONT)]
+        lines += [(package, 0, "s0", 40 + n, text, 0.97, 20, 700 + 60 * n, 400, 740 + 60 * n) for n, text in enumerate(FRONT)]
     metrics = [(p, 0, "s0", 200.0, 120.0, 50.0, 0.05, 0.1, None) for p in range(40)]
     photos = written(ev.with_pool(screening.photos_with_fields(spark.createDataFrame(lines, LINES), spark.createDataFrame(metrics, METRICS))), "photos")
     want = []
