@@ -5,12 +5,21 @@ elements (tag and class), each with the presentations (sequences of children) an
 contents seen under it on distinct pages. A node's importance is the larger of
 the normalised entropies of its presentations and of its contents: what looks and
 reads the same on every page has importance near 0 and is cut as a branch,
-together with branches that their element, a whole class or a whole id names as menu, header,
-footer, sidebar, notice, advert, form, script or reader comments. An id does not name a
-heading or section, and no name but that of reader comments cuts an element that holds all
-articles (or main parts) of the page, or paragraphs with most of its text. The rest of the article
-(or main part, or body, where a page has none) is the text; paragraphs and
-headings of an article are never cut by importance.
+together with branches that their element or a name says to be menu, header,
+footer, sidebar, notice, advert, form, script or reader comments. A name is a class or id,
+whole or made of such a word and words of place (``sidebar-left``, ``ad-slot``, ``comment-list``);
+an id does not name a heading, nor a section unless of comments. No name but that of reader comments
+cuts an element that holds the page's largest article (or main part), or, menus, footers and asides apart,
+paragraphs with most of its text.
+
+The article is what remains of the elements that say so (article, main, a content name with most of the text).
+Articles beside or inside the largest one are teasers if their heading is a link and they are under half as long,
+or if they stand under another path and are under a quarter as long. On pages that say nothing the tree
+chooses: the innermost block that holds nine tenths of the text outside links in branches of some importance,
+and all first headings; blocks made of links are left out there. Paragraphs and
+headings of an element that says it is the article are never cut by importance.
+
+Pages are read in one pass: a tag is looked for once, and a quote or raw element that never closes is not looked for again.
 
 The tree is aggregated by Spark on (host, path, content), so a host with a third
 of all pages is reduced before it is shuffled. Only branches on at least half of
@@ -25,6 +34,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,8 +49,9 @@ MIN_SHARE = 0.5
 LOW = 0.15
 MAX_BROADCAST_HOSTS = 2_000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r""">|=\s*+["']?""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 RAW = set("script style textarea title noscript iframe noframes xmp template svg select object annotation annotation-xml".split())
@@ -55,81 +66,153 @@ NOISE_WORD = set("ad ads advert adverts advertisement advertising sponsor sponso
                  "masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended "
                  "recommendations comment comments disqus reply replies respond widget toolbar pagination pager login search skip".split())
 NOISE_ROLE = set("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-COMMENT_WORD = set("comment comments disqus reply replies respond".split())
+COMMENT_WORD = set("comment comments commentlist disqus reply replies respond".split())
+STRICT_TAG = set("nav footer aside menu dialog".split())  # hold no article by having most paragraphs
+PLACE_WORD = set("area bar block body bottom box col column container content desktop fixed form global group holder inner item items left link links list main mobile outer "
+                 "page panel posts primary region right row secondary section site slot sticky stories thread top unit wrap wrapper zone".split())
+ALONE_WORD = set("skip alert".split())  # name nothing together with words of place
 CONTENT_WORD = set("article content post entry story main".split())
 
 
+def _says(tokens: set[str], words: set[str], more: frozenset[str] = frozenset()) -> bool:
+    """Whether a token is one of the words, or is made of one and words of place (or ``more``)."""
+    for token in tokens:
+        if token in words:
+            return True
+        parts = [p for p in _WORDS.findall(token) if len(p) > 1]
+        if any(p in words and p not in ALONE_WORD for p in parts) and all(p in words or p in PLACE_WORD or p in more for p in parts):
+            return True
+    return False
+
+
+_OF_COMMENTS = frozenset(("author", "avatar", "meta", "text"))
+
+
 class Node:
-    __slots__ = ("tag", "names", "whole", "holds", "role", "hidden", "parent", "children", "texts", "path", "order")
+    __slots__ = ("tag", "names", "whole", "comment", "named", "holds", "role", "hidden", "parent", "block", "children", "path", "free", "total", "links", "heading", "leads")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.texts = tag, parent, [], []
+        self.tag, self.parent, self.children = tag, parent, []
+        self.block = self if tag in BLOCK or parent is None else parent.block  # the innermost block around, itself included
         own = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         self.names = set(_WORDS.findall(own.get("class", "") + " " + own.get("id", "")))
-        self.whole = set(own.get("class", "").split()) | (set() if tag in HEADING or tag == "section" else {own.get("id", "")})
-        self.holds = False
+        classes, ids = set(own.get("class", "").split()), {own.get("id", "")}
+        self.whole = classes | (set() if tag in HEADING or tag == "section" else ids)
+        bare = tag in ("html", "body")
+        self.comment = not bare and _says(classes | (set() if tag in HEADING else ids), COMMENT_WORD, _OF_COMMENTS)
+        self.named = not bare and _says(self.whole, NOISE_WORD)
+        self.holds = self.heading = self.leads = False
+        self.free = self.total = self.links = 0
         self.role = own.get("role", "")
         self.hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
         label = f"{tag}.{own.get('class', '')}"
-        self.path = zlib.crc32(label.encode(), parent.path if parent else 0)
+        self.path = zlib.crc32(label.encode("utf-8", "surrogatepass"), parent.path if parent else 0)
         if parent:
             parent.children.append(self)
 
+    def article(self) -> bool:
+        return self.tag == "article" or self.role == "article"
+
     def noise(self) -> bool:
-        if self.hidden or self.whole & COMMENT_WORD:
+        if self.hidden or self.comment:
             return True
-        return not self.holds and (self.tag in NOISE_TAG or self.role in NOISE_ROLE or bool(self.whole & NOISE_WORD))
+        return not self.holds and (self.tag in NOISE_TAG or self.role in NOISE_ROLE or self.named)
 
     def header(self) -> bool:
-        return not self.holds and (self.tag == "header" or "header" in self.whole)
+        return not self.holds and (self.tag == "header" or _says(self.whole, {"header"}))
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose attributes start at ``at``; -1 if a quoted value or the page runs out first."""
+    while True:
+        m = _STOP.search(page, at)
+        if m is None or m[0] == ">":
+            return m.start() if m else -1
+        at = m.end()
+        if m[0][-1] in "\"'":
+            at = page.find(m[0][-1], at) + 1
+            if not at:
+                return -1
 
 
 def parse(page: str) -> Node:
     """Tolerant tree of a page: children are nodes and strings in page order; raw elements and comments are dropped."""
     root = Node("#root", "", None)
     at, here, end = 0, root, len(page)
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()  # raw elements without an end tag in the rest of the page
+    quotes = True  # until a tag's quotes run to the end of the page
+
+    def up(to: Node) -> Node:
+        node = here
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+        return to
+
     while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            here.children.append(page[at:])
-            break
-        if m.start() > at:
-            here.children.append(page[at:m.start()])
-        at = m.end()
-        if not m[2]:
+        start = page.find("<", at)
+        m = _NAME.match(page, start) if start >= 0 else None
+        if m is None:
+            if start >= 0 and page.startswith("<!--", start):
+                stop = page.find("-->", start + 2)
+                stop = end if stop < 0 else stop + 2
+            elif start >= 0 and page.startswith(("<!", "<?"), start):
+                stop = page.find(">", start)
+            elif start >= 0:
+                here.children.append(page[at:start + 1])
+                at = start + 1
+                continue
+            else:
+                stop = -1
+            if stop < 0:
+                here.children.append(page[at:])
+                break
+            here.children.append(page[at:start])
+            at = stop + 1
             continue
-        tag = m[2].lower()
+        stop = _tag_end(page, m.end()) if quotes else -1
+        if stop < 0:
+            quotes, stop = False, page.find(">", m.end())
+            if stop < 0:
+                here.children.append(page[at:])
+                break
+        if start > at:
+            here.children.append(page[at:start])
+        at = stop + 1
+        tag, attributes = m[2].lower(), page[m.end():stop]
         if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            if opened[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = up(node.parent)
             elif tag == "p" or tag == "br":
                 here.children.append(" ")
             continue
+        alone = attributes.endswith("/")
         if tag in RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not alone:
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
+                if close is None:
+                    unclosed.add(tag)
                 at = close.end() if close else at if tag in OPEN else end
             continue
         if tag in BLOCK:
             shut = CLOSES.get(tag, ())
-            node = here
-            while node.parent is not None:
-                if node.tag == "p" or node.tag in shut:
-                    here = node.parent
-                    if node.tag == "p":
-                        break
-                elif node.tag in BLOCK and node.tag not in ("p",):
+            block = here.block
+            while block.tag == "p" or block.tag in shut:
+                here = up(block.parent)
+                if block.tag == "p":
                     break
-                node = node.parent
+                block = here.block
         if tag in VOID:
-            here.children.append("\n" if tag in ("br", "hr", "wbr") and tag != "wbr" else "")
+            here.children.append("\n" if tag in ("br", "hr") else "")
             continue
-        node = Node(tag, m[3], here)
-        if not m[3].endswith("/") or tag in BLOCK:
+        node = Node(tag, attributes, here)
+        if not alone or tag in BLOCK:
             here = node
+            opened[tag] += 1
     return root
 
 
@@ -170,33 +253,81 @@ def _walk(root: Node) -> Iterator[Node]:
 
 
 def _mark(tree: Node) -> None:
-    """Set ``holds`` where an element holds all articles (without any: main parts) of the page, or paragraphs with most of its text outside links."""
+    """Set each element's text lengths, links and headings, and ``holds`` where it holds the largest article (without any: main part) or paragraphs with most of the text."""
     order = list(_walk(tree))
-    kinds = [lambda n: n.tag == "article" or n.role == "article", lambda n: n.tag == "main" or n.role == "main"]
-    said = next((kind for kind in kinds if any(map(kind, order))), lambda n: False)
-    sums = {id(n): [0, 0, 0] for n in order}
-    inside: dict[int, bool] = {}
-    linked: dict[int, bool] = {}
+    flags: dict[int, tuple[bool, bool, bool]] = {}  # in a paragraph, in a link, in reader comments
+    said: list[list[Node]] = [[], []]
+    inside = {id(n): 0 for n in order}
     for n in order:
-        inside[id(n)] = n.tag == "p" or (n.parent is not None and inside[id(n.parent)])
-        linked[id(n)] = n.tag == "a" or (n.parent is not None and linked[id(n.parent)])
+        p, a, c = flags[id(n.parent)] if n.parent is not None else (False, False, False)
+        flags[id(n)] = p or n.tag == "p", a or n.tag == "a", c or n.comment or n.hidden
+        if not flags[id(n)][2]:
+            if n.article():
+                said[0].append(n)
+            elif n.tag == "main" or n.role == "main":
+                said[1].append(n)
     for n in reversed(order):
-        own = sums[id(n)]
-        own[0] += said(n)
-        text = 0 if linked[id(n)] else sum(len(c.strip()) for c in n.children if isinstance(c, str))
-        own[1] += text if inside[id(n)] else 0
-        own[2] += text
-        if n.parent is not None:
-            for i in range(3):
-                sums[id(n.parent)][i] += own[i]
-    articles, _, text = sums[id(tree)]
+        p, a, _ = flags[id(n)]
+        text = sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        n.total += text
+        n.links += n.tag == "a"
+        if not a:
+            n.free += text
+            inside[id(n)] += text if p else 0
+        if n.tag in HEADING:
+            n.heading, n.leads = True, n.total > 0 and n.free == 0
+        up = n.parent
+        if up is not None:
+            up.total, up.free, up.links = up.total + n.total, up.free + n.free, up.links + n.links
+            up.heading, up.leads = up.heading or n.heading, up.leads or n.leads
+            inside[id(up)] += inside[id(n)]
+    largest = max(said[0] or said[1], key=lambda n: n.free, default=None)
+    around = set()
+    if largest is not None and 4 * largest.free >= tree.free:
+        while largest is not None:
+            around.add(id(largest))
+            largest = largest.parent
     for n in order:
-        a, t, _ = sums[id(n)]
-        n.holds = n.tag != "p" and ((articles > 0 and a == articles) or 2 * t > text)
+        most = 2 * inside[id(n)] > tree.free and n.tag not in STRICT_TAG
+        n.holds = n.tag != "p" and (id(n) in around or most)
+
+
+def _teaser(node: Node, largest: Node) -> bool:
+    """Whether an article is a teaser beside (or inside) the page's largest one."""
+    return node is not largest and ((node.leads and 2 * node.free < largest.free) or (node.path != largest.path and 4 * node.free < largest.free))
+
+
+def _links_only(node: Node) -> bool:
+    return node.tag in BLOCK and node.tag != "p" and node.links >= 3 and 3 * node.free <= node.total
+
+
+def _chosen(tree: Node, skip) -> Node:
+    """The innermost block with nine tenths of the text outside links that ``skip`` leaves, and with all first headings left."""
+    order, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and not skip(c)]
+    weight: dict[int, list[int]] = {id(n): [0, 0] for n in order}
+    for n in reversed(order):
+        own = weight[id(n)]
+        own[0] += 0 if n.tag == "a" else sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        own[1] += n.tag == "h1"
+        if n.parent is not None and n is not tree and n.tag != "a":
+            weight[id(n.parent)][0] += own[0]
+            weight[id(n.parent)][1] += own[1]
+    here = tree
+    while True:
+        inner = [c for c in here.children if isinstance(c, Node) and id(c) in weight and c.tag in BLOCK and c.tag not in ("p", "pre", "ul", "ol", "table", *HEADING)]
+        best = max(inner, key=lambda n: weight[id(n)][0], default=None)
+        all_text, all_first = weight[id(here)]
+        if best is None or 10 * weight[id(best)][0] < 9 * all_text or weight[id(best)][1] < all_first or not all_text:
+            return here
+        here = best
 
 
 def _roots(tree: Node) -> tuple[list[Node], bool]:
-    """The parts that hold the article, outermost first found; whether they are said to."""
+    """The parts that say they hold the article, outermost first found; else the body. And whether they are said to."""
     def outermost(test):
         found, stack = [], [tree]
         while stack:
@@ -209,11 +340,16 @@ def _roots(tree: Node) -> tuple[list[Node], bool]:
                 stack += [c for c in reversed(node.children) if isinstance(c, Node)]
         return found
 
-    for test in (lambda n: n.tag == "article" or n.role == "article", lambda n: n.tag == "main" or n.role == "main",
-                 lambda n: n.tag in ("div", "section", "td") and bool(n.names & CONTENT_WORD)):
-        found = outermost(test)
-        if found:
-            return found, True
+    found = outermost(Node.article)
+    if found:
+        largest = max(found, key=lambda n: n.free)
+        return [n for n in found if not _teaser(n, largest)], True
+    found = outermost(lambda n: n.tag == "main" or n.role == "main")
+    if found:
+        return found, True
+    found = outermost(lambda n: n.tag in ("div", "section", "td") and bool(n.names & CONTENT_WORD))
+    if found and 2 * sum(n.free for n in found) >= tree.free:
+        return found, True
     return [n for n in _walk(tree) if n.tag == "body"][:1] or [tree], False
 
 
@@ -224,17 +360,23 @@ def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     tree = parse(page)
     _mark(tree)
     roots, named = _roots(tree)
+    largest = max(roots, key=lambda n: n.free)
     keep = {"p", "pre", "blockquote", "ul", "ol", "li", "table", "tr", "td", "tbody", "figure", *HEADING}
+    menus = not named and not _links_only(roots[0])
 
     def skip(node: Node) -> bool:
-        if node.noise():
+        if node.noise() or (named and node.article() and _teaser(node, largest)):
             return True
         if node.header():
-            return not named or not any(n.tag in HEADING for n in _walk(node))
+            return not named or not node.heading
         if node.parent is not None and node.parent.header() and named and node.tag not in HEADING:
-            return not any(n.tag in HEADING for n in _walk(node))
+            return not node.heading
+        if menus and _links_only(node):
+            return True
         return node.path in low and node.tag in BLOCK and not (named and (node.tag in keep or not node.names))
 
+    if not named:
+        roots = [_chosen(roots[0], skip)]
     return " ".join(block for root in roots for block in blocks(root, skip))
 
 

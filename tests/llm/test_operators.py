@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -309,6 +310,54 @@ def test_names_never_cut_the_article(page, want):
     assert sitetree.main_text(page) == want
 
 
+LONG = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<body><article><p>Text</p><section id=comments><h2>Readers</h2><p>no</p></section></article>", "Text"),
+    ("<body><article><p>Text</p></article><ol class='comment-list'><li>no</ol>", "Text"),
+    ("<body><div class=post><p>Text of the page</p><ol class=commentlist><li>no</ol><div id='comments-area'>no</div></div>", "Text of the page"),
+    ("<body><article><p>Text</p></article><article class='comment-body'><p>no</p></article>", "Text"),
+    ("<body><article><p>Text</p><div class='ad-slot'>no</div><p>on</p></article>", "Text on"),
+    (f"<body><div class='sidebar-left'>no</div><div><p>{LONG}</p></div><div class='site-footer'>no</div><div class='cookie-banner'>no</div>", LONG),
+    (f"<body><article><p>{LONG}</p></article><div class=more><article><h3><a href=x>Other</a></h3><p>teaser</p></article></div>", LONG),
+    (f"<body><article><p>{LONG}</p><div class=more><article><h3>Other</h3><p>teaser</p></article></div></article>", LONG),
+    (f"<body><article><p>One</p></article><article><p>{LONG}</p></article>", f"One {LONG}"),
+    (f"<body><div><h1>Head</h1><p>Short text</p></div><aside><p>{LONG}</p></aside><footer><p>{LONG}</p></footer>", "Head Short text"),
+    (f"<body><div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul></div><div><h1>Head</h1><p>{LONG}</p></div>", f"Head {LONG}"),
+    (f"<body class='search'><article><h2 id='comment-on-method'>Comment on method</h2><p>{LONG}</p></article>", f"Comment on method {LONG}"),
+    ("<body><article><p title='a>b'>x<p title=\"un>closed</p></article>", "x closed"),
+    ("<body><article><p>a</p><!-- never closed <p>b</p></article>", "a"),
+])
+def test_articles_among_comments_adverts_and_teasers(page, want):
+    assert sitetree.main_text(page) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a \"", "<a x=\">\" ", "<svg>", "<b></i>", "<div>", "</div>", "<b><hr>", "<li><ul><b>", "<!-", "<!", "<", "a=\"<p x='", "<header><h1>"])
+def test_long_broken_pages_take_linear_time(unit):
+    start = time.process_time()
+    sitetree.main_text(unit * (400_000 // len(unit)))
+    assert time.process_time() - start < 10
+
+
+def test_style_tree_chooses_the_article_of_hosts_without_one(spark):
+    """Unnamed menus, notices and footers go by their low importance; the tree changes every page of such a host."""
+    page = ("<body><div class=a1><p>Welcome to our pages</p><p>Read them all</p></div><div class=b2><div class=c3><h1>Head {i}</h1><p>Text {i} {w}</p></div>"
+            "<div class=d4><p>Write to us</p></div></div><div class=e5><p>All rights are ours</p></div>")
+    rows = [(i, f"http://t.org/{i}", page.format(i=i, w="more words " * (i % 5 + 1))) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in sitetree.extract(pages).collect()}
+    assert got == {i: f"Head {i} Text {i} {'more words ' * (i % 5 + 1)}".strip() for i, _, _ in rows}
+    assert all(sitetree.main_text(h) != got[i] for i, _, h in rows)
+
+
+def test_pages_empty_and_clashing(spark):
+    schema = "page_id long, url string, html string, text string, low string, n_pages int, host string"
+    assert sitetree.extract(spark.createDataFrame([], schema)).count() == 0
+    got = sitetree.extract(spark.createDataFrame([(None, None, "<article><p>x</p></article>", "own", "l", 3, "h")] * 2, schema)).collect()
+    assert [(r.page_id, r.text, r.low, r.n_pages, r.host) for r in got] == [(None, "x", "l", 3, "h")] * 2
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
