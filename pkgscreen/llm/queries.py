@@ -64,7 +64,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_edit_aware_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokencount.count_edited(tokencount.with_sample_edits(docs))
+    trees = written(tokencount.build(docs), "trees")
+    return tokencount.counts(tokencount.apply_edits(tokencount.with_sample_edits(trees)))
 
 
 @query("op8_site_style_tree")

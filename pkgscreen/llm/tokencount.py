@@ -6,6 +6,9 @@ segment tree whose inner nodes hold the sums of characters and tokens. An edit
 pre-tokens it touches and the context at its borders are cut and encoded again,
 and the sums above the changed leaf are updated.
 
+``build`` cuts and encodes whole texts once and keeps each tree's leaves beside its text, as two lists;
+``apply_edits`` takes the kept trees up, encodes what the edits touch and returns texts and trees to keep for the next edits.
+
 Cutting starts again before the edit at a pre-token whose own cut cannot have
 looked at changed text: the one before the touched one, further back over white
 space (whose pattern looks ahead). It stops at the first border behind the edit that both
@@ -13,19 +16,21 @@ the old and the new text have: from there both cut alike.
 
 Defined results: null text is empty, a null edit list means no edits; an edit beyond the end works at the
 end; edits apply in the order given. Extra columns pass through. An edit changes
-its own document only, so repeated rows are independent.
+its own document only, so repeated rows are independent. A row without a tree, or with one that is not as long as
+its text, is built anew, and its pre-tokens count as encoded.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF = 64
@@ -65,11 +70,14 @@ def counter(name: str = VOCABULARY) -> Counter:
 class SegmentTree:
     """Pre-tokens of one text in leaves, sums of (characters, tokens) above them."""
 
-    def __init__(self, text: str, count: Counter, leaf: int = LEAF):
+    def __init__(self, text: str, count: Counter, leaf: int = LEAF, kept: tuple[list[int], list[int]] | None = None):
         self.count, self.leaf, self.text, self.encoded = count, leaf, text, 0
-        parts = count.cut.findall(text)
-        lengths, tokens = list(map(len, parts)), list(map(count.__getitem__, parts))
-        self.leaves = [(lengths[i:i + leaf], tokens[i:i + leaf]) for i in range(0, len(parts), leaf)] or [([], [])]
+        if kept is None:
+            parts = count.cut.findall(text)
+            kept = list(map(len, parts)), list(map(count.__getitem__, parts))
+            self.encoded = len(parts)
+        lengths, tokens = kept
+        self.leaves = [(lengths[i:i + leaf], tokens[i:i + leaf]) for i in range(0, len(lengths), leaf)] or [([], [])]
         self._rebuild()
 
     def _rebuild(self) -> None:
@@ -158,31 +166,81 @@ class SegmentTree:
             self._rebuild()
 
 
-def _counting(columns: tuple[str, ...], vocabulary: str):
+COUNTED = ("tokens_before", "n_edits", "tokens_after", "pretokens_encoded", "n_pretokens")
+KEPT = ("_tc_lengths", "_tc_tokens")  # the leaves of a row's tree: characters and tokens of each pre-token
+_LEAVES = [StructField(c, ArrayType(IntegerType())) for c in KEPT]
+
+
+def _lists(at: list[int], values: array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(values, np.int32) if len(values) else [], pa.int32()))
+
+
+def _building(columns: tuple[str, ...], vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(vocabulary)
+        for batch in batches:
+            lengths, tokens, at = array("i"), array("i"), [0]
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                parts = count.cut.findall(text or "")
+                lengths.extend(map(len, parts))
+                tokens.extend(map(count.__getitem__, parts))
+                at.append(len(lengths))
+            own = [batch.column(i) for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([*own, batch.column(batch.num_columns - 1), _lists(at, lengths), _lists(at, tokens)], [*columns, "text", *KEPT])
+
+    return run
+
+
+def build(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``docs`` with the tree of each text, to be written and edited later."""
+    columns = tuple(c for c in docs.columns if c not in ("text", *KEPT))
+    schema = StructType([*docs.select(*columns).schema.fields, StructField("text", StringType()), *_LEAVES])
+    return docs.select(*columns, "text").mapInArrow(_building(columns, vocabulary), schema)
+
+
+def _leaves_of(column: pa.ListArray):
+    """The list of a row as Python numbers; None for a null."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return lambda i: values[at[i]:at[i + 1]].tolist() if column[i].is_valid else None
+
+
+def _editing(columns: tuple[str, ...], vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
         for batch in batches:
-            out = np.zeros((batch.num_rows, 5), np.int64)
+            out = np.zeros((batch.num_rows, len(COUNTED)), np.int64)
             get = lambda name: batch.column(batch.schema.get_field_index(name))
+            old_lengths, old_tokens = map(_leaves_of, map(get, KEPT))
+            texts, lengths, tokens, at = [], array("i"), array("i"), [0]
             for i, (text, edits) in enumerate(zip(get("text").to_pylist(), get("edits").to_pylist())):
-                tree = SegmentTree(text or "", count)
+                kept = old_lengths(i), old_tokens(i)
+                fits = None not in kept and len(kept[0]) == len(kept[1]) and sum(kept[0]) == len(text or "")
+                tree = SegmentTree(text or "", count, kept=kept if fits else None)
                 before = tree.tokens
                 for e in edits or ():
                     tree.edit(e["start"] or 0, e["removed"] or 0, e["inserted"] or "")
-                out[i] = before, len(edits or ()), tree.tokens, tree.encoded, sum(len(x) for x, _ in tree.leaves)
-            yield pa.RecordBatch.from_arrays([*map(get, columns), *(pa.array(c) for c in out.T)], [*columns, *COUNTED])
+                texts.append(tree.text if edits else text)
+                for a, b in tree.leaves:
+                    lengths.extend(a)
+                    tokens.extend(b)
+                at.append(len(lengths))
+                out[i] = before, len(edits or ()), tree.tokens, tree.encoded, at[-1] - at[-2]
+            yield pa.RecordBatch.from_arrays([*map(get, columns), pa.array(texts, pa.string()), _lists(at, lengths), _lists(at, tokens), *(pa.array(c) for c in out.T)],
+                                             [*columns, "text", *KEPT, *COUNTED])
 
     return run
 
 
-COUNTED = ("tokens_before", "n_edits", "tokens_after", "pretokens_encoded", "n_pretokens")
+def apply_edits(trees: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Kept ``trees`` with ``edits`` (array of start, removed, inserted), edited: texts and trees to keep, and the counts before and after."""
+    columns = tuple(c for c in trees.columns if c not in ("text", "edits", *KEPT, *COUNTED))
+    schema = StructType([*trees.select(*columns).schema.fields, StructField("text", StringType()), *_LEAVES, *(StructField(c, LongType()) for c in COUNTED)])
+    return trees.select(*columns, "text", "edits", *KEPT).mapInArrow(_editing(columns, vocabulary), schema)
 
 
-def count_edited(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` (text, edits: array of start, removed, inserted) without both, with the counts before and after the edits."""
-    columns = tuple(c for c in docs.columns if c not in ("text", "edits", *COUNTED))
-    schema = StructType([*docs.select(*columns).schema.fields, *(StructField(c, LongType()) for c in COUNTED)])
-    return docs.select(*columns, "text", "edits").mapInArrow(_counting(columns, vocabulary), schema)
+def counts(edited: DataFrame) -> DataFrame:
+    """Edited documents without texts and trees."""
+    return edited.drop("text", *KEPT)
 
 
 def with_sample_edits(docs: DataFrame) -> DataFrame:

@@ -266,10 +266,38 @@ def test_edits_keep_counts():
             assert tree.text == text and tree.tokens == len(count.encoding.encode_ordinary(text))
 
 
-def test_edit_counts_of_a_table(docs, texts):
-    got = {r.doc_id: r for r in tokencount.count_edited(tokencount.with_sample_edits(docs)).collect()}
-    assert set(got) == set(texts) and all(r.n_edits == 4 for r in got.values())
-    assert got[90].tokens_before == 0 and got[94].pretokens_encoded < 60
+def edited_text(text, edits):
+    for e in edits or ():
+        start = min(max(e.start or 0, 0), len(text))
+        text = text[:start] + (e.inserted or "") + text[start + max(e.removed or 0, 0):]
+    return text
+
+
+def test_kept_trees_follow_edits(docs, tmp_path):
+    """Two rounds of edits on written trees: every count equals a recount of the whole text, and only touched pre-tokens are encoded."""
+    count = tokencount.counter().encoding
+    size = lambda text: len(count.encode_ordinary(text))
+    rows = docs.select("doc_id", "text").withColumn("n_pretokens", F.lit("own"))
+    tokencount.build(rows).write.parquet(str(tmp_path / "0"))
+    for turn in range(2):
+        trees = tokencount.with_sample_edits(docs.sparkSession.read.parquet(str(tmp_path / str(turn))))
+        want = sorted((r.doc_id, size(r.text or ""), size(edited_text(r.text or "", r.edits)), edited_text(r.text or "", r.edits)) for r in trees.collect())
+        tokencount.apply_edits(trees).write.parquet(str(tmp_path / str(turn + 1)))
+        got = docs.sparkSession.read.parquet(str(tmp_path / str(turn + 1))).collect()
+        assert sorted((r.doc_id, r.tokens_before, r.tokens_after, r.text) for r in got) == want
+        assert all(r.n_edits == 4 and sum(r._tc_lengths) == len(r.text) and sum(r._tc_tokens) == r.tokens_after and r.n_pretokens == len(r._tc_tokens) for r in got)
+        assert all(r.pretokens_encoded < 60 for r in got if r.doc_id == 94)
+
+
+def test_trees_absent_or_out_of_date_are_built_anew(spark):
+    schema = "doc_id long, text string, edits array<struct<start int, removed int, inserted string>>, _tc_lengths array<int>, _tc_tokens array<int>"
+    rows = [(1, "one two three", [(0, 0, "x ")], None, None), (2, "one two three", None, [1], [1]), (3, None, None, None, None), (4, None, [(5, 2, "new")], [], []),
+            (5, "a b", [(None, None, None), (-3, -1, "c"), (99, 9, "d")], [1, 2], [1, 1])]
+    got = {r.doc_id: r for r in tokencount.apply_edits(spark.createDataFrame(rows, schema)).collect()}
+    assert [got[i].text for i in range(1, 6)] == ["x one two three", "one two three", None, "new", "ca bd"]
+    assert (got[2].pretokens_encoded, got[2].tokens_before, got[3].tokens_after, got[4].tokens_before) == (3, 3, 0, 0)
+    assert all(r.tokens_after == len(tokencount.counter().encoding.encode_ordinary(r.text or "")) for r in got.values())
+    assert tokencount.apply_edits(tokencount.with_sample_edits(tokencount.build(spark.createDataFrame([], "doc_id long, text string")))).count() == 0
 
 
 def test_pieces_equal_the_library(spark, docs, texts):
