@@ -6,7 +6,7 @@ segment tree whose inner nodes hold the sums of characters and tokens. An edit
 pre-tokens it touches and the context at its borders are cut and encoded again,
 and the sums above the changed leaf are updated.
 
-``build`` cuts and encodes whole texts once and keeps each tree's leaves beside its text, as two lists;
+``build`` cuts and encodes whole texts once and keeps each tree's leaves beside its text, a byte for most pre-tokens;
 ``apply_edits`` takes the kept trees up, encodes what the edits touch and returns texts and trees to keep for the next edits.
 
 Cutting starts again before the edit at a pre-token whose own cut cannot have
@@ -23,14 +23,13 @@ its text, is built anew, and its pre-tokens count as encoded.
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF = 64
@@ -167,80 +166,101 @@ class SegmentTree:
 
 
 COUNTED = ("tokens_before", "n_edits", "tokens_after", "pretokens_encoded", "n_pretokens")
-KEPT = ("_tc_lengths", "_tc_tokens")  # the leaves of a row's tree: characters and tokens of each pre-token
-_LEAVES = [StructField(c, ArrayType(IntegerType())) for c in KEPT]
-
-
-def _lists(at: list[int], values: array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(values, np.int32) if len(values) else [], pa.int32()))
+KEPT = "_tc_leaves"  # the leaves of a row's tree, see ``packed``
+ROWS = 512  # rows a worker holds as Python texts and trees at a time
+
+
+def packed(lengths: list[int], tokens: list[int]) -> bytes:
+    """A byte of five bits of length and three of tokens for each pre-token; a larger one is a byte 0 and two 32-bit numbers."""
+    long, many = np.array(lengths, np.uint32), np.array(tokens, np.uint32)
+    large = np.flatnonzero((long > 31) | (many > 7))
+    codes = (long << 3 | many).astype(np.uint8)
+    if not len(large):
+        return codes.tobytes()
+    codes[large] = 0
+    raw, full = codes.tobytes(), np.stack([long[large], many[large]], 1).astype("<u4")
+    out, at = [], 0
+    for place, pair in zip(large.tolist(), full):
+        out += [raw[at:place + 1], pair.tobytes()]
+        at = place + 1
+    return b"".join([*out, raw[at:]])
+
+
+def unpacked(leaves: bytes) -> tuple[list[int], list[int]]:
+    lengths, tokens, at = [], [], 0
+    while at < len(leaves):
+        stop = leaves.find(0, at)
+        codes = np.frombuffer(leaves[at:stop if stop >= 0 else len(leaves)], np.uint8)
+        lengths += (codes >> 3).tolist()
+        tokens += (codes & 7).tolist()
+        if stop < 0:
+            break
+        long, many = np.frombuffer(leaves[stop + 1:stop + 9], "<u4").tolist()
+        lengths.append(long)
+        tokens.append(many)
+        at = stop + 9
+    return lengths, tokens
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
 
 
 def _building(columns: tuple[str, ...], vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
-        for batch in batches:
-            lengths, tokens, at = array("i"), array("i"), [0]
+        for batch in _slices(batches):
+            leaves = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 parts = count.cut.findall(text or "")
-                lengths.extend(map(len, parts))
-                tokens.extend(map(count.__getitem__, parts))
-                at.append(len(lengths))
-            own = [batch.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*own, batch.column(batch.num_columns - 1), _lists(at, lengths), _lists(at, tokens)], [*columns, "text", *KEPT])
+                leaves.append(packed(list(map(len, parts)), list(map(count.__getitem__, parts))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.binary())], [*columns, "text", KEPT])
 
     return run
 
 
 def build(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with the tree of each text, to be written and edited later."""
-    columns = tuple(c for c in docs.columns if c not in ("text", *KEPT))
-    schema = StructType([*docs.select(*columns).schema.fields, StructField("text", StringType()), *_LEAVES])
+    columns = tuple(c for c in docs.columns if c not in ("text", KEPT))
+    schema = StructType([*docs.select(*columns).schema.fields, StructField("text", StringType()), StructField(KEPT, BinaryType())])
     return docs.select(*columns, "text").mapInArrow(_building(columns, vocabulary), schema)
 
 
-def _leaves_of(column: pa.ListArray):
-    """The list of a row as Python numbers; None for a null."""
-    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return lambda i: values[at[i]:at[i + 1]].tolist() if column[i].is_valid else None
-
-
 def _editing(columns: tuple[str, ...], vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
-        for batch in batches:
+        for batch in _slices(batches):
             out = np.zeros((batch.num_rows, len(COUNTED)), np.int64)
             get = lambda name: batch.column(batch.schema.get_field_index(name))
-            old_lengths, old_tokens = map(_leaves_of, map(get, KEPT))
-            texts, lengths, tokens, at = [], array("i"), array("i"), [0]
-            for i, (text, edits) in enumerate(zip(get("text").to_pylist(), get("edits").to_pylist())):
-                kept = old_lengths(i), old_tokens(i)
-                fits = None not in kept and len(kept[0]) == len(kept[1]) and sum(kept[0]) == len(text or "")
-                tree = SegmentTree(text or "", count, kept=kept if fits else None)
+            texts, leaves = [], []
+            for i, (text, edits, kept) in enumerate(zip(*(get(c).to_pylist() for c in ("text", "edits", KEPT)))):
+                held = None if kept is None else unpacked(kept)
+                tree = SegmentTree(text or "", count, kept=held if held and sum(held[0]) == len(text or "") else None)
                 before = tree.tokens
                 for e in edits or ():
                     tree.edit(e["start"] or 0, e["removed"] or 0, e["inserted"] or "")
                 texts.append(tree.text if edits else text)
-                for a, b in tree.leaves:
-                    lengths.extend(a)
-                    tokens.extend(b)
-                at.append(len(lengths))
-                out[i] = before, len(edits or ()), tree.tokens, tree.encoded, at[-1] - at[-2]
-            yield pa.RecordBatch.from_arrays([*map(get, columns), pa.array(texts, pa.string()), _lists(at, lengths), _lists(at, tokens), *(pa.array(c) for c in out.T)],
-                                             [*columns, "text", *KEPT, *COUNTED])
+                lengths, tokens = ([x for leaf in tree.leaves for x in leaf[k]] for k in (0, 1))
+                leaves.append(packed(lengths, tokens))
+                out[i] = before, len(edits or ()), tree.tokens, tree.encoded, len(lengths)
+            yield pa.RecordBatch.from_arrays([*map(get, columns), pa.array(texts, pa.string()), pa.array(leaves, pa.binary()), *(pa.array(c) for c in out.T)],
+                                             [*columns, "text", KEPT, *COUNTED])
 
     return run
 
 
 def apply_edits(trees: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Kept ``trees`` with ``edits`` (array of start, removed, inserted), edited: texts and trees to keep, and the counts before and after."""
-    columns = tuple(c for c in trees.columns if c not in ("text", "edits", *KEPT, *COUNTED))
-    schema = StructType([*trees.select(*columns).schema.fields, StructField("text", StringType()), *_LEAVES, *(StructField(c, LongType()) for c in COUNTED)])
-    return trees.select(*columns, "text", "edits", *KEPT).mapInArrow(_editing(columns, vocabulary), schema)
+    columns = tuple(c for c in trees.columns if c not in ("text", "edits", KEPT, *COUNTED))
+    schema = StructType([*trees.select(*columns).schema.fields, StructField("text", StringType()), StructField(KEPT, BinaryType()), *(StructField(c, LongType()) for c in COUNTED)])
+    return trees.select(*columns, "text", "edits", KEPT).mapInArrow(_editing(columns, vocabulary), schema)
 
 
 def counts(edited: DataFrame) -> DataFrame:
     """Edited documents without texts and trees."""
-    return edited.drop("text", *KEPT)
+    return edited.drop("text", KEPT)
 
 
 def with_sample_edits(docs: DataFrame) -> DataFrame:

@@ -266,6 +266,11 @@ def test_edits_keep_counts():
             assert tree.text == text and tree.tokens == len(count.encoding.encode_ordinary(text))
 
 
+def test_packed_leaves():
+    for lengths, tokens in [([], []), ([1, 31, 4], [1, 7, 1]), ([32, 1, 70_000, 5], [1, 1, 30_000, 8]), ([5, 256], [1, 256])]:
+        assert tokencount.unpacked(tokencount.packed(lengths, tokens)) == (lengths, tokens)
+
+
 def edited_text(text, edits):
     for e in edits or ():
         start = min(max(e.start or 0, 0), len(text))
@@ -285,14 +290,14 @@ def test_kept_trees_follow_edits(docs, tmp_path):
         tokencount.apply_edits(trees).write.parquet(str(tmp_path / str(turn + 1)))
         got = docs.sparkSession.read.parquet(str(tmp_path / str(turn + 1))).collect()
         assert sorted((r.doc_id, r.tokens_before, r.tokens_after, r.text) for r in got) == want
-        assert all(r.n_edits == 4 and sum(r._tc_lengths) == len(r.text) and sum(r._tc_tokens) == r.tokens_after and r.n_pretokens == len(r._tc_tokens) for r in got)
+        assert all(r.n_edits == 4 and [sum(x) for x in tokencount.unpacked(bytes(r._tc_leaves))] == [len(r.text), r.tokens_after] for r in got)
         assert all(r.pretokens_encoded < 60 for r in got if r.doc_id == 94)
 
 
 def test_trees_absent_or_out_of_date_are_built_anew(spark):
-    schema = "doc_id long, text string, edits array<struct<start int, removed int, inserted string>>, _tc_lengths array<int>, _tc_tokens array<int>"
-    rows = [(1, "one two three", [(0, 0, "x ")], None, None), (2, "one two three", None, [1], [1]), (3, None, None, None, None), (4, None, [(5, 2, "new")], [], []),
-            (5, "a b", [(None, None, None), (-3, -1, "c"), (99, 9, "d")], [1, 2], [1, 1])]
+    schema = "doc_id long, text string, edits array<struct<start int, removed int, inserted string>>, _tc_leaves binary"
+    rows = [(1, "one two three", [(0, 0, "x ")], None), (2, "one two three", None, b"\x09"), (3, None, None, None), (4, None, [(5, 2, "new")], b""),
+            (5, "a b", [(None, None, None), (-3, -1, "c"), (99, 9, "d")], tokencount.packed([1, 2], [1, 1]))]
     got = {r.doc_id: r for r in tokencount.apply_edits(spark.createDataFrame(rows, schema)).collect()}
     assert [got[i].text for i in range(1, 6)] == ["x one two three", "one two three", None, "new", "ca bd"]
     assert (got[2].pretokens_encoded, got[2].tokens_before, got[3].tokens_after, got[4].tokens_before) == (3, 3, 0, 0)
