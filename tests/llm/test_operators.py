@@ -220,6 +220,40 @@ def test_classifier(spark):
     assert importance.resample(scored, 10).where("drawn").count() == 10
 
 
+def test_weights_and_draw_against_brute_force(spark):
+    """Both models counted gram by gram, the weights from them, and the draw by sorting all keys."""
+    rnd = random.Random(5)
+    texts = {i: " ".join(rnd.choice("The of and with from ONE two café ## !! 12".split()) for _ in range(rnd.randint(1, 50))) for i in range(200)}
+    texts |= {200: None, 201: "", 202: " \n\t"}
+    docs = spark.createDataFrame([*texts.items(), (None, "of and of")], "doc_id long, text string")
+    good = {i for i in range(0, 120, 3)}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    model = importance.fit(docs, labels, buckets=512)
+
+    def cells(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        return importance._ngram_cells(raw, np.array([0, len(raw)]), 512)[0].tolist()
+
+    raw, target = Counter(cells("of and of")), Counter()
+    for i, text in texts.items():
+        raw.update(cells(text))
+        target.update(cells(text) if i in good else ())
+    ratio = {c: np.log((target[c] + 1) / (sum(target.values()) + 512)) - np.log((raw[c] + 1) / (sum(raw.values()) + 512)) for c in range(512)}
+    scored = importance.score(docs, model, "doc_id")
+    rows = importance.resample(scored, 40).withColumn("h", F.xxhash64("doc_id", F.lit(importance.SEED))).collect()
+    assert len(rows) == 204
+    keys = {}
+    for r in rows:
+        grams = cells("of and of" if r.doc_id is None else texts[r.doc_id])
+        assert r.n_grams == len(grams) and abs(r.log_weight - sum(ratio[c] for c in grams)) < 1e-9
+        if r.doc_id is not None:
+            keys[r.doc_id] = r.log_weight - np.log(-np.log((r.h % (1 << 52) + 0.5) / (1 << 52)))
+            assert abs(keys[r.doc_id] - r.gumbel_key) < 1e-9
+    assert {r.doc_id for r in rows if r.drawn} == set(sorted(keys, key=lambda i: (-keys[i], i))[:40])
+    kept = {r.doc_id for r in scored.where(importance.accepted(model)).collect()}
+    assert kept == {r.doc_id for r in rows if r.n_grams and r.log_weight / r.n_grams >= model.cut}
+
+
 def test_archives(spark):
     rows = [(1, "http://a.org/x", "<p>é"), (2, "https://www.A.org:443/x#y", "<p>é"), (3, None, None), (4, "http://b.org/%0A\r\n", ""), (5, "http://a.org/x", "z" * 200_000)]
     history = warc.archive_and_index(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -391,21 +425,40 @@ def test_pages_empty_and_clashing(spark):
     assert [(r.page_id, r.text, r.low, r.n_pages, r.host) for r in got] == [(None, "x", "l", 3, "h")] * 2
 
 
+def shared_lines_out(texts):
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate(LOWER)
+    holders = defaultdict(set)
+    for i, t in texts.items():
+        for x in (t or "").split("\n"):
+            holders[key(x)].add(i)
+    return {i: "\n".join(x for x in (t or "").split("\n") if not key(x) or len(holders[key(x)]) < 10) for i, t in texts.items()}
+
+
 def test_pipeline_stages(spark, tmp_path):
+    """Each stage on what the one before kept: the two classifiers against their own verdicts row by row, lines and copies against brute force."""
     import corpus_pipeline
 
     folder = "/root/testdata/sf0.001"
-    docs, ids = spark.read.parquet(f"{folder}/documents.parquet"), None
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         done = stage(spark, docs, folder)
         assert done.columns == docs.columns, name
         done.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        now = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert ids is None or now <= ids
-        ids = now
+        after = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / name)).collect()}
+        if name == "quality_classifier":
+            model = importance.fit(docs, labels)
+            want = {r.doc_id for r in importance.score(docs, model, "doc_id").collect() if r.n_grams and (model.cut is None or r.log_weight / r.n_grams >= model.cut)}
+            assert after == {i: before[i] for i in want}
+            known = {r.doc_id for r in labels.where("quality = 1").collect()} & set(before)
+            assert len(known & want) >= 0.9 * len(known)
+        elif name == "line_dedup":
+            assert after == shared_lines_out(before)
+        elif name == "near_dedup":  # exactly one document of each group stays
+            assert after == {i: before[i] for i, (_, c) in brute_components(before, 5, 80).items() if c == i}
+        else:
+            assert after.items() <= before.items() and all(len(WORD.findall(t or "")) >= 50 for t in after.values())
+        docs, before = spark.read.parquet(str(tmp_path / name)), after
     packed = corpus_pipeline.run(spark, folder).toPandas()
-    assert set(packed.doc_id) == ids
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    brute = brute_components(texts, 5, 80)
-    assert all(brute[i][1] == i for i in texts)
+    assert set(packed.doc_id) == set(before)
