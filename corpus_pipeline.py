@@ -52,7 +52,7 @@ STAGES = [
     ("best_fit_packing", packed_sequences),
 ]
 
-# A fitted classifier, MinHash and a tokenizer are not SQL: tests hold run() against a brute-force version.
+# A fitted classifier, MinHash and a tokenizer are not SQL: tests hold each stage against brute force, or (both classifiers) against the verdicts of their models.
 ORACLE_SQL = None
 
 
