@@ -21,9 +21,12 @@ BUCKET_DIGITS = 2  # of the content hash that name a bucket of the store
 
 
 def follow(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table's files as a stream with the schema they were written with."""
+    """A table, be it one file or a folder of them, as a stream with the schema it was written with.
+
+    The path is a pattern of one name: a stream's plain path would have to be a folder.
+    """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{table}.parquet}}")
 
 
 def run(stream: DataFrame, path: str, *, mode: str = "append", each=None) -> None:

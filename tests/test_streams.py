@@ -88,3 +88,19 @@ def test_current_decision_with_rows_out_of_order_and_a_restart(spark, folder):
     feeds.compact_current(spark, path, f"{folder}/compact")
     assert {r.inspection_id: r.decision_id for r in feeds.read_current(spark, f"{folder}/compact").collect()} == want
     assert spark.read.parquet(path).where("batch > 0 AND inspection_id = 2").count() == 1  # a batch holds only what it changed
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_is_followed_as_a_file_or_a_folder(spark, folder, files):
+    import glob
+    import os
+
+    rows = [(n, f"{n}.txt", f"text {n % 4}") for n in range(9)]
+    spark.createDataFrame(rows, DOCS).repartition(files).write.parquet(f"{folder}/parts")
+    if files == 1:
+        os.rename(glob.glob(f"{folder}/parts/*.parquet")[0], f"{folder}/documents.parquet")
+    else:
+        os.rename(f"{folder}/parts", f"{folder}/documents.parquet")
+    path = f"{folder}/out"
+    feeds.ingest(g.with_hash(feeds.follow(spark, folder, "documents")).select("doc_id", "content_hash", "text"), path)
+    assert sorted(r.doc_id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3]
