@@ -82,8 +82,7 @@ _job("reg_custom_vec", lambda spark, sf: rs.search_reg(asked(spark, sf), corpus(
 
 @query("reg_citation")
 def reg_citation(spark, sf):
-    return statutory(spark, sf).select("package_id", "rule_id").join(
-        corpus(spark, sf).select(F.col("chunk_id").alias("rule_id"), "document", F.col("text").alias("quote")), "rule_id")
+    return rs.quote_rules(statutory(spark, sf).select("package_id", "rule_id"), corpus(spark, sf))
 
 
 def citations(spark, sf):
