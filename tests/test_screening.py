@@ -151,3 +151,20 @@ def test_price_traps(spark):
     got = {x.package_id: x for x in ex.extract(spark.createDataFrame(lines, LINES), ["mrp"]).collect()}
     assert got[1].value is None and got[1].level == "MISSING"
     assert got[2].value == "Rs.45.50" and got[2].level == "MEDIUM"
+
+
+def test_tables_of_all_packages_are_never_sent_round(spark):
+    """Findings compress to almost nothing, so a size taken from their files says nothing of their rows."""
+    from pkgscreen.operators import regsearch as rs
+
+    lines = spark.createDataFrame(rows(1, 0, FRONT) + rows(1, 1, BACK) + rows(2, 0, FRONT), LINES)
+    metrics = spark.createDataFrame([(p, s, f"s{s}", 200.0, 120.0, 50.0, 0.05, 0.1, None) for p, s in ((1, 0), (1, 1), (2, 0))], METRICS)
+    packages = written(screening.evidence_run(lines, metrics), "few-packages")
+    findings = written(r.evaluate_statutory(r.contexts(packages), statutory_rules(spark)), "few-findings")
+    context = r.contexts(packages)
+    chunks = spark.createDataFrame([("price", "rules", "the price"), ("none", "rules", "nothing")], "chunk_id string, document string, text string")
+    for made in (r.evidence_of(context, findings), r.annotation_plan(context, findings), r.review_actions(context, findings, r.confidence(context, findings))):
+        assert "BroadcastExchange" not in made._jdf.queryExecution().executedPlan().toString()
+    quoted = rs.quote_rules(findings.select("package_id", "rule_id"), chunks)
+    assert sorted((q.package_id, q.rule_id, q.quote) for q in quoted.collect()) == [(1, "price", "the price"), (2, "price", "the price")]
+    assert "BuildRight" in quoted._jdf.queryExecution().executedPlan().toString()
