@@ -56,3 +56,29 @@ def test_a_folder_of_good_broken_and_odd_files(spark, tmp_path):
     assert {(r.file_name, r.error) for r in errors.collect()} == {("empty.txt", "empty file"), ("broken.json", "not JSON"), ("other.json", "no clauses")}
     found, errors = regsearch.read_corpus(spark, str(tmp_path / "absent"))
     assert found.count() == 0 and errors.count() == 0
+
+
+def test_findings_whose_rules_are_in_the_corpus_need_no_search(spark):
+    findings = spark.createDataFrame([(1, "r1", "FAIL", "price", "absent"), (2, "r1", "PASS", "price", "ok"), (3, "r2", "MANUAL_REVIEW", "date", "unclear")],
+                                     "package_id long, rule_id string, status string, title string, reason string")
+    chunks = spark.createDataFrame([("r1", "price rule"), ("r2", "date rule"), ("x", "other")], "chunk_id string, text string")
+
+    def index():
+        raise AssertionError("nothing is searched for")
+
+    cited = regsearch.cite_findings(findings, chunks, index=index)
+    assert sorted((r.package_id, r.chunk_id, r.retrieval) for r in cited.collect()) == [(1, "r1", "exact_rule_id"), (3, "r2", "exact_rule_id")]
+
+
+def test_few_queries_scan_clauses_as_the_cells_would(spark, monkeypatch):
+    texts = [("", 0)] + [(f"Net quantity {n} grams" if n % 4 == 0 else f"é kilogrammes {n}" if n % 4 == 1 else f"maker's address, street {n}", n) for n in range(1, 40)]
+    chunks = spark.createDataFrame(texts, "text string, chunk_id long").repartition(3)
+    queries = spark.createDataFrame([(1, "net quantity 3 grams"), (2, "kilogrammes é")], "query_id long, query string")
+    scan = {(r.query_id, r.chunk_id): (r.score, r["rank"]) for r in regsearch.search_reg(queries, chunks, 4, digest="sha1").collect()}
+    made, vectors_of = [], regsearch.clause_vectors
+    monkeypatch.setattr(regsearch, "clause_vectors", lambda clauses, *rest: made.append(clauses.count()) or vectors_of(clauses, *rest))
+    regsearch.search_reg(queries, chunks, 4, digest="sha1").collect()
+    assert max(made) < 40  # only clauses that may be results get a stored vector
+    monkeypatch.setattr(regsearch, "SCANNED", 0)
+    cells = {(r.query_id, r.chunk_id): (r.score, r["rank"]) for r in regsearch.search_reg(queries, chunks, 4, digest="sha1").collect()}
+    assert scan == cells and len(scan) >= 8
