@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pkgscreen import vocab as v
-from pkgscreen.config import written
+from pkgscreen.config import fits, written
 from pkgscreen.functions.text import words
 
 BLOCK_CHUNKS = 64
 FIRST_BLOCKS = 2  # blocks scored first, for each result asked for
+ASKED_BROADCAST = 100_000  # words of queries that travel to the postings
 MARGIN = 1e-8  # sums of shares in another order differ less
 PARTS = ("terms", "maxima", "postings")
 
@@ -102,10 +103,17 @@ def score_blocks(asked: DataFrame, index: KeywordIndex, wanted: DataFrame, digit
 
 
 def all_scores(queries: DataFrame, index: KeywordIndex, cut: str | None = None, digits: int | None = 9) -> DataFrame:
-    """Every chunk that shares a word with a query: as many rows as there are such pairs."""
-    asked = asked_terms(queries, index, cut)
+    """Every chunk that shares a word with a query: as many rows as there are such pairs.
+
+    Postings are dealt by chunk and meet the asked words there, so the pairs, far
+    more than the postings, are added up where they arise and not exchanged.
+    """
+    asked = written(asked_terms(queries, index, cut), "asked")
     score = F.sum(F.col("weight") * F.col("share"))
-    return index.postings.join(asked, "term").groupBy("query_id", "chunk_id").agg((score if digits is None else F.round(score, digits)).alias("score"))
+    dealt = index.postings
+    if fits(asked, ASKED_BROADCAST):
+        dealt, asked = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").repartition("chunk_id"), F.broadcast(asked)
+    return dealt.join(asked, "term").groupBy("query_id", "chunk_id").agg((score if digits is None else F.round(score, digits)).alias("score"))
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:

@@ -46,3 +46,15 @@ def test_blocks_are_skipped_and_bounds_hold(spark, corpus, tmp_path):
 def test_an_empty_corpus_has_no_hits(spark, corpus, tmp_path):
     kw.write_index(corpus[0].limit(0), str(tmp_path))
     assert kw.search(corpus[1], kw.read_index(spark, str(tmp_path)), 3).count() == 0
+
+
+def test_pairs_of_query_and_chunk_are_not_exchanged(spark, tmp_path):
+    postings = spark.createDataFrame([(n, 3, t, 1 + n % 2) for n in range(60) for t in ("net", "price", f"w{n % 5}")], "chunk_id long, length int, term string, tf long")
+    kw.write_index(postings, str(tmp_path / "index"))
+    index = kw.read_index(spark, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "net price"), (2, "w3"), (3, "absent")], "query_id long, query string")
+    scores = kw.all_scores(queries, index)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "query_id" in line]
+    got = scores.groupBy("query_id").count().collect()
+    assert sorted((r.query_id, r["count"]) for r in got) == [(1, 60), (2, 12)]
