@@ -168,3 +168,18 @@ def test_tables_of_all_packages_are_never_sent_round(spark):
     quoted = rs.quote_rules(findings.select("package_id", "rule_id"), chunks)
     assert sorted((q.package_id, q.rule_id, q.quote) for q in quoted.collect()) == [(1, "price", "the price"), (2, "price", "the price")]
     assert "BuildRight" in quoted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_texts_are_read_once_and_parts_grow_with_the_rows(spark):
+    from pkgscreen import config
+
+    lines = [(p, 0, "s0", n, t, conf, 20, n * 60, 420 + p, n * 60 + 44) for p in range(60) for conf in [0.79 if p % 2 else 0.9] for n, t in enumerate(FRONT)]
+    photos = ex.by_surface(spark.createDataFrame(lines, LINES), ex.flags_for(["mrp", "product_name"]))
+    plan = photos._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    flags, source = next(i for i, x in enumerate(plan) if "RLIKE" in x), next(i for i, x in enumerate(plan) if "Repartition" in x)
+    assert any("Aggregate [part" in x and "text" in x for x in plan[flags:source])  # texts are grouped below their flags
+    got = {x.package_id: x.lines for x in photos.collect()}
+    assert len(got) == 60 and all([x.text for x in found] == FRONT and found[1].price == "149.00" for found in got.values())
+    scores = {p: found[0].name_score for p, found in got.items()}
+    assert all(scores[p] == (None if p % 2 else 44 * (400 + p) * 0.9) for p in scores)
+    assert config.spread(spark.range(10), "id", 8 * config.PART_ROWS).rdd.getNumPartitions() == 8
