@@ -1,18 +1,23 @@
-"""A keyword index with stored statistics and block maxima, and exact top-k search that skips blocks.
+"""A keyword index with stored statistics and block maxima, and exact top-k search.
 
 Chunks are dealt into blocks by the hash of their id. The index holds, written once:
 
 - ``terms``: document frequency and weight of every term, so that a search never
   aggregates postings again;
-- ``maxima``: the largest and smallest share any posting of a term reaches in a block;
-- ``postings``: (term, block, chunk, share), where a term that a third of all chunks
-  hold is spread over as many blocks as there are.
-
-A query's bound for a block is the sum of its terms' maxima there: no chunk of the
-block can score more. The blocks of the highest bounds are scored first; the
-k-th best score found there is a floor under the final k-th, so blocks whose bound
-lies below it hold no result and their postings are not read. Every pair of query
-and block is scored at most once, and skipping never changes the answer.
+- ``blocks``: a row per term and block with the largest and smallest share any
+  posting of the term reaches there, and the postings themselves, at most as many as
+  a block has chunks. Postings are exchanged once, by block; maxima and lists are
+  taken on that partitioning, in parts that grow in number with the chunks.
+
+A set of queries whose words are few enough to be sent round meets the postings of
+just these words by chunk: scores are added up where the postings lie, and the best
+k of each part are exchanged.
+
+More queries use the maxima. A query's bound for a block is the sum of its terms'
+maxima there: no chunk of the block can score more. The blocks of the highest bounds
+are scored first; the k-th best score found there is a floor under the final k-th, so
+blocks whose bound lies below it hold no result and their postings are not read. Every
+pair of query and block is scored at most once, and skipping never changes the answer.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ BLOCK_CHUNKS = 64
 FIRST_BLOCKS = 2  # blocks scored first, for each result asked for
 ASKED_BROADCAST = 100_000  # words of queries that travel to the postings
 MARGIN = 1e-8  # sums of shares in another order differ less
-PARTS = ("terms", "maxima", "postings")
+PART_BLOCKS = 64  # blocks of a part of the index: what a task sorts stays in memory
+SCORED_BLOCKS = 32  # blocks that a task scores for all queries
 
 
 @dataclass(frozen=True)
@@ -38,6 +44,7 @@ class KeywordIndex:
     terms: DataFrame  # term, df, weight
     maxima: DataFrame  # term, block, most, least
     postings: DataFrame  # term, block, chunk_id, share
+    n_blocks: int = 1
 
 
 def okapi_weight(n, df, floor=None):
@@ -51,8 +58,8 @@ def plus_one_weight(n, df, floor=None):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def index_postings(postings: DataFrame, chunks: DataFrame | None = None, weight=okapi_weight, block_chunks: int = BLOCK_CHUNKS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The tables of an index from (chunk_id, length, term, tf).
+def index_postings(postings: DataFrame, chunks: DataFrame | None = None, weight=okapi_weight, block_chunks: int = BLOCK_CHUNKS) -> tuple[DataFrame, DataFrame, int]:
+    """Terms, postings with their share and block, and the number of blocks, from (chunk_id, length, term, tf).
 
     ``chunks`` (chunk_id, length) says which chunks count, if there are some without
     words. A term's negative weight becomes a quarter of the mean over all terms.
@@ -67,20 +74,28 @@ def index_postings(postings: DataFrame, chunks: DataFrame | None = None, weight=
     terms = frequency.withColumn("weight", weight(F.lit(float(n)), F.col("df"), F.lit(floor)))
     share = F.col("tf") * (v.BM25_K1 + 1) / (F.col("tf") + v.BM25_K1 * (1 - v.BM25_B + v.BM25_B * F.col("length") / F.lit(mean)))
     dealt = postings.select("term", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("block"), "chunk_id", share.alias("share"))
-    return terms, dealt.groupBy("term", "block").agg(F.max("share").alias("most"), F.min("share").alias("least")), dealt
+    return terms, dealt, blocks
+
+
+def _parts(spark: SparkSession, blocks: int, each: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // each))
 
 
 def write_index(postings: DataFrame, path: str, **options) -> None:
-    """Index tables under ``path``; postings by term, then block, so that a term's rows prune by file statistics."""
-    terms, maxima, dealt = index_postings(postings, **options)
+    """Index tables under ``path``; blocks by term in each file, so that a term's rows prune by file statistics."""
+    terms, dealt, blocks = index_postings(postings, **options)
+    spark = postings.sparkSession
     terms.write.mode("overwrite").parquet(f"{path}/terms")
-    maxima.write.mode("overwrite").parquet(f"{path}/maxima")
-    # both keys, so that a hot term spreads over tasks; sorted, so that row groups hold few terms
-    dealt.repartition("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    listed = dealt.repartition(_parts(spark, blocks, PART_BLOCKS), "block").groupBy("block", "term").agg(
+        F.max("share").alias("most"), F.min("share").alias("least"), F.collect_list(F.struct("chunk_id", "share")).alias("postings"))
+    listed.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    spark.range(1).select(F.lit(blocks).cast("long").alias("blocks")).write.mode("overwrite").parquet(f"{path}/size")
 
 
 def read_index(spark: SparkSession, path: str) -> KeywordIndex:
-    return KeywordIndex(*(spark.read.parquet(f"{path}/{part}") for part in PARTS))
+    listed = spark.read.parquet(f"{path}/blocks")
+    return KeywordIndex(spark.read.parquet(f"{path}/terms"), listed.select("term", "block", "most", "least"),
+                        listed.select("term", "block", F.inline_outer("postings")), spark.read.parquet(f"{path}/size").first()[0])
 
 
 def asked_terms(queries: DataFrame, index: KeywordIndex, cut: str | None = None) -> DataFrame:
@@ -108,11 +123,15 @@ def all_scores(queries: DataFrame, index: KeywordIndex, cut: str | None = None,
     Postings are dealt by chunk and meet the asked words there, so the pairs, far
     more than the postings, are added up where they arise and not exchanged.
     """
-    asked = written(asked_terms(queries, index, cut), "asked")
+    return _scores(written(asked_terms(queries, index, cut), "asked"), index, digits)
+
+
+def _scores(asked: DataFrame, index: KeywordIndex, digits: int | None = 9) -> DataFrame:
     score = F.sum(F.col("weight") * F.col("share"))
     dealt = index.postings
     if fits(asked, ASKED_BROADCAST):
-        dealt, asked = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").repartition("chunk_id"), F.broadcast(asked)
+        dealt, asked = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi"), F.broadcast(asked)
+        dealt = dealt.select("term", "chunk_id", "share").repartition(_parts(asked.sparkSession, index.n_blocks, SCORED_BLOCKS), "chunk_id")
     return dealt.join(asked, "term").groupBy("query_id", "chunk_id").agg((score if digits is None else F.round(score, digits)).alias("score"))
 
 
@@ -123,12 +142,16 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 
 def search(queries: DataFrame, index: KeywordIndex, k: int, cut: str | None = None) -> DataFrame:
     """The best ``k`` chunks of every query: (query_id, chunk_id, score, rank)."""
-    return ranked(candidates(queries, index, k, cut=cut), k)
+    asked = written(asked_terms(queries, index, cut), "asked")
+    return ranked(_scores(asked, index) if fits(asked, ASKED_BROADCAST) else _candidates(asked, index, k), k)
 
 
 def candidates(queries: DataFrame, index: KeywordIndex, k: int, spare: float = 0.0, cut: str | None = None) -> DataFrame:
     """Scores that contain every chunk from a floor on: the k-th best less ``spare`` times the best."""
-    asked = written(asked_terms(queries, index, cut), "asked")
+    return _candidates(written(asked_terms(queries, index, cut), "asked"), index, k, spare)
+
+
+def _candidates(asked: DataFrame, index: KeywordIndex, k: int, spare: float = 0.0) -> DataFrame:
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     bounds = written(block_bounds(asked, index).withColumn("place", F.row_number().over(by_bound)), "bounds")
     scored = score_blocks(asked, index, bounds.where(F.col("place") <= FIRST_BLOCKS * k))

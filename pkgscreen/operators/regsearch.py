@@ -208,7 +208,7 @@ def search_reg(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: flo
     if rule_reference:
         chunks = chunks.where(F.contains(F.lower("rule_reference"), F.lit(rule_reference.lower())))
     if category or source_type or rule_reference:  # the blocks' maxima stay bounds
-        index = kw.KeywordIndex(index.terms, index.maxima, index.postings.join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
+        index = kw.KeywordIndex(index.terms, index.maxima, index.postings.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), index.n_blocks)
     least = -1.0 if vectorizer else 0.0  # counts of triples have no negative products
     spare = v.VECTOR_SHARE * (1 - least) / v.KEYWORD_SHARE + ROUNDING
     words = written(kw.candidates(asked, index, k, spare, reg_tokens("query")), "reg-words")

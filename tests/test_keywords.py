@@ -58,3 +58,28 @@ def test_pairs_of_query_and_chunk_are_not_exchanged(spark, tmp_path):
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "query_id" in line]
     got = scores.groupBy("query_id").count().collect()
     assert sorted((r.query_id, r["count"]) for r in got) == [(1, 60), (2, 12)]
+
+
+def test_skipping_blocks_and_scoring_all_agree(spark, corpus, tmp_path):
+    postings, queries = corpus
+    kw.write_index(postings, str(tmp_path), block_chunks=16)
+    index = kw.read_index(spark, str(tmp_path))
+    row = lambda d: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in d.collect())
+    assert row(kw.ranked(kw.candidates(queries, index, 7), 7)) == row(kw.search(queries, index, 7))
+
+
+def test_postings_are_exchanged_once(spark, tmp_path):
+    """Counted without an exchange; index rows are lists by (term, block), searched without exchanging pairs of query and block."""
+    chunks = spark.createDataFrame([(n, f"net price net w{n % 7}, {'pad ' * (n % 3)}") for n in range(300)] + [(300, "..."), (301, None), (302, "")], "chunk_id long, content string")
+    postings = g.build_postings(chunks)
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    want = sorted((n, 4 + n % 3, t, tf) for n in range(300) for t, tf in [("net", 2), ("price", 1), (f"w{n % 7}", 1)] + [("pad", n % 3)] * bool(n % 3))
+    assert sorted(tuple(r) for r in postings.select("chunk_id", "length", "term", "tf").collect()) == want
+    kw.write_index(postings, str(tmp_path / "index"), block_chunks=16)
+    listed = spark.read.parquet(str(tmp_path / "index" / "blocks"))
+    assert listed.groupBy("term", "block").count().where("count > 1").count() == 0
+    assert listed.selectExpr("max(size(postings)) AS n").first().n <= 300 and listed.selectExpr("sum(size(postings)) AS n").first().n == len(want)
+    index = kw.read_index(spark, str(tmp_path / "index"))
+    found = kw.search(spark.createDataFrame([(1, "price w3")], "query_id long, query string"), index, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "block" in x]
