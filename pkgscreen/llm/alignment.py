@@ -49,11 +49,11 @@ from pkgscreen.llm.base import scratch_path, written
 
 VOCABULARY_A, RANKS_A, VOCABULARY_B = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 MARK = "▁"
-WORDS_BYTES = 16 << 20  # of texts whose distinct words are encoded together
+WORDS_BYTES = 8 << 20  # of texts whose distinct words are encoded together
 SLICE_BYTES = 1 << 19  # of texts aligned at once
 RUN_WORDS = 500  # encoded in one call
 PART_CHARS = 1 << 20  # a longer text is cut at the next space between letters
-BLOCK_PAIRS = 4 << 20  # distinct pairs, summed over documents, of a block
+BLOCK_PAIRS = 1 << 20  # distinct pairs, summed over documents, of a block
 CHUNK = 1 << 16  # pairs of one row of partial counts
 _CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 _RUN = re.compile(r"\s{64}")  # longer runs of white space exhaust the rank encoder's pattern matcher; the vocabulary file's own encoder takes them
@@ -336,6 +336,7 @@ class _Block:
         for i in range(0, len(rows), 1000):
             yield pa.RecordBatch.from_pylist(rows[i:i + 1000], schema=self.schema)
         self.clear()
+        pa.default_memory_pool().release_unused()  # a worker stays for the next stages
 
 
 def _aligning(vocabularies: tuple[str, str, str], kind: pa.DataType):
@@ -382,6 +383,7 @@ def _looking(kind: pa.DataType):
             at, n = np.frombuffer(held.as_buffer(), "<i4"), np.frombuffer(times.as_buffer(), "<i4").astype(np.int64)
             sums.append((int(n[best[at]].sum()), int(n @ count[at])))
         n_best, count_sum = zip(*sums) if sums else ((), ())
+        pa.default_memory_pool().release_unused()
         out = [docs["doc_id"].cast(kind), *(docs[c] for c in COUNTS), pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), docs["groups_sha256"]]
         return pa.table(dict(zip(("doc_id", *COUNTS, "n_best", "count_sum", "groups_sha256"), out)))
 

@@ -234,3 +234,22 @@ def test_alignment_against_brute_force(spark, libraries, limits):
         assert sorted(map(tuple, got.collect())) == sorted(brute_alignment(texts, libraries))
         assert {r.doc_id for r in alignment.align(table).collect()} == {i if i % 50 else None for i in range(len(texts))}
         assert alignment.align(table.limit(0)).count() == 0
+
+
+def test_blocks_of_aligned_documents_stay_small():
+    """One group of the last step holds about a million pairs, however many a task's documents have."""
+    import random
+
+    import pyarrow as pa
+
+    from pkgscreen.llm import alignment
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghilmnoprstu", k=rnd.randint(3, 9))) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=400)) for _ in range(5000)]
+    held: dict[str, int] = {}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for out in alignment._aligning((alignment.VOCABULARY_A, alignment.RANKS_A, alignment.VOCABULARY_B), pa.int64())(iter([batch])):
+        for block, kind, x in zip(out["block"].to_pylist(), out["kind"].to_pylist(), out["held"].to_pylist()):
+            held[block] = held.get(block, 0) + (len(x) // 4 if kind == "docs" else 0)
+    assert sum(held.values()) > 2 << 20 and max(held.values()) < 3 << 20
