@@ -22,6 +22,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ MARK = "▁"
 CACHE_SEGMENTS = 250_000
 SLICE_CHARS = 2_000_000  # of whole texts cut into segments at once
 BATCH_CHARS = 400_000  # of distinct segments indexed at once
+DECODED_BYTES = 16 << 20  # of ids turned into text at once
 LONG = 128
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NONE = np.int64(1) << 40
@@ -50,7 +52,8 @@ class Vocabulary:
         if any(MARK in p.lstrip(MARK) for p in self.text.values()):
             raise ValueError("a piece has the word-start mark behind another character")
         self.byte = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.raw = {self.byte[b]: bytes([b]) for b in range(256)}
+        raw = {self.byte[b]: bytes([b]) for b in range(256)}
+        self.bytes = pa.array([raw.get(i) or self.text.get(i, "").encode() for i in range(n)] + [b""], pa.large_binary())
         self.single = {p: i for i, p in self.text.items() if len(p) == 1}
         long = sorted((i for i, p in self.text.items() if len(p) > 1), key=lambda i: (-self.model.get_score(i), i))
         self.order = np.array(long, np.int64)  # id of the piece with each place in order of score
@@ -84,41 +87,61 @@ class Vocabulary:
         start = np.concatenate([[0], np.cumsum(size + 1)])
         text = np.frombuffer(("\0".join(segments) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         key, rank = edges(text, suffix_array(text, self.depth), self)
-        symbol, bounds = relax(start[:-1], size, key, rank)
-        out = {}
-        for s, lo, hi in zip(segments, bounds[:-1].tolist(), bounds[1:].tolist()):
-            ids: list[int] = []
-            for place, r in symbol[lo:hi]:
-                ids += self.character(s[place]) if r < 0 else [int(self.order[r])]
-            out[s] = np.array(ids, "<u4").tobytes()
-        return out
+        place, piece, bounds = relax(start[:-1], size, key, rank)
+        code = text[np.repeat(start[:-1], np.diff(bounds)) + place]
+        lone = np.flatnonzero(piece < 0)  # characters that no piece of two or more took
+        distinct, which = np.unique(code[lone], return_inverse=True)
+        own = [self.character(chr(c)) for c in distinct.tolist()]
+        held = np.array([len(x) for x in own], np.int64)
+        length = np.ones(len(piece), np.int64)
+        length[lone] = held[which]
+        at = np.concatenate([[0], np.cumsum(length)])
+        ids = np.empty(at[-1], "<u4")
+        ids[at[:-1][piece >= 0]] = self.order[piece[piece >= 0]]
+        if len(lone):
+            n = length[lone]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ids[np.repeat(at[lone], n) + within] = np.concatenate(own)[np.repeat((np.cumsum(held) - held)[which], n) + within]
+        raw, cut = ids.tobytes(), (at[bounds] * 4).tolist()
+        return {s: raw[lo:hi] for s, lo, hi in zip(segments, cut[:-1], cut[1:])}
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         parts = [self.segments(t) for t in texts]
-        new = list(dict.fromkeys(s for p in parts for s in p if s not in self.cache))
+        ids = dict.fromkeys(chain.from_iterable(parts))  # of each distinct segment
+        new = []
+        for s in ids:
+            known = self.cache.get(s)
+            if known is None:
+                new.append(s)
+            else:
+                ids[s] = known
         learnt = self.learn(new)
-        find, known = learnt.get, self.cache.get
-        out = [b"".join([known(s) or find(s) for s in p]) for p in parts]
-        for s, ids in learnt.items():
+        ids |= learnt
+        out = [b"".join(map(ids.__getitem__, p)) for p in parts]
+        for s, found in learnt.items():
             if len(self.cache) >= CACHE_SEGMENTS:
                 break
             if len(s) < LONG:
-                self.cache[s] = ids
+                self.cache[s] = found
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Pieces joined, byte pieces as UTF-8, marks as spaces without the one that encoding puts first."""
-        out, raw = [], b""
-        for i in ids.tolist():
-            if i in self.raw:
-                raw += self.raw[i]
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = b""
-            out.append(self.text.get(i, ""))
-        out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ").removeprefix(" ")
+    def decode_all(self, texts: list[bytes]) -> list[str]:
+        """Pieces joined, byte pieces as UTF-8, marks as spaces without the one that encoding puts first; unknown ids are nothing."""
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= DECODED_BYTES:
+                size += len(texts[end])
+                end += 1
+            ids = np.frombuffer(b"".join(texts[at:end]), "<u4")
+            pieces = self.bytes.take(pa.array(np.minimum(ids, len(self.bytes) - 1).astype(np.int64)))
+            _, offsets, data = pieces.buffers()
+            bounds = np.cumsum([0, *(len(x) // 4 for x in texts[at:end])])
+            cut = np.frombuffer(offsets, np.int64)[bounds].tolist() if len(ids) else [0] * len(bounds)
+            data = memoryview(data).cast("B") if len(ids) and data is not None else memoryview(b"")
+            out += [str(data[lo:hi], "utf-8", "replace").replace(MARK, " ").removeprefix(" ") for lo, hi in zip(cut[:-1], cut[1:])]
+            at = end
+        return out
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -129,7 +152,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[:n - width] = rank[width:] if width < n else 0
         key = rank * (rank.max() + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys may come in any order
         width *= 2
         if width >= depth:
             return order
@@ -168,7 +191,7 @@ def edges(text: np.ndarray, order: np.ndarray, vocabulary: Vocabulary) -> tuple[
     place = np.repeat(np.arange(len(codes)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
     key = order[at] * 64 + length[place]
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)  # no two are equal
     return key[by], place[by]
 
 
@@ -180,8 +203,8 @@ def _lookup(key: np.ndarray, rank: np.ndarray, want: np.ndarray) -> np.ndarray:
     return np.where(key[at] == want, rank[at], _NONE)
 
 
-def relax(start: np.ndarray, size: np.ndarray, key: np.ndarray, rank: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """((place in segment, piece or -1), bounds of each segment) after joining by best edge until none is left."""
+def relax(start: np.ndarray, size: np.ndarray, key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in their segment, pieces (or -1) and bounds of each segment after joining by best edge until none is left."""
     n = len(start)
     short = np.flatnonzero(size <= LONG)
     owner = np.repeat(short, size[short])
@@ -227,7 +250,7 @@ def relax(start: np.ndarray, size: np.ndarray, key: np.ndarray, rank: np.ndarray
     owner, first, piece = (np.concatenate(x) if done else np.zeros(0, np.int64) for x in (zip(*done) if done else [[]] * 3))
     by = np.lexsort((first, owner))
     owner, first, piece = owner[by], first[by], piece[by]
-    return list(zip((first - start[owner]).tolist(), piece.tolist())), np.searchsorted(owner, np.arange(n + 1))
+    return first - start[owner], piece, np.searchsorted(owner, np.arange(n + 1))
 
 
 def _relax_long(start: int, size: int, key: np.ndarray, rank: np.ndarray) -> tuple[list[int], list[int]]:
@@ -305,7 +328,7 @@ DECODED = ("n_pieces", "ids_crc32", "decoded")
 
 
 def _decoded(vocab: Vocabulary, ids: list[bytes | None]) -> list[pa.Array]:
-    texts = [vocab.decode(np.frombuffer(x or b"", "<u4")) for x in ids]
+    texts = vocab.decode_all([x or b"" for x in ids])
     return [pa.array([len(x or b"") // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x or b"") for x in ids], pa.int64()), pa.array(texts, pa.string())]
 
 

@@ -253,3 +253,18 @@ def test_blocks_of_aligned_documents_stay_small():
         for block, kind, x in zip(out["block"].to_pylist(), out["kind"].to_pylist(), out["held"].to_pylist()):
             held[block] = held.get(block, 0) + (len(x) // 4 if kind == "docs" else 0)
     assert sum(held.values()) > 2 << 20 and max(held.values()) < 3 << 20
+
+
+def test_pieces_are_decoded_together():
+    """Byte pieces, unknown ids and texts without ids among others, against the model."""
+    import numpy as np
+
+    from pkgscreen.llm import pieces
+
+    vocab = pieces.vocabulary()
+    texts = ["", "plain words", "  two  blanks ", "一龥 \U0001F600 x", "a▁b", "tab\tand\nline", "กำ" * 40, "z" * 500]
+    ids = vocab.encode_all(texts)
+    assert vocab.decode_all(ids) == [vocab.model.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
+    cut = np.array([vocab.byte[0xE4], vocab.byte[0xB8]], "<u4").tobytes()  # a character broken off
+    assert vocab.decode_all([cut, np.array([10**7], "<u4").tobytes(), ids[1]]) == [cut and b"\xe4\xb8".decode("utf-8", "replace"), "", "plain words"]
+    assert vocab.decode_all([]) == []
