@@ -5,11 +5,14 @@ import re
 
 import pytest
 
+from pkgscreen import vocab as v
 from pkgscreen.config import written
+from pkgscreen.functions.text import needed
 from pkgscreen.operators import evidence as ev
 from pkgscreen.operators import extract as ex
 from pkgscreen.operators import rules as r
 from pkgscreen.plans import inspection, screening
+from pkgscreen.plans.fixtures import table
 from pkgscreen.sources import tables
 
 FRONT = ["ALMOND BITES", "MRP: Rs. 149.00", "Net Qty: 250 g"]
@@ -183,3 +186,30 @@ def test_equal_texts_are_read_once_and_parts_grow_with_the_rows(spark):
     scores = {p: found[0].name_score for p, found in got.items()}
     assert all(scores[p] == (None if p % 2 else 44 * (400 + p) * 0.9) for p in scores)
     assert config.spread(spark.range(10), "id", 8 * config.PART_ROWS).rdd.getNumPartitions() == 8
+
+
+def test_lists_left_out_are_empty_ones(spark):
+    """Candidate lists that the flags of a photo rule out, and texts kept nested, change no declaration."""
+    sf = "/root/testdata/sf0.001"
+    lines = table(spark, sf, "lines")
+    flags = ex.flags_for(v.FIELDS)
+    guarded = ex.extract_from(ex.by_surface(lines, flags, nested=True))
+    every = ex.extract_from(ex.by_surface(lines, flags).drop(ex.SEEN))
+    assert guarded.count() > 0 and guarded.exceptAll(every).count() == 0 and every.exceptAll(guarded).count() == 0
+
+
+def test_needed_words_miss_no_match():
+    """A text without any of the needed words is never matched; patterns that allow none have none."""
+    patterns = [p for _, strong, weak in v.COMMODITY for p in [*strong, *weak]] + [*v.LABEL_ANCHORS.values(), v.ENTITY_SUFFIX, v.INSTRUCTION, v.QTY_LABEL, v.PRICE_TAX]
+    texts = ["Non-Veg", "LIC NO 12345678901234", "mg / ml", "NET WT. 5 g", "Incl of all taxes", "230 V ~ 50 Hz", "size : XL", "Pvt", "made in", "nutrition facts", "e waste", ""]
+    for pattern in patterns:
+        for text in texts:
+            if needed(pattern) and re.search(pattern, text, re.IGNORECASE):
+                assert any(w in text.lower() for w in needed(pattern)), (pattern, text)
+    assert needed(r"\bveg\b|\bnon[- ]?veg\b") == ["veg", "non"] and needed(r"a|\d+") == [] and needed(r"(?:abc)?") == []
+
+
+def test_parts_are_dealt_before_they_become_lines(spark):
+    """A small file of many parts is no single task."""
+    assert table(spark, "/root/testdata/sf0.001", "lines").rdd.getNumPartitions() > 1
+    assert table(spark, "/root/testdata/sf0.001", "surface_metrics").rdd.getNumPartitions() >= 4
