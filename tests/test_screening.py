@@ -213,3 +213,19 @@ def test_parts_are_dealt_before_they_become_lines(spark):
     """A small file of many parts is no single task."""
     assert table(spark, "/root/testdata/sf0.001", "lines").rdd.getNumPartitions() > 1
     assert table(spark, "/root/testdata/sf0.001", "surface_metrics").rdd.getNumPartitions() >= 4
+
+
+def test_classes_search_only_for_words_that_are_there(spark):
+    """Every pattern is searched for in the texts that may hold it, and only there."""
+    texts = ["fssai lic. no 12345678901234\nnon-veg", "net 250 ml\nserve\nchilled", "bis registration 230 v ~ 50 hz watt", "mg / ml tablet store below 30 c", "nothing", ""]
+    got = r.classify(spark.createDataFrame(list(enumerate(texts)), "package_id bigint, corpus string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(corpus") > 20
+    for row in got.collect():
+        found = {}
+        for name, strong, weak in v.COMMODITY:
+            hits = [[m.group() for p in patterns if (m := re.search(p, texts[row.package_id], re.IGNORECASE))] for patterns in (strong, weak)]
+            found[name] = (v.STRONG_WEIGHT * len(hits[0]) + v.WEAK_WEIGHT * len(hits[1]), [h.strip() for h in [*hits[0], *hits[1]]][:6])
+        best = max(found, key=lambda name: found[name][0])
+        want = (best, found[best][1]) if found[best][0] else ("unknown", [])
+        assert (row.product_category, row.evidence) == want
