@@ -229,3 +229,24 @@ def test_classes_search_only_for_words_that_are_there(spark):
         best = max(found, key=lambda name: found[name][0])
         want = (best, found[best][1]) if found[best][0] else ("unknown", [])
         assert (row.product_category, row.evidence) == want
+
+
+def test_findings_are_not_exchanged(spark):
+    """Packages travel before they meet the rules: between the window over a package's findings and the rows of its checks nothing is exchanged."""
+    context = spark.createDataFrame([], "package_id long").selectExpr(
+        "package_id", "false AS blocks", "CAST(NULL AS array<struct<fields:array<string>,location:string>>) AS pointers",
+        "CAST(NULL AS map<string,struct<value:string,level:string,ocr_text:string,ocr_conf:double,address_detected:boolean>>) AS by")
+    plan = r.evaluate_statutory(context, statutory_rules(spark))._jdf.queryExecution().sparkPlan()
+    prepared = spark._jvm.org.apache.spark.sql.execution.QueryExecution.prepareExecutedPlan(spark._jsparkSession, plan).toString()
+    above, _, below = prepared[prepared.index("Window"):].partition("Generate")
+    assert "hashpartitioning(package_id" not in above and "hashpartitioning(package_id" in below
+
+
+def test_candidates_of_a_later_rank_are_not_looked_for():
+    """A price on the price line ends the search: the lists of later ranks stand behind it, not beside it."""
+    found = ex._first(ex.PLANS["mrp"][1])
+    assert found.index("coalesce(array_min") < found.index("'r1', CAST(1 AS INT)") < found.index("'r1', CAST(3 AS INT)")
+    assert "array_compact" not in found and "flatten(array(" not in found
+    for lists in (found for _, found in ex.PLANS.values()):
+        for _, found in lists:
+            assert len(set(ex._RANK.findall(found))) == 1
