@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -26,13 +26,21 @@ def rules_to_chunks(rules: DataFrame) -> DataFrame:
 
 
 def clause_text(raw: DataFrame) -> DataFrame:
-    """Blocks of a text file; a page mark holds for its block and those after it."""
-    blocks = (raw.select("stem", F.posexplode(F.split("text", r"\n\s*\n")).alias("block_no", "block"))
-              .withColumn("block", F.expr(strip("block"))).where("block <> ''")
-              .withColumn("mark", F.expr(f"CAST(get(regexp_extract_all(block, {sq(r'\[p\.\s*(\d+)\]')}, 1), 0) AS INT)")))
-    order = Window.partitionBy("stem").orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
-    text = F.expr(strip(f"replace(block, coalesce(get(regexp_extract_all(block, {sq(r'\[p\.\s*(\d+)\]')}, 0), 0), ''), '')"))
-    return (blocks.withColumn("page", F.last("mark", ignorenulls=True).over(order)).withColumn("text", text)
+    """Blocks of a text file; a page mark holds for its block and those after it.
+
+    A file's blocks are cut into runs of one page within its row, so no text is exchanged.
+    """
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    first = lambda col, group: f"get(regexp_extract_all({col}, {sq(r'\[p\.\s*(\d+)\]')}, {group}), 0)"
+    parts = f"transform(split(text, {sq(r'\n\s*\n')}), (b, i) -> named_struct('block_no', i, 'block', {strip('b')}))"
+    blocks = f"transform(filter({parts}, b -> b.block <> ''), b -> named_struct('block_no', b.block_no, 'block', b.block, 'mark', CAST({first('b.block', 1)} AS INT)))"
+    marked = "filter(transform(bs, (b, i) -> IF(b.mark IS NULL, NULL, i)), i -> i IS NOT NULL)"
+    runs = ("transform(concat(array(0), ms), (lo, s) -> named_struct('page', IF(s = 0, CAST(NULL AS INT), get(bs, lo).mark),"
+            " 'blocks', slice(bs, lo + 1, coalesce(get(ms, s), size(bs)) - lo)))")
+    found = (raw.select("stem", F.expr(f"inline({let('bs', blocks, let('ms', marked, runs))})"))
+             .select("stem", "page", F.expr("inline(blocks)")))
+    text = F.expr(strip(f"replace(block, coalesce({first('block', 0)}, ''), '')"))
+    return (found.withColumn("text", text)
             .select(F.format_string("%s-%03d", "stem", "block_no").alias("chunk_id"), F.regexp_replace("stem", "_", " ").alias("document"),
                     F.coalesce(F.expr(f"get(regexp_extract_all(text, {sq(r'(?i)^(Rule\s+[\w()\-.]+)')}, 1), 0)"), F.lit("")).alias("rule_reference"),
                     "page", "text", F.substring("text", 1, 300).alias("quote"), F.lit("document").alias("source_type")))
@@ -165,11 +173,13 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_lists(chunks: DataFrame) -> DataFrame:
+    return ingest.term_lists(chunks.select("chunk_id", F.col("text").alias("content")), reg_tokens("content"))
+
+
 def write_keyword_index(chunks: DataFrame, path: str) -> None:
     """Index of the whole corpus under ``path``; chunks without a word count among the corpus. Texts are cut once."""
-    tokens = written(chunks.where("text <> ''").select("chunk_id", F.expr(reg_tokens("text")).alias("w")), "reg-tokens")
-    postings = tokens.select("chunk_id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-    kw.write_index(postings, path, chunks=tokens.select("chunk_id", F.size("w").alias("length")), weight=kw.plus_one_weight)
+    kw.write_index(term_lists(chunks), path, weight=kw.plus_one_weight)
 
 
 def keyword_index(chunks: DataFrame) -> kw.KeywordIndex:

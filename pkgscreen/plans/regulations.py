@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pkgscreen.config import written
+from pkgscreen.config import dealt, written
 from pkgscreen.functions.text import reg_tokens
 from pkgscreen.operators import keywords as kw
 from pkgscreen.operators import regsearch as rs
@@ -23,7 +23,7 @@ def _job(key, job):
 
 def raw_texts(spark, sf):
     """Documents as text files: a page mark in some, a rule number in others."""
-    return read(spark, sf, "documents").selectExpr("'doc_' || doc_id AS stem", """CASE WHEN doc_id % 3 = 0 THEN '[p. ' || (doc_id % 50) || '] ' ELSE '' END
+    return dealt(read(spark, sf, "documents"), "doc_id").selectExpr("'doc_' || doc_id AS stem", """CASE WHEN doc_id % 3 = 0 THEN '[p. ' || (doc_id % 50) || '] ' ELSE '' END
       || CASE WHEN doc_id % 4 = 0 THEN 'Rule ' || (doc_id % 20) || '(1) ' ELSE '' END || replace(text, '\\n', '\\n\\n') AS text""")
 
 
@@ -38,8 +38,9 @@ def corpus(spark, sf):
     def build():
         named = rs.rules_to_chunks(rules(spark, sf, "statutory_rules")).selectExpr(
             "rule_id AS chunk_id", "'rules' AS document", "rule_id AS rule_reference", "text", "category", "'ruleset' AS source_type")
-        return rs.corpus_union(rs.clause_text(raw_texts(spark, sf)), named)
-    return staged(spark, "corpus", sf, build)
+        return rs.corpus_union(rs.clause_text(raw_texts(spark, sf)), named).drop("quote")
+    quote = "IF(source_type = 'document', substring(text, 1, 300), NULL)"  # half the table, and the beginning of the text
+    return staged(spark, "corpus", sf, build).withColumn("quote", F.expr(quote))
 
 
 def index(spark, sf):

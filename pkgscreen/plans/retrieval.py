@@ -28,12 +28,8 @@ def chunks(spark, sf):
     return staged(spark, "chunks", sf, lambda: g.chunk_documents(kept_docs(spark, sf)))
 
 
-def postings(spark, sf):
-    return staged(spark, "postings", sf, lambda: g.build_postings(chunks(spark, sf)))
-
-
 def index(spark, sf):
-    return kw.read_index(spark, staged_path(spark, "keyword-index", sf, lambda path: kw.write_index(postings(spark, sf), path)))
+    return kw.read_index(spark, staged_path(spark, "keyword-index", sf, lambda path: kw.write_index(g.term_lists(chunks(spark, sf)), path, wordless=False)))
 
 
 def _job(key, job):

@@ -83,3 +83,28 @@ def test_postings_are_exchanged_once(spark, tmp_path):
     found = kw.search(spark.createDataFrame([(1, "price w3")], "query_id long, query string"), index, 4)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "block" in x]
+
+
+def test_an_index_is_built_and_read_without_exchanging_postings(spark, tmp_path, monkeypatch):
+    """Lists of terms become blocks where they lie; a few queries meet them there, whatever is scored at once."""
+    rnd = random.Random(3)
+    rows = [(f"c{n:03d}", " ".join(rnd.choices(["net", "price", "of", "maker", "é", "w1", "w2", "w3"], k=rnd.randint(0, 9)))) for n in range(300)] + [("none", "..."), ("null", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string").repartition(5)
+    lists = g.term_lists(chunks)
+    kw.write_index(lists, str(tmp_path / "lists"), block_chunks=16, weight=kw.plus_one_weight)
+    assert "Exchange" not in kw.block_rows(spark.read.parquet(str(tmp_path / "lists" / "lists")), 3.0, 16)._jdf.queryExecution().executedPlan().toString()
+    index = kw.read_index(spark, str(tmp_path / "lists"))
+    counted = [r[1].split() for r in rows if r[1]]
+    assert index.mean == pytest.approx(sum(len(w) * (w != ["..."]) for w in counted) / len(counted))
+    bounds = {(r.term, r.block): (r.most, r.least) for r in index.maxima.collect()}
+    posted = [(r.term, r.block, r.chunk_id, r.share) for r in index.postings.collect()]
+    assert len({p[:3] for p in posted}) == len(posted) == sum(len(set(w)) for w in counted if w != ["..."]) and {p[:2] for p in posted} == set(bounds)
+    assert all(bounds[t, b][1] <= s <= bounds[t, b][0] for t, b, _, s in posted)
+    queries = spark.createDataFrame([("a", "net price net"), ("b", "é w3"), ("c", "absent")], "query_id string, query string")
+    row = lambda d: sorted((r.query_id, r.chunk_id, round(r.score, 6)) for r in d.collect())
+    want = row(kw._scores(kw.asked_terms(queries, index), index))
+    best = sorted((q, n + 1, c, s) for q in "ab" for n, (q, c, s) in enumerate(sorted((w for w in want if w[0] == q), key=lambda w: (-w[2], w[1]))[:5]))
+    for pairs in (7, 1_000_000):
+        monkeypatch.setattr(kw, "SCORED_PAIRS", pairs)
+        assert row(kw.all_scores(queries, index)) == want and len(want) > 100
+        assert sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in kw.search(queries, index, 5).collect()) == best

@@ -82,3 +82,12 @@ def test_few_queries_scan_clauses_as_the_cells_would(spark, monkeypatch):
     monkeypatch.setattr(regsearch, "SCANNED", 0)
     cells = {(r.query_id, r.chunk_id): (r.score, r["rank"]) for r in regsearch.search_reg(queries, chunks, 4, digest="sha1").collect()}
     assert scan == cells and len(scan) >= 8
+
+
+def test_pages_hold_on_without_moving_texts(spark):
+    texts = {"a_b": "first\n\n[p. 4] Rule 6(1) x\n \n\n  second \n\n[p. 9] [p. 2]\n\nthird", "c": "[p. 1] only", "d": " \n\n ", "e": None, "f": "plain"}
+    found = regsearch.clause_text(spark.createDataFrame(list(texts.items()), "stem string, text string"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.chunk_id, r.document, r.rule_reference, r.page, r.text) for r in found.collect()) == [
+        ("a_b-000", "a b", "", None, "first"), ("a_b-001", "a b", "Rule 6(1)", 4, "Rule 6(1) x"), ("a_b-002", "a b", "", 4, "second"),
+        ("a_b-003", "a b", "", 9, "[p. 2]"), ("a_b-004", "a b", "", 9, "third"), ("c-000", "c", "", 1, "only"), ("f-000", "f", "", None, "plain")]
