@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -104,18 +106,33 @@ def name_files(files: DataFrame) -> DataFrame:
                               "stem": F.expr("IF(contains(file_name, '.'), left(file_name, length(file_name) - length(substring_index(file_name, '.', -1)) - 1), file_name)")})
 
 
-def _unit_histograms(texts, digest: str, known: dict[str, int]) -> np.ndarray:
-    """A unit vector per text: its character triples counted by hash bucket. ``known`` keeps the buckets of triples met before."""
-    out = np.zeros((len(texts), v.VECTOR_DIM))
-    for row, text in zip(out, texts):
-        triples = Counter(text[i:i + v.NGRAM] for i in range(max(1, len(text) - v.NGRAM + 1))) if text else {}
-        for triple, n in triples.items():
-            bucket = known.get(triple)
-            if bucket is None:
-                bucket = int(hashlib.new(digest, triple.encode()).hexdigest()[:8], 16) % v.VECTOR_DIM
-                if len(known) < KNOWN_TRIPLES:
-                    known[triple] = bucket
-            row[bucket] += n
+def _unit_histograms(texts, digest: str, known: dict[int, int]) -> np.ndarray:
+    """A unit vector per text: its character triples counted by hash bucket. ``known`` keeps the buckets of triples met before.
+
+    All texts are one row of code points; a triple is a number, and only distinct ones are hashed.
+    """
+    texts = [text or "" for text in texts]
+    length = np.fromiter(map(len, texts), "int64", len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype("int64")
+    owner = np.repeat(np.arange(len(texts)), length)
+    starts = max(0, len(points) - v.NGRAM + 1)
+    whole = owner[:starts] == owner[len(points) - starts:]  # a triple ends in the text in which it begins
+    keys = np.zeros(starts, "int64")
+    for place in range(v.NGRAM):
+        keys = keys << 21 | points[place:place + starts]
+    code, triples = pd.factorize(keys[whole])
+    buckets = np.empty(len(triples), "int64")
+    hashed = lambda text: int(hashlib.new(digest, text.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % v.VECTOR_DIM
+    for n, key in enumerate(triples.tolist()):
+        bucket = known.get(key)
+        if bucket is None:
+            bucket = hashed("".join(chr(key >> 21 * place & 0x1FFFFF) for place in reversed(range(v.NGRAM))))
+            if len(known) < KNOWN_TRIPLES:
+                known[key] = bucket
+        buckets[n] = bucket
+    out = np.bincount(owner[:starts][whole] * v.VECTOR_DIM + buckets[code], minlength=len(texts) * v.VECTOR_DIM).reshape(len(texts), v.VECTOR_DIM).astype("float64")
+    for row in np.flatnonzero((length > 0) & (length < v.NGRAM)):  # a shorter text is its own only piece
+        out[row, hashed(texts[row])] = 1
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 
@@ -129,7 +146,7 @@ def ngram_vectors(df: DataFrame, col: str = "text", vectorizer=None, digest: str
         return df.withColumn("vector", vectorizer(F.col(col)))
 
     def scan(frames):
-        known: dict[str, int] = {}
+        known: dict[int, int] = {}
         for f in frames:
             yield f.assign(vector=list(_unit_histograms(f["_spaced"].to_numpy(), digest, known))).drop(columns="_spaced")
 
@@ -137,30 +154,46 @@ def ngram_vectors(df: DataFrame, col: str = "text", vectorizer=None, digest: str
     return df.withColumn("_spaced", F.expr(one_spaced(f"lower({col})"))).mapInPandas(scan, schema)
 
 
-def scanned(asked: DataFrame, chunks: DataFrame, k: int, slack: float, digest: str = "md5") -> DataFrame:
-    """Nearest clauses of a few queries (query_id, embedding), as ``vectors.nearest`` gives them, without storing a clause's vector.
+def scanned(queries: DataFrame, words: DataFrame, chunks: DataFrame, index: kw.KeywordIndex, k: int, min_score: float, digest: str = "md5") -> DataFrame:
+    """The best ``k`` clauses of a few queries (query_id, embedding) by both scores, without storing a clause's vector or score.
 
-    Clauses pass once: a batch becomes vectors, is multiplied with all queries, and
-    leaves its best for each of them.
+    ``words`` (query_id, term, weight) are the queries' words. A first pass over the
+    keyword lists finds the best keyword score of each query; clauses pass once more,
+    a batch becomes vectors and counted words, is scored by all queries and leaves its
+    best for each of them.
     """
-    held = asked.toPandas()  # at most SCANNED rows
-    ids, q = held["query_id"].to_numpy(), vec.unit(np.stack(held["embedding"])) if len(held) else np.zeros((0, v.VECTOR_DIM))
-    sent = chunks.sparkSession.sparkContext.broadcast((ids, q))
-    kinds = dict(asked.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
-
-    def scan(frames):
-        (ids, q), known = sent.value, {}
-        for f in frames:
-            if not len(f) or not len(q):
-                continue
-            x, clauses = _unit_histograms(f["_spaced"].to_numpy(), digest, known).T, f["chunk_id"].to_numpy()
-            for at in range(0, len(q), vec.SLICE):
-                scores = np.round(q[at:at + vec.SLICE] @ x, vec.DIGITS)
-                row, column = vec.best(clauses, scores, k, slack)
-                yield pd.DataFrame({"query_id": ids[at + row], "chunk_id": clauses[column], "score": scores[row, column]})
+    spark = chunks.sparkSession
+    held = queries.toArrow()  # at most SCANNED rows
+    ids, q = held["query_id"].combine_chunks(), vec.unit(np.array(held["embedding"].to_pylist()).reshape(-1, v.VECTOR_DIM))
+    asked = kw.Asked(words, index.mean)
+    top = dict(kw.scanned(words, index, 1).groupBy("query_id").agg(F.max("score")).collect())
+    best = np.array([top.get(i, 1.0) for i in asked.ids.to_pylist()])
+    sent = spark.sparkContext.broadcast((ids, q, asked, best, pc.index_in(asked.ids, value_set=ids).to_numpy()))
+
+    def scan(batches):
+        (ids, q, asked, best, place_of), known = sent.value, {}
+        if not len(ids):
+            return
+        kept, step = kw.Kept(len(ids), k), max(1, kw.SCORED_PAIRS // len(ids))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            clauses, w = batch.column("chunk_id"), batch.column("w")
+            cosine = q @ _unit_histograms(batch.column("_spaced").to_pylist(), digest, known).T
+            place = asked.places(w.flatten())
+            at = place >= 0
+            pair, tf = np.unique(pc.list_parent_indices(w).to_numpy()[at] * max(1, len(asked.terms)) + place[at], return_counts=True)
+            row, term = np.divmod(pair, max(1, len(asked.terms)))
+            keyword = np.zeros(cosine.shape)
+            if len(asked.ids):
+                keyword[place_of] = (np.round(asked.scores(batch.num_rows, row, term, tf, pc.list_value_length(w).to_numpy())[0], 9) / best).T
+            total = v.KEYWORD_SHARE * keyword + v.VECTOR_SHARE * cosine
+            score = np.where(total > min_score, np.floor(total * 1e4 + 0.5) / 1e4, -np.inf)
+            query, column = kept.new(clauses.to_numpy(zero_copy_only=False), score)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), clauses.take(pa.array(column)), *map(pa.array, (
+                score[query, column], keyword[query, column], cosine[query, column]))], ["query_id", "chunk_id", "score", "keyword_score", "vector_score"])
 
-    rows = chunks.select("chunk_id", F.expr(one_spaced("lower(text)")).alias("_spaced"))
-    return vec.closest(rows.mapInPandas(scan, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"), k, slack)
+    kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
+    rows = chunks.select("chunk_id", F.expr(one_spaced("lower(text)")).alias("_spaced"), F.expr(f"coalesce({reg_tokens('text')}, array())").alias("w"))
+    return rows.mapInArrow(scan, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double, keyword_score double, vector_score double")
 
 
 def clause_vectors(chunks: DataFrame, vectorizer=None, digest: str = "md5") -> DataFrame:
@@ -204,10 +237,11 @@ def search_reg(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: flo
     ``index`` and ``vectors`` (chunk_id, embedding) of the corpus may be given, so that many searches share them.
 
     Filters choose the candidates; keyword scores are relative to the best of them.
-    A result has either a keyword score near the k-th best, nearer than any
-    character score could make up for, or is among the best by characters (ties in
-    the rounded sum included). Only these two sets are scored in full; both come
-    from searches that skip what cannot reach them.
+    Few queries are ranked in one pass over the clauses. For more, a result has
+    either a keyword score near the k-th best, nearer than any character score could
+    make up for, or is among the best by characters (ties in the rounded sum
+    included); both sets come from searches that skip what cannot reach them. Only
+    what may be a result is scored in full.
     """
     asked = queries.where("query <> ''")
     index = index or keyword_index(chunks)
@@ -218,26 +252,27 @@ def search_reg(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: flo
     if rule_reference:
         chunks = chunks.where(F.contains(F.lower("rule_reference"), F.lit(rule_reference.lower())))
     if category or source_type or rule_reference:  # the blocks' maxima stay bounds
-        index = kw.KeywordIndex(index.terms, index.maxima, index.postings.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), index.n_blocks)
-    least = -1.0 if vectorizer else 0.0  # counts of triples have no negative products
-    spare = v.VECTOR_SHARE * (1 - least) / v.KEYWORD_SHARE + ROUNDING
-    words = written(kw.candidates(asked, index, k, spare, reg_tokens("query")), "reg-words")
-    best = words.groupBy("query_id").agg(F.max("score").alias("best"))
-    words = words.join(kw.floors(words, k, spare), "query_id", "left").where("floor IS NULL OR score >= floor").join(best, "query_id")
-    words = words.select("query_id", "chunk_id", (F.col("score") / F.col("best")).alias("kw"))
+        index = replace(index, postings=index.postings.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), lists=term_lists(chunks))
     q_vectors = written(ngram_vectors(asked.select("query_id", "query"), "query", vectorizer, digest).select("query_id", F.col("vector").alias("embedding")), "reg-queries")
-    if vectors is None:
-        few = vectorizer is None and fits(q_vectors, SCANNED)
-        c_vectors = None if few else written(clause_vectors(chunks, vectorizer, digest), "reg-clauses")
+    terms = written(kw.asked_terms(asked, index, reg_tokens("query")), "asked")
+    if vectorizer is None and vectors is None and fits(q_vectors, SCANNED) and fits(terms, kw.ASKED_BROADCAST):
+        best = sr.top(scanned(q_vectors, terms, chunks, index, k, min_score, digest), k)
+        pairs = written(best.select("query_id", "chunk_id", F.col("keyword_score").alias("kw")), "reg-pairs")
+        results = F.broadcast(pairs.select("chunk_id").distinct())  # at most k of each of SCANNED queries
+        c_vectors = clause_vectors(chunks.join(results, "chunk_id", "left_semi"), None, digest)
     else:
-        few, c_vectors = False, vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi") if category or source_type or rule_reference else vectors
-    slack = ROUNDING / v.VECTOR_SHARE
-    near = scanned(q_vectors, chunks, k, slack, digest) if few else vec.nearest(q_vectors, c_vectors, k, slack)
-    near = near.select("query_id", "chunk_id", F.lit(0.0).alias("kw"))
-    pairs = words.unionByName(near).groupBy("query_id", "chunk_id").agg(F.max("kw").alias("kw"))
-    if few:  # vectors of the clauses that may be results, and of no others
-        pairs = written(pairs, "reg-pairs")
-        c_vectors = clause_vectors(chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi"), None, digest)
+        least = -1.0 if vectorizer else 0.0  # counts of triples have no negative products
+        spare = v.VECTOR_SHARE * (1 - least) / v.KEYWORD_SHARE + ROUNDING
+        words = written(kw.candidates(asked, index, k, spare, reg_tokens("query")), "reg-words")
+        best = words.groupBy("query_id").agg(F.max("score").alias("best"))
+        words = words.join(kw.floors(words, k, spare), "query_id", "left").where("floor IS NULL OR score >= floor").join(best, "query_id")
+        words = words.select("query_id", "chunk_id", (F.col("score") / F.col("best")).alias("kw"))
+        if vectors is None:
+            c_vectors = written(clause_vectors(chunks, vectorizer, digest), "reg-clauses")
+        else:
+            c_vectors = vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi") if category or source_type or rule_reference else vectors
+        near = vec.nearest(q_vectors, c_vectors, k, ROUNDING / v.VECTOR_SHARE).select("query_id", "chunk_id", F.lit(0.0).alias("kw"))
+        pairs = words.unionByName(near).groupBy("query_id", "chunk_id").agg(F.max("kw").alias("kw"))
     held = pairs.join(q_vectors.withColumnRenamed("embedding", "q"), "query_id").join(c_vectors.withColumnRenamed("embedding", "c"), "chunk_id")
 
     def multiply(frames):

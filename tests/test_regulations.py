@@ -84,6 +84,25 @@ def test_few_queries_scan_clauses_as_the_cells_would(spark, monkeypatch):
     assert scan == cells and len(scan) >= 8
 
 
+def histogram(text, digest):
+    """A text's triples counted one by one."""
+    import hashlib
+
+    out = np.zeros(regsearch.v.VECTOR_DIM)
+    for i in range(max(1, len(text) - 2) if text else 0):
+        out[int(hashlib.new(digest, text[i:i + 3].encode()).hexdigest()[:8], 16) % len(out)] += 1
+    return out / (np.linalg.norm(out) or 1)
+
+
+def test_triples_of_a_batch_are_those_of_each_text():
+    texts = ["net quantity", "", "ab", "né 😀 à", None, "aaaa", "x", "net"]
+    for digest in ("md5", "sha1"):
+        known = {}
+        for _ in range(2):
+            assert np.allclose(regsearch._unit_histograms(texts, digest, known), [histogram(t or "", digest) for t in texts])
+    assert regsearch._unit_histograms([], "md5", {}).shape == (0, regsearch.v.VECTOR_DIM)
+
+
 def test_pages_hold_on_without_moving_texts(spark):
     texts = {"a_b": "first\n\n[p. 4] Rule 6(1) x\n \n\n  second \n\n[p. 9] [p. 2]\n\nthird", "c": "[p. 1] only", "d": " \n\n ", "e": None, "f": "plain"}
     found = regsearch.clause_text(spark.createDataFrame(list(texts.items()), "stem string, text string"))
@@ -91,3 +110,33 @@ def test_pages_hold_on_without_moving_texts(spark):
     assert sorted((r.chunk_id, r.document, r.rule_reference, r.page, r.text) for r in found.collect()) == [
         ("a_b-000", "a b", "", None, "first"), ("a_b-001", "a b", "Rule 6(1)", 4, "Rule 6(1) x"), ("a_b-002", "a b", "", 4, "second"),
         ("a_b-003", "a b", "", 9, "[p. 2]"), ("a_b-004", "a b", "", 9, "third"), ("c-000", "c", "", 1, "only"), ("f-000", "f", "", None, "plain")]
+
+
+def few(spark, monkeypatch, digest, **chosen):
+    """Few queries by one pass, and by both scores of every clause; pairs of query and clause are neither written nor exchanged."""
+    chunks = clauses(spark, 240).withColumn("source_type", F.expr("IF(right(chunk_id, 1) = '7', 'document', 'rule')")).repartition(3)
+    asked = ["quantity in part 5", "price", "maker of part 12 and 13", "xyzzy", "the label of the package", ""]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    kept = [r for r in chunks.collect() if not chosen or (r.source_type == "document" and "r1" in r.rule_reference.lower())]
+    words = {(r.query_id, r.chunk_id): r.score for r in regsearch.bm25_reg(queries, chunks).collect()}
+    want = {}
+    for i, query in enumerate(asked[:-1]):
+        own = {r.chunk_id: words.get((i, r.chunk_id), 0) for r in kept}
+        best = max(own.values()) or 1
+        total = {r.chunk_id: 0.65 * own[r.chunk_id] / best + 0.35 * float(histogram(query, digest) @ histogram(r.text, digest)) for r in kept}
+        want[i] = sorted((-np.floor(t * 1e4 + 0.5) / 1e4, j) for j, t in total.items() if t > 0)[:5]
+
+    def no(*_):
+        raise AssertionError("a row per query and clause")
+
+    monkeypatch.setattr(regsearch.kw, "_candidates", no)
+    for pairs in (50, 1_000_000):
+        monkeypatch.setattr(regsearch.kw, "SCORED_PAIRS", pairs)
+        got = {}
+        for r in sorted(regsearch.search_reg(queries, chunks, 5, digest=digest, **chosen).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.query_id, []).append((-r.score, r.chunk_id))
+        assert got == {i: w for i, w in want.items() if w} and len(got) >= 4
+
+
+def test_few_queries_leave_only_their_best(spark, monkeypatch):
+    few(spark, monkeypatch, "md5")
