@@ -140,3 +140,7 @@ def few(spark, monkeypatch, digest, **chosen):
 
 def test_few_queries_leave_only_their_best(spark, monkeypatch):
     few(spark, monkeypatch, "md5")
+
+
+def test_few_queries_over_chosen_clauses_leave_only_their_best(spark, monkeypatch):
+    few(spark, monkeypatch, "md5", source_type="document", rule_reference="r1")
