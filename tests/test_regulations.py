@@ -144,3 +144,7 @@ def test_few_queries_leave_only_their_best(spark, monkeypatch):
 
 def test_few_queries_over_chosen_clauses_leave_only_their_best(spark, monkeypatch):
     few(spark, monkeypatch, "md5", source_type="document", rule_reference="r1")
+
+
+def test_few_queries_by_another_digest_leave_only_their_best(spark, monkeypatch):
+    few(spark, monkeypatch, "sha1")
