@@ -148,3 +148,14 @@ def test_few_queries_over_chosen_clauses_leave_only_their_best(spark, monkeypatc
 
 def test_few_queries_by_another_digest_leave_only_their_best(spark, monkeypatch):
     few(spark, monkeypatch, "sha1")
+
+
+def test_findings_are_cited_by_the_clauses_lists_alone(spark):
+    """No posting is read or exchanged for the few texts that findings repeat."""
+    findings = spark.createDataFrame([(p, f"F{p % 2}", "FAIL", ["declare the price", "declare the maker"][p % 2], "absent") for p in range(40)] + [(90, "r1", "FAIL", "price", "absent")],
+                                     "package_id long, rule_id string, status string, title string, reason string")
+    chunks = spark.createDataFrame([("r1", "net quantity"), ("r2", "the price is to be declared"), ("r3", "the maker and the place"), ("r4", "")], "chunk_id string, text string")
+    index = regsearch.keyword_index(chunks)
+    index = regsearch.replace(index, postings=None, maxima=None)
+    cited = {r.package_id: (r.chunk_id, r.retrieval) for r in regsearch.cite_findings(findings, chunks, index=index).collect()}
+    assert cited == {90: ("r1", "exact_rule_id")} | {p: (["r2", "r3"][p % 2], "hybrid_search") for p in range(40)}
