@@ -131,3 +131,39 @@ def test_rule_and_photo_files(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"package_id": 1, "surface_idx": 0, "surface_name": "s", "texts": ["x"], "confidences": [0.9], "bounding_boxes": [[[1, 2], [5, 2], [5, 9], [1, 9]]]}')
     line = tables.lines_of(tables.read_photos(spark, str(tmp_path / "p.json"))).first()
     assert (line.text, line.x_min, line.y_max) == ("x", 1, 9)
+
+
+def test_a_query_is_sent_to_groups_of_cells_not_to_each_cell(spark, monkeypatch):
+    """Copies of rows grow with parts; skipped cells, crowds of equal vectors and short tables change nothing."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(900, 6)), 2)
+    x[100:400] = x[7]  # a crowd at the edge
+    x[500:503] = 0
+    q = np.concatenate([x[::9], [np.zeros(6)]])
+    stored = spark.createDataFrame([(f"c{i:04d}", [float(y) for y in r]) for i, r in enumerate(x)], "chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(q)] + [(999, None)], "query_id long, embedding array<float>")
+    monkeypatch.setattr(vec, "VECTORS_PER_CELL", 15)
+    monkeypatch.setattr(vec, "VECTOR_PART", 200)
+    monkeypatch.setattr(vec, "QUERY_PART", 40)
+    rows, sizes = vec.into_cells(stored)
+    groups = vec.into_groups(sizes, 200)
+    assert len(sizes) > 30 and groups["group"].max() <= 9 and groups.groupby("group")["cell"].count().max() > 5
+    assert (groups["parts"] == np.ceil(sizes["n"].to_numpy() / 200)).all() and groups["parts"].max() == 2
+    sent = vec.needed_groups(asked.where("embedding IS NOT NULL").selectExpr("*", "CAST(NULL AS DOUBLE) AS floor"), sizes, groups, 0.0)
+    copies = {len(r.groups) for r in sent.collect()}
+    assert copies == {(groups["group"] + groups["parts"]).max()} and max(copies) < len(sizes) / 3  # without a floor: all groups, few copies
+    f = lambda a: a.astype("float32").astype("float64")
+    scores = np.round(vec.unit(f(q)) @ f(x).T, 9)
+    for crowd in (0, 16):
+        monkeypatch.setattr(vec, "CROWD", crowd)
+        got = {(r.query_id, r["rank"]): r.chunk_id for r in vec.nearest(asked, stored, 4).collect()}
+        assert got == {(i, n + 1): f"c{j:04d}" for i in range(len(q)) for n, j in enumerate(np.lexsort((np.arange(900), -scores[i]))[:4])}
+    few = vec.nearest(asked, stored.limit(3), 5)
+    assert few.count() == 3 * len(q) and vec.nearest(asked, stored.limit(0), 5).count() == 0
+
+
+def test_parts_are_bounded_and_occupy_the_cores():
+    assert vec.part_sizes(615_000, 615_000, 64, 12) == (65_536, 65_536)
+    assert vec.part_sizes(615_000, 615_000, 512, 12) == (8192, 8192)
+    assert vec.part_sizes(200, 615_000, 64, 12) == (2048, 12_813)
+    assert vec.part_sizes(0, 0, 64, 12) == (2048, 2048)
