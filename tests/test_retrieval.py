@@ -167,3 +167,38 @@ def test_parts_are_bounded_and_occupy_the_cores():
     assert vec.part_sizes(615_000, 615_000, 512, 12) == (8192, 8192)
     assert vec.part_sizes(200, 615_000, 64, 12) == (2048, 12_813)
     assert vec.part_sizes(0, 0, 64, 12) == (2048, 2048)
+
+
+def test_fused_ranks_of_both_searches_move_no_posting(spark, tmp_path):
+    """Ranks by word come from the lists of chunks alone; fused with ranks by vector as by hand."""
+    from dataclasses import replace
+
+    from pkgscreen.operators import keywords as kw
+
+    texts = ["red apple pie", "green apple", "red car", "blue car red paint red", "pie of the day"] * 8
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    kw.write_index(g.term_lists(chunks), str(tmp_path), wordless=False)
+    index = replace(kw.read_index(spark, str(tmp_path)), postings=None, maxima=None)
+    queries = spark.createDataFrame([(1, "red apple"), (2, "car of")], "query_id long, query string")
+    words = s.bm25_topk(queries, index, 6)
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "chunk_id" in x]
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(40, 5)), rng.normal(size=(2, 5))
+    frame = lambda a, first, key: spark.createDataFrame([(first + i, [float(y) for y in r]) for i, r in enumerate(a)], f"{key} long, embedding array<double>")
+    near = s.vector_topk(frame(q, 1, "query_id"), frame(x, 0, "chunk_id"), 6)
+    got = {(r.query_id, r.chunk_id): r.score for r in s.rrf(words.select("query_id", "chunk_id", "rank").unionByName(near.select("query_id", "chunk_id", "rank"))).collect()}
+    want = {}
+    for i, asked in ((1, ["red", "apple"]), (2, ["car", "of"])):
+        df = {w: sum(w in t.split() for t in texts) for w in {*" ".join(texts).split()}}
+        raw = {w: np.log(40 - n + 0.5) - np.log(n + 0.5) for w, n in df.items()}
+        least, mean = 0.25 * np.mean(list(raw.values())), np.mean([len(t.split()) for t in texts])
+        score = {}
+        for c, t in enumerate(texts):
+            tf = {w: t.split().count(w) for w in asked if w in t.split()}
+            if tf:
+                score[c] = round(sum((raw[w] if raw[w] >= 0 else least) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(t.split()) / mean)) for w, n in tf.items()), 9)
+        by_vector = np.lexsort((np.arange(40), -np.round(vec.unit(q) @ x.T, 9)[i - 1]))[:6]
+        for n, c in [*enumerate(sorted(score, key=lambda c: (-score[c], c))[:6]), *enumerate(by_vector.tolist())]:
+            want[i, c] = want.get((i, c), 0) + 1 / (41 + n)
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
