@@ -159,3 +159,19 @@ def test_findings_are_cited_by_the_clauses_lists_alone(spark):
     index = regsearch.replace(index, postings=None, maxima=None)
     cited = {r.package_id: (r.chunk_id, r.retrieval) for r in regsearch.cite_findings(findings, chunks, index=index).collect()}
     assert cited == {90: ("r1", "exact_rule_id")} | {p: (["r2", "r3"][p % 2], "hybrid_search") for p in range(40)}
+
+
+def test_trimmed_texts_are_those_of_the_pattern(spark):
+    import random
+
+    from pkgscreen import vocab as v
+    from pkgscreen.functions.text import one_spaced, sq, strip
+
+    rnd = random.Random(1)
+    odd = [chr(c) for c in range(1, 0x3100) if not chr(c).isalnum()] + ["﻿", "　", "a", "b"]
+    blank = [c for c in odd if c.isspace()] + ["᠎", "​"]
+    rows = [("".join(rnd.choices(rnd.choice([odd, blank, [*blank, "a", "é"]]), k=rnd.randint(0, 8))),) for _ in range(4000)] + [(c,) for c in odd] + [(None,)]
+    pattern = lambda col: f"regexp_replace({col}, {sq('^' + v.WS + '+|' + v.WS + '+$')}, '')"
+    spaced = f"regexp_replace(t, {sq(v.WS + '+')}, ' ')"
+    found = spark.createDataFrame(rows, "t string").selectExpr(f"{strip('t')} <=> {pattern('t')} AS a", f"{one_spaced('t')} <=> {pattern(spaced)} AS b")
+    assert found.where("NOT a OR NOT b").count() == 0
